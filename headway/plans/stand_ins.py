@@ -102,3 +102,62 @@ class Tables:
     @cached_property
     def ranked(self) -> DataFrame:
         return mart.rankings(self.service, mart.spec_frame(self.spark, specs()))
+
+    # ---- grant snapshots ------------------------------------------------------------------------
+
+    @cached_property
+    def dashboard(self) -> DataFrame:
+        """Dashboard rows as parsed text: one per order, project = customer, snapshot = quarter."""
+        people = (self.customer.join(F.broadcast(self.nation), F.col("c_nationkey") == F.col("n_nationkey"))
+                  .join(F.broadcast(self.region), F.col("n_regionkey") == F.col("r_regionkey"))
+                  .select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "n_nationkey", "r_name"))
+        key = F.col("o_orderkey")
+        code = F.concat(F.lit("N"), F.char(65 + F.col("n_nationkey")))
+        of = lambda n, *v: F.element_at(F.array(*[F.lit(x) for x in v]), (n % len(v) + 1).cast("int"))
+        money = lambda c: F.concat(F.lit("$"), F.format_number(c, 2))
+        return self.orders.join(people, "o_custkey").select(
+            key.alias("line_no"), F.trunc("o_orderdate", "quarter").alias("snapshot_date"),
+            F.concat(F.lit("Project "), F.col("o_custkey").cast("string")).alias("project_name"),
+            F.when(F.col("o_custkey") % 13 != 0, F.col("c_mktsegment")).alias("sponsor"), F.col("r_name").alias("city"),
+            F.when(F.col("o_custkey") % 7 == 0, F.concat(code, F.lit("-ZZ"))).otherwise(code).alias("state"),
+            of(F.col("o_custkey"), "BRT", "Light Rail", None, "Streetcar").alias("mode"),
+            of(F.ascii("o_orderstatus"), "PD", "Const", "Eng", "Unknown").alias("phase"),
+            F.col("o_orderpriority").alias("rating"), money(F.col("o_totalprice")).alias("cost"),
+            F.when(key % 9 == 0, "TBD").otherwise(money(F.floor(F.col("o_totalprice") / 2))).alias("cig_request"),
+            F.concat((key % 50 + 20).cast("string"), F.lit("%")).alias("cig_share"),
+            of(key, "Spring 2027", "August 2026", "2028", "TBD", "early 2027").alias("est_grant"),
+            of(key, "Committed", "In Progress").alias("noncig_status"), of(key, "TBD", "N/A", None).alias("excl_brt"))
+
+    @cached_property
+    def snapshots(self) -> DataFrame:
+        """Stored snapshot rows: valid, money typed, first row of each project and quarter."""
+        from headway.operators import grants
+        rows = grants.with_money(grants.valid_rows(self.dashboard))
+        return grants.dedupe_first(rows, ["snapshot_date", *grants.KEY], "line_no")
+
+    @cached_property
+    def project_pages(self) -> DataFrame:
+        """One page link per project, with the file it points to."""
+        k = F.col("c_custkey")
+        name = F.concat(F.lit("Project "), k.cast("string"))
+        return self.customer.select(
+            name.alias("project_name"), F.when(k % 13 != 0, F.col("c_mktsegment")).otherwise("").alias("sponsor"),
+            F.concat(F.lit("S"), (k % 5).cast("string")).alias("state"), name.alias("listing_name"),
+            F.when(k % 3 != 0, F.concat(F.lit("https://grants.example.org/p/"), k.cast("string"))).alias("profile_url"),
+            F.when(k % 4 != 0, F.concat(F.lit("https://grants.example.org/files/Project%20"), k.cast("string"),
+                                        F.lit(".pdf"))).alias("pdf_url"))
+
+    @cached_property
+    def versions(self) -> DataFrame:
+        """Archived documents: every conversation turn is a captured version of its project's profile."""
+        from headway.functions.columns import lookup  # noqa: F401
+        k = F.col("conv_id")
+        rows = self.conversations.join(
+            self.customer.select(F.col("c_custkey").alias("conv_id"), "c_mktsegment"), "conv_id", "left")
+        return rows.select(
+            (k * 100 + F.col("turn")).alias("id"), F.concat(F.lit("Project "), k.cast("string")).alias("project_name"),
+            F.when(k % 13 != 0, F.coalesce("c_mktsegment", F.lit("NONE"))).otherwise("").alias("sponsor"),
+            F.timestamp_seconds(F.lit(1704067200) + F.col("turn") * 86400).alias("captured_at"),
+            (F.col("turn") > 0).alias("changed"),
+            F.when(k % 2 == 0, F.concat(F.lit("Project "), k.cast("string"), F.lit(".pdf"))).alias("file_name"),
+            F.lit(None).cast("string").alias("pdf_url"), "text")

@@ -143,10 +143,10 @@ def date_in_name_last(c: Column | str) -> Column:
     parts = [F.regexp_extract_all(F.coalesce(_col(c), F.lit("")), F.lit(pattern), F.lit(i)) for i in (1, 2, 3)]
     year = lambda y: F.when(y.cast("int") < 100, y.cast("int") + 2000).otherwise(y.cast("int"))
     dates = F.transform(
-        F.arrays_zip(parts[0].alias("m"), parts[1].alias("d"), parts[2].alias("y")),
-        lambda p: F.when(p["0"].cast("int").between(1, 12) & p["1"].cast("int").between(1, 31),
-                         F.format_string("%04d-%02d-%02d", year(p["2"]), p["0"].cast("int"),
-                                         p["1"].cast("int"))))
+        F.zip_with(F.zip_with(parts[0], parts[1], lambda m, d: F.struct(m.cast("int").alias("m"), d.cast("int").alias("d"))),
+                   parts[2], lambda p, y: F.struct(p["m"].alias("m"), p["d"].alias("d"), year(y).alias("y"))),
+        lambda p: F.when(p["m"].between(1, 12) & p["d"].between(1, 31),
+                         F.format_string("%04d-%02d-%02d", p["y"], p["m"], p["d"])))
     return F.try_element_at(F.array_compact(dates), F.lit(-1))
 
 
@@ -186,7 +186,7 @@ def absolute_url(base: Column | str, link: Column | str) -> Column:
 
 def web_address(url: Column, longest: int) -> Column:
     """The URL when it is a full http(s) address of acceptable length, else NULL."""
-    return F.when(url.rlike(r"^(?i)https?://[^/?#]+") & (F.length(url) <= longest), url)
+    return F.nullif(F.regexp_extract(url, rf"^(?i)(?=.{{1,{longest}}}$)(https?://[^/?#].*)$", 1), F.lit(""))
 
 
 # ---- arrays and ordered rules -------------------------------------------------------------------

@@ -213,10 +213,10 @@ def to_download(pages: DataFrame, versions: DataFrame, projects: DataFrame, chan
                .groupBy("state", norm_name("name").alias("_k")).agg(F.max("detail").alias("_why")))
     link_name = F.try_url_decode(F.regexp_extract("pdf_url", "([^/]*)$", 1))
     linked = pages.join(now, key, "left_semi").withColumn("_k", norm_name("listing_name")).join(changed, ["state", "_k"], "left")
-    held = versions.select(*key, F.col("pdf_url").alias("_vurl"), F.col("file_name").alias("_vfile"))
+    held = versions.select(*key, F.col("pdf_url").alias("_vurl"), F.col("file_name").alias("_vfile"), F.lit(1).alias("_held"))
     # one flag per project: does any archived version carry the linked file?
     found = (linked.select(*key, "pdf_url", link_name.alias("_file")).join(held, key, "left")
-             .groupBy(*key).agg(F.count_if(F.col("_vurl").isNotNull() | F.col("_vfile").isNotNull()).alias("_n"),
+             .groupBy(*key).agg(F.count("_held").alias("_n"),
                                 F.max((F.col("_vurl") == F.col("pdf_url")) | (F.col("_vfile") == F.col("_file"))).alias("_have")))
     why = F.array_compact(F.array(
         F.col("_why"),

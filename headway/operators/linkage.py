@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from headway.functions.columns import first_rule, norm_name, words
+from headway.session import settle
 
 # fixed values: words that do not tell two projects apart
 FILLER = ("extension", "corridor", "flash", "new", "starts")
@@ -46,10 +47,10 @@ def states_in(c: Column | str) -> Column:
     return F.array_sort(F.array_distinct(F.when(capital, F.array_remove(named, "WA")).otherwise(named)))
 
 
-def _grams(key: Column) -> Column:
-    """Two-letter runs, numbered so that repeats count."""
-    n = F.length(key)
-    runs = F.when(n >= 2, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(key, i, F.lit(2)))).otherwise(
+def _grams(key: Column, size: int = 2) -> Column:
+    """Letter runs of a size, numbered so that repeats count."""
+    last = F.length(key) - (size - 1)
+    runs = F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(key, i, F.lit(size)))).otherwise(
         F.expr("array()").cast("array<string>"))
     return F.transform(runs, lambda g, i: F.concat(
         g, F.lit("#"), F.size(F.filter(F.slice(runs, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
@@ -85,13 +86,14 @@ def _blocked(projects: DataFrame, profiles: DataFrame):
          .withColumn("id", F.concat_ws("\x01", F.coalesce("name", F.lit("\x02")), F.coalesce("state", F.lit("\x02")))))
     codes = F.filter(F.split(F.coalesce("state", F.lit("")), "-"), lambda s: s != "")
     p = p.withColumn("ws", F.array_distinct(F.array_except(words("key"), F.array(*[F.lit(f) for f in FILLER]))))
+    p = settle(p)
     p_blocks = p.select("id", "key", "ws", F.explode(F.array_union(codes, everywhere)).alias("block"))
     f = profiles.select("profile_id", "key", F.coalesce("states", F.expr("array()").cast("array<string>")).alias("st"))
     f = f.withColumn("ws", F.array_distinct(F.array_except(words("key"), F.array(*[F.lit(x) for x in FILLER]))))
     f_blocks = f.select("profile_id", F.col("key").alias("fkey"), F.col("ws").alias("fws"),
                         F.explode(F.when(F.size("st") == 0, everywhere).otherwise(F.col("st"))).alias("block"))
 
-    return p, p_blocks, f_blocks
+    return p, p_blocks, settle(f_blocks)
 
 
 def _contained(p_rows: DataFrame, f_rows: DataFrame) -> DataFrame:
@@ -121,13 +123,20 @@ def _close_pairs(p_rows: DataFrame, f_blocks: DataFrame) -> DataFrame:
     spread = (p_keys.select(F.explode(_grams(F.col("key"))).alias("g"))
               .unionByName(f_keys.select(F.explode(_grams(F.col("key"))).alias("g")))
               .groupBy("g").agg(F.count(F.lit(1)).alias("df")))
-    p_rare = _rare_grams(p_keys, spread).join(p_rows.select("id", "key", "block"), "id")
+    p_rare = (_rare_grams(p_keys, spread).join(p_rows.select("id", "key", "block"), "id")
+              .withColumn("ls", _grams(F.col("key"), 1)))
     f_rare = (_rare_grams(f_keys, spread).withColumnRenamed("id", "profile_id")
-              .join(f_blocks.select("profile_id", "fkey", "block"), "profile_id"))
-    near = F.length("key") + F.length("fkey")
+              .join(f_blocks.select("profile_id", "fkey", "block"), "profile_id")
+              .withColumn("fls", _grams(F.col("fkey"), 1)))
+    both = F.length("key") + F.length("fkey")
+    tasks = int(p_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shared = F.size(F.array_intersect("ls", "fls"))  # matched letters can not be more than common letters
     return (p_rare.join(f_rare, ["block", "g"])
-            .filter(2 * F.least(F.length("key"), F.length("fkey")) >= (FLOOR - 1e-9) * near)
-            .select("id", "key", "profile_id", "fkey").distinct()
+            .filter(2 * F.least(F.length("key"), F.length("fkey")) >= (FLOOR - 1e-9) * both)
+            .filter(2 * shared >= (FLOOR - 1e-9) * both)
+            .select("id", "key", "profile_id", "fkey")
+            # a fixed number of tasks: the ratio costs far more than its few bytes suggest
+            .repartition(tasks, "id", "profile_id").distinct()
             .withColumn("ratio", sequence_ratio("key", "fkey")).filter(F.col("ratio") > FLOOR - 1e-9))
 
 
@@ -139,16 +148,19 @@ def link_profiles(projects: DataFrame, profiles: DataFrame) -> DataFrame:
     ``tier``. Pairs are only formed through shared keys, shared rare words or shared rare letter runs
     inside a state, so a state or a word held by most rows does not produce all pairs.
     """
+    # both sides and each tier are used several times below, so they are written once
     p, p_blocks, f_blocks = _blocked(projects, profiles)
     same = (p_blocks.join(f_blocks, (p_blocks["block"] == f_blocks["block"]) & (p_blocks["key"] == f_blocks["fkey"]))
             .groupBy("id").agg(F.min("profile_id").alias("exact_id")))
+    same = settle(same)
 
     open_p = p_blocks.join(same, "id", "left_anti")
     contained = (_contained(open_p.filter(F.size("ws") > 0), f_blocks.filter(F.size("fws") > 0))
                  .groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("profile_id").alias("only_id"))
                  .filter("n = 1").select("id", "only_id"))
+    contained = settle(contained)
 
-    pairs = _close_pairs(open_p.join(contained, "id", "left_anti"), f_blocks)
+    pairs = settle(_close_pairs(open_p.join(contained, "id", "left_anti"), f_blocks))
     best = pairs.groupBy("id").agg(F.max(F.struct("ratio", (-F.col("profile_id")).alias("neg"))).alias("b"),
                                    F.count(F.lit(1)).alias("n"))
     second = (pairs.join(best, "id").filter(F.col("profile_id") != -F.col("b.neg"))

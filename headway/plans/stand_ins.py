@@ -142,7 +142,7 @@ class Tables:
         name = F.concat(F.lit("Project "), k.cast("string"))
         return self.customer.select(
             name.alias("project_name"), F.when(k % 13 != 0, F.col("c_mktsegment")).otherwise("").alias("sponsor"),
-            F.concat(F.lit("S"), (k % 5).cast("string")).alias("state"), name.alias("listing_name"),
+            F.concat(F.lit("S"), (k % 5).cast("string")).alias("state"), name.alias("listing_name"), F.lit("listed").alias("listing_stage"),
             F.when(k % 3 != 0, F.concat(F.lit("https://grants.example.org/p/"), k.cast("string"))).alias("profile_url"),
             F.when(k % 4 != 0, F.concat(F.lit("https://grants.example.org/files/Project%20"), k.cast("string"),
                                         F.lit(".pdf"))).alias("pdf_url"))
@@ -150,7 +150,6 @@ class Tables:
     @cached_property
     def versions(self) -> DataFrame:
         """Archived documents: every conversation turn is a captured version of its project's profile."""
-        from headway.functions.columns import lookup  # noqa: F401
         k = F.col("conv_id")
         rows = self.conversations.join(
             self.customer.select(F.col("c_custkey").alias("conv_id"), "c_mktsegment"), "conv_id", "left")

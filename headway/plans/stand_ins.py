@@ -160,3 +160,67 @@ class Tables:
             (F.col("turn") > 0).alias("changed"),
             F.when(k % 2 == 0, F.concat(F.lit("Project "), k.cast("string"), F.lit(".pdf"))).alias("file_name"),
             F.lit(None).cast("string").alias("pdf_url"), "text")
+
+    # ---- review queue ---------------------------------------------------------------------------
+
+    @cached_property
+    def items(self) -> DataFrame:
+        """Review items: every document, its whole text as headline, scored where labels exist."""
+        k = F.col("doc_id")
+        of = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (k % len(v) + 1).cast("int"))
+        none = F.expr("array()").cast("array<string>")
+        start = F.lit("2024-01-01").cast("date")
+        hours = lambda n: F.timestamp_seconds(F.lit(1704067200) + n * 3600)
+        rows = self.documents.join(self.labels, "doc_id", "left")
+        scored = F.col("quality").isNotNull()
+        return rows.select(
+            k.alias("id"), of(*PILLARS, "Data").alias("pillar"), F.col("text").alias("headline"),
+            F.concat(F.lit("Report from "), "source").alias("summary"), F.col("source").alias("source_name"),
+            F.when(k % 11 == 0, None).when(k % 6 == 0, F.concat(F.lit("https://news.google.com/rss/"), k.cast("string")))
+            .otherwise(F.concat(F.lit("https://"), "source", F.lit(".example.com/"), k.cast("string"))).alias("source_url"),
+            F.when(k % 17 != 0, F.date_add(start, (k % 60).cast("int"))).alias("published"),
+            F.when(k % 10 == 0, F.date_add(start, (k % 45 + 31).cast("int"))).alias("deadline"),
+            of("low", "med", "high").alias("relevance"), of("pending", "approved", "published", "skipped").alias("status"),
+            F.when(k % 9 != 0, F.array("source", F.concat(F.lit("Agency "), (k % 7).cast("string")))).otherwise(none).alias("agencies"),
+            F.when(k % 3 == 0, F.array(F.lit("Bus"))).when(k % 3 == 1, F.array(F.lit("Light Rail"), F.lit("Bus"))).otherwise(none).alias("mode"),
+            F.when(k % 8 == 0, F.array(F.lit("CIG New Starts"))).when(k % 8 == 1, F.array(F.lit("RAISE"))).otherwise(none).alias("programs"),
+            F.array("lang", F.concat(F.lit("t"), (k % 12).cast("string"))).alias("tags"),
+            F.when(k % 5 != 0, F.upper("lang")).alias("state"), hours(k % 100).alias("collected_at"),
+            F.when(scored, F.col("quality") * 60 + (k % 40).cast("int")).alias("score"),
+            F.when(scored, F.when(k % 4 == 0, "skip").when(k % 4 == 1, "hold").otherwise("publish")).alias("action"),
+            F.array_compact(F.array(F.when(F.col("toxic") == 1, "likely_duplicate"), F.when(k % 6 == 0, "lead_candidate"))).alias("flags"),
+            F.when(k % 3 == 0, k % 50).alias("dupe_group"), F.when(scored, hours(k % 30)).alias("recommended_at"),
+            F.when(k % 3 == 0, hours(k % 1000)).alias("publish_at"),
+            F.when(k % 2 == 0, F.concat(F.lit("https://img.example.com/"), k.cast("string"), F.lit(".jpg"))).alias("image_url"),
+            F.when(k % 14 == 0, "none").when(k % 7 == 3, "manual").alias("pick_image_source"),
+            F.when(k % 7 == 3, k % 20).alias("pick_image_library_id"))
+
+    @cached_property
+    def titles(self) -> DataFrame:
+        """Published titles: every benchmark passage."""
+        return self.benchmark.select("item_id", F.col("text").alias("title"))
+
+    @cached_property
+    def sources(self) -> DataFrame:
+        """Source registry: one row per document source, with hand edits on some."""
+        n = F.regexp_extract("source", r"(\d+)$", 1).cast("bigint")
+        rows = self.documents.select("source").distinct()
+        day = F.lit("2024-02-01").cast("timestamp")
+        return rows.select(
+            n.alias("id"), F.col("source").alias("name"), F.concat(F.lit("https://"), "source", F.lit(".example.com/feed")).alias("url"),
+            F.lit("News").alias("pillar"), F.when(n % 3 == 0, "Search").otherwise("Feed").alias("type"),
+            F.when(n % 7 == 6, "Manual").otherwise("RSS").alias("method"), F.lit("Med").alias("trust"), F.lit("").alias("notes"),
+            F.lit(None).cast("string").alias("query"), F.lit(None).cast("int").alias("search_days"), (n % 6 != 5).alias("enabled"),
+            F.when(n % 5 == 4, "user").otherwise("registry").alias("origin"), F.when(n % 4 == 3, day).alias("edited_at"),
+            F.when(n % 9 == 8, day).alias("deleted_at"))
+
+    @cached_property
+    def fetches(self) -> DataFrame:
+        """Fetch events: every usage event read as one fetch of the source named after its user."""
+        bad = F.col("event_type") == "error"
+        k = F.get_json_object("props", "$.k").cast("int")
+        return self.events.select(
+            F.col("user_id").alias("source_id"), F.col("ts").cast("timestamp").alias("at"),
+            F.when(bad, F.concat(F.lit("HTTP "), F.col("event_id").cast("string"))).alias("error"),
+            F.when(~bad, k).alias("entries"), F.when(~bad & (k % 2 == 0), k + 1).alias("new"),
+            F.when(~bad & (k % 3 == 0), k + 2).alias("queued"))

@@ -373,7 +373,10 @@ common("links", """
        "lexical", "word_sets", "word_rows", "items", "semantic")
 
 
-@query("duplicate_groups")
+@query("duplicate_groups", """
+  SELECT id, min(lab) AS "group" FROM (WITH RECURSIVE hops AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+    reach AS (SELECT a AS id, a AS lab FROM hops UNION SELECT hops.b, reach.lab FROM reach JOIN hops ON hops.a = reach.id)
+    SELECT * FROM reach) GROUP BY 1""", ("links",))
 def duplicate_groups(t):
     """Groups over words and vectors; documents and vectors share their ids."""
     return duplicates.duplicate_groups(t.items, _vectors(t).drop("state"), eps=0.6)

@@ -224,3 +224,128 @@ class Tables:
             F.when(bad, F.concat(F.lit("HTTP "), F.col("event_id").cast("string"))).alias("error"),
             F.when(~bad, k).alias("entries"), F.when(~bad & (k % 2 == 0), k + 1).alias("new"),
             F.when(~bad & (k % 3 == 0), k + 2).alias("queued"))
+
+    # ---- posts and pictures ---------------------------------------------------------------------
+
+    @cached_property
+    def posts(self) -> DataFrame:
+        """Posts: every web page, titled by its heading."""
+        k = F.col("page_id")
+        of = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), (k % len(v) + 1).cast("int"))
+        title = F.regexp_extract("html", "(?is)<h1>(.*?)</h1>", 1)
+        lang = F.upper(F.regexp_extract("html", 'lang="([a-z]+)"', 1))
+        none = F.expr("array()").cast("array<string>")
+        hour = lambda n: F.timestamp_seconds(F.lit(1704067200) + n * 3600)
+        return self.pages.select(
+            k.alias("id"), F.concat(F.lit("p-"), k.cast("string")).alias("slug"), of(*PILLARS, "Data").alias("pillar"),
+            title.alias("title"), F.concat(F.lit(" "), title, F.lit("\n\nSource: x - "), "url").alias("body"),
+            F.when(k % 6 == 5, "draft").otherwise("published").alias("status"),
+            F.when(k % 23 != 0, hour((k * 37 % 500))).alias("publish_at"), (k * 2).alias("item_id"),
+            F.when(k % 4 == 0, "Google News: transit").when(k % 4 == 1, "  ").otherwise(F.concat(F.lit("Paper "), (k % 9).cast("string"))).alias("source_name"),
+            F.when(k % 5 == 0, F.concat(F.lit("https://news.google.com/a/"), k.cast("string"))).otherwise(F.col("url")).alias("source_url"),
+            F.when(k % 3 != 0, F.array(F.concat(F.lit("Brand#"), (k % 30).cast("string")), F.concat(F.lit("Brand#"), (k % 7).cast("string")))).otherwise(none).alias("agencies"),
+            F.when(k % 2 == 0, F.array(F.lit("Bus"))).otherwise(none).alias("mode"),
+            F.when(k % 8 == 0, F.array(F.lit("RAISE"))).when(k % 8 == 1, F.array(F.lit("TIFIA"))).otherwise(none).alias("programs"),
+            F.array(F.concat(F.lit("t"), (k % 4).cast("string"))).alias("tags"), F.when(k % 5 != 1, lang).alias("state"),
+            (k % 10 == 0).alias("featured"), F.when(k % 20 == 0, hour(k % 600)).alias("featured_until"),
+            F.lit(None).cast("string").alias("sponsor"), F.when(k % 4 == 0, F.concat(F.lit("https://i.example/"), k.cast("string"))).alias("image_url"),
+            F.when(k % 12 == 1, "none").alias("image_source"), F.when(k % 4 == 2, k % 50).alias("image_library_id"))
+
+    @cached_property
+    def assets(self) -> DataFrame:
+        """Image library: every part is one asset of its brand."""
+        k = F.col("p_partkey")
+        day = F.timestamp_seconds(F.lit(1704067200) + F.col("p_size") * 86400)
+        return self.part.select(
+            k.alias("id"), F.when(k % 2 == 0, "logo").otherwise("stock").alias("kind"), F.col("p_brand").alias("agency"),
+            F.split("p_name", " ").alias("topic_tags"), F.when(k % 9 == 0, F.concat(F.lit("/files/"), k.cast("string"))).alias("file_path"),
+            F.when(k % 9 != 0, F.concat(F.lit("https://cdn.example/"), k.cast("string"), F.lit(".svg"))).alias("url"),
+            F.lit(640).alias("width"), F.lit(480).alias("height"), F.when(k % 31 == 0, "").otherwise(
+                F.element_at(F.array(F.lit("wikimedia"), F.lit("unsplash"), F.lit("flickr")), (k % 3 + 1).cast("int"))).alias("source"),
+            F.concat(F.lit("https://src.example/"), k.cast("string")).alias("source_url"),
+            F.element_at(F.array(F.lit("CC BY 4.0"), F.lit("Non-free fair use"), F.lit("Unknown"), F.lit("Public domain, trademark")), (k % 4 + 1).cast("int")).alias("license"),
+            F.when(k % 37 == 0, "  ").otherwise("Someone").alias("attribution"), day.alias("fetched_at"),
+            F.when(F.col("p_size") % 3 == 0, "approved").when(F.col("p_size") % 3 == 1, "candidate").otherwise("rejected").alias("status"),
+            F.concat(F.element_at(F.array(F.lit("free"), F.lit("non-free"), F.lit("odd")), (k % 3 + 1).cast("int")), F.lit(" | note")).alias("notes"),
+            F.when(k % 5 != 0, day).alias("reviewed_at"))
+
+    @cached_property
+    def brands(self) -> DataFrame:
+        """Agencies of the image library: the distinct brands, upper-cased names, some with a logo."""
+        n = F.regexp_extract("p_brand", r"(\d+)$", 1).cast("bigint")
+        return self.part.select("p_brand").distinct().select(
+            F.upper("p_brand").alias("name"), F.lit("XX").alias("state"), F.when(n % 3 == 0, n * 2).alias("logo_image_id"))
+
+    @cached_property
+    def stories(self) -> DataFrame:
+        """Posts as stories to illustrate: their named agencies, and the words of parts as topics."""
+        k = F.col("id")
+        word = lambda n: F.element_at(F.array(*[F.lit(w) for w in ("red", "blue", "small", "ring", "bolt", "widget")]), (n % 6 + 1).cast("int"))
+        return self.posts.select(
+            k.alias("story_id"), "image_url", "image_source",
+            "agencies",
+            F.when(k % 7 == 0, F.expr("array()").cast("array<string>")).otherwise(F.array(word(k), word(k + 2))).alias("tags"))
+
+    # ---- contacts -------------------------------------------------------------------------------
+
+    @cached_property
+    def contacts(self) -> DataFrame:
+        """Contacts: every customer."""
+        k = F.col("c_custkey")
+        ks = k.cast("string")
+        day = lambda n: F.timestamp_seconds(F.lit(1704067200) + n * 86400)
+        return self.customer.select(
+            k.alias("id"), F.concat(F.lit("customer."), ks, F.lit("@example.org")).alias("email"), F.when(k % 4 != 0, F.col("c_name")).alias("name"),
+            F.element_at(F.array(*[F.lit(s) for s in ("pending", "subscribed", "subscribed", "unsubscribed", "bounced")]), (k % 5 + 1).cast("int")).alias("status"),
+            F.when(k % 3 != 0, "web form").alias("source"), F.array(F.lower("c_mktsegment"), F.concat(F.lit("r"), (k % 3).cast("string"))).alias("tags"),
+            F.concat(F.lit("c"), ks).alias("confirm_token"), F.concat(F.lit("u"), ks).alias("unsub_token"), day(k % 200).alias("created_at"),
+            F.when(k % 5 == 1, day(k % 200 + 1)).alias("confirmed_at"), F.when(k % 5 == 3, day(k % 200 + 2)).alias("unsubscribed_at"),
+            F.lit(None).cast("timestamp").alias("last_event_at"), F.lit(None).cast("string").alias("last_event"),
+            F.element_at(F.array(F.lit("free"), F.lit("Pro"), F.lit("unheard"), F.lit(None)), (k % 4 + 1).cast("int")).alias("plan"))
+
+    @cached_property
+    def suppressions(self) -> DataFrame:
+        """Do-not-mail list: customers with a negative balance."""
+        k = F.col("c_custkey").cast("string")
+        return self.customer.filter("c_acctbal < 0").select(
+            F.concat(F.lit("customer."), k, F.lit("@example.org")).alias("email"), F.lit("bounced").alias("reason"),
+            F.lit(None).cast("string").alias("detail"), F.lit("2024-01-01").cast("timestamp").alias("created_at"))
+
+    @cached_property
+    def feedback(self) -> DataFrame:
+        """Mail feedback notifications: every event is one message about its user's address."""
+        k, u = F.col("event_id"), F.col("user_id").cast("string")
+        address = F.concat(F.lit('Someone <Customer.'), u, F.lit("@EXAMPLE.org>"))
+        head = F.concat(F.lit('{"mail":{"messageId":"m'), k.cast("string"), F.lit('"},'))
+        bounce = F.concat(head, F.lit('"notificationType":"Bounce","bounce":{"bounceType":"'), F.when(k % 2 == 0, "Permanent").otherwise("Transient"),
+                          F.lit('","bounceSubType":"General","bouncedRecipients":[{"emailAddress":"'), address, F.lit('","diagnosticCode":"550"},{"emailAddress":"broken"}]}}'))
+        complaint = F.concat(head, F.lit('"notificationType":"Complaint","complaint":{"complainedRecipients":[{"emailAddress":"'), address, F.lit('"}]}}'))
+        delivery = F.concat(head, F.lit('"eventType":"Delivery","delivery":{"recipients":["'), address, F.lit('"]}}'))
+        body = F.when(F.col("event_type") == "error", bounce).when(F.col("event_type") == "purchase", complaint).when(F.col("event_type") == "view", delivery).otherwise("{broken")
+        return self.events.select(
+            F.when(F.col("event_type") == "signup", "SubscriptionConfirmation").otherwise("Notification").alias("Type"),
+            F.concat(F.lit("n"), k.cast("string")).alias("MessageId"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("Timestamp"), body.alias("Message"))
+
+    @cached_property
+    def recipients(self) -> DataFrame:
+        """Per-recipient send results: every event is one send, its day the issue."""
+        k = F.col("event_id")
+        return self.events.select(
+            k.alias("id"), F.dayofmonth("ts").cast("bigint").alias("issue_id"), F.concat(F.lit("customer."), F.col("user_id").cast("string"), F.lit("@example.org")).alias("email"),
+            F.when(k % 10 == 0, "failed").when(k % 15 == 1, "skipped").otherwise("sent").alias("status"), F.concat(F.lit("m"), k.cast("string")).alias("message_id"),
+            F.lit(None).cast("string").alias("detail"), F.col("ts").cast("timestamp").alias("at"))
+
+    @cached_property
+    def usage(self) -> DataFrame:
+        """Usage log: every event, with a surface in its meta and a question text from a benchmark passage."""
+        k = F.col("event_id")
+        kinds = F.array(*[F.lit(x) for x in ("ask_ntd", "ask_cig", "card_export", "data_export", "subscribe")])
+        rows = self.events.join(F.broadcast(self.benchmark.select((F.col("item_id")).alias("_b"), "text")), (k % 40) == F.col("_b"), "left")
+        words = F.array(*[F.lit(x) for x in ("Bus ridership since 2019", "compare fare recovery", "rail cost per trip", "CIG new starts funding")])
+        return rows.select(
+            k.alias("id"), F.element_at(kinds, (k % 5 + 1).cast("int")).alias("event_type"), F.col("user_id").alias("contact_id"),
+            F.concat(F.lit("s"), F.col("user_id").cast("string")).alias("session_id"),
+            F.when(k % 4 != 0, F.concat(F.element_at(words, (k % 4 + 1).cast("int")), F.lit(" "), F.coalesce("text", F.lit("")))).alias("query_text"),
+            F.when(k % 3 != 0, F.concat(F.lit("shape"), (k % 3).cast("string"))).alias("result_shape"),
+            F.when(k % 7 == 0, '{"surface": "public"}').when(k % 7 == 1, '{"surface": "internal"}').otherwise(F.col("props")).alias("meta"),
+            F.col("ts").cast("timestamp").alias("created_at"))

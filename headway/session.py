@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +47,8 @@ def settle(df: DataFrame) -> DataFrame:
     """
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path below the shared folder, for tables a job writes and reads back."""
+    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"

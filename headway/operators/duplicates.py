@@ -59,22 +59,24 @@ def _rare_first(rows: DataFrame, spread: DataFrame) -> DataFrame:
             .select("rep", F.size("o").alias("k"), F.col("o.w").alias("o")))
 
 
+MATCHES = 8  # how many shared rare words a pair must show before its whole word sets are compared
+
+
 def _overlap_pairs(small: DataFrame, large: DataFrame, spread: DataFrame, at: float, tie: Column) -> DataFrame:
     """Pairs (a from ``small``, b from ``large``, |a| <= |b|) whose overlap is at least ``at``.
 
     With n words in the shorter text, t = max(3, ceil(at * n)) must be shared. With words ordered from
-    rare to common, one shared word lies among the first n - t + 1 of the shorter text and among all
-    but the two commonest of the longer one, so those are the only words the join needs.
+    rare to common, any g <= t of them show up among the first n - t + g words of the shorter text and
+    the first m - t + g of the longer one. So pairs are formed on those rare words only, and only pairs
+    that meet g times are compared in full.
     """
-    need = F.greatest(F.ceil(F.col("k") * at - 1e-9), F.lit(MIN_SHARED))
-    a = _rare_first(small, spread).select(
-        F.col("rep").alias("a"), F.col("k").alias("ka"), need.alias("t"),
-        F.explode(F.slice("o", F.lit(1), (F.col("k") - need + 1).cast("int"))).alias("w"))
-    b = _rare_first(large, spread).select(
-        F.col("rep").alias("b"), F.col("k").alias("kb"),
-        F.explode(F.slice("o", F.lit(1), F.col("k") - (MIN_SHARED - 1))).alias("w"))
-    met = a.join(b, "w").filter((F.col("ka") <= F.col("kb")) & tie)
-    pairs = met.select("a", "b").distinct()
+    need = F.greatest(F.ceil(F.col("k") * at - 1e-9), F.lit(MIN_SHARED)).cast("int")
+    a = (_rare_first(small, spread).withColumn("t", need).withColumn("g", F.least(F.col("t"), F.lit(MATCHES)))
+         .select(F.col("rep").alias("a"), F.col("k").alias("ka"), "t", "g",
+                 F.explode(F.slice("o", F.lit(1), F.col("k") - F.col("t") + F.col("g"))).alias("w")))
+    b = _rare_first(large, spread).select(F.col("rep").alias("b"), F.col("k").alias("kb"), F.posexplode("o").alias("j", "w"))
+    met = a.join(b, "w").filter((F.col("ka") <= F.col("kb")) & tie & (F.col("j") < F.col("kb") - F.col("t") + F.col("g")))
+    pairs = met.groupBy("a", "b", "g").agg(F.count(F.lit(1)).alias("n")).filter("n >= g").select("a", "b")
     wa = small.select(F.col("rep").alias("a"), F.col("ws").alias("wa"))
     wb = large.select(F.col("rep").alias("b"), F.col("ws").alias("wb"))
     return (pairs.join(wa, "a").join(wb, "b").withColumn("similarity", overlap("wa", "wb"))

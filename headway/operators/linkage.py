@@ -56,19 +56,25 @@ def _grams(key: Column, size: int = 2) -> Column:
         g, F.lit("#"), F.size(F.filter(F.slice(runs, F.lit(1), i + 1), lambda x: x == g)).cast("string")))
 
 
+MATCHES = 6  # shared rare runs a pair must show before it is looked at
+
+
 def _rare_grams(keys: DataFrame, spread: DataFrame) -> DataFrame:
-    """(id, block, gram) for the rarest part of each key that two close keys must share.
+    """(id, least, g) for the rarest part of each key that two close keys must share.
 
     Matched letters M of a pair with ratio r satisfy 2M = r * (la + lb), the shared numbered runs are
     at least 3M - (la + lb) - 1, and la + lb >= la * 2 / (2 - r): so any two keys with ratio >= FLOOR
-    share at least ``need`` runs, and after sorting by rarity their first ``runs - need + 1`` meet.
+    share at least ``need`` runs, and after sorting by rarity ``least <= need`` of them lie among the
+    first ``runs - need + least`` of both.
     """
     total = 2 / (2 - FLOOR)
-    need = F.greatest(F.ceil(F.length("key") * ((1.5 * FLOOR - 1) * total) - 1 - 1e-9), F.lit(1))
+    need = F.greatest(F.ceil(F.length("key") * ((1.5 * FLOOR - 1) * total) - 1 - 1e-9), F.lit(1)).cast("int")
     grams = keys.select("id", "key", F.explode(_grams(F.col("key"))).alias("g"))
     ranked = (grams.join(spread, "g").groupBy("id", "key")
-              .agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs")))  # one name's letters
-    return ranked.select("id", F.explode(F.slice("gs", F.lit(1), (F.size("gs") - need + 1).cast("int"))["g"]).alias("g"))
+              .agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))  # one name's letters
+              .withColumn("need", need).withColumn("least", F.least("need", F.lit(MATCHES))))
+    return ranked.select("id", "least", F.explode(
+        F.slice("gs", F.lit(1), F.size("gs") - F.col("need") + F.col("least"))["g"]).alias("g"))
 
 
 @F.pandas_udf(T.DoubleType())
@@ -123,20 +129,21 @@ def _close_pairs(p_rows: DataFrame, f_blocks: DataFrame) -> DataFrame:
     spread = (p_keys.select(F.explode(_grams(F.col("key"))).alias("g"))
               .unionByName(f_keys.select(F.explode(_grams(F.col("key"))).alias("g")))
               .groupBy("g").agg(F.count(F.lit(1)).alias("df")))
-    p_rare = (_rare_grams(p_keys, spread).join(p_rows.select("id", "key", "block"), "id")
-              .withColumn("ls", _grams(F.col("key"), 1)))
-    f_rare = (_rare_grams(f_keys, spread).withColumnRenamed("id", "profile_id")
-              .join(f_blocks.select("profile_id", "fkey", "block"), "profile_id")
-              .withColumn("fls", _grams(F.col("fkey"), 1)))
+    p_rare = _rare_grams(p_keys, spread).join(p_rows.select("id", "block").distinct(), "id")
+    f_rare = (_rare_grams(f_keys, spread).withColumnsRenamed({"id": "profile_id", "least": "fleast"})
+              .join(f_blocks.select("profile_id", "block").distinct(), "profile_id"))
+    met = (p_rare.join(f_rare, ["block", "g"])
+           .groupBy("id", "profile_id", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("least", "fleast")).alias("least"))
+           .filter("n >= least").select("id", "profile_id").distinct())
+    left = p_keys.withColumn("ls", _grams(F.col("key"), 1))
+    right = f_keys.select(F.col("id").alias("profile_id"), F.col("key").alias("fkey"), _grams(F.col("key"), 1).alias("fls"))
     both = F.length("key") + F.length("fkey")
     tasks = int(p_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shared = F.size(F.array_intersect("ls", "fls"))  # matched letters can not be more than common letters
-    return (p_rare.join(f_rare, ["block", "g"])
-            .filter(2 * F.least(F.length("key"), F.length("fkey")) >= (FLOOR - 1e-9) * both)
-            .filter(2 * shared >= (FLOOR - 1e-9) * both)
-            .select("id", "key", "profile_id", "fkey")
-            # a fixed number of tasks: the ratio costs far more than its few bytes suggest
-            .repartition(tasks, "id", "profile_id").distinct()
+    # matched letters can not be more than common letters
+    near = met.join(left, "id").join(right, "profile_id").filter(
+        2 * F.size(F.array_intersect("ls", "fls")) >= (FLOOR - 1e-9) * both)
+    # a fixed number of tasks: the ratio costs far more than its few bytes suggest
+    return (near.select("id", "key", "profile_id", "fkey").repartition(tasks, "id", "profile_id")
             .withColumn("ratio", sequence_ratio("key", "fkey")).filter(F.col("ratio") > FLOOR - 1e-9))
 
 

@@ -85,7 +85,7 @@ def dates_in_file_names(t):
 
 
 def _listing_page(t):
-    """One listing page per region, built from its suppliers; plus a second table that must be ignored."""
+    """Listing pages of fifty suppliers each, with a second table that must be ignored."""
     row = F.concat(
         F.lit("<tr><td>"), F.concat(F.lit("N"), F.char(65 + F.col("s_nationkey"))), F.lit("</td><td>"), "r_name",
         F.lit("</td><td> Line&nbsp;"), "s_name", F.lit("</td><td>"),
@@ -95,12 +95,12 @@ def _listing_page(t):
               .join(t.region, F.col("n_regionkey") == F.col("r_regionkey")))
     head = ("<table><tr><th>Other</th></tr><tr><td>1</td></tr></table><TABLE class='x'><tr><th>State</th><th>City</th>"
             "<th>Project Name</th><th>Stage of Development</th><th>Project Profile</th></tr>")
-    return pages_.groupBy(F.col("s_nationkey").cast("bigint").alias("page_id")).agg(F.concat(
+    return pages_.groupBy(F.floor(F.col("s_suppkey") / 50).alias("page_id")).agg(F.concat(
         F.lit(head), F.array_join(F.array_sort(F.collect_list(row)), ""), F.lit("</TABLE>")).alias("html"))
 
 
 common("listing", """
-  SELECT s_nationkey::BIGINT AS page_id, 'N' || chr(65 + s_nationkey) AS state, r_name AS city, 'Line ' || s_name AS name,
+  SELECT s_suppkey // 50 AS page_id, 'N' || chr(65 + s_nationkey) AS state, r_name AS city, 'Line ' || s_name AS name,
          CASE WHEN s_acctbal < 0 THEN 'Engineering' ELSE 'Project Development' END AS stage,
          'https://www.transit.dot.gov/p/' || s_suppkey AS profile_url
   FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey""")
@@ -253,7 +253,7 @@ def run_log(t):
 
 # ---- web pages ----------------------------------------------------------------------------------
 
-@query("page_text", r"""
+common("page_plain", r"""
   WITH body AS (SELECT page_id, coalesce(nullif(regexp_extract(html, '(?is)<article\b[^>]*>(.*?)</article>', 1), ''), html) AS h FROM pages),
   dropped AS (SELECT page_id, """ + "regexp_replace(" * 9 + "h" + "".join(
     rf", '(?is)<{tag}\b.*?</{tag}>', ' ', 'g')" for tag in ("script", "style", "noscript", "svg", "form", "nav", "header", "footer", "aside")) + r""" AS h FROM body),
@@ -262,14 +262,17 @@ def run_log(t):
                                               ("&rsquo;", "''"), ("&ldquo;", '"'), ("&rdquo;", '"'), ("&mdash;", "-"), ("&ndash;", "-"))) + r""" AS x FROM dropped)
   SELECT page_id, regexp_replace(regexp_replace(array_to_string(list_transform(string_split(regexp_replace(x, '[ \t\r\f\v]+', ' ', 'g'), chr(10)), lambda s: trim(s)), chr(10)),
       '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g') AS text FROM plain""")
+
+
+@query("page_text", "SELECT page_id, text FROM page_plain", ("page_plain",))
 def page_text(t):
     """Readable text of whole pages (the length cap is off)."""
     return t.pages.select("page_id", pages.page_text("html", limit=None).alias("text"))
 
 
-@query("readable_pages", "SELECT page_id, length(html) > 0 AS has_html FROM pages")
+@query("readable_pages", "SELECT page_id, length(text) >= 600 AS readable FROM page_plain", ("page_plain",))
 def readable_pages(t):
-    return t.pages.select("page_id", (F.length("html") > 0).alias("has_html"))
+    return t.pages.select("page_id", pages.readable(pages.page_text("html")).alias("readable"))
 
 
 @query("page_hosts", "SELECT page_id, replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), 'www.', '') AS host FROM pages")

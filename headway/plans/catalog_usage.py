@@ -163,6 +163,22 @@ def result_csv(t):
     return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
 
+@query("row_cap", "SELECT count(*) AS rows FROM (SELECT * FROM lineitem LIMIT 1000)")
+def row_cap(t):
+    """The quick-run cap itself: how many rows it lets through."""
+    return readers.limit_rows(t.lineitem, 1000).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("dimension_file", "SELECT n_name AS name, 'R' || n_regionkey AS state, n_nationkey % 2 = 0 AS search_enabled FROM nation")
+def dimension_file(t):
+    """A reference document (a fixed 25 rows under one key) written as JSON and read back as rows."""
+    path = scratch(t.spark, "dimension")
+    row = F.struct(F.col("n_name").alias("name"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("state"),
+                   (F.col("n_nationkey") % 2 == 0).alias("search_enabled"))
+    t.nation.agg(F.collect_list(row).alias("agencies")).write.json(path)
+    return readers.read_dimension(t.spark, path, "agencies", readers.AGENCY_SCHEMA).select("name", "state", "search_enabled")
+
+
 # ---- ad-hoc SQL ---------------------------------------------------------------------------------
 
 def _mart(t):

@@ -11,7 +11,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.functions.columns import round_to
 from headway.operators import mart
 
 # stand-in labels; ECONOMY is left out so that one code falls through to itself
@@ -340,7 +339,7 @@ class Tables:
         """Usage log: every event, with a surface in its meta and a question text from a benchmark passage."""
         k = F.col("event_id")
         kinds = F.array(*[F.lit(x) for x in ("ask_ntd", "ask_cig", "card_export", "data_export", "subscribe")])
-        rows = self.events.join(F.broadcast(self.benchmark.select((F.col("item_id")).alias("_b"), "text")), (k % 40) == F.col("_b"), "left")
+        rows = self.events.join(self.benchmark.select(F.col("item_id").alias("_b"), "text"), (k % 40) == F.col("_b"), "left")
         words = F.array(*[F.lit(x) for x in ("Bus ridership since 2019", "compare fare recovery", "rail cost per trip", "CIG new starts funding")])
         return rows.select(
             k.alias("id"), F.element_at(kinds, (k % 5 + 1).cast("int")).alias("event_type"), F.col("user_id").alias("contact_id"),

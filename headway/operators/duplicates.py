@@ -35,20 +35,25 @@ def state_key(c: Column | str) -> Column:
     return F.nullif(F.upper(F.trim(c)), F.lit(""))
 
 
+def _worded(items: DataFrame, text: str, ident: str, state: str | None) -> DataFrame:
+    """(id, ws, st, mark): the sorted content words, and a digest standing for them in shuffles."""
+    st = state_key(state) if state else F.lit(None).cast("string")
+    rows = items.select(F.col(ident).alias("id"), F.array_sort(content_words(text)).alias("ws"), st.alias("st"))
+    return rows.filter(F.size("ws") >= MIN_SHARED).withColumn("mark", F.sha2(F.array_join("ws", " "), 256))
+
+
 def word_sets(items: DataFrame, text: str = "headline", ident: str = "id", state: str | None = "state") -> DataFrame:
     """One row per distinct (word set, state): representative, words, number of copies."""
-    st = state_key(state) if state else F.lit(None).cast("string")
-    rows = items.select(F.col(ident).alias("id"), F.array_sort(content_words(text)).alias("ws"), st.alias("state"))
-    return (rows.filter(F.size("ws") >= MIN_SHARED).groupBy("ws", "state")
-            .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies")))
+    return (_worded(items, text, ident, state).groupBy("mark", F.col("st").alias("state"))
+            .agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("ws").alias("ws")))
 
 
 def word_copies(items: DataFrame, sets: DataFrame, text: str = "headline", ident: str = "id",
                 state: str | None = "state") -> DataFrame:
     """(rep, id) for every item that is a copy of a representative."""
-    st = state_key(state) if state else F.lit(None).cast("string")
-    rows = items.select(F.col(ident).alias("id"), F.array_sort(content_words(text)).alias("_w"), st.alias("_s"))
-    return (rows.join(sets, (F.col("_w") == F.col("ws")) & F.col("_s").eqNullSafe(F.col("state")))
+    rows = _worded(items, text, ident, state).select("id", "st", "mark")
+    heads = sets.filter("copies > 1").select("mark", "state", "rep")
+    return (rows.join(heads, (rows["mark"] == heads["mark"]) & F.col("st").eqNullSafe(F.col("state")))
             .filter("id <> rep").select("rep", "id"))
 
 

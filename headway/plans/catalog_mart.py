@@ -218,7 +218,7 @@ def national_trend(t):
 @query("mart_health", "SELECT count(*) AS history_rows, min(report_year) AS first_year, max(report_year) AS last_year, "
        "(SELECT count(*) FROM service) AS service_rows FROM history", ("history", "service"))
 def mart_health(t):
-    return mart.mart_health(t.history, t.service)
+    return mart.mart_health(t.stored, t.service)
 
 
 @query("mode_context", f"""
@@ -241,18 +241,18 @@ common("picked", """
 
 @query("qualifying_agencies", "SELECT * FROM picked", ("picked",))
 def qualifying_agencies(t):
-    return mart.qualifying(t.service, t.history, 1000, 3)
+    return mart.qualifying(t.service, t.stored, 1000, 3)
 
 
 @query("qualifying_top", "SELECT * FROM picked ORDER BY upt DESC, ntd_id LIMIT 20", ("picked",))
 def qualifying_top(t):
-    return mart.qualifying(t.service, t.history, 1000, 3, top=20)
+    return mart.qualifying(t.service, t.stored, 1000, 3, top=20)
 
 
 @query("national_rank", "SELECT ntd_id, upt, row_number() OVER (ORDER BY upt DESC, ntd_id) AS national_rank_by_upt "
        "FROM picked", ("picked",))
 def national_rank(t):
-    return mart.national_rank(mart.qualifying(t.service, t.history, 1000, 3))
+    return mart.national_rank(mart.qualifying(t.service, t.stored, 1000, 3))
 
 
 @query("agency_head", "SELECT ntd_id, min(agency) AS agency, min(city) AS city, min(state) AS state FROM service "
@@ -465,7 +465,7 @@ def series_change(t):
   WHERE ntd_id IN (SELECT ntd_id FROM picked)""", ("totals", "service", "trend", "picked"))
 def agency_documents(t):
     from headway.plans.agency_pages import agency_documents as build
-    docs = build(t.service, t.history, 1000, 3)
+    docs = build(t.service, t.stored, 1000, 3)
     return docs.select("ntd_id", round_to("cost_per_rider", 6).alias("cost_per_rider"),
                        F.size("modes").cast("bigint").alias("modes"), F.size("trend").cast("bigint").alias("years"),
                        F.col("modes")[0]["mode"].alias("top_mode"))

@@ -148,8 +148,8 @@ def snapshot_overwrite(t):
 def document_export(t):
     """Agency documents exported as JSON and read back."""
     path = scratch(t.spark, "documents")
-    docs = agency_documents(t.service, t.history, 1000, 3)
-    writers.export_documents(docs, path, document_meta(t.service, t.history, 1000, 3))
+    docs = agency_documents(t.service, t.stored, 1000, 3)
+    writers.export_documents(docs, path, document_meta(t.service, t.stored, 1000, 3))
     back = t.spark.read.schema(docs.schema).json(path + "/documents")
     return back.select("ntd_id", F.size("trend").cast("bigint").alias("years"))
 
@@ -182,7 +182,7 @@ def dimension_file(t):
 # ---- ad-hoc SQL ---------------------------------------------------------------------------------
 
 def _mart(t):
-    return {"ntd_history": t.history, "ntd_service": t.service, "cpi": t.cpi}
+    return {"ntd_history": t.stored, "ntd_service": t.service, "cpi": t.cpi}
 
 
 @query("sql_ratio_of_sums", "SELECT report_year, sum(upt) AS upt, round(sum(operating_expense_real) / sum(upt) * 100.0) / 100.0 AS cost_per_rider_real FROM history WHERE upt > 0 GROUP BY 1", ("history",))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.operators import mart
+from headway.session import settle
 
 # stand-in labels; ECONOMY is left out so that one code falls through to itself
 LABELS = {"STANDARD": "Bus", "MEDIUM": "Light Rail", "PROMO": "Heavy Rail", "LARGE": "Commuter Rail",
@@ -94,9 +95,14 @@ class Tables:
     def history(self) -> DataFrame:
         return mart.with_real(mart.with_ratios(self.base_history), self.cpi)
 
+    @cached_property
+    def stored(self) -> DataFrame:
+        """The history written once, as the mart is; anything that reads it more than once starts here."""
+        return settle(self.history)
+
     @cached_property
     def service(self) -> DataFrame:
-        return mart.latest_service(self.history)
+        return mart.latest_service(self.stored)
 
     @cached_property
     def ranked(self) -> DataFrame:

@@ -17,8 +17,12 @@ from headway.session import settle
 
 
 def _sliced(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = df.repartitionByRange(parts, *[F.col(g) for g in group], *order)
+    """Rows range-partitioned on (group, order) and written once, each with the number of its slice.
+
+    The number of slices follows spark.sql.shuffle.partitions; adaptive execution merges neighbouring
+    slices when there is little data, which keeps their order.
+    """
+    spread = df.repartitionByRange(*[F.col(g) for g in group], *order)
     return settle(spread.withColumn("_slice", F.spark_partition_id()))
 
 

@@ -38,7 +38,7 @@ def state_key(c: Column | str) -> Column:
 def _worded(items: DataFrame, text: str, ident: str, state: str | None) -> DataFrame:
     """(id, ws, st, mark): the sorted content words, and a digest standing for them in shuffles."""
     st = state_key(state) if state else F.lit(None).cast("string")
-    rows = items.select(F.col(ident).alias("id"), F.array_sort(content_words(text)).alias("ws"), st.alias("st"))
+    rows = items.select(F.col(ident).alias("id"), F.sort_array(content_words(text)).alias("ws"), st.alias("st"))
     return rows.filter(F.size("ws") >= MIN_SHARED).withColumn("mark", F.sha2(F.array_join("ws", " "), 256))
 
 
@@ -58,17 +58,19 @@ def word_copies(items: DataFrame, sets: DataFrame, text: str = "headline", ident
 
 
 def _rare_first(rows: DataFrame, spread: DataFrame) -> DataFrame:
-    """(rep, k, words) with each representative's words ordered from rare to common."""
+    """(rep, k, o) with each representative's words ordered from rare to common; read by both sides of
+    the pairing, so written once."""
     words = rows.select("rep", F.explode("ws").alias("w")).join(spread, "w")
-    return (words.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
-            .select("rep", F.size("o").alias("k"), F.col("o.w").alias("o")))
+    return settle(words.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("o"))
+                  .select("rep", F.size("o").alias("k"), F.col("o.w").alias("o")))
 
 
 MATCHES = 8  # how many shared rare words a pair must show before its whole word sets are compared
 
 
-def _overlap_pairs(small: DataFrame, large: DataFrame, spread: DataFrame, at: float, tie: Column) -> DataFrame:
-    """Pairs (a from ``small``, b from ``large``, |a| <= |b|) whose overlap is at least ``at``.
+def _overlap_pairs(small: DataFrame, large: DataFrame, at: float, tie: Column) -> DataFrame:
+    """Pairs (a from ``small``, b from ``large``, |a| <= |b|) whose overlap is at least ``at``; both sides
+    as given by ``_rare_first``.
 
     With n words in the shorter text, t = max(3, ceil(at * n)) must be shared. With words ordered from
     rare to common, any g <= t of them show up among the first n - t + g words of the shorter text and
@@ -76,14 +78,14 @@ def _overlap_pairs(small: DataFrame, large: DataFrame, spread: DataFrame, at: fl
     that meet g times are compared in full.
     """
     need = F.greatest(F.ceil(F.col("k") * at - 1e-9), F.lit(MIN_SHARED)).cast("int")
-    a = (_rare_first(small, spread).withColumn("t", need).withColumn("g", F.least(F.col("t"), F.lit(MATCHES)))
+    a = (small.withColumn("t", need).withColumn("g", F.least(F.col("t"), F.lit(MATCHES)))
          .select(F.col("rep").alias("a"), F.col("k").alias("ka"), "t", "g",
                  F.explode(F.slice("o", F.lit(1), F.col("k") - F.col("t") + F.col("g"))).alias("w")))
-    b = _rare_first(large, spread).select(F.col("rep").alias("b"), F.col("k").alias("kb"), F.posexplode("o").alias("j", "w"))
+    b = large.select(F.col("rep").alias("b"), F.col("k").alias("kb"), F.posexplode("o").alias("j", "w"))
     met = a.join(b, "w").filter((F.col("ka") <= F.col("kb")) & tie & (F.col("j") < F.col("kb") - F.col("t") + F.col("g")))
     pairs = met.groupBy("a", "b", "g").agg(F.count(F.lit(1)).alias("n")).filter("n >= g").select("a", "b")
-    wa = small.select(F.col("rep").alias("a"), F.col("ws").alias("wa"))
-    wb = large.select(F.col("rep").alias("b"), F.col("ws").alias("wb"))
+    wa = small.select(F.col("rep").alias("a"), F.col("o").alias("wa"))
+    wb = large.select(F.col("rep").alias("b"), F.col("o").alias("wb"))
     return (pairs.join(wa, "a").join(wb, "b").withColumn("similarity", overlap("wa", "wb"))
             .filter(F.col("similarity") >= at).select("a", "b", "similarity"))
 
@@ -100,15 +102,17 @@ def lexical_pairs(sets: DataFrame, at: float = DUPE_AT) -> DataFrame:
     """All pairs of representatives whose word overlap is at least ``at``."""
     tie = (F.col("ka") < F.col("kb")) | (F.col("a") < F.col("b"))
     tie = tie & (F.col("a") != F.col("b"))
-    found = _overlap_pairs(sets, sets, _spread(sets), at, tie)
+    rare = _rare_first(sets, _spread(sets))
+    found = _overlap_pairs(rare, rare, at, tie)
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
 def lexical_matches(sets: DataFrame, titles: DataFrame, at: float = PUBLISHED_AT) -> DataFrame:
     """(rep, title) pairs between two tables of word sets."""
     spread = _spread(sets, titles)
-    shorter = _overlap_pairs(sets, titles, spread, at, F.lit(True))
-    longer = _overlap_pairs(titles, sets, spread, at, F.col("ka") < F.col("kb"))
+    mine, theirs = _rare_first(sets, spread), _rare_first(titles, spread)
+    shorter = _overlap_pairs(mine, theirs, at, F.lit(True))
+    longer = _overlap_pairs(theirs, mine, at, F.col("ka") < F.col("kb"))
     return (shorter.select(F.col("a").alias("rep"), F.col("b").alias("title"))
             .unionByName(longer.select(F.col("b").alias("rep"), F.col("a").alias("title"))))
 

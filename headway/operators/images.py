@@ -120,20 +120,20 @@ def approved_stock(stories: DataFrame, assets: DataFrame, n: int = STOCK_POOL) -
     combination of topics only its newest ``n`` assets can be anyone's best, so those are the only
     rows a topic set meets, however many assets carry a popular topic.
     """
-    sets = stories.select(F.array_sort(F.array_distinct("tags")).alias("tags")).filter("size(tags) > 0").distinct()
+    sets = stories.select(F.sort_array(F.array_distinct("tags")).alias("tags")).filter("size(tags) > 0").distinct()
     stock = assets.filter("kind = 'stock' AND status = 'approved'").select(
-        "id", F.array_sort(F.array_distinct("topic_tags")).alias("topic_tags"), "url")
+        "id", F.sort_array(F.array_distinct("topic_tags")).alias("topic_tags"), "url")
     # assets with the same topics are interchangeable but for their id: the newest n of each set matter
     line = Window.partitionBy("topic_tags").orderBy(F.desc("id"))
     heads = stock.withColumn("_n", F.row_number().over(line)).filter(F.col("_n") <= n).drop("_n")
-    groups = heads.groupBy("topic_tags").agg(F.array_sort(F.collect_list(F.struct((-F.col("id")).alias("neg"), "id", "url"))).alias("best"))
+    groups = heads.groupBy("topic_tags").agg(F.sort_array(F.collect_list(F.struct((-F.col("id")).alias("neg"), "id", "url"))).alias("best"))
     met = (sets.withColumn("t", F.explode("tags")).join(groups.withColumn("t", F.explode("topic_tags")), "t")
            .select("tags", "topic_tags", "best").distinct())
     scored = met.select("tags", F.size(F.array_intersect("tags", "topic_tags")).alias("overlap"), F.inline("best"))
     top = Window.partitionBy("tags").orderBy(F.desc("overlap"), F.desc("id"))
     ranked = (scored.withColumn("rank", F.row_number().over(top)).filter(F.col("rank") <= n)
               .select(F.col("tags").alias("_tags"), "rank", "id", "url", "overlap"))
-    mine = stories.select("story_id", F.array_sort(F.array_distinct("tags")).alias("_tags"))
+    mine = stories.select("story_id", F.sort_array(F.array_distinct("tags")).alias("_tags"))
     return mine.join(ranked, "_tags").select("story_id", "rank", "id", "url", "overlap")
 
 
@@ -302,7 +302,7 @@ def scored_names(left: DataFrame, right: DataFrame, at: float) -> DataFrame:
 
     def prefix(df: DataFrame, c: str) -> DataFrame:
         words = df.filter("size(ws) > 1").select(c, F.explode("ws").alias("w")).join(spread, "w")
-        o = words.groupBy(c).agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("o"))
+        o = words.groupBy(c).agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("o"))
         need = F.greatest(F.ceil(F.size("o") * at - 1e-9), F.lit(2))
         return o.select(c, F.explode(F.slice("o", F.lit(1), (F.size("o") - need + 1).cast("int"))["w"]).alias("w"))
     by_word = prefix(lp, "l").join(prefix(rp, "r"), "w").select("l", "r")

@@ -44,7 +44,7 @@ def states_in(c: Column | str) -> Column:
     text = F.lower(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")))
     named = F.array_compact(F.array(*[F.when(text.rlike(rf"\b{n}\b"), F.lit(code)) for n, code in STATE_CODES.items()]))
     capital = text.contains("washington, dc") | text.contains("district of columbia")
-    return F.array_sort(F.array_distinct(F.when(capital, F.array_remove(named, "WA")).otherwise(named)))
+    return F.sort_array(F.array_distinct(F.when(capital, F.array_remove(named, "WA")).otherwise(named)))
 
 
 def _grams(key: Column, size: int = 2) -> Column:
@@ -71,7 +71,7 @@ def _rare_grams(keys: DataFrame, spread: DataFrame) -> DataFrame:
     need = F.greatest(F.ceil(F.length("key") * ((1.5 * FLOOR - 1) * total) - 1 - 1e-9), F.lit(1)).cast("int")
     grams = keys.select("id", "key", F.explode(_grams(F.col("key"))).alias("g"))
     ranked = (grams.join(spread, "g").groupBy("id", "key")
-              .agg(F.array_sort(F.collect_list(F.struct("df", "g"))).alias("gs"))  # one name's letters
+              .agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs"))  # one name's letters
               .withColumn("need", need).withColumn("least", F.least("need", F.lit(MATCHES))))
     return ranked.select("id", "least", F.explode(
         F.slice("gs", F.lit(1), F.size("gs") - F.col("need") + F.col("least"))["g"]).alias("g"))

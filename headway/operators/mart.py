@@ -283,7 +283,7 @@ def agency_modes(service: DataFrame) -> DataFrame:
 def agency_mode_list(modes: DataFrame) -> DataFrame:
     """Modes nested per agency, busiest first; an agency has at most as many as there are mode codes."""
     entry = F.struct((-F.col("upt")).alias("_k"), *[c for c in modes.columns if c != "ntd_id"])
-    ordered = F.array_sort(F.collect_list(entry))
+    ordered = F.sort_array(F.collect_list(entry))
     return modes.groupBy("ntd_id").agg(
         F.transform(ordered, lambda m: m.dropFields("_k")).alias("modes"))
 
@@ -360,7 +360,7 @@ def rankings(service: DataFrame, specs: DataFrame, top: int = 40, least: int = 5
 def rankings_for(ranked: DataFrame) -> DataFrame:
     """Which rankings an agency is in; bounded by the number of rankings."""
     entry = F.struct("ranking", "rank", "of")
-    return ranked.groupBy("slug").agg(F.array_sort(F.collect_list(entry)).alias("rankings"))
+    return ranked.groupBy("slug").agg(F.sort_array(F.collect_list(entry)).alias("rankings"))
 
 
 def recovery(trend: DataFrame, base_year: int) -> DataFrame:

@@ -16,7 +16,7 @@ def agency_documents(service: DataFrame, history: DataFrame, min_upt: float, min
     ranks = mart.mode_rank(service).select("ntd_id", "mode", "mode_rank_by_upt")
     compared = mart.vs_median(modes, mart.mode_context(service)).join(ranks, ["ntd_id", "mode"])
     trend = mart.agency_trend(history)
-    years = trend.groupBy("ntd_id").agg(F.array_sort(F.collect_list(F.struct(
+    years = trend.groupBy("ntd_id").agg(F.sort_array(F.collect_list(F.struct(
         "year", "upt", "opex_real", "cost_per_rider_real"))).alias("trend"))
     return (mart.national_rank(picked).drop("upt")
             .join(mart.agency_head(service).filter("agency <> ''"), "ntd_id")

@@ -203,6 +203,6 @@ def unmatched_sponsors(t):
     return images.unmatched_sponsors(_spoken(t).select(F.col("full").alias("sponsor")), _variants(t).select(F.col("r").alias("name")))
 
 
-@query("licence_class", "SELECT id, ['free', 'non-free', 'unclear', 'free'][id % 4 + 1] AS class FROM assets WHERE trim(attribution) <> ''", ("assets",))
+@query("licence_class", "SELECT id, ['free', 'non-free', 'unclear', 'free'][id % 4 + 1] AS class FROM assets", ("assets",))
 def licence_class(t):
-    return t.assets.filter("trim(attribution) <> ''").select("id", images.licence_class("license", "attribution", F.lit("wiki")).alias("class"))
+    return t.assets.select("id", images.licence_class("license", "attribution", F.lit("wiki")).alias("class"))

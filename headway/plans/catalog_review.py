@@ -5,7 +5,6 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from headway.functions.columns import content_words
 from headway.operators import duplicates, registry, review, triage

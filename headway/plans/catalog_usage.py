@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from headway.operators import adhoc, grants, mart, registry, usage
+from headway.operators import adhoc, grants, mart, usage
 from headway.plans import catalog_contacts, catalog_grants, catalog_mart, catalog_review  # noqa: F401  (shared WITH entries)
 from headway.plans.agency_pages import agency_documents, build_mart, document_meta
 from headway.plans.catalog import common, query

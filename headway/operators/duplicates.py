@@ -138,11 +138,6 @@ def vector_copies(items: DataFrame, vectors: DataFrame, vector: str = "embedding
     return rows.join(vectors, F.col("_v") == F.col("v")).filter("id <> rep").select("rep", "id")
 
 
-def _matrix(series: pd.Series) -> np.ndarray:
-    m = np.array(series.tolist(), dtype=np.float64)
-    return m / np.linalg.norm(m, axis=1, keepdims=True)
-
-
 def vector_pairs(left: DataFrame, right: DataFrame | None = None, eps: float = NEAR) -> DataFrame:
     """All pairs within cosine distance ``eps``, exactly; within one table when ``right`` is omitted.
 
@@ -151,6 +146,10 @@ def vector_pairs(left: DataFrame, right: DataFrame | None = None, eps: float = N
     2 * theta), so it visits just those cells. Inside a cell both sides are cut into chunks and every
     chunk pair is one matrix product, so a cell holding a third of all vectors becomes many tasks.
     """
+    def matrix(series: pd.Series) -> np.ndarray:  # local, so that it travels to the workers by value
+        m = np.array(series.tolist(), dtype=np.float64)
+        return m / np.linalg.norm(m, axis=1, keepdims=True)
+
     same = right is None
     right = left if same else right
     theta = math.acos(1 - eps)
@@ -159,7 +158,7 @@ def vector_pairs(left: DataFrame, right: DataFrame | None = None, eps: float = N
     picked = right.orderBy(F.xxhash64("rep"), "rep").limit(wanted).collect()  # at most PIVOTS vectors
     if not picked:
         return left.sparkSession.createDataFrame([], PAIR_TYPE)
-    pivots = left.sparkSession.sparkContext.broadcast(_matrix(pd.Series([r["v"] for r in picked])))
+    pivots = left.sparkSession.sparkContext.broadcast(matrix(pd.Series([r["v"] for r in picked])))
 
     home_type = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])
 
@@ -169,7 +168,7 @@ def vector_pairs(left: DataFrame, right: DataFrame | None = None, eps: float = N
             if len(vs) == 0:
                 yield pd.DataFrame({"cell": np.array([], "int32"), "angle": np.array([], "float64")})
                 continue
-            angles = np.arccos(np.clip(_matrix(vs) @ pivots.value.T, -1, 1))
+            angles = np.arccos(np.clip(matrix(vs) @ pivots.value.T, -1, 1))
             cell = angles.argmin(axis=1)
             yield pd.DataFrame({"cell": cell.astype("int32"), "angle": angles[np.arange(len(cell)), cell]})
 
@@ -188,7 +187,7 @@ def vector_pairs(left: DataFrame, right: DataFrame | None = None, eps: float = N
             if len(vs) == 0:
                 yield pd.Series([], dtype=object)
                 continue
-            angles = np.arccos(np.clip(_matrix(vs) @ pivots.value.T, -1, 1))
+            angles = np.arccos(np.clip(matrix(vs) @ pivots.value.T, -1, 1))
             ok = (angles <= reach.value) & (angles <= angles.min(axis=1, keepdims=True) + 2 * theta + 1e-9)
             yield pd.Series([np.flatnonzero(row).astype("int32") for row in ok])
 
@@ -205,7 +204,7 @@ def vector_pairs(left: DataFrame, right: DataFrame | None = None, eps: float = N
     def compare(host: pd.DataFrame, guest: pd.DataFrame) -> pd.DataFrame:
         if host.empty or guest.empty:
             return pd.DataFrame({"a": [], "b": [], "distance": []})
-        distance = 1 - _matrix(guest["w"]) @ _matrix(host["v"]).T
+        distance = 1 - matrix(guest["w"]) @ matrix(host["v"]).T
         g, h = np.nonzero(distance <= eps)
         a, b = guest["guest"].to_numpy()[g], host["rep"].to_numpy()[h]
         keep = a < b if same else np.ones(len(a), dtype=bool)

@@ -106,3 +106,34 @@ def test_listing_is_paired_one_to_one(spark):
     got = {(r["project_name"], r["listing_name"]): r["outcome"] for r in archive.match_listing(listing, projects).collect()}
     assert got == {("Stone Avenue BRT Project", "Stone Avenue BRT"): "matched", ("The Stone Avenue BRT", None): "not_listed",
                    ("Other Thing", None): "not_listed", (None, "River Line"): "not_a_project"}
+
+
+def test_documents_find_their_single_project(spark):
+    rnd = random.Random(21)
+    vocab = ["stone", "avenue", "brt", "river", "line", "phase", "north", "mill", "extension"]
+    name = lambda: " ".join(rnd.choice(vocab) for _ in range(rnd.randint(1, 3)))
+    docs = [(i, f"T{i}", name(), ["AA"] if i % 3 else []) for i in range(30)]
+    projects = sorted({(name(), rnd.choice(["AA", "BB"])) for _ in range(60)})
+    got = archive.find_unique(spark.createDataFrame(docs, "profile_id bigint, title string, key string, states array<string>"),
+                              spark.createDataFrame(projects, "project_name string, state string")).collect()
+    for r in got:
+        doc = next(d for d in docs if d[0] == r["profile_id"])
+        hits = [p for p in projects if brute_link(p[0], [p[1]], [(doc[0], doc[2], doc[3])])[0] is not None]
+        assert r["hits"] == len(hits)
+        assert r["project_name"] == (hits[0][0] if len(hits) == 1 else None)
+        assert (r["reason"] is None) == (len(hits) == 1)
+
+
+def test_rediff_and_remode(spark):
+    versions = spark.createDataFrame([(1, None, "a\nb"), (2, 1, "a\nc\nd"), (3, 2, "a\nc\nd")], "id bigint, prev_version_id bigint, text string")
+    got = {r["id"]: (r["lines_added"], r["lines_removed"]) for r in archive.rediff(versions).collect()}
+    assert got == {2: (2, 1), 3: (0, 0)}
+    profiles = spark.createDataFrame([(0, "stone avenue", ["AA"], "Light Rail", True, "a.pdf"), (1, "river line", ["AA"], None, True, "b.pdf")],
+                                     "profile_id bigint, key string, states array<string>, mode string, mentions_rail boolean, file string")
+    rows = spark.createDataFrame([("Stone Avenue", "AA", "2.1"), ("Stone Avenue", "AA", None), ("River Line", "AA", "TBD"), ("Nothing", "AA", "N/A"), ("Else", "AA", "3")],
+                                 "project_name string, state string, excl_brt string")
+    out = linkage.remode(rows, profiles)
+    got = sorted((r["project_name"], r["mode"] or "", r["profile_file"] or "") for r in out.collect())
+    assert got == [("Else", "BRT", ""), ("Nothing", "", ""), ("River Line", "", "b.pdf"), ("Stone Avenue", "", "a.pdf"), ("Stone Avenue", "Light Rail", "a.pdf")]
+    assert {r["source"]: r["n"] for r in linkage.provenance_counts(out).collect()} == {
+        "conflict": 2, "FTA dashboard (Length of Exclusive BRT)": 1, "FTA project profile": 1, "not stated by FTA sources": 1}

@@ -5,9 +5,10 @@ where the toxic dictionary makes it shorter, the window resembles toxic text. A
 windows, with a logistic curve calibrated on the training rows.
 
 Labels belong to whole documents of which few windows are toxic, so the toxic dictionary is trained on telling words:
-those whose log-likelihood ratio, counted over distinct three-word contexts so that copies count once, reaches a share
-of the strongest one's. The ordinary dictionary holds the words most frequent in ordinary text. A window is one word,
-written twice so that even a short word outweighs the frame that compression adds.
+those whose log-likelihood ratio, counted over distinct three-word contexts so that copies count once, is significant.
+The ordinary dictionary holds the words most frequent in ordinary text. A window is one word, written three times so
+that even a short word outweighs the frame that compression adds. A window counts if the toxic dictionary compresses
+it as well as its own words; that threshold, like the logistic curve, is calibrated on the training rows.
 
 Defined results: null and empty texts have no windows and score like a text without signs; without labelled rows of
 both kinds every score is 0; conflicting labels of one document count as toxic; repeated rows are scored each.
@@ -29,10 +30,13 @@ from pyspark.sql import functions as F
 #: Bound of the training sample: rows per label (in the order of a hash of the id), and characters in all.
 TRAIN_ROWS = 2000
 TRAIN_CHARS = 40_000_000
-#: Size of a dictionary; least share of the strongest word's evidence; telling windows averaged.
-DICTIONARY_BYTES = 4096
-SHARE = 0.25
-TOP = 3
+#: Size of a dictionary; least evidence of a telling word (a chance of about 1 in 100,000); copies of a word in a
+#: window; telling windows averaged; share of the toxic dictionary's own words that the threshold lets pass.
+DICTIONARY_BYTES = 16384
+EVIDENCE = 20.0
+COPIES = 3
+TOP = 8
+PASSING = 0.9
 #: Words whose window lengths are kept at hand in a task; the store is emptied when full. It changes speed only.
 WORDS_KEPT = 500_000
 
@@ -43,6 +47,7 @@ WORD = re.compile(r"[^\W_]+")
 class Model:
     toxic: bytes
     ordinary: bytes
+    longest: int
     weights: tuple[float, ...] | None
 
 
@@ -60,7 +65,8 @@ def _telling(toxic: list[str], ordinary: list[str]) -> tuple[list[str], list[str
             out.update(zip(words, words[1:], words[2:]))
         return out
 
-    bad, good = contexts(toxic), contexts(ordinary)
+    bad = contexts(toxic)
+    good = contexts(ordinary) - bad
     a, b = Counter(c[1] for c in bad), Counter(c[1] for c in good)
     rate = len(bad) / max(1, len(bad) + len(good))
     evidence: dict[str, float] = {}
@@ -69,41 +75,46 @@ def _telling(toxic: list[str], ordinary: list[str]) -> tuple[list[str], list[str
         expected = (x + o) * rate
         if x > expected:
             evidence[word] = 2 * (x * math.log(x / expected) + (o * math.log(o / (x + o - expected)) if o else 0))
-    if not evidence:
-        return [], []
-    least = SHARE * max(evidence.values())
-    chosen = sorted((w for w, g in evidence.items() if g >= least), key=lambda w: (evidence[w], w))
-    usual = [w for w, _ in sorted(b.items(), key=lambda kv: (kv[1], kv[0]))]
+    chosen = sorted((w for w, g in evidence.items() if g >= EVIDENCE and len(w) > 3), key=lambda w: (evidence[w], w))
+    telling = set(chosen)
+    usual = [w for w, _ in sorted(b.items(), key=lambda kv: (kv[1], kv[0])) if len(w) > 3 and w not in telling]
     return chosen, usual
 
 
 def _content(words: list[str]) -> bytes:
-    """The last ``DICTIONARY_BYTES`` of the words, spaced like windows; at least what a dictionary needs."""
-    return (" " * 16 + " " + " ".join(words) + " ").encode()[-DICTIONARY_BYTES:]
+    """The last words that fit, spaced like windows; zstandard does not look into the last bytes of a dictionary."""
+    return (" " + " ".join(words) + " ").encode()[-DICTIONARY_BYTES:] + b" " * 16
 
 
-def measure(model: Model):
-    """A function from text to its features: the most telling window's gain, and the mean of the ``TOP`` best."""
+def _compressor(content: bytes):
+    """Window compression with a dictionary; lazy matching takes the longest match even in the shortest window."""
     import zstandard
 
-    def compressor(content: bytes):
-        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        p = zstandard.ZstdCompressionParameters.from_level(19, min_match=3, strategy=zstandard.STRATEGY_BTULTRA2, target_length=999, write_content_size=False, write_checksum=False, write_dict_id=False)
-        return zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress
+    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    p = zstandard.ZstdCompressionParameters.from_level(19, min_match=4, strategy=zstandard.STRATEGY_BTLAZY2, target_length=32, write_content_size=False, write_checksum=False, write_dict_id=False)
+    return zstandard.ZstdCompressor(dict_data=d, compression_params=p).compress
+
+
+def _window(word: str) -> bytes:
+    return f" {word} ".encode() * COPIES
 
-    toxic, ordinary = compressor(model.toxic), compressor(model.ordinary)
+
+def measure(model: Model):
+    """A function from text to its features: the most telling window's gain, the means of the best three and ``TOP``."""
+    toxic, ordinary = _compressor(model.toxic), _compressor(model.ordinary)
     known: dict[str, int] = {}
 
     def gain(word: str) -> int:
         if len(known) >= WORDS_KEPT:
             known.clear()
-        window = f" {word} ".encode() * 2
-        g = len(ordinary(window)) - len(toxic(window))
+        window = _window(word)
+        length = len(toxic(window))
+        g = len(ordinary(window)) - length if length <= model.longest else 0
         if len(word) <= 64:
             known[word] = g
         return g
 
-    def features(text: str) -> tuple[float, float]:
+    def features(text: str) -> tuple[float, float, float]:
         best: list[int] = []
         for word, n in Counter(WORD.findall(text.lower())).items():
             g = known.get(word)
@@ -111,7 +122,7 @@ def measure(model: Model):
             if g > 0:
                 best += [g] * min(n, TOP)
         best = sorted(best, reverse=True)[:TOP]
-        return (float(best[0]) if best else 0.0, sum(best) / TOP)
+        return (float(best[0]) if best else 0.0, sum(best[:3]) / 3, sum(best) / TOP)
 
     return features
 
@@ -151,8 +162,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     ordinary = [t for i, t in rows if picked[i] == 0]
     chosen, usual = _telling(toxic, ordinary) if toxic and ordinary else ([], [])
     if not chosen:
-        return Model(b"", b"", None)
-    model = Model(_content(chosen), _content([w for w in usual if w not in set(chosen)]), None)
+        return Model(b"", b"", 0, None)
+    toxic_words = _compressor(_content(chosen))
+    lengths = sorted(len(toxic_words(_window(w))) for w in chosen)
+    model = Model(_content(chosen), _content(usual), lengths[int(len(lengths) * PASSING)], None)
     features = measure(model)
     x = np.array([features(t) for _, t in rows])
     y = np.array([float(picked[i]) for i, _ in rows])
@@ -170,7 +183,7 @@ def score(text: Column, model: Model) -> Column:
         features = measure(model)
         w = np.array(model.weights)
         for texts in batches:
-            x = np.array([features(t) for t in texts]).reshape(-1, 2)
+            x = np.array([features(t) for t in texts]).reshape(-1, 3)
             yield pd.Series(1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30))))
 
     return scores(F.coalesce(text, F.lit("")))

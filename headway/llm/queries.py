@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm import decontamination, exact_topk, licences, packing, toxicity, url_rules
+from headway.llm import decontamination, exact_topk, licences, line_dedup, packing, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -98,3 +98,8 @@ items AS (SELECT r, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids FR
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
     sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)"""
+
+
+@query
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.digest(table(spark, folder, "documents"))

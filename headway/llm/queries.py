@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm import decontamination, exact_topk, licences, line_dedup, packing, toxicity, url_rules
+from headway.llm import decontamination, exact_topk, licences, line_dedup, packing, pii, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -103,3 +103,8 @@ FROM d LEFT JOIN covered USING (r) LEFT JOIN items USING (r)"""
 @query
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.digest(table(spark, folder, "documents"))
+
+
+@query
+def op1_pii_sanitisation(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.report(table(spark, folder, "documents"))

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from headway.llm.common import small, texts
+from headway.llm.common import texts
 from headway.session import settle
 
 #: Words of a block, and of a shared run that is found for sure.
@@ -144,9 +144,9 @@ def remove_repeats(docs: DataFrame, block: int = BLOCK, guarantee: int = GUARANT
     """The documents with repeated runs taken out of ``text``; columns as they were, plus ``_removed`` lines."""
     blocks = settle(fingerprints(docs, block, guarantee))
     runs = repeats(blocks).distinct().groupBy("doc_id", "h").agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
-    runs = settle(runs.select(F.col("doc_id").alias("_run_doc"), F.col("h").alias("_run_h"), "_runs"))
+    runs = runs.select(F.col("doc_id").alias("_run_doc"), F.col("h").alias("_run_h"), "_runs")
     h = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    joined = docs.join(small(runs, 20_000), docs["doc_id"].eqNullSafe(F.col("_run_doc")) & (h == F.col("_run_h")), "left")
+    joined = docs.join(runs, docs["doc_id"].eqNullSafe(F.col("_run_doc")) & (h == F.col("_run_h")), "left")
 
     @F.pandas_udf("text string, removed long")
     def rebuild(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:

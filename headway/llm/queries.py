@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm import chosen_path, decontamination, exact_topk, licences, line_dedup, packing, pii, toxicity, url_rules
+from headway.llm import chosen_path, decontamination, exact_topk, licences, line_dedup, packing, pii, pseudo_lm, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -113,3 +113,8 @@ def op1_pii_sanitisation(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return chosen_path.judge(table(spark, folder, "documents"), k=4)
+
+
+@query
+def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return pseudo_lm.judge(table(spark, folder, "documents"))

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Sentences without any of these words are not looked at further (in normalised spelling).
-HINT = "licen[cs]|copyright|public domain|redistribut|permission|warrant|as is|merchantab|liab|spdx|creative commons|cc by|cc0|unlicense|endorse|free of charge|free software|all rights"
+HINT = "licen[cs]|copyright|public domain|redistribut|permission|warrant|as is|merchantab|liab|spdx|creative commons|cc by|cc0|unlicense|endorse|free of charge|free software|all rights|applicable law|later version"
 
 #: Known licence sentences, as patterns over normalised sentences (lower case, words parted by one space).
 #: The first that matches names the sentence, so exact wordings stand before general ones.
@@ -121,7 +121,7 @@ def sentences(text: Column) -> Column:
     A sentence ends at a line break, or at . ! ? ; before white space or the end.
     """
     cut = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), r"[.!?;]+(\s+|$)", "\n"), "\n")
-    return F.filter(F.transform(F.filter(cut, lambda s: F.lower(s).rlike("licen|copyright|domain|redistribut|permission|warrant|as[^a-z0-9]+is|merchantab|liab|spdx|commons|cc|endorse|charge|free|rights|gpl")), normalised), lambda s: s.rlike(HINT))
+    return F.filter(F.transform(F.filter(cut, lambda s: F.lower(s).rlike("licen|copyright|domain|redistribut|permission|warrant|as[^a-z0-9]+is|merchantab|liab|spdx|commons|cc|endorse|charge|free|rights|gpl|applicable|later")), normalised), lambda s: s.rlike(HINT))
 
 
 def names(found: Column) -> Column:

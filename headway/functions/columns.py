@@ -58,19 +58,23 @@ def is_blank(c: Column | str) -> Column:
     return F.trim(F.coalesce(_col(c), F.lit(""))) == ""
 
 
-def slug(name: Column | str, ident: Column | str) -> Column:
-    """Lower-case words joined by dashes (Unicode letters kept), 60 characters, then the id."""
+#: Characters of a slug's stem; a text format, as the id that follows keeps slugs apart.
+STEM = 60
+
+
+def slug(name: Column | str, ident: Column | str, stem_chars: int = STEM) -> Column:
+    """Lower-case words joined by dashes (Unicode letters kept), a stem of so many characters, then the id."""
     dashed = F.regexp_replace(F.lower(F.coalesce(_col(name), F.lit(""))), r"[^\p{L}\p{N}]+", "-")
-    stem = F.substring(F.regexp_replace(dashed, "^-|-$", ""), 1, 60)
+    stem = F.substring(F.regexp_replace(dashed, "^-|-$", ""), 1, stem_chars)
     return F.concat(F.coalesce(F.nullif(stem, F.lit("")), F.lit("agency")), F.lit("-"),
                     _col(ident).cast("string"))
 
 
-def post_slug(title: Column | str, ident: Column | str) -> Column:
-    """ASCII slug of a headline: dashes trimmed, then cut to 60, then the id."""
+def post_slug(title: Column | str, ident: Column | str, stem_chars: int = STEM) -> Column:
+    """ASCII slug of a headline: dashes trimmed, then cut to a stem, then the id."""
     dashed = F.regexp_replace(F.lower(F.coalesce(F.nullif(_col(title), F.lit("")), F.lit("post"))),
                               "[^a-z0-9]+", "-")
-    stem = F.substring(F.regexp_replace(dashed, "^-+|-+$", ""), 1, 60)
+    stem = F.substring(F.regexp_replace(dashed, "^-+|-+$", ""), 1, stem_chars)
     return F.concat(F.coalesce(F.nullif(stem, F.lit("")), F.lit("post")), F.lit("-"),
                     _col(ident).cast("string"))
 
@@ -177,16 +181,22 @@ def absolute_url(base: Column | str, link: Column | str) -> Column:
               .when(link.startswith("?"), F.concat(path, link))
               .when(link.startswith("#"), F.concat(F.regexp_replace(base, "#.*$", ""), link))
               .otherwise(F.concat(folder, link)))
-    # resolve "./" and "dir/../" steps
-    tidy = F.regexp_replace(joined, r"/(\./)+", "/")
-    for _ in range(4):
-        tidy = F.regexp_replace(tidy, r"(?<![:/])/(?!\.\./)[^/?#]+/\.\./", "/")
-    return tidy
+    # resolve "./" and "dir/../" steps, however many
+    site = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)([^?#]*)(.*)$"
+    steps = F.split(F.regexp_extract(joined, site, 2), "/")
+
+    def walk(done: Column, step: Column) -> Column:
+        up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))
+        return F.when(step == "..", up).when(step == ".", done).otherwise(F.concat(done, F.array(step)))
 
+    walked = F.aggregate(F.slice(steps, 2, F.size(steps)), F.slice(steps, 1, 1), walk)
+    tidy = F.concat(F.regexp_extract(joined, site, 1), F.array_join(walked, "/"), F.regexp_extract(joined, site, 3))
+    return F.when(joined.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^?#]*/\.\.?/"), tidy).otherwise(joined)
 
-def web_address(url: Column, longest: int) -> Column:
-    """The URL when it is a full http(s) address of acceptable length, else NULL."""
-    return F.nullif(F.regexp_extract(url, rf"^(?i)(?=.{{1,{longest}}}$)(https?://[^/?#].*)$", 1), F.lit(""))
+
+def web_address(url: Column) -> Column:
+    """The URL when it is a full http(s) address, else NULL."""
+    return F.nullif(F.regexp_extract(url, r"^(?i)(https?://[^/?#].*)$", 1), F.lit(""))
 
 
 # ---- arrays and ordered rules -------------------------------------------------------------------
@@ -216,7 +226,3 @@ def lookup(mapping: dict, key: Column) -> Column:
     """Literal map lookup; NULL for unknown keys."""
     flat = [F.lit(x) for pair in mapping.items() for x in pair]
     return F.try_element_at(F.create_map(*flat), key)
-
-
-def tags_overlap(a: Column | str, b: Column | str) -> Column:
-    return F.coalesce(F.arrays_overlap(_col(a), _col(b)), F.lit(False))

@@ -13,7 +13,6 @@ REFUSED = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "ATTACH", "C
 REFUSED_STRICT = ("INSERT", "UPDATE", "DELETE", "DROP", "ALTER", "CREATE", "GRANT", "REVOKE", "TRUNCATE", "COPY", "MERGE", "SET",
                   "RESET", "DO", "CALL", "EXECUTE", "PREPARE", "LISTEN", "NOTIFY", "VACUUM", "LOCK", "set_config",
                   r"pg_read\w*", "pg_ls_dir", r"pg_sleep\w*", r"lo_\w+", r"dblink\w*")
-ROW_CAP = 200
 
 
 def _refuse(sql: str, words) -> None:
@@ -39,9 +38,9 @@ def check_snapshot_sql(sql: str) -> str:
 
 
 def run_snapshot_sql(path: str, sql: str, spark: SparkSession, name: str = "cig_projects") -> DataFrame:
-    """One capped query in a fresh session that knows only the snapshot table stored at ``path``."""
+    """One query in a fresh session that knows only the snapshot table stored at ``path``."""
     text = check_snapshot_sql(sql)
     alone = spark.newSession()
     alone.conf.set("spark.sql.runSQLOnFiles", "false")
     alone.read.parquet(path).createOrReplaceTempView(name)
-    return alone.sql(text).limit(ROW_CAP)
+    return alone.sql(text)

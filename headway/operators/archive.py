@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,8 +12,6 @@ from headway.functions.ordered import previous_row
 from headway.operators.grants import latest_rows
 from headway.operators.linkage import link_profiles
 
-LEAST_CHARS = 200
-DIFF_LINES = 3000
 LINE_BREAKS = "\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85  ]"
 PAGE_NUMBER = r"(?i)^(page\s*)?\d{1,3}(\s*of\s*\d{1,3})?$"
 
@@ -37,17 +33,18 @@ def text_hash(c: Column | str) -> Column:
     return F.sha2(F.col(c) if isinstance(c, str) else c, 256)
 
 
-def admit_versions(incoming: DataFrame, archive: DataFrame, keys: list[str], least: int = LEAST_CHARS) -> DataFrame:
-    """Decide each arrival: unreadable, unchanged (text seen before for its key), new or changed.
+def admit_versions(incoming: DataFrame, archive: DataFrame, keys: list[str], least: int) -> DataFrame:
+    """Decide each arrival: unchanged (text seen before for its key), new or changed.
+
+    ``short`` marks texts of fewer than ``least`` characters, which may be unreadable; they are archived.
 
     ``incoming(keys, id, captured_at, text)`` with canonical text; ``archive(keys, id, captured_at,
     text_sha256)``. Arrivals of one key in a batch count in order of capture. The previous version
     comes from an ordered pass that spreads a busy key over many tasks.
     """
     rows = incoming.withColumn("text_sha256", text_hash("text"))
-    readable = rows.filter(F.length("text") >= least)
     known = archive.select(*keys, "text_sha256").distinct()
-    fresh = readable.join(known, [*keys, "text_sha256"], "left_anti")
+    fresh = rows.join(known, [*keys, "text_sha256"], "left_anti")
     first = (fresh.groupBy(*keys, "text_sha256").agg(F.min(F.struct("captured_at", "id")).alias("_f"))
              .select(*keys, F.col("_f.id").alias("id"), F.col("_f.captured_at").alias("captured_at"),
                      F.lit(True).alias("_admitted")))
@@ -55,40 +52,29 @@ def admit_versions(incoming: DataFrame, archive: DataFrame, keys: list[str], lea
     chained = previous_row(line, keys, [F.asc("captured_at"), F.asc("id")], {"prev_version_id": "id"})
     admitted = chained.filter("_admitted").select("id", "_admitted", "prev_version_id")
     out = rows.join(admitted, "id", "left")
-    status = (F.when(F.length("text") < least, "unreadable").when(F.col("_admitted").isNull(), "unchanged")
+    status = (F.when(F.col("_admitted").isNull(), "unchanged")
               .when(F.col("prev_version_id").isNull(), "new").otherwise("changed"))
-    return out.withColumn("status", status).drop("_admitted")
-
-
-DIFF_TYPE = T.StructType([T.StructField("diff", T.StringType()), T.StructField("lines_added", T.IntegerType()),
-                          T.StructField("lines_removed", T.IntegerType())])
-
-
-@F.pandas_udf(DIFF_TYPE)
-def line_diff(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    """Unified difference of two texts with one line of context, and how many lines came and went."""
-    import difflib
-    for old, new in batches:
-        out = []
-        for a, b in zip(old, new):
-            if b is None or a is None:
-                out.append((None, None, None))
-                continue
-            lines = list(difflib.unified_diff(a.splitlines(), b.splitlines(), "previous", "this version", n=1, lineterm=""))
-            plus = sum(x.startswith("+") and not x.startswith("+++") for x in lines)
-            minus = sum(x.startswith("-") and not x.startswith("---") for x in lines)
-            if len(lines) > DIFF_LINES:
-                lines = lines[:DIFF_LINES] + [
-                    f"... diff truncated ({plus} lines added, {minus} removed in all)"]
-            out.append(("\n".join(lines), plus, minus))
-        yield pd.DataFrame(out, columns=["diff", "lines_added", "lines_removed"])
-
-
-def rediff(versions: DataFrame) -> DataFrame:
-    """Recompute the difference of every version that has a predecessor."""
-    old = versions.select(F.col("id").alias("_pid"), F.col("text").alias("_old"))
-    pairs = versions.select("id", "prev_version_id", "text").join(old, F.col("prev_version_id") == F.col("_pid"))
-    return pairs.withColumn("_d", line_diff("_old", "text")).select("id", "prev_version_id", "_d.*")
+    return out.withColumns({"status": status, "short": F.length("text") < least}).drop("_admitted")
+
+
+def line_changes(versions: DataFrame) -> DataFrame:
+    """Lines added, removed and kept between each version and the one before it.
+
+    Lines are counted as a multiset, so a line that moves is kept. ``versions(id, prev_version_id, text)``;
+    only ids travel to find the pairs, and a version's lines are folded to counts before they meet.
+    """
+    lines = versions.select("id", F.explode(F.split("text", LINE_BREAKS)).alias("line")).groupBy("id", "line").agg(F.count(F.lit(1)).alias("n"))
+    pairs = versions.filter("prev_version_id IS NOT NULL").select("id", "prev_version_id")
+    new = lines.join(pairs.select("id"), "id").select("id", "line", F.col("n").alias("new"), F.lit(0).cast("bigint").alias("old"))
+    old = (lines.withColumnRenamed("id", "prev_version_id").join(pairs, "prev_version_id")
+           .select("id", "line", F.lit(0).cast("bigint").alias("new"), F.col("n").alias("old")))
+    both = new.unionByName(old).groupBy("id", "line").agg(F.sum("new").alias("new"), F.sum("old").alias("old"))
+    counts = both.groupBy("id").agg(
+        F.sum(F.greatest(F.col("new") - F.col("old"), F.lit(0))).alias("lines_added"),
+        F.sum(F.greatest(F.col("old") - F.col("new"), F.lit(0))).alias("lines_removed"),
+        F.sum(F.least("new", "old")).alias("lines_kept"))
+    zero = {"lines_added": 0, "lines_removed": 0, "lines_kept": 0}
+    return pairs.join(counts, "id", "left").fillna(zero)
 
 
 # ---- listing page -------------------------------------------------------------------------------

@@ -136,7 +136,7 @@ def list_health(contacts: DataFrame) -> DataFrame:
     return rows.select("status", "n", F.coalesce(share, F.lit(0)).alias("pct"))
 
 
-def contact_list(contacts: DataFrame, status=None, tag=None, q=None, limit: int = 200, offset: int = 0) -> DataFrame:
+def contact_list(contacts: DataFrame, status=None, tag=None, q=None, limit: int | None = None, offset: int = 0) -> DataFrame:
     rows = contacts
     if status:
         rows = rows.filter(F.col("status") == status)
@@ -145,7 +145,8 @@ def contact_list(contacts: DataFrame, status=None, tag=None, q=None, limit: int
     if q:
         has = lambda c: F.contains(F.lower(F.coalesce(c, F.lit(""))), F.lit(q.strip().lower()))
         rows = rows.filter(has("email") | has("name"))
-    return rows.orderBy(F.desc("created_at"), F.desc("id")).offset(max(0, offset)).limit(max(1, min(limit, 1000)))
+    rows = rows.orderBy(F.desc("created_at"), F.desc("id")).offset(max(0, offset))
+    return rows if limit is None else rows.limit(limit)
 
 
 def tags_in_use(contacts: DataFrame) -> DataFrame:
@@ -166,7 +167,7 @@ def feedback_events(messages: DataFrame) -> DataFrame:
     rows = messages.filter("Type = 'Notification'").withColumn("b", F.from_json("Message", MESSAGE))
     what = F.coalesce("b.notificationType", "b.eventType")
     one = lambda kind, email, detail, reason: F.struct(
-        F.lit(kind).alias("type"), email.alias("address"), F.substring(detail, 1, 300).alias("detail"), reason.alias("reason"))
+        F.lit(kind).alias("type"), email.alias("address"), detail.alias("detail"), reason.alias("reason"))
     no = F.lit(None).cast("string")
     said = lambda c: F.coalesce(c, F.lit("None"))
     hard = F.when(F.col("b.bounce.bounceType") == "Permanent", "bounced")
@@ -202,7 +203,7 @@ def send_rollup(recipients: DataFrame) -> DataFrame:
                                               n("failed").alias("failed"), n("skipped").alias("skipped"))
 
 
-def issue_list(issues: DataFrame, n: int = 30) -> DataFrame:
+def issue_list(issues: DataFrame, n: int) -> DataFrame:
     return issues.orderBy(F.desc("id")).limit(n).select(
         "id", F.coalesce("issue_no", "id").alias("issue_no"), "subject", "status", eastern_minute("created_at").alias("created_at"),
         F.size(F.coalesce("post_ids", F.expr("array()").cast("array<bigint>"))).alias("posts"))
@@ -218,7 +219,7 @@ def events_by_type(events: DataFrame) -> DataFrame:
     return events.groupBy("type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "type")
 
 
-def latest_events(events: DataFrame, n: int = 25) -> DataFrame:
+def latest_events(events: DataFrame, n: int) -> DataFrame:
     return events.orderBy(F.desc("id")).limit(n).select("id", eastern_minute("created_at").alias("at"), "email", "type", "detail")
 
 

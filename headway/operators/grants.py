@@ -15,7 +15,6 @@ KEY = ["project_name", "sponsor"]
 PHASES = ("PD", "Eng", "Const", "FFGA", "CGA")
 PHASE_ORDER = {"PD": 1, "Eng": 2, "FFGA": 3, "CGA": 3, "Const": 4}
 STATE_PAIR = "^[A-Z]{2}(-[A-Z]{2})?$"
-MIN_ROWS = 20
 # fixed values: compared field -> (label, place in the report)
 CHANGE_FIELDS = {
     "phase": ("phase", 2), "rating": ("rating", 3), "cost_musd": ("cost", 6),
@@ -63,12 +62,12 @@ def dedupe_first(df: DataFrame, keys: list[str], line: str) -> DataFrame:
     return first.select(*[c if c in keys else F.col("_r")[c].alias(c) for c in df.columns])
 
 
-def guard_min_rows(df: DataFrame, least: int = MIN_ROWS) -> bool:
+def guard_min_rows(df: DataFrame, least: int) -> bool:
     """True when a load is large enough to be believed; reads no more than ``least`` rows."""
     return df.limit(least).count() >= least
 
 
-def load_outcomes(rows: DataFrame, snapshot: str = "snapshot_date", least: int = MIN_ROWS) -> DataFrame:
+def load_outcomes(rows: DataFrame, snapshot: str = "snapshot_date", *, least: int) -> DataFrame:
     """Per snapshot: how many projects came in and whether the load is accepted."""
     n = F.count(F.lit(1))
     return rows.groupBy(snapshot).agg(n.alias("projects")).withColumn(
@@ -296,7 +295,7 @@ def grant_stat(rows: DataFrame) -> DataFrame:
         .otherwise(F.format_string("$%.0fM", F.col("total_musd"))))
 
 
-def load_history(loads: DataFrame, at: str = "loaded_at", ident: str = "id", top: int = 200) -> DataFrame:
+def load_history(loads: DataFrame, at: str = "loaded_at", ident: str = "id", *, top: int) -> DataFrame:
     from headway.functions.columns import eastern_minute
     return loads.orderBy(F.desc(at), F.desc(ident)).limit(top).withColumn(at, eastern_minute(at))
 

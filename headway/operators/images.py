@@ -37,7 +37,7 @@ GENERIC = (r"\b(the|of|and|inc|authority|agency|district|department|transit|tran
            r"metropolitan|regional|county|city|public|system|services|service)\b")
 TRANSIT_TITLE = (r"(?i)transit|transport|railway|rail|metro|bus|authority|agency|commuter|"
                  r"subway|tramway|council|district")
-MATCH_AT, COVERED_AT, STOCK_POOL = 0.6, 0.9, 6
+MATCH_AT, COVERED_AT = 0.6, 0.9
 
 
 # ---- gate and review ----------------------------------------------------------------------------
@@ -104,16 +104,16 @@ def public_url(base: str) -> Column:
     return F.coalesce(F.nullif("url", F.lit("")), made)
 
 
-def approved_logo(assets: DataFrame) -> DataFrame:
-    """The approved logo per agency: newest review, then highest id."""
+def approved_logo(assets: DataFrame, base: str = "") -> DataFrame:
+    """The approved logo per agency: newest review, then highest id; with its public address."""
     order = F.struct(F.coalesce(F.unix_micros(F.col("reviewed_at").cast("timestamp")), F.lit(-(2 ** 62))), F.col("id"))
-    good = assets.filter("kind = 'logo' AND status = 'approved' AND agency IS NOT NULL")
+    good = assets.filter("kind = 'logo' AND status = 'approved' AND agency IS NOT NULL").withColumn("url", public_url(base))
     return (good.groupBy(F.lower("agency").alias("agency_key"))
             .agg(F.max_by(F.struct("id", "url", "license", "attribution", "source_url"), order).alias("l"))
             .select("agency_key", F.col("l.id").alias("id"), "l.url", "l.license", "l.attribution", "l.source_url"))
 
 
-def approved_stock(stories: DataFrame, assets: DataFrame, n: int = STOCK_POOL) -> DataFrame:
+def approved_stock(stories: DataFrame, assets: DataFrame, n: int, base: str = "") -> DataFrame:
     """Approved stock per story by number of shared topics, then highest id. ``stories(story_id, tags)``.
 
     Stories are folded to their distinct topic sets, of which a closed vocabulary allows few. For each
@@ -122,7 +122,7 @@ def approved_stock(stories: DataFrame, assets: DataFrame, n: int = STOCK_POOL) -
     """
     sets = stories.select(F.sort_array(F.array_distinct("tags")).alias("tags")).filter("size(tags) > 0").distinct()
     stock = assets.filter("kind = 'stock' AND status = 'approved'").select(
-        "id", F.sort_array(F.array_distinct("topic_tags")).alias("topic_tags"), "url")
+        "id", F.sort_array(F.array_distinct("topic_tags")).alias("topic_tags"), public_url(base).alias("url"))
     # assets with the same topics are interchangeable but for their id: the newest n of each set matter
     line = Window.partitionBy("topic_tags").orderBy(F.desc("id"))
     heads = stock.withColumn("_n", F.row_number().over(line)).filter(F.col("_n") <= n).drop("_n")
@@ -178,21 +178,25 @@ def pick_image(stories: DataFrame, assets: DataFrame) -> DataFrame:
 
 
 def fill_images(posts: DataFrame, assets: DataFrame) -> DataFrame:
-    """Posts without a picture, and not deliberately bare, take the cascade's picture."""
+    """Posts without a picture, and not deliberately bare, take the cascade's picture and its credit."""
     picked = pick_image(posts.withColumnRenamed("id", "story_id"), assets).select(
-        F.col("story_id").alias("id"), "choice", F.col("url").alias("_url"))
-    rows = posts.join(picked, "id", "left")
+        F.col("story_id").alias("id"), "choice", F.col("url").alias("_url"), F.col("image_id").alias("image_library_id"))
+    credit = attach_credit(picked, assets).withColumnRenamed("image_library_id", "_pic")
+    rows = posts.drop(*CREDIT).join(credit, "id", "left")
     fill = F.col("choice").isin("logo", "stock") & ~is_blank("_url") & ~F.col("image_source").eqNullSafe(F.lit("none"))
+    credits = {c: F.when(fill, F.col(c)) for c in CREDIT}
+    if "image_library_id" in posts.columns:
+        credits["image_library_id"] = F.when(fill, F.col("_pic")).otherwise(F.col("image_library_id"))
     return rows.withColumns({"image_url": F.when(fill, F.col("_url")).otherwise(F.col("image_url")),
-                             "image_source": F.when(fill, F.concat(F.lit("library-"), "choice")).otherwise(F.col("image_source"))}
-                            ).drop("choice", "_url")
+                             "image_source": F.when(fill, F.concat(F.lit("library-"), "choice")).otherwise(F.col("image_source"))} | credits
+                            ).drop("choice", "_url", "_pic")
 
 
 def image_shortlist(stories: DataFrame, assets: DataFrame, n: int = 5) -> DataFrame:
     """Ranked pictures per story: logos in agency order, then stock; each picture once."""
     logos = _logo_hits(stories, assets).select("story_id", F.lit(0).alias("tier"), F.col("pos").alias("at"), "id", "url",
                                                F.lit("logo").alias("kind"))
-    stock = approved_stock(stories, assets, max(3 * n, 12)).select(
+    stock = approved_stock(stories, assets.filter(public_url("").isNotNull()), n).select(
         "story_id", F.lit(1).alias("tier"), F.col("rank").alias("at"), "id", "url", F.lit("stock").alias("kind"))
     both = logos.unionByName(stock).filter("coalesce(url, '') <> ''")
     once = both.groupBy("story_id", "id").agg(F.min(F.struct("tier", "at", "kind", "url")).alias("b"))
@@ -201,6 +205,9 @@ def image_shortlist(stories: DataFrame, assets: DataFrame, n: int = 5) -> DataFr
             .select("story_id", "place", F.col("id").alias("asset_id"), "b.kind", "b.url"))
 
 
+CREDIT = ("image_license", "image_attribution", "image_source_url", "image_kind")
+
+
 def attach_credit(posts: DataFrame, assets: DataFrame) -> DataFrame:
     """Licence and credit of the library picture a post carries."""
     dim = assets.select(F.col("id").alias("image_library_id"), F.col("license").alias("image_license"),
@@ -234,7 +241,7 @@ def library_stats(assets: DataFrame) -> DataFrame:
 
 
 def library_listing(assets: DataFrame, kind: str = "logo", status: str | None = None, q: str | None = None,
-                    limit: int = 200) -> DataFrame:
+                    limit: int | None = None) -> DataFrame:
     rows = assets.filter(F.col("kind") == kind)
     if status and status != "all":
         rows = rows.filter(F.col("status") == status)
@@ -243,10 +250,11 @@ def library_listing(assets: DataFrame, kind: str = "logo", status: str | None =
         rows = rows.filter(any_of(F.contains(F.lower(h), F.lit(q.lower())) for h in hay))
     first = F.trim(F.split(F.coalesce("notes", F.lit("")), r" \| ")[0])
     rows = rows.withColumn("license_class", F.when(first.isin(*LICENCE_CLASSES), first))
-    return rows.orderBy("status", F.lower(F.coalesce("agency", F.lit(""))), "id").limit(max(1, min(limit, 500)))
+    rows = rows.orderBy("status", F.lower(F.coalesce("agency", F.lit(""))), "id")
+    return rows if limit is None else rows.limit(limit)
 
 
-def browse_assets(assets: DataFrame, base: str, q: str | None = None, kind: str | None = None, n: int = 60) -> DataFrame:
+def browse_assets(assets: DataFrame, base: str, q: str | None = None, kind: str | None = None, *, n: int) -> DataFrame:
     rows = assets.filter("status = 'approved'")
     if kind in KINDS:
         rows = rows.filter(F.col("kind") == kind)

@@ -342,11 +342,11 @@ def spec_frame(spark, specs=None) -> DataFrame:
     return spark.createDataFrame(rows, "ranking string, mode string, metric string, direction string, floor double")
 
 
-def rankings(service: DataFrame, specs: DataFrame, top: int = 40, least: int = 5) -> DataFrame:
-    """All curated rankings in one pass: the spec table (a fixed handful of rows) is broadcast, each
-    row meets the specs of its mode, and the top rows are cut per spec before the shuffle."""
+def rankings(service: DataFrame, specs: DataFrame, top: int, least: int) -> DataFrame:
+    """All curated rankings in one pass: each row meets the specs of its mode, and the ``top`` rows are cut
+    per spec before the shuffle; rankings of fewer than ``least`` rows are left out."""
     metric = F.expr("CASE metric " + " ".join(f"WHEN '{m}' THEN {m}" for m in METRICS) + " END")
-    rows = _operating(service).join(F.broadcast(specs), "mode").withColumn("metric_value", metric)
+    rows = _operating(service).join(specs, "mode").withColumn("metric_value", metric)
     rows = rows.filter((F.col("upt") >= F.col("floor")) & F.col("metric_value").isNotNull())
     sign = F.when(F.col("direction") == "asc", F.col("metric_value")).otherwise(-F.col("metric_value"))
     line = Window.partitionBy("ranking").orderBy(sign, "ntd_id")

@@ -8,12 +8,8 @@ from pyspark.sql import functions as F
 from headway.functions.columns import absolute_url, web_address
 
 READABLE_CHARS = 600
-TEXT_CHARS = 6000
-HEAD_BYTES = 400_000
-MOST_CANDIDATES = 14
-MOST_TAGS = 200
 LEAST_PIXELS = 200
-# fixed values
+# fixed values: markup of page furniture and article bodies, entities
 FURNITURE = r"(?is)<(script|style|noscript|svg|form|nav|header|footer|aside)\b.*?</\1>"
 MAIN_BODY = r"(?is)<(article|main)\b[^>]*>(.*?)</\1>"
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"),
@@ -24,11 +20,12 @@ META_IMAGE = (
     ("og:image", r"""(?i)<meta[^>]+content=["']([^"']+)["'][^>]+property=["']og:image(?::url)?["']"""),
     ("twitter:image", r"""(?i)<meta[^>]+name=["']twitter:image(?::src)?["'][^>]+content=["']([^"']+)["']"""),
 )
+# fixed values: words in addresses of pictures that illustrate nothing
 JUNK = (r"(?i)(sprite|icon|favicon|logo|avatar|placeholder|spacer|pixel|tracking|1x1|blank|"
         r"advert|doubleclick|googletag|gravatar|badge|button|share|social)")
 
 
-def page_text(html: Column | str, limit: int | None = TEXT_CHARS) -> Column:
+def page_text(html: Column | str) -> Column:
     """Readable text: the article body when marked up, else the page without its furniture."""
     html = F.col(html) if isinstance(html, str) else html
     body = F.when(html.rlike(MAIN_BODY), F.regexp_extract(html, MAIN_BODY, 2)).otherwise(html)
@@ -40,8 +37,7 @@ def page_text(html: Column | str, limit: int | None = TEXT_CHARS) -> Column:
     text = F.regexp_replace(text, r"[ \t\r\f\x0B]+", " ")
     text = F.array_join(F.transform(F.split(text, "\n"), lambda s: F.trim(s)), "\n")
     text = F.regexp_replace(F.regexp_replace(text, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
-    text = F.coalesce(text, F.lit(""))
-    return F.substring(text, 1, limit) if limit else text
+    return F.coalesce(text, F.lit(""))
 
 
 def readable(text: Column | str) -> Column:
@@ -49,12 +45,10 @@ def readable(text: Column | str) -> Column:
 
 
 def social_image(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """The page's own social image as a full address, from the head of the document."""
-    head = F.decode(F.substring(F.encode(F.col(html), "UTF-8"), 1, HEAD_BYTES), "UTF-8")
-    links = F.array(*[F.nullif(F.regexp_extract(F.col("_head"), p, 1), F.lit("")) for _, p in META_IMAGE])
-    full = F.transform("_links", lambda link: web_address(absolute_url(F.col(url), link), 500))
-    return (pages.withColumn("_head", head).withColumn("_links", links)
-            .withColumn("image_url", F.get(F.array_compact(full), F.lit(0))).drop("_head", "_links"))
+    """The page's own social image as a full address."""
+    links = F.array(*[F.nullif(F.regexp_extract(F.col(html), p, 1), F.lit("")) for _, p in META_IMAGE])
+    full = F.transform("_links", lambda link: web_address(absolute_url(F.col(url), link)))
+    return pages.withColumn("_links", links).withColumn("image_url", F.get(F.array_compact(full), F.lit(0))).drop("_links")
 
 
 def _attr(tag: Column, name: str) -> Column:
@@ -75,13 +69,13 @@ def _widest(srcset: Column) -> Column:
 
 
 def image_candidates(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id",
-                     top: int = MOST_CANDIDATES) -> DataFrame:
-    """Pictures a page offers, best first: its social images, then those in the text; repeats, icons
-    and small ones dropped. All of a page's pictures are weighed inside its row."""
+                     top: int | None = None) -> DataFrame:
+    """Pictures a page offers, best first (the first ``top``, or all): its social images, then those in the
+    text; repeats, icons and small ones dropped. All of a page's pictures are weighed inside its row."""
     empty = F.lit("")
     meta = [F.struct(F.lit(kind).alias("kind"), F.regexp_extract(F.col(html), p, 1).alias("src"), empty.alias("alt"),
                      empty.alias("w"), empty.alias("h")) for kind, p in META_IMAGE]
-    tags = F.slice(F.regexp_extract_all(F.col(html), F.lit(r"(?i)(<img\b[^>]*>)"), F.lit(1)), 1, MOST_TAGS)
+    tags = F.regexp_extract_all(F.col(html), F.lit(r"(?i)(<img\b[^>]*>)"), F.lit(1))
     inline = F.transform(tags, lambda tag: F.struct(
         F.lit("article").alias("kind"),
         F.coalesce(_widest(_either(_attr(tag, "srcset"), _attr(tag, "data-srcset"))),
@@ -90,14 +84,15 @@ def image_candidates(pages: DataFrame, html: str = "html", url: str = "url", pag
     rows = pages.select(page_id, F.col(url).alias("_base"), F.posexplode(F.concat(F.array(*meta), inline)).alias("_pos", "c"))
     size = lambda c: F.when(c.rlike("^[0-9]+$"), c.try_cast("int"))
     rows = rows.filter("c.src <> ''").select(
-        page_id, "_pos", "c.kind", web_address(absolute_url(F.col("_base"), F.col("c.src")), 600).alias("url"),
+        page_id, "_pos", "c.kind", web_address(absolute_url(F.col("_base"), F.col("c.src"))).alias("url"),
         F.nullif(size(F.col("c.w")), F.lit(0)).alias("width"), F.nullif(size(F.col("c.h")), F.lit(0)).alias("height"),
-        F.substring("c.alt", 1, 200).alias("alt"))
+        "c.alt")
     small = F.coalesce(F.least("width", "height") < LEAST_PIXELS, F.lit(False))
     kept = rows.filter(F.col("url").isNotNull() & ~small & ~((F.col("kind") == "article") & F.col("url").rlike(JUNK)))
     once = kept.groupBy(page_id, "url").agg(F.min_by(F.struct("_pos", "kind", "alt", "width", "height"), "_pos").alias("c"))
-    place = F.row_number().over(Window.partitionBy(page_id).orderBy("c._pos"))  # at most ~200 per page
-    return (once.withColumn("place", place).filter(F.col("place") <= top)
+    place = F.row_number().over(Window.partitionBy(page_id).orderBy("c._pos"))  # the pictures of one page
+    ranked = once.withColumn("place", place)
+    return ((ranked if top is None else ranked.filter(F.col("place") <= top))
             .select(page_id, "place", "url", "c.kind", "c.alt", "c.width", "c.height"))
 
 

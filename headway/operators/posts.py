@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from headway.functions.columns import array_of, blank_to_null, host_of, is_blank, post_slug
+from headway.functions.columns import STEM, array_of, blank_to_null, host_of, is_blank, post_slug
 from headway.functions.ordered import running_total
 
 SOURCE_MARK = "\n\nSource:"
@@ -46,16 +46,16 @@ def upsert_posts(stored: DataFrame, new: DataFrame) -> DataFrame:
     return both.select(*cols)
 
 
-def fill_slugs(posts: DataFrame) -> DataFrame:
-    """Missing slugs from title and id; cut to 60 without trimming dashes."""
-    stem = F.substring(F.regexp_replace(F.lower(F.coalesce("title", F.lit("post"))), "[^a-z0-9]+", "-"), 1, 60)
+def fill_slugs(posts: DataFrame, stem_chars: int = STEM) -> DataFrame:
+    """Missing slugs from title and id; the stem is cut without trimming dashes."""
+    stem = F.substring(F.regexp_replace(F.lower(F.coalesce("title", F.lit("post"))), "[^a-z0-9]+", "-"), 1, stem_chars)
     made = F.concat(stem, F.lit("-"), F.col("id").cast("string"))
     return posts.withColumn("slug", F.when(is_blank("slug"), made).otherwise(F.col("slug")))
 
 
 # ---- publish queue ------------------------------------------------------------------------------
 
-def ready_list(items: DataFrame, rows: int = 200) -> DataFrame:
+def ready_list(items: DataFrame, rows: int) -> DataFrame:
     return (items.filter("status = 'approved'")
             .orderBy(F.desc_nulls_last("score"), F.desc("collected_at"), F.desc("id")).limit(rows))
 
@@ -83,12 +83,12 @@ def queue_view_counts(items: DataFrame) -> DataFrame:
                     F.count("publish_at").alias("scheduled_count"))
 
 
-def publish_batch(requested: DataFrame, items: DataFrame, most: int = 200) -> DataFrame:
-    """Outcome per requested id: repeats dropped in order, the first ``most`` tried.
+def publish_batch(requested: DataFrame, items: DataFrame) -> DataFrame:
+    """Outcome per requested id, at the position of its first request.
 
     ``requested(position, id)``.
     """
-    once = requested.groupBy("id").agg(F.min("position").alias("position")).orderBy("position").limit(most)
+    once = requested.groupBy("id").agg(F.min("position").alias("position"))
     ok = items.filter("status = 'approved'").select("id", F.lit(True).alias("_ok"))
     return once.join(ok, "id", "left").select(
         "position", "id", F.when(F.col("_ok"), "published").otherwise("skipped").alias("outcome"))
@@ -213,13 +213,11 @@ def _site_order() -> list[Column]:
     return [F.desc("featured"), F.desc_nulls_last("publish_at"), F.desc("id")]
 
 
-def post_page(posts: DataFrame, now: datetime, limit: int = 200, offset: int = 0, **facets) -> DataFrame:
-    limit, offset = max(1, min(limit, 500)), max(0, offset)
+def post_page(posts: DataFrame, now: datetime, limit: int, offset: int = 0, **facets) -> DataFrame:
     return published_posts(posts, now, **facets).orderBy(*_site_order()).offset(offset).limit(limit)
 
 
-def post_total(posts: DataFrame, now: datetime, limit: int = 200, offset: int = 0, **facets) -> DataFrame:
-    limit, offset = max(1, min(limit, 500)), max(0, offset)
+def post_total(posts: DataFrame, now: datetime, limit: int, offset: int = 0, **facets) -> DataFrame:
     total = published_posts(posts, now, **facets).agg(F.count(F.lit(1)).alias("total"))
     return total.select("total", (F.lit(offset) + F.least(F.lit(limit), F.greatest(F.col("total") - offset, F.lit(0)))
                                   < F.col("total")).alias("has_more"))

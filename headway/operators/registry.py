@@ -31,7 +31,7 @@ def health_fold(fetches: DataFrame) -> DataFrame:
               .filter(F.col("last_ok_at").isNull() | (F.col("at") > F.col("last_ok_at")))
               .groupBy("source_id").agg(F.sum("_n").alias("fail_streak")))
     out = base.join(streak, "source_id", "left").withColumn("fail_streak", F.coalesce("fail_streak", F.lit(0)))
-    return (out.withColumn("last_error", F.when(F.col("fail_streak") > 0, F.substring("_error", 1, 300)))
+    return (out.withColumn("last_error", F.when(F.col("fail_streak") > 0, F.col("_error")))
             .drop("_error"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from headway.functions.columns import array_of, any_of, first_words
+from headway.functions.columns import array_of, any_of
 
 # fixed values
 ACTIONS = ("publish", "hold", "skip")
@@ -13,7 +13,7 @@ FLAGS = ("likely_duplicate", "lead_candidate")
 PILLARS = ("Funding", "Procurement", "People", "Policy")
 AGGREGATORS = ("news.google.com", "google.com/url", "flipboard.com", "news.yahoo.com/rss")
 DUPLICATE, LEAD = FLAGS
-SHORTLIST, MOST_RAISE, SET_SIZE, PILLAR_CAP = 40, 15, 6, 2
+MOST_RAISE, SET_SIZE, PILLAR_CAP = 15, 6, 2
 
 
 def data_tie(items: DataFrame, agency_names: DataFrame, sponsors: DataFrame) -> DataFrame:
@@ -35,22 +35,25 @@ REPLY = "array<struct<id:string,score:string,action:string,reason:string,flags:a
 
 
 def parse_scores(replies: DataFrame) -> DataFrame:
-    """Scored replies to rows, keeping only ids that were asked about.
+    """Scored replies to rows, keeping only ids that were asked about; of an id answered twice in a batch
+    the last answer counts.
 
     Replies are JSON lists, possibly fenced or wrapped in prose; a broken one gives no rows. Fields are
     read as text and typed leniently. ``replies(batch_id, asked_ids, reply)``.
     """
     bracketed = F.regexp_extract("reply", r"(?s)(\[.*\])", 1)
-    rows = replies.select("batch_id", "asked_ids", F.inline(F.from_json(bracketed, REPLY)))
+    rows = replies.select("batch_id", "asked_ids", F.posexplode(F.from_json(bracketed, REPLY)).alias("pos", "r")).select(
+        "batch_id", "asked_ids", "pos", "r.*")
     ident = F.col("id").try_cast("bigint")
     score = F.rint(F.coalesce(F.col("score").try_cast("double"), F.lit(0.0)))
     action = F.lower(F.trim(F.col("action")))
     flags = F.filter(F.coalesce("flags", array_of()), lambda f: f.isin(*FLAGS))
     out = rows.withColumn("id", ident).filter(F.array_contains("asked_ids", F.col("id"))).select(
-        "batch_id", "id", F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)).cast("int").alias("score"),
+        "batch_id", "id", "pos", F.least(F.greatest(score, F.lit(0.0)), F.lit(100.0)).cast("int").alias("score"),
         F.when(action.isin(*ACTIONS), action).otherwise("hold").alias("action"),
-        F.substring(F.trim(F.coalesce("reason", F.lit(""))), 1, 200).alias("reason"), flags.alias("flags"))
-    return out
+        F.trim(F.coalesce("reason", F.lit(""))).alias("reason"), flags.alias("flags"))
+    last = out.groupBy("batch_id", "id").agg(F.max_by(F.struct("score", "action", "reason", "flags"), "pos").alias("r"))
+    return last.select("batch_id", "id", "r.*")
 
 
 def merge_scores(items: DataFrame, scores: DataFrame, groups: DataFrame, seen: DataFrame) -> DataFrame:
@@ -69,7 +72,7 @@ def aggregator(url: Column | str) -> Column:
     return any_of(F.contains(F.col(url) if isinstance(url, str) else url, F.lit(a)) for a in AGGREGATORS)
 
 
-def shortlist(items: DataFrame, n: int = SHORTLIST) -> DataFrame:
+def shortlist(items: DataFrame, n: int) -> DataFrame:
     """Best scored items that can be read in full."""
     open_ = (F.col("score").isNotNull() & (F.coalesce("action", F.lit("")) != "skip")
              & (F.coalesce("source_url", F.lit("")) != "") & ~aggregator("source_url"))
@@ -140,17 +143,17 @@ def run_cost(usage: DataFrame, prices: DataFrame, default: str) -> DataFrame:
     """Money per run from token counts and a price table of a few rows (per million tokens)."""
     p = prices.select(F.col("model").alias("_m"), "price_in", "price_out")
     base = prices.filter(F.col("model") == default).agg(F.max("price_in").alias("_in"), F.max("price_out").alias("_out"))
-    rows = usage.join(F.broadcast(p), F.col("model") == F.col("_m"), "left").crossJoin(F.broadcast(base))
+    rows = usage.join(p, F.col("model") == F.col("_m"), "left").crossJoin(F.broadcast(base))
     cost = (F.col("input_tokens") / 1e6 * F.coalesce("price_in", "_in")
             + F.col("output_tokens") / 1e6 * F.coalesce("price_out", "_out"))
     return rows.select(*usage.columns, (F.rint(cost * 10_000) / 10_000).alias("cost"))
 
 
-def embed_text(headline: Column | str, summary: Column | str, longest: int = 1000) -> Column:
-    """Text to embed: the headline, then the first sixty words of the summary."""
+def embed_text(headline: Column | str, summary: Column | str) -> Column:
+    """Text to embed: the headline, then the words of the summary."""
     head = F.nullif(F.trim(F.coalesce(headline, F.lit(""))), F.lit(""))
-    tail = F.nullif(first_words(F.coalesce(summary, F.lit("")), 60), F.lit(""))
-    return F.substring(F.concat_ws(". ", head, tail), 1, longest)
+    tail = F.nullif(F.trim(F.regexp_replace(F.coalesce(summary, F.lit("")), r"\s+", " ")), F.lit(""))
+    return F.concat_ws(". ", head, tail)
 
 
 def embed_backlog(items: DataFrame, width: int, vector: str = "embedding") -> DataFrame:

@@ -37,23 +37,22 @@ THEMES = {
 
 
 def clean_events(events: DataFrame) -> DataFrame:
-    """Known types only (an unknown one is remembered in meta), texts cut, empty meta entries dropped.
+    """Known types only (an unknown one is remembered in meta), blank texts to NULL, empty meta entries dropped.
 
     ``events(event_type, session_id, query_text, result_shape, meta)`` with meta as map<string,string>.
     """
     known = F.coalesce(F.col("event_type").isin(*EVENT_TYPES), F.lit(False))
-    cut = lambda c, n: F.substring(F.nullif(c, F.lit("")), 1, n)
+    filled = lambda c: F.nullif(c, F.lit(""))
     meta = F.coalesce("meta", F.expr("map()").cast("map<string,string>"))
     noted = F.when(known, meta).otherwise(F.map_concat(
         F.map_filter(meta, lambda k, v: k != "unknown_event"), F.create_map(F.lit("unknown_event"), F.col("event_type"))))
     return events.withColumns({
         "meta": F.map_filter(noted, lambda k, v: v.isNotNull()), "event_type": F.when(known, F.col("event_type")).otherwise(FALLBACK_TYPE),
-        "session_id": cut("session_id", 64), "query_text": cut("query_text", 1000), "result_shape": cut("result_shape", 32)})
+        "session_id": filled("session_id"), "query_text": filled("query_text"), "result_shape": filled("result_shape")})
 
 
 def recent(events: DataFrame, days: int, now: datetime, at: str = "created_at") -> DataFrame:
-    """Events of the last ``days`` (1 to 365) days."""
-    days = max(1, min(days, 365))
+    """Events of the last ``days`` days."""
     return events.filter(F.col(at) > F.lit(now) - F.make_dt_interval(F.lit(days)))
 
 
@@ -76,7 +75,7 @@ def by_surface(events: DataFrame, meta: str = "meta") -> DataFrame:
     return events.groupBy(surface).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "surface")
 
 
-def recent_queries(events: DataFrame, n: int = 40) -> DataFrame:
+def recent_queries(events: DataFrame, n: int) -> DataFrame:
     return (events.filter("query_text IS NOT NULL").orderBy(F.desc("created_at"), F.desc("id")).limit(n)
             .select("id", "event_type", "query_text", "result_shape", "created_at"))
 
@@ -105,15 +104,14 @@ def limits_frame(spark) -> DataFrame:
 def allowance_report(events: DataFrame, contacts: DataFrame, limits: DataFrame, now: datetime) -> DataFrame:
     """Use of each metered feature per contact in the current period against the plan's allowance.
 
-    An unknown plan counts as free and a NULL allowance is unlimited; the limit table has a fixed
-    handful of rows and is broadcast.
+    An unknown plan counts as free and a NULL allowance is unlimited.
     """
     plan = F.lower(F.coalesce(blank_to_null("plan"), F.lit("free")))
     who = contacts.select(F.col("id").alias("contact_id"), F.when(plan.isin(*PLANS), plan).otherwise("free").alias("plan"))
     used = (recent(events, PERIOD_DAYS, now).groupBy("contact_id", F.col("event_type").alias("feature"))
             .agg(F.count(F.lit(1)).alias("used")))
     rows = used.join(who, "contact_id", "left").withColumn("plan", F.coalesce("plan", F.lit("free")))
-    rows = rows.join(F.broadcast(limits), ["plan", "feature"])
+    rows = rows.join(limits, ["plan", "feature"])
     return rows.withColumn("over", F.coalesce(F.col("used") >= F.col("allowance"), F.lit(False)))
 
 

@@ -32,10 +32,10 @@ def content_hashes(t):
 
 
 common("arrivals", """
-  SELECT *, sha256(text) AS h, length(text) >= 200 AS readable FROM canon WHERE id % 100 <> 0""", "canon")
+  SELECT *, sha256(text) AS h, length(text) < 200 AS short FROM canon WHERE id % 100 <> 0""", "canon")
 common("stored", "SELECT *, sha256(text) AS h FROM canon WHERE id % 100 = 0", "canon")
 common("admitted", """
-  SELECT project_name, sponsor, h, min(captured_on) AS captured_on, min(id) AS id FROM arrivals a WHERE readable AND NOT EXISTS
+  SELECT project_name, sponsor, h, min(captured_on) AS captured_on, min(id) AS id FROM arrivals a WHERE NOT EXISTS
     (SELECT 1 FROM stored s WHERE s.project_name = a.project_name AND s.sponsor = a.sponsor AND s.h = a.h) GROUP BY 1, 2, 3""",
        "arrivals", "stored")
 common("chain", """
@@ -45,32 +45,53 @@ common("chain", """
 
 
 @query("admit_versions", """
-  SELECT a.id, CASE WHEN NOT readable THEN 'unreadable' WHEN d.id IS NULL THEN 'unchanged' WHEN c.prev IS NULL THEN 'new'
+  SELECT a.id, short, CASE WHEN d.id IS NULL THEN 'unchanged' WHEN c.prev IS NULL THEN 'new'
            ELSE 'changed' END AS status, CASE WHEN d.id IS NOT NULL THEN c.prev END AS prev_version_id
   FROM arrivals a LEFT JOIN admitted d ON d.id = a.id LEFT JOIN chain c ON c.id = a.id""", ("arrivals", "admitted", "chain"))
 def admit_versions(t):
     """First turns are the archive, later turns arrive in order."""
     rows = t.versions.withColumn("text", archive.canonical_text("text"))
     stored = rows.filter("id % 100 = 0").withColumn("text_sha256", archive.text_hash("text"))
-    out = archive.admit_versions(rows.filter("id % 100 <> 0"), stored, ["project_name", "sponsor"])
-    return out.select("id", "status", "prev_version_id")
+    out = archive.admit_versions(rows.filter("id % 100 <> 0"), stored, ["project_name", "sponsor"], least=200)
+    return out.select("id", "short", "status", "prev_version_id")
 
 
 def _chained(t):
-    return previous_row(t.versions, ["project_name", "sponsor"], [F.asc("captured_at"), F.asc("id")],
-                        {"prev_version_id": "id", "prev_text": "text"})
+    """Versions with the one before; only ids pass through the ordered chain."""
+    chain = previous_row(t.versions.select("id", "project_name", "sponsor", "captured_at"), ["project_name", "sponsor"],
+                         [F.asc("captured_at"), F.asc("id")], {"prev_version_id": "id"})
+    return t.versions.join(chain.select("id", "prev_version_id"), "id")
 
 
-@query("line_diff")
-def line_diff(t):
+common("version_pairs", "SELECT id, lag(id) OVER (PARTITION BY project_name, sponsor ORDER BY captured_on, id) AS prev_version_id FROM versions", "versions")
+common("version_lines", """
+  SELECT id, line, count(*) AS n FROM (SELECT id, unnest(string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e]')) AS line FROM versions) GROUP BY 1, 2""", "versions")
+
+
+@query("line_changes", """
+  SELECT p.id, p.prev_version_id, coalesce(sum(greatest(nw - od, 0)), 0)::BIGINT AS lines_added, coalesce(sum(greatest(od - nw, 0)), 0)::BIGINT AS lines_removed,
+    coalesce(sum(least(nw, od)), 0)::BIGINT AS lines_kept FROM version_pairs p LEFT JOIN (
+      SELECT id, line, sum(nw) AS nw, sum(od) AS od FROM (
+        SELECT id, line, n AS nw, 0 AS od FROM version_lines UNION ALL
+        SELECT q.id, line, 0, n FROM version_pairs q JOIN version_lines v ON v.id = q.prev_version_id) GROUP BY 1, 2) c ON c.id = p.id
+  WHERE p.prev_version_id IS NOT NULL GROUP BY 1, 2""", ("version_pairs", "version_lines"))
+def line_changes(t):
     """Each version against the one before it."""
-    rows = _chained(t).filter("prev_version_id IS NOT NULL")
-    return rows.withColumn("d", archive.line_diff("prev_text", "text")).select("id", "prev_version_id", "d.*")
+    return archive.line_changes(_chained(t))
 
 
-@query("rediff")
-def rediff(t):
-    return archive.rediff(_chained(t))
+@query("line_changes_by_project", """
+  SELECT project_name, count(*) AS versions, sum(lines_added)::BIGINT AS lines_added, sum(lines_removed)::BIGINT AS lines_removed FROM (
+    SELECT p.id, sum(greatest(nw - od, 0)) AS lines_added, sum(greatest(od - nw, 0)) AS lines_removed FROM version_pairs p JOIN (
+      SELECT id, line, sum(nw) AS nw, sum(od) AS od FROM (
+        SELECT id, line, n AS nw, 0 AS od FROM version_lines UNION ALL
+        SELECT q.id, line, 0, n FROM version_pairs q JOIN version_lines v ON v.id = q.prev_version_id) GROUP BY 1, 2) c ON c.id = p.id
+    WHERE p.prev_version_id IS NOT NULL GROUP BY 1) JOIN versions USING (id) GROUP BY 1""", ("version_pairs", "version_lines", "versions"))
+def line_changes_by_project(t):
+    """Recomputed changes of all versions, summed by project."""
+    rows = archive.line_changes(_chained(t)).join(t.versions.select("id", "project_name"), "id")
+    return rows.groupBy("project_name").agg(F.count(F.lit(1)).alias("versions"), F.sum("lines_added").alias("lines_added"),
+                                            F.sum("lines_removed").alias("lines_removed"))
 
 
 _named = ("CASE doc_id % 3 WHEN 0 THEN 'X-Profile-AR26-' || (doc_id % 12 + 1) || '-' || (doc_id % 28 + 1) || '-25.pdf' "
@@ -251,6 +272,14 @@ def run_log(t):
     return writers.run_log(results, "weekly", datetime(2026, 9, 22))[0]
 
 
+@query("run_notes", "SELECT CAST(event_id AS VARCHAR) || ': ' || coalesce(props, '') AS note FROM events WHERE event_type NOT IN ('view', 'click', 'purchase')")
+def run_notes(t):
+    status = F.expr("CASE event_type WHEN 'view' THEN 'new' WHEN 'click' THEN 'changed' WHEN 'purchase' THEN 'unchanged' "
+                    "WHEN 'error' THEN 'unreadable' ELSE 'unmatched' END")
+    results = t.events.select(F.col("event_id").cast("string").alias("file"), status.alias("status"), F.col("props").alias("message"))
+    return writers.run_log(results, "weekly", datetime(2026, 9, 22))[1]
+
+
 # ---- web pages ----------------------------------------------------------------------------------
 
 common("page_plain", r"""
@@ -266,8 +295,7 @@ common("page_plain", r"""
 
 @query("page_text", "SELECT page_id, text FROM page_plain", ("page_plain",))
 def page_text(t):
-    """Readable text of whole pages (the length cap is off)."""
-    return t.pages.select("page_id", pages.page_text("html", limit=None).alias("text"))
+    return t.pages.select("page_id", pages.page_text("html").alias("text"))
 
 
 @query("readable_pages", "SELECT page_id, length(text) >= 600 AS readable FROM page_plain", ("page_plain",))

@@ -171,7 +171,7 @@ def _issues(t):
 
 @query("issue_list", "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey % 100 ELSE o_orderkey END AS issue_no, 2 AS posts FROM orders ORDER BY 1 DESC LIMIT 30")
 def issue_list(t):
-    return contacts.issue_list(_issues(t)).select("id", "issue_no", "posts")
+    return contacts.issue_list(_issues(t), 30).select("id", "issue_no", "posts")
 
 
 @query("next_issue", "SELECT max(o_orderkey % 100) + 1 AS issue_no FROM orders WHERE o_orderkey % 3 <> 0")
@@ -192,7 +192,7 @@ def mail_events_by_type(t):
 @query("latest_mail_events", "SELECT event_id AS id, strftime(ts - INTERVAL 5 HOUR, '%Y-%m-%d %H:%M') AS at, type FROM feedback ORDER BY event_id DESC LIMIT 25", ("feedback",))
 def latest_mail_events(t):
     rows = contacts.feedback_events(t.feedback).withColumn("id", F.substring("notification_id", 2, 20).cast("bigint"))
-    return contacts.latest_events(rows).select("id", "at", "type")
+    return contacts.latest_events(rows, 25).select("id", "at", "type")
 
 
 @query("signup_outcomes", """

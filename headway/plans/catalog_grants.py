@@ -326,7 +326,7 @@ def grant_stat(t):
 def load_history(t):
     loads = t.events.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("loaded_at"),
                             F.col("event_type").alias("status"))
-    return grants.load_history(loads)
+    return grants.load_history(loads, top=200)
 
 
 @query("stale_snapshot", "SELECT max(snapshot_date) AS snapshot, (DATE '2001-09-01' - max(snapshot_date))::INTEGER AS age_days, "

@@ -18,14 +18,14 @@ common("assets", """
     CASE p_size % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'candidate' ELSE 'rejected' END AS status, ['free', 'non-free', 'odd'][p_partkey % 3 + 1] || ' | note' AS notes,
     CASE WHEN p_partkey % 5 <> 0 THEN TIMESTAMP '2024-01-01' + to_days(p_size) END AS reviewed_at FROM part""")
 common("logos", """
-  SELECT lower(agency) AS agency_key, id, url FROM (SELECT *, row_number() OVER (PARTITION BY lower(agency) ORDER BY reviewed_at DESC NULLS LAST, id DESC) AS r
+  SELECT lower(agency) AS agency_key, id, coalesce(url, '/api/images/file/' || id) AS url, license FROM (SELECT *, row_number() OVER (PARTITION BY lower(agency) ORDER BY reviewed_at DESC NULLS LAST, id DESC) AS r
     FROM assets WHERE kind = 'logo' AND status = 'approved') WHERE r = 1""", "assets")
 _words = "['red', 'blue', 'small', 'ring', 'bolt', 'widget']"
 common("stories", f"""
   SELECT id AS story_id, image_url, image_source, agencies, CASE WHEN id % 7 = 0 THEN []::VARCHAR[] ELSE [({_words})[id % 6 + 1], ({_words})[(id + 2) % 6 + 1]] END AS tags FROM posts""", "posts")
 common("stock", """
   SELECT story_id, id, url, overlap, row_number() OVER (PARTITION BY story_id ORDER BY overlap DESC, id DESC) AS rank FROM (
-    SELECT s.story_id, a.id, a.url, len(list_intersect(s.tags, a.topic_tags))::INTEGER AS overlap FROM stories s JOIN assets a ON list_has_any(s.tags, a.topic_tags)
+    SELECT s.story_id, a.id, coalesce(a.url, '/api/images/file/' || a.id) AS url, len(list_intersect(s.tags, a.topic_tags))::INTEGER AS overlap FROM stories s JOIN assets a ON list_has_any(s.tags, a.topic_tags)
     WHERE a.kind = 'stock' AND a.status = 'approved')""", "stories", "assets")
 common("logo_hits", """
   SELECT story_id, pos, id, url, agency FROM (SELECT story_id, unnest(agencies) AS agency, generate_subscripts(agencies, 1) AS pos FROM stories) JOIN logos ON agency_key = lower(agency)""", "stories", "logos")
@@ -77,7 +77,7 @@ def approved_logos(t):
 
 @query("approved_stock", "SELECT story_id, rank, id, overlap FROM stock WHERE rank <= 6", ("stock",))
 def approved_stock(t):
-    return images.approved_stock(t.stories, t.assets).select("story_id", "rank", "id", "overlap")
+    return images.approved_stock(t.stories, t.assets, 6).select("story_id", "rank", "id", "overlap")
 
 
 _topic_rules = ", ".join("CASE WHEN " + " OR ".join(f"contains(low, '{w}')" for w in ws) + f" THEN '{tag}' END" for tag, ws in images.TOPIC_WORDS.items())
@@ -102,19 +102,22 @@ def pick_image(t):
 
 
 @query("filled_images", """
-  SELECT s.story_id AS id, CASE WHEN image_url IS NOT NULL OR image_source = 'none' THEN image_source WHEN l.url IS NOT NULL THEN 'library-logo' WHEN l.story_id IS NULL AND k.url IS NOT NULL
-    THEN 'library-stock' ELSE image_source END AS image_source
-  FROM stories s LEFT JOIN (SELECT story_id, min_by(coalesce(url, ''), pos) AS u, nullif(u, '') AS url FROM logo_hits GROUP BY 1) l USING (story_id) LEFT JOIN (SELECT * FROM stock WHERE rank = 1) k USING (story_id)""",
-       ("stories", "logo_hits", "stock"))
+  SELECT f.id, f.image_source, f.image_url, a.license AS image_license, a.kind AS image_kind FROM (
+    SELECT s.story_id AS id, image_url IS NULL AND image_source IS DISTINCT FROM 'none' AS bare,
+      CASE WHEN bare AND l.id IS NOT NULL THEN 'library-logo' WHEN bare AND k.id IS NOT NULL THEN 'library-stock' ELSE image_source END AS image_source,
+      CASE WHEN bare THEN coalesce(l.url, k.url) ELSE image_url END AS image_url, CASE WHEN bare THEN coalesce(l.id, k.id) END AS pic
+    FROM stories s LEFT JOIN (SELECT story_id, min_by(id, pos) AS id, min_by(url, pos) AS url FROM logo_hits GROUP BY 1) l USING (story_id)
+    LEFT JOIN (SELECT * FROM stock WHERE rank = 1) k USING (story_id)) f LEFT JOIN assets a ON a.id = f.pic""",
+       ("stories", "logo_hits", "stock", "assets"))
 def filled_images(t):
     posts_ = t.stories.withColumnRenamed("story_id", "id")
-    return images.fill_images(posts_, t.assets).select("id", "image_source")
+    return images.fill_images(posts_, t.assets).select("id", "image_source", "image_url", "image_license", "image_kind")
 
 
 @query("image_shortlist", """
   SELECT story_id, place, id AS asset_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY story_id ORDER BY tier, at0, id) AS place FROM (
-    SELECT story_id, id, 'logo' AS kind, 0 AS tier, min(pos) AS at0 FROM logo_hits WHERE url IS NOT NULL GROUP BY 1, 2
-    UNION ALL SELECT story_id, id, 'stock', 1, rank FROM stock WHERE rank <= 15 AND url IS NOT NULL)) WHERE place <= 5""", ("logo_hits", "stock"))
+    SELECT story_id, id, 'logo' AS kind, 0 AS tier, min(pos) AS at0 FROM logo_hits GROUP BY 1, 2
+    UNION ALL SELECT story_id, id, 'stock', 1, rank FROM stock)) WHERE place <= 5""", ("logo_hits", "stock"))
 def image_shortlist(t):
     return images.image_shortlist(t.stories, t.assets).select("story_id", "place", "asset_id", "kind")
 
@@ -146,7 +149,7 @@ def library_stats(t):
 
 
 @query("library_listing", "SELECT id, CASE WHEN id % 3 = 0 THEN 'free' WHEN id % 3 = 1 THEN 'non-free' END AS license_class FROM assets WHERE kind = 'logo' AND status = 'approved' "
-       "AND (contains(lower(agency), 'brand#1') OR contains(lower(array_to_string(topic_tags, ' ')), 'brand#1')) ORDER BY lower(agency), id LIMIT 200", ("assets",))
+       "AND (contains(lower(agency), 'brand#1') OR contains(lower(array_to_string(topic_tags, ' ')), 'brand#1')) ORDER BY lower(agency), id", ("assets",))
 def library_listing(t):
     return images.library_listing(t.assets, "logo", "approved", "BRAND#1").select("id", "license_class")
 
@@ -154,7 +157,7 @@ def library_listing(t):
 @query("browse_assets", "SELECT id, coalesce(url, 'https://api.example/api/images/file/' || id) AS url FROM assets WHERE status = 'approved' AND kind = 'stock' "
        "AND contains(array_to_string(topic_tags, ' '), 'red') ORDER BY lower(agency), id LIMIT 60", ("assets",))
 def browse_assets(t):
-    return images.browse_assets(t.assets, "https://api.example", "RED", "stock").select("id", "url")
+    return images.browse_assets(t.assets, "https://api.example", "RED", "stock", n=60).select("id", "url")
 
 
 def _spoken(t):

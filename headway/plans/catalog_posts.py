@@ -60,7 +60,7 @@ def fill_slugs(t):
 
 @query("ready_list", "SELECT id, score FROM items WHERE status = 'approved' ORDER BY score DESC NULLS LAST, collected_at DESC, id DESC LIMIT 200", ("items",))
 def ready_list(t):
-    return posts.ready_list(t.items).select("id", "score")
+    return posts.ready_list(t.items, 200).select("id", "score")
 
 
 @query("due_items", f"SELECT id FROM items WHERE status = 'approved' AND publish_at <= {_now}", ("items",))
@@ -89,7 +89,7 @@ def queue_view_counts(t):
 
 @query("publish_batch", """
   SELECT r.id, CASE WHEN i.id IS NOT NULL THEN 'published' ELSE 'skipped' END AS outcome FROM
-    (SELECT user_id AS id, min(event_id) AS p FROM events GROUP BY 1 ORDER BY p LIMIT 200) r
+    (SELECT user_id AS id, min(event_id) AS p FROM events GROUP BY 1) r
   LEFT JOIN (SELECT id FROM items WHERE status = 'approved') i USING (id)""", ("items",))
 def publish_batch(t):
     asked = t.events.select(F.col("event_id").alias("position"), F.col("user_id").alias("id"))

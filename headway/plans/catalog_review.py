@@ -58,10 +58,9 @@ def _feed(t):
 
 @query("new_items", """
   SELECT link, doc_id, source FROM (SELECT *, row_number() OVER (PARTITION BY link ORDER BY source_no, doc_id) AS q FROM
-    (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM
-      (SELECT doc_id, source, regexp_extract(source, '(\\d+)$', 1)::INTEGER AS source_no,
-        CASE WHEN doc_id % 11 <> 0 THEN 'https://x.example/' || (doc_id % 700) END AS link FROM documents))
-    WHERE n <= 15 AND link IS NOT NULL AND link NOT IN (SELECT 'https://x.example/' || item_id FROM benchmark)) WHERE q = 1""")
+    (SELECT doc_id, source, regexp_extract(source, '(\\d+)$', 1)::INTEGER AS source_no,
+        CASE WHEN doc_id % 11 <> 0 THEN 'https://x.example/' || (doc_id % 700) END AS link FROM documents)
+    WHERE link IS NOT NULL AND link NOT IN (SELECT 'https://x.example/' || item_id FROM benchmark)) WHERE q = 1""")
 def new_items(t):
     known = t.benchmark.select(F.concat(F.lit("https://x.example/"), F.col("item_id").cast("string")).alias("link"))
     return review.new_items(_feed(t), known).select("link", "doc_id", "source")
@@ -74,10 +73,12 @@ def route_items(t):
 
 
 @query("clean_array", """
-  SELECT page_id, array_to_string((list_filter(list_transform(string_split(url, '/'), lambda s: left(trim(s), 120)), lambda s: s <> ''))[1:12], '|')
-    AS parts FROM pages""")
+  SELECT page_id, array_to_string(list_transform(list_sort(list_transform(map_entries(min_at), lambda e: {'at': e.value, 'k': e.key})), lambda e: e.k), '|') AS parts FROM (
+    SELECT page_id, map_from_entries(list_transform(list_distinct(w), lambda x: (x, list_position(w, x)))) AS min_at FROM (
+      SELECT page_id, list_filter(list_transform(string_split(html, ' '), lambda s: trim(s, ' ')), lambda s: s <> '') AS w FROM pages))""")
 def clean_array(t):
-    return t.pages.select("page_id", F.array_join(review.clean_array(F.split("url", "/")), "|").alias("parts"))
+    """Words of whole pages: long values and long lists."""
+    return t.pages.select("page_id", F.array_join(review.clean_array(F.split("html", " ")), "|").alias("parts"))
 
 
 @query("restrict_vocab", """
@@ -140,9 +141,11 @@ def freshness(t):
 
 @query("search_items", "SELECT id FROM items WHERE contains(lower(concat_ws(' ', headline, summary, source_name, pillar, state, "
        "array_to_string(agencies, ' '), array_to_string(tags, ' '), array_to_string(mode, ' '), array_to_string(programs, ' '))), 'fund') "
-       "AND contains(lower(concat_ws(' ', headline, array_to_string(mode, ' '))), 'light') ", ("items",))
+       "AND contains(lower(concat_ws(' ', headline, array_to_string(mode, ' '))), 'light') "
+       + "".join(f"AND contains(lower(concat_ws(' ', headline, summary, source_name, pillar, state, array_to_string(agencies, ' '), array_to_string(tags, ' '), array_to_string(mode, ' '), array_to_string(programs, ' '))), '{w}') "
+                 for w in ("rail", "bus", "report", "src", "ag", "t", "en", "1")), ("items",))
 def search_items(t):
-    return review.search_items(t.items, "Fund LIGHT").select("id")
+    return review.search_items(t.items, "Fund LIGHT rail bus Report src ag T en 1").select("id")
 
 
 @query("facet_filter", "SELECT id FROM items WHERE pillar = 'Funding' AND list_contains(mode, 'Bus') AND list_contains(agencies, 'Agency 3')", ("items",))
@@ -158,13 +161,13 @@ common("page_fresh", "SELECT id, CASE WHEN until < 0 THEN 6 WHEN until >= 0 THEN
        "JOIN page_fresh USING (id)", ("items", "page_fresh"))
 def queue_page(t):
     pending = t.items.filter("status = 'pending'").withColumn("reco_score", F.col("score"))
-    return review.queue_page(pending, NOW).select("id", "fresh_score")
+    return review.queue_page(pending, NOW, 200).select("id", "fresh_score")
 
 
 @query("queue_page_by_score", "SELECT id, score FROM items WHERE status = 'pending' ORDER BY score DESC NULLS LAST, collected_at DESC, id DESC LIMIT 200", ("items",))
 def queue_page_by_score(t):
     pending = t.items.filter("status = 'pending'").withColumn("reco_score", F.col("score"))
-    return review.queue_page(pending, NOW, by_score=True).select("id", "score")
+    return review.queue_page(pending, NOW, 200, by_score=True).select("id", "score")
 
 
 @query("queue_counts", "SELECT count(*) AS matched, count(*) FILTER (WHERE score IS NULL) AS unscored FROM items WHERE status = 'pending'", ("items",))
@@ -178,10 +181,10 @@ def status_counts(t):
 
 
 @query("facet_counts", """
-  SELECT facet, value, n FROM (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY n DESC, value) AS r FROM (SELECT facet, value, count(*) AS n FROM (
+  SELECT facet, value, count(*) AS n FROM (
     SELECT 'pillar' AS facet, pillar AS value FROM items UNION ALL SELECT 'state', state FROM items UNION ALL SELECT 'mode', unnest(mode) FROM items
     UNION ALL SELECT 'program', unnest(programs) FROM items UNION ALL SELECT 'agency', unnest(agencies) FROM items UNION ALL SELECT 'tag', unnest(tags) FROM items)
-    WHERE value IS NOT NULL GROUP BY 1, 2)) WHERE r <= CASE WHEN facet IN ('agency', 'tag') THEN 40 ELSE 50 END""", ("items",))
+    WHERE value IS NOT NULL GROUP BY 1, 2""", ("items",))
 def facet_counts(t):
     return review.facet_counts(t.items)
 
@@ -402,18 +405,18 @@ def already_published(t):
 # ---- triage -------------------------------------------------------------------------------------
 
 @query("data_tie", """
-  SELECT id, CASE WHEN list_has_any(agencies, ['src3', 'Agency 2']) OR list_contains(programs, 'CIG New Starts') THEN 'cig'
-    WHEN list_has_any(agencies, ['src1', 'src2', 'src3', 'src4', 'src5', 'src6', 'src7', 'src8', 'src9']) THEN 'ntd' END AS tie FROM items""", ("items",))
+  SELECT id, CASE WHEN list_has_any(agencies, (SELECT list('Agency ' || r_regionkey) FROM region)) OR list_contains(programs, 'CIG New Starts') THEN 'cig'
+    WHEN list_has_any(agencies, (SELECT list(DISTINCT source) FROM documents)) THEN 'ntd' END AS tie FROM items""", ("items",))
 def data_tie(t):
-    names = t.sources.filter("id between 1 and 9").select(F.col("name"))
-    sponsors = t.sources.filter("id = 3").select("name").union(t.region.limit(1).select(F.lit("agency 2").alias("name")))
+    names = t.sources.select(F.lower("name").alias("name"))
+    sponsors = t.region.select(F.concat(F.lit("agency "), F.col("r_regionkey").cast("string")).alias("name"))
     return triage.data_tie(t.items, names, sponsors)
 
 
 def _replies(t):
-    """Score replies written out as text, forty per batch, some fenced and some broken."""
+    """Score replies written out as text, forty per batch, some fenced and some broken; every id is answered twice."""
     k = F.col("doc_id")
-    one = F.format_string('{"id": "%d", "score": %s, "action": "%s", "reason": " why %d ", "flags": ["%s", "odd"]}', k,
+    one = F.format_string('{"id": "%d", "score": 1, "action": "hold", "reason": "first"}, {"id": "%d", "score": %s, "action": "%s", "reason": " why %d ", "flags": ["%s", "odd"]}', k, k,
                           F.when(k % 5 == 0, '"140"').otherwise((F.col("quality") * 60 + k % 40).cast("string")),
                           F.when(k % 3 == 0, "PUBLISH").when(k % 3 == 1, "skip").otherwise("ponder"), k,
                           F.when(F.col("toxic") == 1, "likely_duplicate").otherwise("none"))
@@ -449,7 +452,7 @@ def merge_scores(t):
 @query("shortlist", "SELECT id, score FROM items WHERE score IS NOT NULL AND action <> 'skip' AND source_url IS NOT NULL AND source_url NOT LIKE "
        "'%news.google.com%' ORDER BY score DESC, id LIMIT 40", ("items",))
 def shortlist(t):
-    return triage.shortlist(t.items).select("id", "score")
+    return triage.shortlist(t.items, 40).select("id", "score")
 
 
 @query("merge_second_pass", """
@@ -507,7 +510,7 @@ def run_cost(t):
 
 
 @query("embed_text", """
-  SELECT doc_id, substr(concat_ws('. ', nullif(source, ''), nullif(array_to_string((list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))[1:60], ' '), '')), 1, 1000) AS text
+  SELECT doc_id, concat_ws('. ', nullif(source, ''), nullif(array_to_string(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''), ' '), '')) AS text
   FROM documents""")
 def embed_text(t):
     return t.documents.select("doc_id", triage.embed_text(F.col("source"), F.col("text")).alias("text"))

@@ -61,7 +61,7 @@ def usage_by_surface(t):
 
 @query("recent_questions", "SELECT id, query_text FROM last_days WHERE query_text IS NOT NULL ORDER BY ts DESC, id DESC LIMIT 40", ("last_days",))
 def recent_questions(t):
-    return usage.recent_queries(_recent(t)).select("id", "query_text")
+    return usage.recent_queries(_recent(t), 40).select("id", "query_text")
 
 
 @query("theme_counts", "SELECT theme, n FROM (" + " UNION ALL ".join(
@@ -163,12 +163,6 @@ def result_csv(t):
     return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
 
-@query("row_cap", "SELECT count(*) AS rows FROM (SELECT * FROM lineitem LIMIT 1000)")
-def row_cap(t):
-    """The quick-run cap itself: how many rows it lets through."""
-    return readers.limit_rows(t.lineitem, 1000).agg(F.count(F.lit(1)).alias("rows"))
-
-
 @query("dimension_file", "SELECT n_name AS name, 'R' || n_regionkey AS state, n_nationkey % 2 = 0 AS search_enabled FROM nation")
 def dimension_file(t):
     """A reference document (a fixed 25 rows under one key) written as JSON and read back as rows."""
@@ -201,7 +195,7 @@ def sql_rollup(t):
     return adhoc.run_sql(t.spark, "SELECT mode, state, SUM(upt) AS upt FROM ntd_service GROUP BY ROLLUP (mode, state)", _mart(t))
 
 
-@query("sql_snapshot_query", "SELECT project_name, rating FROM latest WHERE rating IN ('1-URGENT', '2-HIGH') ORDER BY project_name LIMIT 200", ("latest",))
+@query("sql_snapshot_query", "SELECT project_name, rating FROM latest WHERE rating IN ('1-URGENT', '2-HIGH')", ("latest",))
 def sql_snapshot_query(t):
     """A guarded snapshot query in a session of its own."""
     path = scratch(t.spark, "snapshots")

@@ -106,7 +106,7 @@ class Tables:
 
     @cached_property
     def ranked(self) -> DataFrame:
-        return mart.rankings(self.service, mart.spec_frame(self.spark, specs()))
+        return mart.rankings(self.service, mart.spec_frame(self.spark, specs()), top=40, least=5)
 
     # ---- grant snapshots ------------------------------------------------------------------------
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -28,18 +29,31 @@ def local_session(app: str = "headway", cpus: str = "8", shuffle: str = "8") ->
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach: the cluster's checkpoint dir, or a fresh local one."""
+    """The folder every executor can reach: spark.checkpoint.dir, else one below the warehouse.
+
+    A local master runs everything on one machine, so there a fresh temporary folder will do. On a cluster
+    a warehouse on the local disk is refused: each executor would write to its own.
+    """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="headway-checkpoint-")
+        configured = own_folder(sc.master, spark.conf.get("spark.sql.warehouse.dir", ""))
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
+def own_folder(master: str, warehouse: str) -> str:
+    """Where to checkpoint when the cluster names no folder."""
+    if re.fullmatch(r"local(\[.*\])?", master):
+        return tempfile.mkdtemp(prefix="headway-checkpoint-")
+    if not warehouse or re.match(r"file:|/|[^:/]+(/|$)", warehouse):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse.rstrip('/')}/headway-checkpoints"
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and continue from the files.
 

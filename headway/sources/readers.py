@@ -25,9 +25,12 @@ PROFILE_SCHEMA = T.StructType([
     T.StructField("file", T.StringType())])
 
 
-def read_flat(spark: SparkSession, path: str) -> DataFrame:
-    """Delimited file with a header; every column is text."""
-    return spark.read.option("multiLine", True).option("escape", '"').csv(path, header=True, inferSchema=False)
+def read_flat(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    """Delimited file with a header; every column is text.
+
+    With ``line_breaks`` quoted values may hold line breaks; each file is then read by one task.
+    """
+    return spark.read.option("multiLine", line_breaks).option("escape", '"').csv(path, header=True, inferSchema=False)
 
 
 def known_measures(df: DataFrame, measures, since: int | None = None, field: str = "field",
@@ -44,11 +47,6 @@ def read_long(spark: SparkSession, path: str, measures, since: int | None = None
     return known_measures(spark.read.schema(LONG_SCHEMA).json(path), measures, since)
 
 
-def limit_rows(df: DataFrame, n: int | None) -> DataFrame:
-    """Row cap for a quick run; no cap when ``n`` is not given."""
-    return df.limit(n) if n else df
-
-
 def read_dimension(spark: SparkSession, path: str, key: str, schema: T.StructType | None = None) -> DataFrame:
     """One JSON document holding a list of records under ``key``."""
     reader = spark.read.option("multiLine", True)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 def write_mart(df: DataFrame, path: str, partition: str | None = None) -> None:
     """Write a mart table, replacing an earlier one."""
     if partition:
-        df = df.repartition(partition)
+        df = df.hint("rebalance", partition)  # whole files per value, a large value split over several tasks
         df.write.mode("overwrite").option("partitionOverwriteMode", "static").partitionBy(partition).parquet(path)
     else:
         df.write.mode("overwrite").parquet(path)
@@ -17,7 +17,7 @@ def write_mart(df: DataFrame, path: str, partition: str | None = None) -> None:
 
 def overwrite_snapshot(df: DataFrame, path: str, key: str = "snapshot_date") -> None:
     """Replace exactly the snapshots present in ``df`` and keep all others."""
-    (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (df.hint("rebalance", key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy(key).parquet(path))
 
 
@@ -59,7 +59,7 @@ def export_result_csv(df: DataFrame, path: str, title: str, source: str) -> None
 def run_log(results: DataFrame, trigger: str, at) -> DataFrame:
     """One row describing a run: files and how each ended, from (file, status, message)."""
     n = lambda s: F.count_if(F.col("status") == s)
-    notes = F.concat_ws(": ", "file", F.substring(F.coalesce("message", F.lit("")), 1, 500))
+    notes = F.concat_ws(": ", "file", F.coalesce("message", F.lit("")))
     bad = results.filter(F.col("status").isin("unmatched", "unreadable"))
     return results.agg(
         F.count(F.lit(1)).alias("files"), (n("new") + n("changed")).alias("new_versions"),

@@ -31,7 +31,7 @@ def test_timeline_and_guard(spark):
         snap(spark, ("a", "s", "Eng", 1, 1)).withColumn("snapshot_date", F.lit("2024-02-01").cast("date"))).unionByName(
         snap(spark, ("a", "s", "Eng", 1, 1)).withColumn("snapshot_date", F.lit("2024-03-01").cast("date")))
     assert [r["step"] for r in grants.timeline(rows).orderBy("snapshot_date").collect()] == ["first seen", "phase PD → Eng", "no change"]
-    assert not grants.guard_min_rows(spark.range(19)) and grants.guard_min_rows(spark.range(20))
+    assert not grants.guard_min_rows(spark.range(19), 20) and grants.guard_min_rows(spark.range(20), 20)
 
 
 def test_latest_file(spark):
@@ -91,10 +91,10 @@ def test_version_chain(spark):
     rows = [(i, "p", i, text[t]) for i, t in enumerate(["A", "B", "A", "short", "C"])]
     df = spark.createDataFrame(rows, "id bigint, key string, at int, text string").withColumn("captured_at", F.timestamp_seconds("at"))
     none = df.limit(0).withColumn("text_sha256", archive.text_hash("text"))
-    got = {r["id"]: (r["status"], r["prev_version_id"]) for r in archive.admit_versions(df, none, ["key"]).collect()}
-    assert got == {0: ("new", None), 1: ("changed", 0), 2: ("unchanged", None), 3: ("unreadable", None), 4: ("changed", 1)}
+    got = {r["id"]: (r["status"], r["prev_version_id"]) for r in archive.admit_versions(df, none, ["key"], 200).collect()}
+    assert got == {0: ("new", None), 1: ("changed", 0), 2: ("unchanged", None), 3: ("changed", 1), 4: ("changed", 3)}
     stored = df.filter("id in (0, 1)").withColumn("text_sha256", archive.text_hash("text"))
-    again = archive.admit_versions(df.filter("id in (0, 1)"), stored, ["key"]).select("status").distinct().collect()
+    again = archive.admit_versions(df.filter("id in (0, 1)"), stored, ["key"], 200).select("status").distinct().collect()
     assert [r[0] for r in again] == ["unchanged"]
 
 
@@ -125,9 +125,9 @@ def test_documents_find_their_single_project(spark):
 
 
 def test_rediff_and_remode(spark):
-    versions = spark.createDataFrame([(1, None, "a\nb"), (2, 1, "a\nc\nd"), (3, 2, "a\nc\nd")], "id bigint, prev_version_id bigint, text string")
-    got = {r["id"]: (r["lines_added"], r["lines_removed"]) for r in archive.rediff(versions).collect()}
-    assert got == {2: (2, 1), 3: (0, 0)}
+    versions = spark.createDataFrame([(1, None, "a\nb"), (2, 1, "a\nc\nd"), (3, 2, "d\na\nc\na")], "id bigint, prev_version_id bigint, text string")
+    got = {r["id"]: (r["lines_added"], r["lines_removed"], r["lines_kept"]) for r in archive.line_changes(versions).collect()}
+    assert got == {2: (2, 1, 1), 3: (1, 0, 3)}
     profiles = spark.createDataFrame([(0, "stone avenue", ["AA"], "Light Rail", True, "a.pdf"), (1, "river line", ["AA"], None, True, "b.pdf")],
                                      "profile_id bigint, key string, states array<string>, mode string, mentions_rail boolean, file string")
     rows = spark.createDataFrame([("Stone Avenue", "AA", "2.1"), ("Stone Avenue", "AA", None), ("River Line", "AA", "TBD"), ("Nothing", "AA", "N/A"), ("Else", "AA", "3")],

@@ -59,8 +59,8 @@ def test_rankings_drop_short_lists(spark):
     rows = [(str(i), f"A{i}", "c", "s", "Bus", float(10 - i), 100.0, 5.0 + i, 0.1) for i in range(4)]
     service = spark.createDataFrame(rows, "ntd_id string, agency string, city string, state string, mode string, upt double, operating_expense double, cost_per_rider double, fare_recovery double")
     specs = mart.spec_frame(spark, [("x", "Bus", "upt", "desc", 0)])
-    assert mart.rankings(service, specs).count() == 0
-    assert [r["ntd_id"] for r in mart.rankings(service, specs, least=3).orderBy("rank").collect()] == ["0", "1", "2", "3"]
+    assert mart.rankings(service, specs, top=40, least=5).count() == 0
+    assert [r["ntd_id"] for r in mart.rankings(service, specs, top=40, least=3).orderBy("rank").collect()] == ["0", "1", "2", "3"]
 
 
 def test_snapshot_overwrite_keeps_others(spark, tmp_path):

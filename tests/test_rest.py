@@ -61,7 +61,7 @@ def test_snapshot_session_knows_one_table(spark):
     spark.range(500).write.parquet(path)
     spark.range(3).createOrReplaceTempView("other_view")
     assert adhoc.check_snapshot_sql("SELECT ';' AS x;") == "SELECT ';' AS x"
-    assert adhoc.run_snapshot_sql(path, "SELECT * FROM cig_projects", spark).count() == 200
+    assert adhoc.run_snapshot_sql(path, "SELECT * FROM cig_projects", spark).count() == 500
     for text in ("SELECT * FROM other_view", f"SELECT * FROM parquet.`{path}`"):
         with pytest.raises(Exception):
             adhoc.run_snapshot_sql(path, text, spark).count()

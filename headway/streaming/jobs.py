@@ -1,7 +1,9 @@
-"""Streams over landed events. State is bounded by watermarks; sinks are safe to replay.
+"""Streams over landed events that lose nothing: late, repeated and replayed rows all count, once.
 
-A replayed micro-batch writes to the same place (a folder per batch id) or merges by key, so a restart
-never counts a row twice.
+Each micro-batch folds its rows and writes the fold to a folder of its own, so a replay overwrites itself
+and nothing written before is touched. A table is read by folding the folders, which is possible because
+every fold is one that can be applied again: sums, first reasons, latest states. Rows are never dropped
+for being late. ``compact`` folds old folders into one.
 """
 
 from __future__ import annotations
@@ -13,110 +15,172 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from headway.operators import contacts, registry, review
+from headway.operators import contacts, posts, registry, review
 
+#: Link buckets: a batch looks for known links in the buckets it touches only.
+BUCKETS = 64
 
-def run_now(stream: DataFrame, checkpoint: str, sink: str | None = None, mode: str = "append",
-            each: Callable[[DataFrame, int], None] | None = None) -> StreamingQuery:
-    """Process what has landed and stop; to a Parquet sink or a per-batch function."""
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
-    writer = writer.foreachBatch(each) if each else writer.format("parquet").option("path", sink)
-    query = writer.start()
+
+def run_now(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Process what has landed, batch by batch, and stop."""
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    query = writer.foreachBatch(each).start()
     query.awaitTermination()
     return query
 
 
-def stream_usage(events: DataFrame, at: str = "ts", kind: str = "event_type", late: str = "1 day") -> DataFrame:
-    """Events per day and type; a day is final once the watermark has passed it, later rows are dropped."""
-    rows = events.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late)
-    return (rows.groupBy(F.window("_at", "1 day"), kind).agg(F.count(F.lit(1)).alias("n"))
-            .select(F.col("window.start").cast("date").alias("day"), kind, "n"))
+def write_batch(rows: DataFrame, path: str, number: int, by: str | None = None) -> None:
+    """Write what a batch adds; a replay of the batch overwrites it."""
+    writer = rows.write.mode("overwrite")
+    (writer.partitionBy(by) if by else writer).parquet(f"{path}/batch={number}")
 
 
-def stream_ask_rates(events: DataFrame, visitor: str = "user_id", at: str = "ts", late: str = "1 hour") -> DataFrame:
-    """Asks per visitor in sliding hours, every five minutes."""
-    rows = events.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", late)
-    return (rows.groupBy(F.window("_at", "1 hour", "5 minutes"), visitor).agg(F.count(F.lit(1)).alias("asks"))
-            .select(F.col("window.start").alias("from_time"), F.col("window.end").alias("to_time"), visitor, "asks"))
+def batches(spark: SparkSession, path: str, schema: str, before: int | None = None) -> DataFrame:
+    """Everything written so far, or by earlier batches; empty when nothing was."""
+    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+    kind = spark.createDataFrame([], schema + ", batch long").schema
+    try:
+        rows = spark.read.schema(kind).parquet(path)
+    except Exception as e:  # nothing written yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        rows = spark.createDataFrame([], kind)
+    rows = rows if before is None else rows.filter(F.col("batch") < before)
+    return rows.select(*names)
 
 
-def _latest(spark: SparkSession, path: str, batch: int, empty: DataFrame) -> DataFrame:
-    """The table version written by the last batch before ``batch``."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        return empty
-    done = [int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(hadoop) if s.getPath().getName().startswith("v=")]
-    older = [n for n in done if n < batch]
-    return spark.read.schema(empty.schema).parquet(f"{path}/v={max(older)}") if older else empty
+# ---- counts -------------------------------------------------------------------------------------
 
+USAGE = "day date, event_type string, n bigint"
 
-def stream_feedback(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Feedback notifications into the do-not-mail list at ``path`` (one version folder per batch).
 
-    The first reason of an address is kept, so a replay of a batch gives the same version.
-    """
+def usage_partial(events: DataFrame, at: str = "ts", kind: str = "event_type") -> DataFrame:
+    return (events.groupBy(F.to_date(F.col(at).cast("timestamp")).alias("day"), F.col(kind).alias("event_type"))
+            .agg(F.count(F.lit(1)).alias("n")))
+
+
+def stream_usage(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Events per day and type, every landed event counted whenever it comes."""
+    return run_now(events, checkpoint, lambda batch, number: write_batch(usage_partial(batch), path, number))
+
+
+def usage_table(spark: SparkSession, path: str) -> DataFrame:
+    return batches(spark, path, USAGE).groupBy("day", "event_type").agg(F.sum("n").alias("n"))
+
+
+RATES = "from_time timestamp, to_time timestamp, user_id bigint, asks bigint"
+
+
+def stream_ask_rates(events: DataFrame, path: str, checkpoint: str, visitor: str = "user_id", at: str = "ts") -> StreamingQuery:
+    """Asks per visitor in sliding hours, every five minutes; open windows are readable at once."""
     def each(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        empty = spark.createDataFrame([], "email string, reason string, detail string, created_at timestamp")
-        new = contacts.feedback_suppressions(contacts.feedback_events(batch))
-        merged = contacts.suppress(_latest(spark, path, number, empty), new)
-        merged.write.mode("overwrite").parquet(f"{path}/v={number}")
-    return run_now(messages, checkpoint, each=each)
+        rows = batch.withColumn("_at", F.col(at).cast("timestamp"))
+        counts = (rows.groupBy(F.window("_at", "1 hour", "5 minutes"), F.col(visitor).cast("bigint").alias("user_id"))
+                  .agg(F.count(F.lit(1)).alias("asks")))
+        write_batch(counts.select(F.col("window.start").alias("from_time"), F.col("window.end").alias("to_time"), "user_id", "asks"), path, number)
+    return run_now(events, checkpoint, each)
 
 
-def stream_queue_tick(items: DataFrame, now: datetime, days: int) -> DataFrame:
-    """One tick of the queue: what is due to publish and what goes stale. Run it on a schedule."""
-    from headway.operators import posts
-    due = posts.due_items(items, now).select("id", F.lit("publish").alias("step"))
-    stale = items.filter(review.stale(now, days)).select("id", F.lit("expire").alias("step"))
-    return due.unionByName(stale)
+def ask_rate_table(spark: SparkSession, path: str) -> DataFrame:
+    return batches(spark, path, RATES).groupBy("from_time", "to_time", "user_id").agg(F.sum("asks").alias("asks"))
 
 
-def stream_intake(feed: DataFrame, known: DataFrame, sink: str, checkpoint: str, late: str = "2 days") -> StreamingQuery:
-    """New items by link: repeats inside the watermark are dropped by state, known links by an anti join.
+# ---- states -------------------------------------------------------------------------------------
 
-    ``feed`` has ``link`` and ``at``. Each batch overwrites its own folder, so a replay is harmless.
-    """
-    once = (feed.filter("coalesce(link, '') <> ''").withColumn("at", F.col("at").cast("timestamp"))
-            .withWatermark("at", late).dropDuplicatesWithinWatermark(["link"]))
+STOPS = "email string, reason string, detail string, created_at timestamp"
 
+
+def stream_feedback(messages: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Feedback notifications into the do-not-mail list; the first reason of an address counts."""
     def each(batch: DataFrame, number: int) -> None:
-        batch.join(known.select("link").distinct(), "link", "left_anti").write.mode("overwrite").parquet(f"{sink}/batch={number}")
-    return run_now(once, checkpoint, each=each)
+        empty = batch.sparkSession.createDataFrame([], STOPS)
+        write_batch(contacts.suppress(empty, contacts.feedback_suppressions(contacts.feedback_events(batch))), path, number)
+    return run_now(messages, checkpoint, each)
 
 
-HEALTH = ("source_id bigint, last_fetched_at timestamp, last_ok_at timestamp, last_error_at timestamp, last_entries int, "
-          "last_new int, last_queued int, fail_streak bigint, last_error string")
+def stop_table(spark: SparkSession, path: str) -> DataFrame:
+    return contacts.suppress(spark.createDataFrame([], STOPS), batches(spark, path, STOPS))
 
 
-def merge_health(old: DataFrame, new: DataFrame) -> DataFrame:
-    """Health after a later batch: a success in it restarts the streak, otherwise failures add up."""
-    o = old.select("source_id", *[F.col(c).alias(f"o_{c}") for c in old.columns if c != "source_id"])
-    both = o.join(new, "source_id", "full_outer")
-    ok, seen = F.col("last_ok_at").isNotNull(), F.col("last_fetched_at").isNotNull()
-    keep = lambda c: F.coalesce(F.col(c), F.col(f"o_{c}")).alias(c)
-    streak = F.when(~seen, F.col("o_fail_streak")).when(ok, F.col("fail_streak")).otherwise(
-        F.col("fail_streak") + F.coalesce("o_fail_streak", F.lit(0)))
-    error = F.when(~seen, F.col("o_last_error")).otherwise(F.col("last_error"))
-    entries = F.when(ok, F.col("last_entries")).otherwise(F.col("o_last_entries"))
-    return both.select("source_id", keep("last_fetched_at"), keep("last_ok_at"), keep("last_error_at"), entries.alias("last_entries"),
-                       keep("last_new"), keep("last_queued"), streak.cast("bigint").alias("fail_streak"), error.alias("last_error"))
+FETCHES = "source_id bigint, at timestamp, error string, entries int, new int, queued int"
+
+
+def telling_fetches(fetches: DataFrame) -> DataFrame:
+    """The fetches that can still matter for a source's health: its latest success, the latest ones that
+    told ``new`` and ``queued``, its latest failure, and all failures since the last success here."""
+    ok = F.col("error").isNull()
+    last = fetches.groupBy("source_id").agg(
+        F.max(F.when(ok, F.col("at"))).alias("ok_at"), F.max(F.when(~ok, F.col("at"))).alias("bad_at"),
+        F.max(F.when(ok & F.col("new").isNotNull(), F.col("at"))).alias("new_at"),
+        F.max(F.when(ok & F.col("queued").isNotNull(), F.col("at"))).alias("queued_at"))
+    rows = fetches.join(last, "source_id")
+    keep = F.when(ok, (F.col("at") == F.col("ok_at")) | F.coalesce(F.col("at") == F.col("new_at"), F.lit(False))
+                  | F.coalesce(F.col("at") == F.col("queued_at"), F.lit(False))).otherwise(
+        F.col("ok_at").isNull() | (F.col("at") > F.col("ok_at")) | (F.col("at") == F.col("bad_at")))
+    return rows.filter(keep).select(*fetches.columns)
 
 
 def stream_health(fetches: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Source health from fetch events, one version folder per batch."""
+    """Source health from fetch events in any order."""
+    columns = [part.strip().split(" ")[0] for part in FETCHES.split(",")]
+    return run_now(fetches, checkpoint, lambda batch, number: write_batch(telling_fetches(batch.select(*columns)), path, number))
+
+
+def health_table(spark: SparkSession, path: str) -> DataFrame:
+    return registry.health_fold(batches(spark, path, FETCHES))
+
+
+def compact(spark: SparkSession, path: str, into: str, schema: str, fold: Callable[[DataFrame], DataFrame]) -> None:
+    """Write the folded table as one batch of a new path, from which a later job goes on."""
+    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+    write_batch(fold(batches(spark, path, schema)).select(*names), into, -1)
+
+
+# ---- work ---------------------------------------------------------------------------------------
+
+LINKS = "link string, at timestamp, bucket int"
+
+
+def stream_intake(feed: DataFrame, known: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+    """New items by link (``feed`` has ``link`` and ``at``): never one that is known or was written before.
+
+    What was written is looked up in the touched buckets of earlier batches, however long ago.
+    """
+    bucket = F.pmod(F.xxhash64("link"), F.lit(BUCKETS)).cast("int")
+
+    def each(batch: DataFrame, number: int) -> None:
+        once = (batch.filter("coalesce(link, '') <> ''").groupBy("link").agg(F.min(F.col("at").cast("timestamp")).alias("at"))
+                .withColumn("bucket", bucket))
+        earlier = batches(batch.sparkSession, sink, LINKS, before=number).select("bucket", "link")
+        fresh = once.join(known.select("link").distinct(), "link", "left_anti").join(earlier, ["bucket", "link"], "left_anti")
+        write_batch(fresh, sink, number, by="bucket")
+    return run_now(feed, checkpoint, each)
+
+
+def intake_table(spark: SparkSession, sink: str) -> DataFrame:
+    return batches(spark, sink, LINKS).select("link", "at")
+
+
+STEPS = "id bigint, step string"
+
+
+def stream_queue_tick(items: DataFrame, now: datetime, days: int, path: str, checkpoint: str) -> StreamingQuery:
+    """Item versions (``id``, ``version`` and the queue's columns) as they land; each tick says what is due
+    to publish and what goes stale among the latest versions of all items landed so far, once per item."""
+    fields = items.schema
+
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = _latest(spark, path, number, spark.createDataFrame([], HEALTH))
-        new = registry.health_fold(batch)
-        merge_health(old, new).write.mode("overwrite").parquet(f"{path}/v={number}")
-    return run_now(fetches, checkpoint, each=each)
-
-
-def newest(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of a table kept by batch."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    last = max(int(s.getPath().getName().split("=")[1]) for s in fs.listStatus(hadoop) if s.getPath().getName().startswith("v="))
-    return spark.read.parquet(f"{path}/v={last}")
+        write_batch(batch, f"{path}/items", number)
+        landed = spark.read.schema(fields).parquet(f"{path}/items").select(*fields.names)
+        rest = [c for c in fields.names if c != "id"]
+        latest = landed.groupBy("id").agg(F.max_by(F.struct(*rest), "version").alias("r")).select("id", "r.*")
+        due = posts.due_items(latest, now).select("id", F.lit("publish").alias("step"))
+        stale = latest.filter(review.stale(now, days)).select("id", F.lit("expire").alias("step"))
+        said = batches(spark, f"{path}/steps", STEPS, before=number)
+        write_batch(due.unionByName(stale).join(said, ["id", "step"], "left_anti"), f"{path}/steps", number)
+    return run_now(items, checkpoint, each)
+
+
+def step_table(spark: SparkSession, path: str) -> DataFrame:
+    return batches(spark, f"{path}/steps", STEPS)

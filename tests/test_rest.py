@@ -85,10 +85,66 @@ def test_health_stream_equals_batch(spark):
         df.filter(F.hour("at") <= (3 if n == 3 else 9)).filter("true" if n == 3 else "hour(at) > 3").coalesce(1).write.mode("append").parquet(src)
         stream = spark.readStream.schema(df.schema).parquet(src)
         jobs.stream_health(stream, path, path + "-checkpoint")
-    got = {r["source_id"]: r.asDict() for r in jobs.newest(spark, path).collect()}
+    got = {r["source_id"]: r.asDict() for r in jobs.health_table(spark, path).collect()}
     assert got == want and want[1]["fail_streak"] == 1 and want[1]["last_new"] == 2
 
 
+def test_late_success_does_not_hide_later_errors(spark):
+    t = lambda n: datetime(2026, 1, n)
+    schema = "source_id bigint, at timestamp, error string, entries int, new int, queued int"
+    first = spark.createDataFrame([(1, t(10), "HTTP 500", None, None, None)], schema)
+    late = spark.createDataFrame([(1, t(5), None, 4, 1, 1)], schema)
+    path = scratch(spark, "health")
+    for n, rows in enumerate([first, late, late]):  # the last batch is replayed
+        jobs.write_batch(jobs.telling_fetches(rows), path, min(n, 1))
+    row = jobs.health_table(spark, path).first()
+    assert (row["last_fetched_at"], row["fail_streak"], row["last_error"], row["last_entries"]) == (t(10), 1, "HTTP 500", 4)
+
+
+def test_links_stay_known_for_ever(spark):
+    src, sink = scratch(spark, "src"), scratch(spark, "links")
+    schema = "link string, at timestamp"
+    known = spark.createDataFrame([("k",)], "link string")
+    for day, links in ((1, ["a", "k", "a"]), (20, ["a", "b"]), (3, ["c", "b", ""])):
+        spark.createDataFrame([(x, datetime(2026, 1, day)) for x in links], schema).coalesce(1).write.mode("append").parquet(src)
+        jobs.stream_intake(spark.readStream.schema(schema).parquet(src), known, sink, sink + "-checkpoint")
+    assert sorted(r["link"] for r in jobs.intake_table(spark, sink).collect()) == ["a", "b", "c"]
+
+
+def test_a_replayed_batch_counts_once(spark):
+    path = scratch(spark, "usage")
+    rows = spark.createDataFrame([(datetime(2026, 1, 1), "x"), (datetime(2026, 1, 2), "x")], "ts timestamp, event_type string")
+    for number in (0, 1, 1):
+        jobs.write_batch(jobs.usage_partial(rows), path, number)
+    assert {r["n"] for r in jobs.usage_table(spark, path).collect()} == {2}
+    jobs.compact(spark, path, path + "-one", jobs.USAGE, lambda df: df.groupBy("day", "event_type").agg(F.sum("n").alias("n")))
+    assert {r["n"] for r in jobs.usage_table(spark, path + "-one").collect()} == {2}
+
+
+def test_work_folder_of_a_cluster():
+    from headway.session import own_folder
+    assert own_folder("yarn", "hdfs://n/warehouse/") == "hdfs://n/warehouse/headway-checkpoints"
+    assert own_folder("local[4]", "/x")
+    for warehouse in ("file:/tmp/w", "/tmp/w", "spark-warehouse", ""):
+        with pytest.raises(ValueError):
+            own_folder("spark://host:7077", warehouse)
+
+
+def test_last_answer_of_an_id_counts(spark):
+    from headway.operators import triage
+    reply = '[{"id": "7", "score": 10, "action": "hold"}, {"id": "7", "score": 90, "action": "publish"}]'
+    rows = triage.parse_scores(spark.createDataFrame([(1, [7], reply)], "batch_id int, asked_ids array<bigint>, reply string")).collect()
+    assert [(r["id"], r["score"], r["action"]) for r in rows] == [(7, 90, "publish")]
+
+
+def test_uploaded_logo_fills_a_post_with_its_credit(spark):
+    assets = spark.createDataFrame([(5, "logo", "RTD", None, "/f/5.svg", "approved", "CC BY", "Ann", "https://src", None, None)],
+                                   "id bigint, kind string, agency string, url string, file_path string, status string, license string, attribution string, source_url string, reviewed_at timestamp, topic_tags array<string>")
+    posts_ = spark.createDataFrame([(1, None, None, ["rtd"], [])], "id bigint, image_url string, image_source string, agencies array<string>, tags array<string>")
+    row = images.fill_images(posts_, assets).first()
+    assert (row["image_url"], row["image_source"], row["image_license"], row["image_attribution"]) == ("/api/images/file/5", "library-logo", "CC BY", "Ann")
+
+
 def test_provenance_and_topics(spark, value):
     cols = "id bigint, source string, source_url string, license string, attribution string, kind string, url string, file_path string"
     rows = [(1, "manual", "u", "l", "a", "logo", "x", None), (2, "manual", " ", "l", None, "logo", "x", None), (3, "manual", "u", "l", "a", "pin", "x", None), (4, "manual", "u", "l", "a", "logo", "", "")]

@@ -7,8 +7,8 @@ similarity s survives a branching with probability s or more, and 16 trees miss
 than 1 in 100,000.
 
 Nodes that stay large are mostly one group of near copies. They are never compared pair by pair: every member is
-compared with a few members of its node, the links found are confirmed, and after that only members outside the node's
-largest component are compared with the others, in blocks. So no link between components is lost and none inside them
+compared with a few central members of its node, the links found are confirmed, and after that only members outside the
+node's largest component are compared with the others, in blocks. So no link between components is lost and none inside them
 is needed.
 
 Candidates are filtered by estimated similarity (96 minwise bytes, five standard deviations below the threshold) and
@@ -38,8 +38,10 @@ VALUES = 96
 TREES = 16
 DEPTH = 4
 LEAF = 16
-PIVOTS = 8
-BLOCK, CHUNK = 64, 1024
+#: Members of a large node whose values make its centre, and pivots taken near it.
+CENTRE, PIVOTS = 64, 8
+#: Outsiders in a block; members, and shingles, in a chunk.
+BLOCK, CHUNK, CHUNK_SHINGLES = 64, 1024, 1_000_000
 ESTIMATE = 0.6
 #: Words whose hashes are kept at hand in a task; the store is emptied when full. It changes speed only.
 WORDS_KEPT = 500_000
@@ -177,11 +179,35 @@ def leaf_pairs(leaves: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def pivot_pairs(dense: DataFrame, classes: DataFrame) -> DataFrame:
-    """Each member of a large node with the two most similar of a few members of its node."""
+    """Each member of a large node with the two most similar of the node's pivots.
+
+    Pivots are the members nearest to the node's centre, which has the commonest value of each of the minwise
+    bytes of some members: in a group of copies of one text, these are that text and its closest copies.
+    """
     order = Window.partitionBy("path").orderBy(F.xxhash64("cls"), "cls")
-    few = dense.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= PIVOTS).select("path", "cls")
-    pivots = few.join(classes.select("cls", "n", "tags"), "cls").groupBy("path").agg(F.collect_list(F.struct("cls", "n", "tags")).alias("p"))
-    rows = dense.join(classes.select("cls", "n", "tags"), "cls").join(pivots, "path").select("cls", "n", "tags", "p")
+    some = dense.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= CENTRE).select("path", "cls")
+    some = some.join(classes.select("cls", "tags"), "cls").groupBy("path").agg(F.collect_list("tags").alias("t"))
+
+    @F.pandas_udf("binary")
+    def middle(groups: pd.Series) -> pd.Series:
+        out = []
+        for tags in groups:
+            x = np.frombuffer(b"".join(sorted(tags)), dtype=np.uint8).reshape(len(tags), -1)
+            out.append(bytes(int(np.bincount(x[:, i]).argmax()) for i in range(x.shape[1])))
+        return pd.Series(out)
+
+    @F.pandas_udf("double")
+    def agreement(tags: pd.Series, centre: pd.Series) -> pd.Series:
+        x, y = (np.frombuffer(b"".join(c), dtype=np.uint8).reshape(len(c), -1) for c in (tags, centre))
+        return pd.Series((x == y).mean(axis=1))
+
+    centres = some.select("path", middle("t").alias("centre"))
+    rows = settle(dense.join(classes.select("cls", "n", "tags"), "cls").join(centres, "path")
+                  .select("path", "cls", "n", "tags", agreement("tags", "centre").alias("near")))
+    best = Window.partitionBy("path").orderBy(F.desc("near"), "cls")
+    few = rows.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= PIVOTS)
+    pivots = few.groupBy("path").agg(F.collect_list(F.struct("cls", "n", "tags")).alias("p"))
+    rows = rows.join(pivots, "path").select("cls", "n", "tags", "p")
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -197,17 +223,29 @@ def pivot_pairs(dense: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.mapInPandas(compare, PAIRS)
 
 
-def outsider_pairs(dense: DataFrame, classes: DataFrame, groups: DataFrame) -> DataFrame:
-    """In each large node, members outside its largest component with members of other components."""
+def outsiders(dense: DataFrame, groups: DataFrame) -> DataFrame:
+    """Members of the nodes that hold several components: path, cls, grp, main (the node's largest component)."""
     rows = dense.join(groups, "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
     counts = rows.groupBy("path", "grp").agg(F.count(F.lit(1)).alias("c"))
     per = counts.groupBy("path").agg(F.max(F.struct("c", "grp")).alias("top"), F.sum("c").alias("size"))
-    mixed = per.filter(F.col("size") > F.col("top.c")).select("path", F.col("top.grp").alias("main"), "size", (F.col("size") - F.col("top.c")).alias("outside"))
-    held = settle(rows.join(mixed, "path").join(classes.select("cls", "n", "tags"), "cls"))
-    one = F.struct("cls", "grp", "n", "tags")
-    slot = lambda total, each: F.pmod(F.xxhash64("cls"), F.ceil(F.col(total) / each))
-    block = held.filter(F.col("grp") != F.col("main")).groupBy("path", slot("outside", BLOCK).alias("i")).agg(F.collect_list(one).alias("u"))
-    chunk = held.groupBy("path", slot("size", CHUNK).alias("j")).agg(F.collect_list(one).alias("m"))
+    mixed = per.filter(F.col("size") > F.col("top.c")).select("path", F.col("top.grp").alias("main"))
+    return rows.join(mixed, "path")
+
+
+def outsider_links(mixed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """In each large node, links between members outside its largest component and members of other components.
+
+    Blocks of outsiders meet chunks of all members; candidates by estimate are confirmed on the full sets in place, and
+    two components that a task has linked once are not compared again there.
+    """
+    held = settle(mixed.join(classes.select("cls", "n", "tags"), "cls").join(sets, "cls"))
+    sizes = held.groupBy("path").agg(F.count_if(F.col("grp") != F.col("main")).alias("outside"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    held = held.join(sizes, "path")
+    one = F.struct("cls", "grp", "n", "tags", "s")
+    parts = F.greatest(F.ceil(F.col("size") / CHUNK), F.ceil(F.col("shingles") / CHUNK_SHINGLES))
+    block = (held.filter(F.col("grp") != F.col("main")).groupBy("path", F.pmod(F.xxhash64("cls"), F.ceil(F.col("outside") / BLOCK)).alias("i"))
+             .agg(F.collect_list(one).alias("u")))
+    chunk = held.groupBy("path", F.pmod(F.xxhash64("cls"), parts).alias("j")).agg(F.collect_list(one).alias("m"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -215,19 +253,35 @@ def outsider_pairs(dense: DataFrame, classes: DataFrame, groups: DataFrame) -> D
             b: list[bytes] = []
             for u, m in zip(batch["u"], batch["m"]):
                 s = _similar([r["tags"] for r in u], np.array([r["n"] for r in u]), [r["tags"] for r in m], np.array([r["n"] for r in m]))
-                for i, j in zip(*np.nonzero(s >= ESTIMATE)):
-                    if u[i]["grp"] != m[j]["grp"]:
-                        a.append(u[i]["cls"])
-                        b.append(m[j]["cls"])
+                joined: dict[bytes, bytes] = {}
+
+                def root(g: bytes) -> bytes:
+                    while g in joined:
+                        g = joined[g]
+                    return g
+
+                rows, columns = np.nonzero(s >= ESTIMATE)
+                for k in np.argsort(-s[rows, columns], kind="stable"):
+                    x, y = u[rows[k]], m[columns[k]]
+                    g, h = root(x["grp"]), root(y["grp"])
+                    if g != h and _linked(x["s"], y["s"], percent):
+                        joined[g] = h
+                        a.append(x["cls"])
+                        b.append(y["cls"])
             yield _pair_frame(a, b)
 
     return block.join(chunk, "path").select("u", "m").mapInPandas(compare, PAIRS)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, first: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose sets have 100 * intersection >= percent * union, on the full sets."""
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    place = settle(first.join(wanted, "cls").select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "cls"))
+def _linked(x: bytes, y: bytes, percent: int) -> bool:
+    p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    common = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * common >= percent * (len(p) + len(q) - common)
+
+
+def full_sets(wanted: DataFrame, docs: DataFrame, first: DataFrame, k: int) -> DataFrame:
+    """(cls, s): the whole sets of the wanted classes, read again from one document of each."""
+    place = settle(first.join(wanted.select("cls").distinct(), "cls").select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "cls"))
     rows = texts(docs)
     rows = rows.join(small(place), rows["doc_id"].eqNullSafe(F.col("d")) & (rows["h"] == F.col("g"))).select("cls", "text")
 
@@ -236,18 +290,19 @@ def confirm(pairs: DataFrame, docs: DataFrame, first: DataFrame, k: int, percent
         for batch in batches:
             yield pd.DataFrame({"cls": batch["cls"], "s": [shingles(t).tobytes() for t in batch["text"]]}, dtype=object)
 
-    full = settle(rows.mapInPandas(sets, "cls binary, s binary").dropDuplicates(["cls"]))
+    return settle(rows.mapInPandas(sets, "cls binary, s binary").dropDuplicates(["cls"]))
+
+
+def confirm(pairs: DataFrame, docs: DataFrame, first: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs whose sets have 100 * intersection >= percent * union, on the full sets."""
+    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls")))
+    full = full_sets(wanted, docs, first, k)
     both = (pairs.join(full.select(F.col("cls").alias("a"), F.col("s").alias("x")), "a")
             .join(full.select(F.col("cls").alias("b"), F.col("s").alias("y")), "b"))
 
     def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            good = []
-            for x, y in zip(batch["x"], batch["y"]):
-                p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                common = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield batch.loc[good, ["a", "b"]]
+            yield batch.loc[[_linked(x, y, percent) for x, y in zip(batch["x"], batch["y"])], ["a", "b"]]
 
     return both.select("a", "b", "x", "y").mapInPandas(link, PAIRS)
 
@@ -266,12 +321,23 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     if stays_large:
         pairs = pairs.unionByName(pivot_pairs(dense, classes))
     links = settle(confirm(settle(pairs.distinct()), docs, first, k, percent))
-    groups = settle(connected(links).select(F.col("id").alias("cls"), F.col("group").alias("grp")))
+
+    def grouped(edges: DataFrame) -> DataFrame:
+        return settle(connected(edges).select(F.col("id").alias("cls"), F.col("group").alias("grp")))
+
+    groups = grouped(links)
     if stays_large:
-        more = settle(outsider_pairs(dense, classes, groups).distinct())
+        # smaller groups of copies inside a large node find their own pivots
+        apart = outsiders(dense, groups).filter(F.col("grp") != F.col("main")).select("path", "cls")
+        more = settle(pivot_pairs(settle(apart), classes).distinct())
         if more.limit(1).count():
             links = links.unionByName(confirm(more, docs, first, k, percent))
-            groups = settle(connected(links).select(F.col("id").alias("cls"), F.col("group").alias("grp")))
+            groups = grouped(links)
+        mixed = settle(outsiders(dense, groups))
+        if mixed.limit(1).count():
+            last = settle(outsider_links(mixed, classes, full_sets(mixed, docs, first, k), percent).distinct())
+            if last.limit(1).count():
+                groups = grouped(links.unionByName(last))
     named = classes.select("cls", "low").join(groups, "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
     lowest = named.groupBy("grp").agg(F.min("low").alias("component_id"))
     out = rows.select("doc_id", "h", "n", "cls").join(named.join(lowest, "grp").select("cls", "component_id"), "cls", "left")

@@ -123,18 +123,20 @@ PIVOTS = 64        # at most this many vectors are broadcast
 CELL_ROWS = 512
 CHUNK = 2048       # rows per side in one comparison task
 
-PAIR_TYPE = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()),
-                          T.StructField("distance", T.DoubleType())])
+def _pair_type(left: DataFrame, right: DataFrame) -> T.StructType:
+    """Pairs keep the type of the ids they join."""
+    return T.StructType([T.StructField("a", left.schema["rep"].dataType), T.StructField("b", right.schema["rep"].dataType),
+                         T.StructField("distance", T.DoubleType())])
 
 
 def unit_vectors(items: DataFrame, vector: str = "embedding", ident: str = "id") -> DataFrame:
     """One row per distinct vector: representative id and the vector."""
-    rows = items.filter(F.col(vector).isNotNull()).select(F.col(ident).cast("bigint").alias("id"), F.col(vector).alias("v"))
+    rows = items.filter(F.col(vector).isNotNull()).select(F.col(ident).alias("id"), F.col(vector).alias("v"))
     return rows.groupBy("v").agg(F.min("id").alias("rep")).select("rep", "v")
 
 
 def vector_copies(items: DataFrame, vectors: DataFrame, vector: str = "embedding", ident: str = "id") -> DataFrame:
-    rows = items.select(F.col(ident).cast("bigint").alias("id"), F.col(vector).alias("_v"))
+    rows = items.select(F.col(ident).alias("id"), F.col(vector).alias("_v"))
     return rows.join(vectors, F.col("_v") == F.col("v")).filter("id <> rep").select("rep", "id")
 
 
@@ -157,7 +159,7 @@ def vector_pairs(left: DataFrame, right: DataFrame | None = None, eps: float = N
     wanted = max(1, min(PIVOTS, total // CELL_ROWS))
     picked = right.orderBy(F.xxhash64("rep"), "rep").limit(wanted).collect()  # at most PIVOTS vectors
     if not picked:
-        return left.sparkSession.createDataFrame([], PAIR_TYPE)
+        return left.sparkSession.createDataFrame([], _pair_type(left, right))
     pivots = left.sparkSession.sparkContext.broadcast(matrix(pd.Series([r["v"] for r in picked])))
 
     home_type = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())])
@@ -211,7 +213,7 @@ def vector_pairs(left: DataFrame, right: DataFrame | None = None, eps: float = N
         return pd.DataFrame({"a": a[keep], "b": b[keep], "distance": distance[g, h][keep]})
 
     keys = ["cell", "i", "j"]
-    return hosts.groupBy(*keys).cogroup(guests.groupBy(*keys)).applyInPandas(compare, PAIR_TYPE)
+    return hosts.groupBy(*keys).cogroup(guests.groupBy(*keys)).applyInPandas(compare, _pair_type(left, right))
 
 
 # ---- groups -------------------------------------------------------------------------------------

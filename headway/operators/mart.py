@@ -178,10 +178,10 @@ def with_ratios(df: DataFrame) -> DataFrame:
 
 
 def with_real(df: DataFrame, cpi: DataFrame) -> DataFrame:
-    """Inflation-adjusted columns. The deflator has one row per index year, so it is broadcast."""
+    """Inflation-adjusted columns; the deflator has one row per index year."""
     dim = cpi.select("year", F.col("base_year").alias("real_dollar_year"), F.col("factor_to_base").alias("cpi_factor"))
     real = F.col("operating_expense") * F.col("cpi_factor")
-    return (df.join(F.broadcast(dim), F.col("report_year") == F.col("year"), "left").drop("year")
+    return (df.join(dim, F.col("report_year") == F.col("year"), "left").drop("year")
             .withColumns({
                 "operating_expense_real": F.round(real, 0),
                 "fares_real": F.round(F.col("fares") * F.col("cpi_factor"), 0),

@@ -200,8 +200,7 @@ def profiles_to_download(t):
         F.concat(F.lit("S"), (F.col("c_custkey") % 5).cast("string")).alias("state"),
         F.concat(F.lit("Project "), F.col("c_custkey").cast("string")).alias("name"), F.lit("stage changed").alias("detail"),
         F.lit("stage").alias("kind"))
-    held = t.versions.filter("file_name IS NOT NULL OR id % 2 = 0 OR id % 2 = 1")
-    return archive.to_download(t.project_pages, held, archive.current_projects(t.snapshots), changes).select(
+    return archive.to_download(t.project_pages, t.versions, archive.current_projects(t.snapshot_store), changes).select(
         "project_name", "sponsor", "why")
 
 
@@ -222,7 +221,7 @@ def find_unique(t):
   LEFT JOIN (SELECT DISTINCT project_name, sponsor, 1 AS k FROM versions) v ON v.project_name = p.project_name
     AND v.sponsor = coalesce(p.sponsor, '')""", ("latest", "project_pages", "versions"))
 def archive_coverage(t):
-    return archive.archive_coverage(t.snapshots, t.project_pages, t.versions)
+    return archive.archive_coverage(t.snapshot_store, t.project_pages, t.versions)
 
 
 @query("version_list", "SELECT project_name, sponsor, id, changed FROM versions", ("versions",))

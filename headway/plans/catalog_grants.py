@@ -228,9 +228,9 @@ _change_cols = ["project_name", "sponsor", "state", "mode", "type", "before", "a
 
 
 def _diff(t):
-    pick = grants.pick_pair(grants.snapshots(t.snapshots), date(2000, 10, 1), date(2000, 7, 1))
-    return grants.snapshot_diff(grants.at_snapshot(t.snapshots, pick, "from_date"),
-                                grants.at_snapshot(t.snapshots, pick, "to_date"))
+    pick = grants.pick_pair(grants.snapshots(t.snapshot_store), date(2000, 10, 1), date(2000, 7, 1))
+    return grants.snapshot_diff(grants.at_snapshot(t.snapshot_store, pick, "from_date"),
+                                grants.at_snapshot(t.snapshot_store, pick, "to_date"))
 
 
 @query("snapshot_changes", f"SELECT {', '.join(_change_cols)} FROM changes", ("changes",))
@@ -272,7 +272,7 @@ def project_timeline(t):
              FROM versions GROUP BY 1, 2) v ON v.project_name = p.project_name AND v.sponsor = coalesce(p.sponsor, '')""",
        ("latest", "project_pages", "versions"))
 def grant_listing(t):
-    rows = grants.grant_listing(t.snapshots, t.project_pages, t.versions)
+    rows = grants.grant_listing(t.snapshot_store, t.project_pages, t.versions)
     return rows.select("project_name", "sponsor", "state", "mode", "phase",
                        F.col("cig_request_musd").cast("double").alias("cig_request_musd"), "profile_url",
                        "profile_versions", "profile_changed_at")
@@ -281,7 +281,7 @@ def grant_listing(t):
 @query("grant_listing_filtered", "SELECT project_name, sponsor, phase FROM latest WHERE mode IS NULL AND phase = 'PD' "
        "AND lower(sponsor) LIKE '%chin%'", ("latest",))
 def grant_listing_filtered(t):
-    rows = grants.grant_listing(t.snapshots, t.project_pages, t.versions, mode="Unspecified", phase="PD", sponsor="chin")
+    rows = grants.grant_listing(t.snapshot_store, t.project_pages, t.versions, mode="Unspecified", phase="PD", sponsor="chin")
     return rows.select("project_name", "sponsor", "phase")
 
 
@@ -290,7 +290,7 @@ def grant_listing_filtered(t):
   FROM (SELECT phase, m, grouping_id(phase, m) AS g, count(*) AS projects, sum(cig_request_musd) AS cig_musd
         FROM (SELECT *, coalesce(mode, 'Unspecified') AS m FROM latest) GROUP BY GROUPING SETS ((phase), (m), ()))""", ("latest",))
 def grant_summary(t):
-    return grants.grant_summary(t.snapshots)
+    return grants.grant_summary(t.snapshot_store)
 
 
 @query("version_rollup", "SELECT project_name, sponsor, count(*) AS profile_versions, strftime(max(captured_on) FILTER (WHERE changed), "

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headway.operators import mart
-from headway.session import settle
+from headway.session import scratch, settle
 
 # stand-in labels; ECONOMY is left out so that one code falls through to itself
 LABELS = {"STANDARD": "Bus", "MEDIUM": "Light Rail", "PROMO": "Heavy Rail", "LARGE": "Commuter Rail",
@@ -140,6 +140,14 @@ class Tables:
         rows = grants.with_money(grants.valid_rows(self.dashboard))
         return grants.dedupe_first(rows, ["snapshot_date", *grants.KEY], "line_no")
 
+    @cached_property
+    def snapshot_store(self) -> DataFrame:
+        """The snapshots written once, a folder per date; what reads single dates or reads twice starts here."""
+        from headway.sources import writers
+        path = scratch(self.spark, "snapshot-store")
+        writers.overwrite_snapshot(self.snapshots, path)
+        return self.spark.read.parquet(path)
+
     @cached_property
     def project_pages(self) -> DataFrame:
         """One page link per project, with the file it points to."""

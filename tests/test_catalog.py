@@ -8,7 +8,6 @@ import pytest
 import __spark_entry__ as entry
 
 FOLDER = os.environ.get("HEADWAY_TESTDATA", "/root/testdata/sf0.001")
-HEAVY = {"link_profiles", "remode_counts", "agency_documents", "document_export", "duplicate_groups"}
 
 
 def tidy(v):
@@ -37,7 +36,7 @@ def test_names():
 
 
 @pytest.mark.skipif(not Path(FOLDER).exists(), reason="driver tables not present")
-@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - HEAVY))
+@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql())))
 def test_query_equals_sql(spark, duck, name):
     df = entry.queries()[name](spark, FOLDER)
     cols = sorted(df.columns)

@@ -80,6 +80,11 @@ def test_already_published_matches_brute_force(spark):
     assert {r["id"] for r in got.collect()} == want
 
 
+def test_vector_pairs_keep_text_ids(spark):
+    df = spark.createDataFrame([("x1", [1.0, 0.0]), ("x2", [0.99, 0.01]), ("y", [0.0, 1.0])], "id string, embedding array<double>")
+    assert [(r["a"], r["b"]) for r in duplicates.vector_pairs(duplicates.unit_vectors(df)).collect()] == [("x1", "x2")]
+
+
 def test_vector_pairs_are_exact(spark, monkeypatch):
     monkeypatch.setattr(duplicates, "CELL_ROWS", 20)
     monkeypatch.setattr(duplicates, "CHUNK", 16)

@@ -141,10 +141,12 @@ def feedback_events(t):
     return contacts.feedback_events(t.feedback).select("notification_id", "message_id", "email", "type", "detail", "reason")
 
 
+common("stopped", "SELECT 'customer.' || c_custkey || '@example.org' AS email, 'bounced' AS reason FROM customer WHERE c_acctbal < 0")
+
+
 @query("feedback_suppressions", """
-  WITH stored AS (SELECT 'customer.' || c_custkey || '@example.org' AS email, 'bounced' AS reason FROM customer WHERE c_acctbal < 0)
-  SELECT email, reason FROM stored UNION ALL
-  SELECT email, min_by(reason, (ts, reason)) FROM feedback WHERE reason IS NOT NULL AND email NOT IN (SELECT email FROM stored) GROUP BY 1""", ("feedback",))
+  SELECT email, reason FROM stopped UNION ALL
+  SELECT email, min_by(reason, (ts, reason)) FROM feedback WHERE reason IS NOT NULL AND email NOT IN (SELECT email FROM stopped) GROUP BY 1""", ("feedback", "stopped"))
 def feedback_suppressions(t):
     new = contacts.feedback_suppressions(contacts.feedback_events(t.feedback))
     return contacts.suppress(t.suppressions, new).select("email", "reason")

@@ -26,25 +26,26 @@ def contact_columns(rows: DataFrame) -> DataFrame:
                        pick(NAME_HEADERS).alias("name"), split.alias("tags"))
 
 
-def parse_contacts(lines: DataFrame, column: str = "value", header: list[str] | None = None) -> DataFrame:
-    """Lines of one contact file to (address, name, tags).
+def parse_contacts(rows: DataFrame) -> DataFrame:
+    """Rows of contact files to (file, line_no, address, name, tags), each file by its own first row.
 
-    With a header naming an address column its other columns are found by name; without one a line is
-    ``address[,name]``. ``header`` is the first line's fields when the caller has already looked.
+    ``rows(file, line_no, cells)``. A first row that names an address column is a header, and the file's other
+    columns are found by name; otherwise the cells are address and name. Only the first row of each file is
+    folded and joined back.
     """
-    if header is None:
-        first = lines.limit(1).collect()  # one line
-        text = (first[0][column] if first else "") or ""
-        header = text.split(",") if "email" in text.lower() or "e-mail" in text.lower() else None
-    if header is None:
-        cells = F.from_csv(F.col(column), "address string, name string")
-        rows = lines.withColumn("_r", cells).select(F.trim(F.coalesce("_r.address", F.lit(""))).alias("address"),
-                                                    F.trim(F.coalesce("_r.name", F.lit(""))).alias("name"))
-        return rows.filter("address <> ''").withColumn("tags", array_of())
-    names = [h.strip().strip('"').strip().lower() for h in header]
-    schema = ", ".join(f"`c{i}` string" for i in range(len(names)))
-    wide = lines.filter(F.col(column) != F.lit(",".join(header))).select(F.from_csv(F.col(column), schema).alias("r"))
-    return contact_columns(wide.select(*[F.col(f"r.c{i}").alias(n) for i, n in enumerate(names)]))
+    low = F.transform(F.col("head"), lambda c: F.lower(F.trim(F.coalesce(c, F.lit("")))))
+    at = lambda options: F.coalesce(*[F.nullif(F.array_position("low", o), F.lit(0)) for o in options])
+    heads = rows.groupBy("file").agg(F.min_by("cells", "line_no").alias("head"), F.min("line_no").alias("first")).withColumn("low", low)
+    heads = heads.select("file", "first", at(EMAIL_HEADERS).alias("at_email"), at(NAME_HEADERS).alias("at_name"), at(("tags",)).alias("at_tags"))
+    both = rows.join(heads, "file").filter(F.col("at_email").isNull() | (F.col("line_no") != F.col("first")))
+    cell = lambda n: F.trim(F.coalesce(F.get("cells", (n - 1).cast("int")), F.lit("")))
+    named = F.col("at_email").isNotNull()
+    address = F.when(named, cell(F.col("at_email"))).otherwise(cell(F.lit(1)))
+    name = F.when(named & F.col("at_name").isNull(), "").when(named, cell(F.col("at_name"))).otherwise(cell(F.lit(2)))
+    tags = F.when(named & F.col("at_tags").isNotNull(), cell(F.col("at_tags"))).otherwise("")
+    split = F.filter(F.transform(F.split(tags, "[;,]"), lambda x: F.trim(x)), lambda x: x != "")
+    out = both.select("file", "line_no", address.alias("address"), name.alias("name"), split.alias("tags"))
+    return out.filter("address <> '' OR name <> ''")
 
 
 # ---- outcomes -----------------------------------------------------------------------------------

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from headway.functions.columns import normalize_email
 from headway.operators import contacts
 from headway.plans.catalog import common, query
+from headway.session import settle
 from headway.sources import writers
 
 common("contacts", """
@@ -224,6 +225,23 @@ def contact_export(t):
     return rows.select("email", "name", "status", "source", "tags", F.substring("confirmed_at", 1, 10).alias("confirmed_on"))
 
 
+@query("contact_files", """
+  SELECT email AS address, name || chr(10) || 'Dept, "A"' AS name, 'x;' || status AS tags, 'named' AS kind FROM contacts WHERE name IS NOT NULL
+  UNION ALL SELECT email, coalesce(name, ''), '', 'bare' FROM contacts""", ("contacts",))
+def contact_files(t):
+    """Files as people have them: with a header in another order and quoted line breaks, and without a header."""
+    from headway.operators.contacts import parse_contacts
+    from headway.session import scratch
+    from headway.sources.readers import read_contact_files
+    path = scratch(t.spark, "contact-files")
+    named = t.contacts.filter("name IS NOT NULL").select(
+        F.concat(F.lit("x;"), "status").alias("Tags"), F.col("email").alias("E-Mail"), F.concat("name", F.lit('\n' + 'Dept, "A"')).alias("Full Name"))
+    named.write.option("quoteAll", True).option("escape", '"').csv(path + "/named", header=True)
+    t.contacts.select("email", "name").write.csv(path + "/bare", header=False)
+    rows = parse_contacts(settle(read_contact_files(t.spark, path + "/*", 8)))
+    return rows.select("address", "name", F.array_join("tags", ";").alias("tags"), F.when(F.contains("file", F.lit("/named/")), "named").otherwise("bare").alias("kind"))
+
+
 @query("contact_file_round_trip", "SELECT email AS address, coalesce(name, '') AS name, array_to_string(tags, ';') AS tags FROM contacts WHERE status = 'bounced'", ("contacts",))
 def contact_file_round_trip(t):
     """Exported as CSV, read back through its header."""

@@ -55,9 +55,12 @@ def read_dimension(spark: SparkSession, path: str, key: str, schema: T.StructTyp
     return reader.json(path).select(F.inline(F.col(key)))
 
 
-def read_contact_file(spark: SparkSession, path: str) -> DataFrame:
-    """Contact CSV lines -> (line, address, name, tags); see ``operators.contacts.parse_contacts``."""
-    from headway.operators.contacts import parse_contacts
+def read_contact_files(spark: SparkSession, path: str, width: int) -> DataFrame:
+    """Contact CSV files as (file, line_no, cells), up to ``width`` cells a row; for ``operators.contacts.parse_contacts``.
 
-    raw = spark.read.text(path, wholetext=False)
-    return parse_contacts(raw)
+    Quoted values may hold line breaks, so a file is read by one task, in order.
+    """
+    cells = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    rows = spark.read.schema(cells).option("multiLine", True).option("escape", '"').csv(path, header=False)
+    return rows.select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"),
+                       F.array(*[F.col(c) for c in cells.names]).alias("cells"))

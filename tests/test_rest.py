@@ -36,11 +36,11 @@ def test_picture_candidates(spark):
 
 
 def test_contact_files(spark):
-    named = spark.createDataFrame([("E-Mail,Full Name,Tags",), ("a@b.co,Ann,x;y",), ('"C <c@d.org>",,',)], "value string")
-    got = [(r["address"], r["name"], r["tags"]) for r in contacts.parse_contacts(named).collect()]
-    assert got == [("a@b.co", "Ann", ["x", "y"]), ("C <c@d.org>", "", [])]
-    bare = spark.createDataFrame([("a@b.co,Ann",), ("",), ("c@d.org",)], "value string")
-    assert [(r["address"], r["name"]) for r in contacts.parse_contacts(bare).collect()] == [("a@b.co", "Ann"), ("c@d.org", "")]
+    rows = [("f1", 0, ["Tags", "E-Mail", "Full Name"]), ("f1", 1, ["x;y", "a@b.co", "Ann"]), ("f1", 2, [None, "C <c@d.org>", "two\nlines"]), ("f1", 3, ["E-Mail", "", ""]),
+            ("f2", 7, ["a@b.co", "Ann", None]), ("f2", 8, ["c@d.org", None, None]), ("f2", 9, [None, None, None])]
+    got = [(r["file"], r["address"], r["name"], r["tags"]) for r in contacts.parse_contacts(
+        spark.createDataFrame(rows, "file string, line_no bigint, cells array<string>")).orderBy("file", "line_no").collect()]
+    assert got == [("f1", "a@b.co", "Ann", ["x", "y"]), ("f1", "C <c@d.org>", "two\nlines", []), ("f2", "a@b.co", "Ann", []), ("f2", "c@d.org", "", [])]
 
 
 def test_first_suppression_reason_stays(spark):

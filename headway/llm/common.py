@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows up to which a table may be broadcast; a larger one is joined by shuffling both sides.
@@ -19,22 +19,22 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id"), text.alias("text"), F.xxhash64(text).alias("h"))
 
 
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    return df.limit(rows + 1).count() <= rows
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is (then both sides are shuffled)."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if is_small(df, rows) else df
 
 
-def same_key(left: DataFrame, right: DataFrame, names: tuple[str, ...] = ("doc_id", "h")) -> Column:
-    """Null-safe equality of key columns."""
-    cond = F.lit(True)
-    for n in names:
-        cond = cond & left[n].eqNullSafe(right[n])
-    return cond
+def counts_of(words: DataFrame, wanted: DataFrame, name: str = "n") -> DataFrame:
+    """(term, count) of the wanted terms among ``words(term)``.
 
-
-def fresh(df: DataFrame, stem: str) -> str:
-    """A column name that ``df`` does not have yet."""
-    taken = {c.lower() for c in df.columns}
-    while stem in taken:
-        stem += "_"
-    return stem
+    Few wanted terms are broadcast, so other words go before they are counted; many meet the counts of all words
+    instead, which are folded before they move.
+    """
+    count = F.count(F.lit(1)).alias(name)
+    if is_small(wanted):
+        return words.join(F.broadcast(wanted), "term", "left_semi").groupBy("term").agg(count)
+    return words.groupBy("term").agg(count).join(wanted, "term", "left_semi")

@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headway.llm.common import small, texts
+from headway.llm.common import counts_of, small, texts
 from headway.session import settle
 
 WINDOW = 10
@@ -50,8 +50,8 @@ def lookups(docs: DataFrame, table: DataFrame) -> DataFrame:
     A phrase that has one distinct term only looks it up twice.
     """
     places = table.select("phrase", F.posexplode("terms").alias("offset", "term"))
-    counts = occurrences(docs, places.select("term").distinct()).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    known = settle(counts)
+    corpus = texts(docs).select(F.explode(words(F.col("text"))).alias("term"))
+    known = settle(counts_of(corpus, places.select("term").distinct()))
     rated = places.join(known, "term", "left").select("phrase", F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset").alias("x"))
     # at most ``window`` rows per phrase
     best = rated.groupBy("phrase").agg(F.array_sort(F.collect_list("x")).alias("x"))

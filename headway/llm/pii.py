@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headway.llm.common import small, texts
+from headway.llm.common import counts_of, texts
 from headway.session import settle
 
 #: The base patterns, in the order in which kinds are listed.
@@ -120,9 +120,9 @@ def disclosing(docs: DataFrame, near: DataFrame, support: int = SUPPORT, general
     both = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support)
     entities = near.select("doc_id", "h", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
     both = settle(both.join(entities, "entity"))
-    wanted = small(both.select("term").distinct())
+    wanted = both.select("term").distinct()
     words = texts(docs).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0))).alias("term"))
-    held = words.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_t"))
+    held = counts_of(words, wanted, "n_t")
     total = docs.agg(F.count(F.lit(1)).alias("n"))  # one row
     rated = both.join(held, "term").crossJoin(F.broadcast(total))
     share = F.log2(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log2(F.col("n") / F.col("n_e"))

@@ -115,6 +115,20 @@ def op10_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return chosen_path.judge(table(spark, folder, "documents"), k=4)
 
 
+SQL["op10_minhash_near_dedup"] = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents),
+s AS (SELECT DISTINCT r, g FROM (SELECT r, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: w[i:i + 3]) ELSE [w] END) AS g FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.r < b.r GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n a ON a.r = x JOIN n b ON b.r = y WHERE 100 * c >= 80 * (a.n + b.n - c)),
+links AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+reach(r, q) AS (SELECT r, r FROM d UNION SELECT reach.r, links.y FROM reach JOIN links ON links.x = reach.q),
+lowest AS (SELECT reach.r, min(o.doc_id) AS component_id FROM reach JOIN d o ON o.r = reach.q GROUP BY 1)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM d JOIN lowest USING (r) LEFT JOIN n USING (r)"""
+
+
 @query
 def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return pseudo_lm.judge(table(spark, folder, "documents"))

@@ -353,7 +353,12 @@ def judge(docs: DataFrame, k: int, percent: int = 80) -> DataFrame:
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, with its columns; of rows that agree in id and text one stays."""
     found = components(docs, k, percent)
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stay_doc"), F.col("h").alias("_stay_h")).distinct()
-    h = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    kept = docs.join(stay, docs["doc_id"].eqNullSafe(F.col("_stay_doc")) & (h == F.col("_stay_h")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"])
+    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id", "h").distinct()
+    names = ["_id", "_null", "_h", "_row"]
+    while {n.lower() for n in names} & {c.lower() for c in docs.columns}:
+        names = [n + "_" for n in names]
+    # the same key for joining and for folding repeated rows, so that texts are dealt out once
+    keys = lambda h: {names[0]: F.coalesce(F.col("doc_id").cast("string"), F.lit("")), names[1]: F.col("doc_id").isNull(), names[2]: h}
+    mine = docs.withColumns(keys(F.xxhash64(F.coalesce(F.col("text"), F.lit("")))))
+    kept = mine.join(stay.withColumns(keys(F.col("h"))).select(*names[:3]), names[:3], "left_semi")
+    return kept.groupBy(*names[:3]).agg(F.first(F.struct(*docs.columns)).alias(names[3])).select(f"{names[3]}.*")

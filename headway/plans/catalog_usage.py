@@ -159,7 +159,7 @@ def result_csv(t):
     """Whole texts with quotes, commas and line breaks survive a CSV export."""
     path = scratch(t.spark, "csv")
     writers.export_result_csv(t.documents.select("doc_id", "text"), path, "Documents", "driver tables")
-    back = readers.read_flat(t.spark, path + "/data")
+    back = readers.read_flat(t.spark, path + "/data", line_breaks=True)
     return back.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
 

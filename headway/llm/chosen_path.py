@@ -42,6 +42,8 @@ LEAF = 16
 CENTRE, PIVOTS = 64, 8
 #: Outsiders in a block; members, and shingles, in a chunk.
 BLOCK, CHUNK, CHUNK_SHINGLES = 64, 1024, 1_000_000
+#: Pairs of a block and a chunk that a task holds at once.
+PAIRS_AT_ONCE = 8
 ESTIMATE = 0.6
 #: Words whose hashes are kept at hand in a task; the store is emptied when full. It changes speed only.
 WORDS_KEPT = 500_000
@@ -335,7 +337,15 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             groups = grouped(links)
         mixed = settle(outsiders(dense, groups))
         if mixed.limit(1).count():
-            last = settle(outsider_links(mixed, classes, full_sets(mixed, docs, first, k), percent).distinct())
+            sets = full_sets(mixed, docs, first, k)
+            # a row of this comparison is a whole block and chunk: few of them fit into one Arrow batch
+            conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+            usual = conf.get(name)
+            conf.set(name, str(PAIRS_AT_ONCE))
+            try:
+                last = settle(outsider_links(mixed, classes, sets, percent).distinct())
+            finally:
+                conf.set(name, usual)
             if last.limit(1).count():
                 groups = grouped(links.unionByName(last))
     named = classes.select("cls", "low").join(groups, "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))

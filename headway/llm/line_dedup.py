@@ -3,12 +3,13 @@
 Blank lines aside, every line has a hash. A block is the shortest run of lines from a given one that holds at least
 ``BLOCK`` words; its hash is the fingerprint candidate of that line. From every window of lines that holds at least
 ``GUARANTEE`` words the block with the least hash is selected, so two texts that share a run of that many words share
-a selected block. The first occurrence of a block in the corpus (by doc_id, then hash of the text, then line) is the
-original; every later one is matched with it and extended line by line both ways, up to the neighbouring selected
-blocks, which are matched on their own. What a later occurrence has in common with the original is deleted.
+a selected block. Occurrences of a block are ordered by doc_id, then hash of the text, then line. Each is extended line
+by line both ways, past its neighbouring selected blocks and by ``GUARANTEE`` words at least, as far as any earlier
+occurrence shares its lines; what it has in common with any of them is deleted. So no line of a run of ``GUARANTEE``
+words that stands in an earlier document is left.
 
-Each block travels with the hashes of the lines between its neighbours, so extension needs no second look at a text
-and a document's lines are carried at most a few times, however often an original recurs.
+Each block travels with one hash for every length of the context on either side, so extension needs no second look at
+a text, and a document's lines are carried a few times, however often a block recurs.
 
 Defined results: null and empty texts stay as they are; a text that loses every line becomes empty; blank lines around
 deleted lines stay; null doc_ids come last; rows that agree in id and text are one document and fare alike (copies
@@ -17,8 +18,10 @@ under another id are later occurrences); an empty table gives no rows.
 
 from __future__ import annotations
 
-import re
+import struct
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -86,8 +89,10 @@ def selected(hashes: list[int], counts: list[int], block: int, guarantee: int, m
 def fingerprints(docs: DataFrame, block: int = BLOCK, guarantee: int = GUARANTEE) -> DataFrame:
     """One row per selected block: doc_id, text hash h, hash, line, length, before, after.
 
-    ``line`` counts lines that are not blank. before and after are the hashes of the lines around the block, nearest
-    first, as far as the start of the previous and the end of the next selected block.
+    ``line`` counts lines that are not blank. before and after hold, for k = 1, 2, ..., the hash of the block with k
+    lines on that side, as far as the start of the previous and the end of the next selected block and by
+    ``guarantee`` words at least: a run of that many words has a block that all its occurrences select within that
+    distance of either end, though a neighbour may be selected in one of them only.
     """
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import numpy as np
@@ -96,6 +101,10 @@ def fingerprints(docs: DataFrame, block: int = BLOCK, guarantee: int = GUARANTEE
         def mix(run: list[int]) -> int:
             return xxhash.xxh3_64_intdigest(np.array(run, dtype=np.int64).tobytes()) - 2**63
 
+        def chain(value: int, run: list[int]) -> list[int]:
+            return list(accumulate(run, lambda x, y: xxhash.xxh3_64_intdigest(pair(x, y)) - 2**63, initial=value))[1:]
+
+        pair = struct.Struct("<qq").pack
         for batch in batches:
             out: list[tuple] = []
             for doc, h, text in zip(batch["doc_id"], batch["h"], batch["text"]):
@@ -105,10 +114,14 @@ def fingerprints(docs: DataFrame, block: int = BLOCK, guarantee: int = GUARANTEE
                     continue
                 hashes = [xxhash.xxh3_64_intdigest(s.encode()) - 2**63 for _, s, _ in lines]
                 found = selected(hashes, counts, block, guarantee, mix)
+                words = list(accumulate(counts, initial=0))  # before each line
                 for k, (i, length, value) in enumerate(found):
                     low = found[k - 1][0] if k else 0
                     high = found[k + 1][0] + found[k + 1][1] if k + 1 < len(found) else len(lines)
-                    out.append((doc, h, value, i, length, hashes[low:i][::-1], hashes[i + length:high]))
+                    end = i + length
+                    low = min(low, bisect_right(words, words[i] - guarantee) - 1 if words[i] > guarantee else 0)
+                    high = max(high, min(bisect_left(words, words[end] + guarantee), len(lines)))
+                    out.append((doc, h, value, i, length, chain(value, hashes[low:i][::-1]), chain(value, hashes[end:high])))
             yield pd.DataFrame(out, columns=["doc_id", "h", "hash", "line", "length", "before", "after"])
 
     rows = texts(docs)
@@ -117,27 +130,34 @@ def fingerprints(docs: DataFrame, block: int = BLOCK, guarantee: int = GUARANTEE
 
 
 def repeats(blocks: DataFrame) -> DataFrame:
-    """(doc_id, h, first, last): runs of lines, not counting blank ones, that repeat an earlier occurrence."""
-    # a hash that occurs once repeats nothing: counts come first, so that few blocks move with their lines
+    """(doc_id, h, first, last): runs of lines, not counting blank ones, that repeat an earlier occurrence.
+
+    A block with k lines of its context is known by one hash, so the first occurrence of each such run tells whether any
+    earlier text shares it: every occurrence reaches as far as the longest of them, and no pairs are formed.
+    """
+    # a hash that occurs once repeats nothing: counts come first, so that few blocks move with their context
     often = blocks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).select("hash")
     order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "h", "line")
     again = settle(blocks.join(often, "hash").withColumn("own", order))
-    place = F.struct(F.col("own").alias("at"), F.struct("before", "after").alias("context"))
-    original = (again.groupBy("hash").agg(F.min(place).alias("o"))
-                .select("hash", F.col("o.at").alias("at"), F.col("o.context.before").alias("before_o"), F.col("o.context.after").alias("after_o")))
-    later = again.join(original, "hash").filter(F.col("own") > F.col("at"))
 
-    def same(a: str, b: str):
-        """Length of the common head of two arrays."""
-        pairs = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-        return F.coalesce(F.nullif(F.array_position(pairs, False), F.lit(0)) - 1, F.size(pairs).cast("long"))
+    def grown(side: int, chain: str):
+        return F.transform(chain, lambda x, k: F.struct(F.lit(side).alias("side"), (k + 1).alias("k"), x.alias("key")))
+
+    # side -1 is the context before the block, 1 the one after it, 0 the block alone
+    alone = F.array(F.struct(F.lit(0).alias("side"), F.lit(0).alias("k"), F.col("hash").alias("key")))
+    runs = again.select("own", "length", F.explode(F.concat(alone, grown(-1, "before"), grown(1, "after"))).alias("r")).select("own", "length", "r.side", "r.k", "r.key")
+    original = (runs.groupBy("side", "key").agg(F.min("own").alias("at"), F.count(F.lit(1)).alias("n"))
+                .filter(F.col("n") > 1).select("side", "key", "at"))
+    later = runs.join(original, ["side", "key"]).filter(F.col("own") > F.col("at"))
 
-    left, right = same("before", "before_o"), same("after", "after_o")
     # an occurrence inside its original's own document stays clear of the original
+    line, end = F.col("own.line"), F.col("own.line") + F.col("length")
     own = F.col("own.doc_id").eqNullSafe(F.col("at.doc_id")) & (F.col("own.h") == F.col("at.h"))
-    begin = F.when(own, F.greatest("line", F.col("at.line") + F.col("length"))).otherwise(F.col("line"))
-    reach = F.when(own, F.greatest(F.least(left, (begin - F.col("at.line") - F.col("length")).cast("long")), F.lit(0))).otherwise(left)
-    return later.select("doc_id", "h", (begin - reach).cast("int").alias("first"), (F.col("line") + F.col("length") - 1 + right).cast("int").alias("last"))
+    low = F.when(own, F.col("at.line") + F.col("length")).otherwise(F.lit(0))
+    first = F.when(F.col("side") == 1, end).otherwise(F.greatest(line - F.when(F.col("side") == -1, F.col("k")).otherwise(0), low))
+    last = F.when(F.col("side") == -1, line - 1).otherwise(end - 1 + F.col("k"))
+    found = later.select("own", first.alias("first"), last.alias("last")).filter(F.col("first") <= F.col("last"))
+    return found.groupBy("own").agg(F.min("first").alias("first"), F.max("last").alias("last")).select("own.doc_id", "own.h", "first", "last")
 
 
 def remove_repeats(docs: DataFrame, block: int = BLOCK, guarantee: int = GUARANTEE) -> DataFrame:

@@ -204,6 +204,40 @@ def test_repeated_passage_goes_from_the_later_text_only(spark):
     assert got[3] == rows[2][1]  # 40 shared words are below the guarantee
 
 
+def test_runs_shared_with_any_earlier_text_go(spark):
+    rng = random.Random(11)
+    pool = [" ".join(f"p{k}x{j}" for j in range(rng.choice([6, 11, 18, 30]))) for k in range(14)]
+    passages = [[rng.choice(pool) for _ in range(rng.randrange(2, 7))] for _ in range(12)]
+    rows = []
+    for doc in range(150):  # passages nested in and cut from others, between lines of the text's own
+        lines = []
+        for k in range(rng.randrange(1, 5)):
+            run = rng.choice(passages)
+            lines += [f"own{doc}n{k}"] * rng.randrange(2) + run[rng.randrange(2):len(run) - rng.randrange(2)]
+        rows.append((doc, "\n".join(lines)))
+    blocks = line_dedup.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = collections.defaultdict(set)
+    for r in line_dedup.repeats(blocks).collect():
+        got[r.doc_id].update(range(r.first, r.last + 1))
+    lines = [[(x, n) for _, x, n in line_dedup.line_words(t)] for _, t in rows]
+    for d in range(len(rows)):
+        must, may = set(), set()
+        for e in range(d + 1):
+            for shift in range(-len(lines[e]) + 1, len(lines[d])):  # line i of d beside line i - shift of e
+                if e == d and shift <= 0:
+                    continue
+                run = []
+                for i in range(len(lines[d]) + 1):
+                    if i < len(lines[d]) and 0 <= i - shift < len(lines[e]) and lines[d][i] == lines[e][i - shift]:
+                        run.append(i)
+                        continue
+                    words = sum(lines[d][j][1] for j in run)
+                    may.update(run if words >= line_dedup.BLOCK else [])
+                    must.update(run if words >= line_dedup.GUARANTEE and e < d else [])
+                    run = []
+        assert must <= got[d] <= may, d
+
+
 # ---------------------------------------------------------------- 10: near-duplicates
 def components_by_hand(rows, k, percent=80):
     sets = {}

@@ -12,7 +12,8 @@ is entered at its start only (or where the last match ended), and quantifiers th
 
 Defined results: null and empty texts have no spans; positions count code points, the end is exclusive; base spans of
 one kind do not overlap, those of different kinds may, and of overlapping ones the first names the entity; documents
-that agree in id and text count once and fare alike; an entity in fewer than ``support`` documents is not weighed.
+that agree in id and text count once and fare alike; an entity of a single document is weighed like any other: its share
+is 1 - log2(n_t) / log2(N), so a term found nowhere else tells all of it.
 """
 
 from __future__ import annotations
@@ -35,7 +36,8 @@ PATTERNS = [
 TERM = r"[\p{L}\p{N}]{3,}+"
 #: Code points on either side of a mention in which terms count as near.
 NEAR = 40
-SUPPORT = 2
+#: Documents in which an entity and a term must meet; 1 weighs entities of a single document too.
+SUPPORT = 1
 GENERALISE, REMOVE = 0.6, 0.9
 
 

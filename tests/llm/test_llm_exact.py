@@ -69,6 +69,13 @@ def test_terms_that_give_an_entity_away(spark):
     assert "falcon" not in clean and "[EMAIL]" in clean and "the" in clean
 
 
+def test_entity_of_a_single_document_is_weighed(spark):
+    told = [(0, "zebra writes to only@once.org from the lake")]
+    other = [(100 + i, f"the man writes from the lake to house {i}") for i in range(60)]
+    spans = {r.doc_id: r.spans for r in pii.report(spark.createDataFrame(told + other, "doc_id long, text string")).collect()}
+    assert spans[0] == "remove:0:5,email:16:29" and spans[100] == ""
+
+
 def test_very_long_text_has_its_spans(spark):
     text = "ab " * 60_000 + "x@y.zz " + "aaaa" * 20_000 + " 10.0.0.1"
     row = pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()

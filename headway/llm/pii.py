@@ -1,11 +1,11 @@
 """Personal data: base patterns, and terms that give protected entities away.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Each distinct base value is a protected
-entity. Terms near its mentions are weighed by what they tell about it: with N documents, of which n_e mention the
-entity, n_t hold the term and n_et hold both near each other, the term's pointwise mutual information with the entity,
+entity. The terms of the documents that mention it are weighed by what they tell about it: with N documents, of which
+n_e mention the entity, n_t hold the term and n_et hold both, the term's pointwise mutual information with the entity,
 log2(N n_et / (n_e n_t)), is compared with the entity's own information content, log2(N / n_e). A term whose share of
-that content reaches ``remove`` is removed, one that reaches ``generalise`` is replaced by a general word. Counts run
-over all documents. Only built-in functions are used.
+that content reaches ``remove`` for some entity is removed, one that reaches ``generalise`` is replaced by a general
+word, wherever it stands in the corpus outside of base spans. Only built-in functions are used.
 
 Patterns are written so that a match attempt never runs over the same characters again and again: a run of characters
 is entered at its start only (or where the last match ended), and quantifiers that cannot give back are possessive.
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headway.llm.common import counts_of, texts
+from headway.llm.common import counts_of, small, texts
 from headway.session import settle
 
 #: The base patterns, in the order in which kinds are listed.
@@ -34,8 +34,6 @@ PATTERNS = [
 ]
 #: A term: letters and digits, at least three.
 TERM = r"[\p{L}\p{N}]{3,}+"
-#: Code points on either side of a mention in which terms count as near.
-NEAR = 40
 #: Documents in which an entity and a term must meet; 1 weighs entities of a single document too.
 SUPPORT = 1
 GENERALISE, REMOVE = 0.6, 0.9
@@ -93,7 +91,10 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def mentions(based: DataFrame) -> DataFrame:
-    """doc_id, h, entity and ``near``: (start, end, term) of the terms around each group of overlapping base spans."""
+    """doc_id, h, text outside of base spans and ``entities`` of every document with base spans.
+
+    A group of overlapping base spans mentions one entity, that of its first span.
+    """
     def merge(acc: Column, s: Column) -> Column:
         last = F.element_at(acc, -1)
         one = F.array(F.struct(s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
@@ -101,45 +102,64 @@ def mentions(based: DataFrame) -> DataFrame:
         return F.when(F.size(acc) == 0, one).when(last["end"] > s["start"], F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), grown)).otherwise(F.concat(acc, one))
 
     rows = based.filter(F.size("base") > 0).select("doc_id", "h", "text", F.aggregate("base", F.array().cast(LOCATED), merge).alias("g"))
-    low = lambda i: F.greatest(F.col("g")[i]["start"] - NEAR, F.when(i > 0, F.get("g", i - 1)["end"]).otherwise(0))
-    high = lambda i: F.least(F.col("g")[i]["end"] + NEAR, F.coalesce(F.get("g", i + 1)["start"], F.length("text")))
-    windows = F.transform(F.sequence(F.lit(0), F.size("g") - 1), lambda i: F.struct(
-        F.col("g")[i]["value"].alias("entity"),
-        F.array(F.struct(low(i).alias("a"), F.col("g")[i]["start"].alias("b")), F.struct(F.col("g")[i]["end"].alias("a"), high(i).alias("b"))).alias("sides")))
-    # a character more on either side tells whether a term is cut by the window
-    sides = rows.select("doc_id", "h", "text", F.explode(windows).alias("w")).select("doc_id", "h", "text", F.col("w.entity").alias("entity"), F.explode("w.sides").alias("s"))
-    cut = sides.select("doc_id", "h", "entity", F.col("s.a").alias("a"), F.substring("text", F.col("s.a") + 1, F.col("s.b") - F.col("s.a")).alias("part"),
-                       F.when(F.col("s.a") > 0, F.substring("text", F.col("s.a"), F.lit(1))).otherwise("").alias("left"), F.substring("text", F.col("s.b") + 1, F.lit(1)).alias("right"))
-    inner = r"[\p{L}\p{N}]"
-    found = F.filter(F.transform(_located(F.col("part"), TERM), lambda t: t), lambda t: ~((t["start"] == 0) & F.col("left").rlike(inner)) & ~((t["end"] == F.length("part")) & F.col("right").rlike(inner)))
-    return cut.select("doc_id", "h", "entity", F.explode(found).alias("t"), "a").select(
-        "doc_id", "h", "entity", (F.col("t.start") + F.col("a")).alias("start"), (F.col("t.end") + F.col("a")).alias("end"), F.lower("t.value").alias("term"))
-
-
-def disclosing(docs: DataFrame, near: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(entity, term, action) of the terms that give an entity away."""
-    once = near.select("doc_id", "h", "entity", "term").distinct()
-    both = once.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_et")).filter(F.col("n_et") >= support)
-    entities = near.select("doc_id", "h", "entity").distinct().groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    both = settle(both.join(entities, "entity"))
-    wanted = both.select("term").distinct()
-    words = texts(docs).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), 0))).alias("term"))
-    held = counts_of(words, wanted, "n_t")
-    total = docs.agg(F.count(F.lit(1)).alias("n"))  # one row
-    rated = both.join(held, "term").crossJoin(F.broadcast(total))
+    ends = F.concat(F.array(F.lit(0)), F.transform("g", lambda g: g["end"]))
+    starts = F.concat(F.transform("g", lambda g: g["start"]), F.array(F.length("text")))
+    outside = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda x: F.substring("text", x["a"] + 1, x["b"] - x["a"]))
+    return rows.select("doc_id", "h", F.array_join(outside, " ").alias("text"), F.array_distinct(F.transform("g", lambda g: g["value"])).alias("entities"))
+
+
+def terms(text: str) -> Column:
+    """The distinct terms of a text."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), 0), F.lower))
+
+
+def disclosing(docs: DataFrame, told: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """(term, action) of the terms that give an entity away, whichever it is; ``told`` is what ``mentions`` returns."""
+    pairs = told.select("doc_id", "h", F.explode("entities").alias("entity"))
+    entities = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
+    total = F.broadcast(docs.agg(F.count(F.lit(1)).alias("n")))  # one row
+    # a share s needs n_t <= n_et (N / n_e)^(1 - s), and n_et <= n_e: no term above that can qualify (a little is added
+    # for rounding), so common words go before terms meet the entities of their document
+    limit = F.col("n_e") * F.pow(F.col("n") / F.col("n_e"), F.lit(1 - generalise)) * 1.001
+    pairs = settle(pairs.join(entities, "entity").crossJoin(total).withColumn("limit", limit))
+    most = pairs.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.max("limit").alias("most"))
+    here = settle(told.select("doc_id", "h", F.explode(terms("text")).alias("term")))
+    held = counts_of(texts(docs).select(F.explode(terms("text")).alias("term")), here.select("term").distinct(), "n_t")
+    at = lambda x: x["doc_id"].eqNullSafe(F.col("d")) & (x["h"] == F.col("g"))
+    rare = here.join(held, "term").join(most, at(here)).filter(F.col("n_t") <= F.col("most")).select("d", "g", "term", "n_t")
+    both = (pairs.join(rare, at(pairs)).filter(F.col("n_t") <= F.col("limit")).groupBy("entity", "term")
+            .agg(F.count(F.lit(1)).alias("n_et"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"), F.first("n").alias("n")))
     share = F.log2(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log2(F.col("n") / F.col("n_e"))
-    return (rated.filter(F.col("n") > F.col("n_e")).withColumn("share", share).filter(F.col("share") >= generalise)
-            .select("entity", "term", F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("action")))
+    return (both.filter((F.col("n_et") >= support) & (F.col("n") > F.col("n_e"))).withColumn("share", share).filter(F.col("share") >= generalise)
+            .groupBy("term").agg(F.when(F.max("share") >= remove, "remove").otherwise("generalise").alias("action")))
+
+
+def _actions(text: Column, told: Column) -> Column:
+    """(start, end, action) of every occurrence of the terms of ``told``, a map from term to action."""
+    steps = F.arrays_zip(F.transform(F.split(text, TERM), lambda p: F.length(p)).alias("gap"), F.regexp_extract_all(text, F.lit(TERM), 0).alias("value"))
+
+    def step(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        end = start + F.length(x["value"])
+        action = F.element_at(told, F.lower(x["value"]))
+        return F.when(x["value"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.when(action.isNull(), acc["out"]).otherwise(
+            F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), action.alias("action"))))).alias("out")))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,action:string>>").alias("out")), step)["out"]
 
 
 def spans(docs: DataFrame, **thresholds) -> DataFrame:
     """doc_id, h, base spans and added spans (start, end, action) of every distinct document."""
     based = settle(base_spans(docs).select("doc_id", "h", "base", F.when(F.size("base") > 0, F.col("text")).otherwise("").alias("text")).dropDuplicates(["doc_id", "h"]))
-    near = settle(mentions(based))
-    told = disclosing(docs, near, **thresholds)
-    added = (near.join(told, ["entity", "term"]).groupBy("doc_id", "h")
-             .agg(F.array_sort(F.collect_set(F.struct("start", "end", "action"))).alias("added")).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "added"))
-    return based.join(added, based["doc_id"].eqNullSafe(F.col("d")) & (based["h"] == F.col("g")), "left").drop("d", "g", "text")
+    told = settle(disclosing(docs, settle(mentions(based)), **thresholds))
+    rows = texts(docs)
+    hits = rows.select("doc_id", "h", F.explode(terms("text")).alias("term")).join(small(told), "term").groupBy("doc_id", "h")
+    hits = hits.agg(F.map_from_entries(F.collect_set(F.struct("term", "action"))).alias("told")).select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "told")
+    found = rows.join(hits, rows["doc_id"].eqNullSafe(F.col("d")) & (rows["h"] == F.col("g"))).select("d", "g", _actions(F.col("text"), F.col("told")).alias("added"))
+    found = found.dropDuplicates(["d", "g"])
+    out = based.join(found, based["doc_id"].eqNullSafe(F.col("d")) & (based["h"] == F.col("g")), "left")
+    free = F.filter("added", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return out.select("doc_id", "h", "base", free.alias("added"))
 
 
 def report(docs: DataFrame, **thresholds) -> DataFrame:

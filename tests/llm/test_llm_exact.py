@@ -76,6 +76,18 @@ def test_entity_of_a_single_document_is_weighed(spark):
     assert spans[0] == "remove:0:5,email:16:29" and spans[100] == ""
 
 
+def test_terms_are_weighed_in_whole_documents_and_cut_in_all(spark):
+    far = "the lake is calm " * 10
+    told = [(i, f"falcon {far}x{i % 2}@y.org") for i in range(6)]
+    other = [(50, "the calm lake where Falcon is"), (None, "falcon")] + [(100 + i, f"the lake is calm near house {i}") for i in range(900)]
+    docs = spark.createDataFrame(told + other, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in pii.report(docs).collect()}
+    at = len(told[0][1]) - 8
+    # n_e = n_et = 3, n_t = 8, N = 908: share 0.83
+    assert spans[0] == f"generalise:0:6,email:{at}:{at + 8}" and spans[50] == "generalise:20:26" and spans[None] == "generalise:0:6" and spans[100] == ""
+    assert {r.doc_id: r.text for r in pii.sanitise(docs).collect()}[50] == "the calm lake where [TERM] is"
+
+
 def test_very_long_text_has_its_spans(spark):
     text = "ab " * 60_000 + "x@y.zz " + "aaaa" * 20_000 + " 10.0.0.1"
     row = pii.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()

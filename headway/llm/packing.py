@@ -39,9 +39,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encoder(path: str):
+def encoder(path: str, added: bool = False):
     """A function from text to the bytes of its ids (little-endian unsigned 32-bit).
 
+    With ``added``, the contents of added tokens become their ids first, as the tokenizers library does by default;
+    without, they are ordinary text.
+
     The vocabulary of ``path`` is byte-level BPE whose ids are merge ranks; tiktoken reads the same ranks and gives
     the same ids several times faster (a test holds it to the tokenizers library). A space before a word always
     starts a new token, so texts are cut at spaces and repeated words are looked up.
@@ -95,7 +98,20 @@ def encoder(path: str):
             out = [learn(w) if b is None else b for w, b in zip(words, out)]
         return b"".join(out)
 
-    return encode
+    marks = {t["content"]: array("I", [t["id"]]).tobytes() for t in spec.get("added_tokens", [])} if added else {}
+    if not marks:
+        return encode
+    if any(t.get(k) for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+        raise ValueError("added tokens that look at their surroundings are not supported")
+    at_mark = re.compile("(" + "|".join(re.escape(m) for m in sorted(marks, key=len, reverse=True)) + ")")
+
+    def encode_added(text: str) -> bytes:
+        parts = at_mark.split(text)  # texts and marks in turn
+        if len(parts) == 1:
+            return encode(text)
+        return b"".join([marks[x] if i % 2 else encode(x) if x else b"" for i, x in enumerate(parts)])
+
+    return encode_added
 
 
 def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
@@ -107,7 +123,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     rows = texts(docs).select("doc_id", "text")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = encoder(path)
+        encode = encoder(path, added=True)
         last = np.array([end], dtype="<u4").tobytes()
         for batch in batches:
             out: list[tuple] = []

@@ -120,6 +120,20 @@ def test_ids_equal_those_of_the_tokenizers_library():
         assert encode(t) == struct.pack(f"<{len(ids)}I", *ids), repr(t)
 
 
+def test_added_tokens_have_their_own_ids(spark):
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    library = Tokenizer.from_file(path)
+    rng = random.Random(2)
+    parts = ["a", "Bc", " ", "  ", "\n", "é", "23", "'s", "<|endoftext|>", "<|endoftext|", "|>", "word"]
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "<|endoftext|><|endoftext|>"] + ["".join(rng.choice(parts) for _ in range(rng.randrange(14))) for _ in range(2000)]
+    rows = {r.doc_id: r for r in packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, t in enumerate(texts):
+        ids = library.encode(t, add_special_tokens=False).ids + [packing.END]
+        assert (rows[i].length, rows[i].ids_crc32) == (len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))), repr(t)
+
+
 def test_packing_is_a_round_trip(spark, docs):
     from tokenizers import Tokenizer
 

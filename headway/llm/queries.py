@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm import chosen_path, decontamination, exact_topk, licences, line_dedup, packing, pii, pseudo_lm, toxicity, url_rules
+from headway.llm import chosen_path, decontamination, exact_topk, licences, line_dedup, packing, pii, pseudo_lm, spelling, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -132,3 +132,32 @@ FROM d JOIN lowest USING (r) LEFT JOIN n USING (r)"""
 @query
 def op6_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
     return pseudo_lm.judge(table(spark, folder, "documents"))
+
+
+@query
+def op11_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(table(spark, folder, "documents"))
+
+
+SQL["op11_spelling_variants"] = r"""
+WITH RECURSIVE step(i, c, k) AS (SELECT i, i, 0 FROM range(256) t(i) UNION ALL
+    SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM step WHERE k < 8),
+tab AS (SELECT list(c ORDER BY i) AS t FROM step WHERE k = 8),
+runs AS (SELECT d, run, count(*) AS n FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents) GROUP BY d, run),
+bytes AS (SELECT *, hex(encode(d || ':' || run)) AS x FROM runs WHERE length(run) >= 6),
+hashed AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(len(x) // 2), lambda i: CAST(('0x' || x[2 * i + 1:2 * i + 2]) AS BIGINT))),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM bytes, tab),
+spelled AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelled WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+cut AS (SELECT word, i, substr(word, 1, i - 1) AS p, substr(word, i + 1) AS s FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)),
+edits AS (SELECT a.word, b.word AS near FROM cut a JOIN cut b ON a.i = b.i AND a.p = b.p AND a.s = b.s AND a.word <> b.word
+    UNION SELECT cut.word, words.word FROM cut JOIN words ON words.word = p || s
+    UNION SELECT words.word, cut.word FROM cut JOIN words ON words.word = p || s),
+ranked AS (SELECT e.word, e.near, w.n, count(*) OVER (PARTITION BY e.word) AS n_near, row_number() OVER (PARTITION BY e.word ORDER BY w.n DESC, e.near) AS r
+    FROM edits e JOIN words w ON w.word = e.near),
+named AS (SELECT words.word, CASE WHEN r.n >= 5 * words.n THEN near END AS form, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN r.n >= 5 * words.n THEN r.n END AS form_n
+    FROM words LEFT JOIN ranked r ON r.word = words.word AND r.r = 1),
+follow(word, last) AS (SELECT word, word FROM named UNION ALL SELECT f.word, named.form FROM follow f JOIN named ON named.word = f.last WHERE named.form IS NOT NULL)
+SELECT named.word, named.form, last AS root, named.n, named.n_near, named.form_n
+FROM named JOIN follow ON follow.word = named.word JOIN named l ON l.word = last AND l.form IS NULL"""

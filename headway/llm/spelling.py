@@ -72,7 +72,7 @@ def tiles(words: DataFrame, block: int = BLOCK) -> DataFrame:
     paired = blocks.select(*group, "block", "words", other)
     return (paired.groupBy(*group, F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
             .agg(F.collect_list("words").alias("parts"))
-            .filter((F.size("parts") > 1) | (F.size(F.col("parts")[0]) > 1))
+            .filter((F.size("parts") > 1) | ((F.col("low") == F.col("high")) & (F.size(F.col("parts")[0]) > 1)))  # the other block may be empty
             .select("length", "first", "parts"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm import chosen_path, decontamination, exact_topk, licences, line_dedup, packing, pii, pseudo_lm, spelling, toxicity, url_rules
+from headway.llm import chosen_path, collocations, decontamination, exact_topk, licences, line_dedup, packing, pii, pseudo_lm, spelling, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -161,3 +161,29 @@ named AS (SELECT words.word, CASE WHEN r.n >= 5 * words.n THEN near END AS form,
 follow(word, last) AS (SELECT word, word FROM named UNION ALL SELECT f.word, named.form FROM follow f JOIN named ON named.word = f.last WHERE named.form IS NOT NULL)
 SELECT named.word, named.form, last AS root, named.n, named.n_near, named.form_n
 FROM named JOIN follow ON follow.word = named.word JOIN named l ON l.word = last AND l.form IS NULL"""
+
+
+@query
+def op12_phrase_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine(table(spark, folder, "documents"))
+
+
+SQL["op12_phrase_collocations"] = r"""
+WITH pieces AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS p FROM (SELECT coalesce(CAST(lang AS VARCHAR), 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
+w AS (SELECT row_number() OVER () AS piece, lang, list_filter(string_split_regex(p, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+t AS (SELECT piece, lang, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+u AS MATERIALIZED (SELECT lang, x, x || ' ' || lead(x) OVER p AS y, x || ' ' || lead(x) OVER p || ' ' || lead(x, 2) OVER p AS z FROM t WINDOW p AS (PARTITION BY piece ORDER BY i)),
+f AS MATERIALIZED (SELECT lang, 1 AS k, x AS phrase, count(*) AS f FROM u GROUP BY ALL HAVING count(*) >= 10
+    UNION ALL SELECT lang, 2, y, count(*) FROM u WHERE y IS NOT NULL GROUP BY ALL HAVING count(*) >= 10
+    UNION ALL SELECT lang, 3, z, count(*) FROM u WHERE z IS NOT NULL GROUP BY ALL HAVING count(*) >= 10),
+c AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND f >= 10),
+halves AS MATERIALIZED (SELECT lang, phrase, a, cut, array_to_string(w[1:cut], ' ') AS x, array_to_string(w[cut + 1:k], ' ') AS y FROM c, (VALUES (1), (2)) t(cut) WHERE cut < k),
+cuts AS (SELECT h.*, l.f AS l, r.f AS r, 1000000::HUGEINT * a * a // (l.f::HUGEINT * r.f) AS score FROM halves h
+    JOIN f l ON l.lang = h.lang AND l.phrase = h.x JOIN f r ON r.lang = h.lang AND r.phrase = h.y),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inner_of AS (SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS longer FROM c, (VALUES (1), (2)) t(i) WHERE k = 3 GROUP BY ALL),
+kept AS (SELECT lowest.* FROM lowest LEFT JOIN inner_of i ON i.lang = lowest.lang AND i.phrase = lowest.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM kept JOIN totals ON totals.lang = kept.lang QUALIFY rank <= 2000"""

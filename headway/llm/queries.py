@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headway.llm import chosen_path, collocations, decontamination, exact_topk, licences, line_dedup, packing, pii, pseudo_lm, spelling, toxicity, url_rules
+from headway.llm import chosen_path, collocations, decontamination, exact_topk, languages, licences, line_dedup, packing, pii, pseudo_lm, spelling, toxicity, url_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -187,3 +187,8 @@ inner_of AS (SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(a) AS
 kept AS (SELECT lowest.* FROM lowest LEFT JOIN inner_of i ON i.lang = lowest.lang AND i.phrase = lowest.phrase WHERE longer IS NULL OR 100 * longer < 50 * a)
 SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
 FROM kept JOIN totals ON totals.lang = kept.lang QUALIFY rank <= 2000"""
+
+
+@query
+def op13_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.judge(table(spark, folder, "documents"))

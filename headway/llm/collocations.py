@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from headway.session import settle
 
 #: Bytes of text in a shard; rows in a batch of counts.
-SHARD = 16_000_000
-ROWS = 100_000
+SHARD = 4_000_000
+ROWS = 50_000
 #: Bits of the filter for each phrase in it, and bits at most.
 BITS_EACH = 16
 MOST_BITS = 1 << 28
@@ -86,7 +86,7 @@ def symbols(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, pa.Array]:
     letters = LOWER[data[word]]
     words = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
     coded = words.dictionary_encode()
-    piece = np.cumsum((kind == BREAK) | first)[starts]
+    piece = np.searchsorted(np.flatnonzero((kind == BREAK) | first), starts, "right")
     piece = np.cumsum(np.diff(piece, prepend=piece[:1]) > 0) if len(piece) else piece
     text = np.zeros(len(starts) + (int(piece[-1]) if len(piece) else 0) + 2, np.int64)
     text[np.arange(len(starts)) + piece + 1] = coded.indices.to_numpy() + 1

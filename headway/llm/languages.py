@@ -35,7 +35,7 @@ HOME = 0.5
 ROWS_EACH = 16
 HASHES = 3
 #: Characters worked on at once.
-SLICE = 2_000_000
+SLICE = 400_000
 
 GRAMS = "lang string, gram long, n long"
 

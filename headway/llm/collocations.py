@@ -167,20 +167,30 @@ class Both:
 
 
 # ------------------------------------------------------------------ filter of frequent phrases
-def key_of(lang: str, phrase: str) -> str:
-    return f"{lang}\t{phrase}"
+def mixed(h: np.ndarray, more: np.ndarray) -> np.ndarray:
+    h = (h ^ more) * np.uint64(0x9E3779B97F4A7C15)
+    return h ^ h >> np.uint64(29)
 
 
-def passes(bits: np.ndarray, lang: str, phrases: pa.Array) -> np.ndarray:
-    """Whether the filter knows each phrase."""
+def word_hashes(words: list[bytes]) -> np.ndarray:
     import xxhash
 
-    head = lang.encode() + b"\t"
-    h = np.fromiter((xxhash.xxh64_intdigest(head + p, 42) for p in phrases.to_pylist()), np.uint64, len(phrases))
-    found = np.ones(len(h), bool)
-    for at in (h, h >> np.uint64(32)):
-        at = at & np.uint64(len(bits) * 8 - 1)
-        found &= bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1 == 1
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+
+
+def positions(lang: str, columns: list[np.ndarray], size: int) -> list[np.ndarray]:
+    """The two bits of phrases, given the hashes of their first, second .. words, in a filter of ``size`` bits."""
+    h = np.full(len(columns[0]), word_hashes([lang.encode()])[0])
+    for c in columns:
+        h = mixed(h, c)
+    return [(x & np.uint64(size - 1)).astype(np.int64) for x in (h, h >> np.uint64(32))]
+
+
+def passes(bits: np.ndarray, lang: str, columns: list[np.ndarray]) -> np.ndarray:
+    """Whether the filter knows each phrase."""
+    found = np.ones(len(columns[0]), bool)
+    for at in positions(lang, columns, len(bits) * 8):
+        found &= bits[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1
     return found
 
 
@@ -190,10 +200,19 @@ def filter_bits(frequent: DataFrame) -> np.ndarray:
     rows = frequent.count()
     while size < min(MOST_BITS, rows * BITS_EACH):
         size *= 2
-    h = F.xxhash64(F.concat("lang", F.lit("\t"), "phrase"))
-    at = F.explode(F.array(h.bitwiseAND(F.lit(size - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(size - 1))))
-    pieces = (frequent.select(at.alias("at")).groupBy(F.shiftright("at", 15).alias("piece"))
-              .agg(F.bitmap_construct_agg((F.col("at") % 32768)).alias("bits")).collect())
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sorts: dict[tuple[str, int], list[list[bytes]]] = {}
+            for lang, phrase in zip(batch.column("lang").to_pylist(), batch.column("phrase").to_pylist()):
+                words = phrase.encode().split(b" ")
+                sorts.setdefault((lang, len(words)), []).append(words)
+            for (lang, _), phrases in sorts.items():
+                for at in positions(lang, [word_hashes(list(c)) for c in zip(*phrases)], size):
+                    yield pa.RecordBatch.from_arrays([pa.array(at >> 15), pa.array(at & 32767)], ["piece", "at"])
+
+    pieces = (frequent.select("lang", "phrase").mapInArrow(place, "piece long, at long")
+              .groupBy("piece").agg(F.bitmap_construct_agg("at").alias("bits")).collect())
     bits = np.zeros(size // 8, np.uint8)
     for r in pieces:
         bits[r["piece"] * 4096:(r["piece"] + 1) * 4096] = np.frombuffer(r["bits"], np.uint8)
@@ -218,10 +237,12 @@ def shard_counts(lang: str, texts: pa.Array, lengths: range, bits: np.ndarray |
         if not len(words):
             continue
 
+        hashes = word_hashes(words.to_pylist()) if bits is not None else None
+
         def may(phrases: np.ndarray) -> np.ndarray:
-            if bits is None or phrases.shape[1] < 2:
+            if hashes is None or phrases.shape[1] < 2:
                 return np.ones(len(phrases), bool)
-            return passes(bits, lang, joined(words, phrases))
+            return passes(bits, lang, [hashes[c - 1] for c in phrases.T])
 
         if 1 in lengths:
             yield batch(0, pa.array([b""], pa.large_binary()), np.array([np.count_nonzero(text)]))
@@ -231,32 +252,40 @@ def shard_counts(lang: str, texts: pa.Array, lengths: range, bits: np.ndarray |
                 continue
             for at in range(0, len(n), ROWS):
                 some, m = phrases[at:at + ROWS], n[at:at + ROWS]
-                if length > 2 and bits is not None:  # the other part of one word less
-                    known = passes(bits, lang, joined(words, some[:, 1:] if length % 2 == 0 else some[:, :-1]))
+                if length > 2:  # the other part of one word less
+                    known = may(some[:, 1:] if length % 2 == 0 else some[:, :-1])
                     some, m = some[known], m[known]
                 if len(m):
                     yield batch(length, joined(words, some), m)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Table]:
+    """Batches put together until they have ``size`` bytes."""
+    pending: list[pa.RecordBatch] = []
+    for batch in batches:
+        pending.append(batch)
+        if sum(b.nbytes for b in pending) >= size:
+            yield pa.Table.from_batches(pending)
+            pending = []
+    if pending:
+        yield pa.Table.from_batches(pending)
+
+
 def counted(docs: DataFrame, lengths: range, bits: np.ndarray | None = None, size: int = SHARD) -> DataFrame:
     """(lang, length, phrase, n) over all documents."""
     held = docs.sparkSession.sparkContext.broadcast(bits) if bits is not None else None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush(pending: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = pa.Table.from_batches(pending)
-            for lang in pc.unique(rows["lang"]).to_pylist():
-                texts = rows.filter(pc.equal(rows["lang"], lang))["text"].cast(pa.large_binary()).combine_chunks()
-                yield from shard_counts(lang, texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts, lengths, held.value if held is not None else None, size)
-
-        pending: list[pa.RecordBatch] = []
-        for batch in batches:
-            pending.append(batch)
-            if sum(b.nbytes for b in pending) >= size:
-                yield from flush(pending)
-                pending = []
-        if pending:
-            yield from flush(pending)
+        pa.set_memory_pool(pa.system_memory_pool())  # gives memory back between shards
+        for rows in gathered(batches, size):
+            langs = np.array(rows["lang"].to_pylist(), object)
+            sizes = pc.binary_length(rows["text"]).to_numpy()
+            for lang in sorted(set(langs)):
+                own = np.flatnonzero(langs == lang)
+                part = np.cumsum(sizes[own]) // size
+                for k in np.unique(part):
+                    texts = rows["text"].take(pa.array(own[part == k])).combine_chunks().cast(pa.large_binary())
+                    yield from shard_counts(lang, texts, lengths, held.value if held is not None else None, size)
 
     rows = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     return rows.mapInArrow(count, COUNTS).groupBy("lang", "length", "phrase").agg(F.sum("n").alias("n"))

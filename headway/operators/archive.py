@@ -217,15 +217,15 @@ def find_unique(documents: DataFrame, projects: DataFrame) -> DataFrame:
     """The single project each document belongs to, else a reason.
 
     Every (document, project) pair is judged alone, so a document is compared only with projects the
-    linker can reach from it and ``hits`` counts them. ``documents(profile_id, title, key, states)``.
+    linker can reach from it; ``hits`` counts them and the reason names them. ``documents(profile_id, title, key, states)``.
     """
     from headway.operators.linkage import pair_links
     hits = pair_links(projects.select(F.col("project_name").alias("name"), "state"), documents)
-    per = hits.groupBy("profile_id").agg(F.count(F.lit(1)).alias("hits"), F.min("name").alias("_name"),
-                                         F.min_by("state", "name").alias("_state"))
+    per = hits.groupBy("profile_id").agg(F.count(F.lit(1)).alias("hits"), F.min("name").alias("_name"), F.min_by("state", "name").alias("_state"),
+                                         F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("_names"))
     out = documents.join(per, "profile_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     one = F.col("hits") == 1
-    reason = (F.when(F.col("hits") > 1, F.format_string("matches several projects: %d", F.col("hits")))
+    reason = (F.when(F.col("hits") > 1, F.concat(F.lit("matches several projects: "), "_names"))
               .when(F.col("hits") == 0, F.concat(F.lit("no current project matches “"), "title", F.lit("”"))))
     return out.select("profile_id", "title", "hits", F.when(one, F.col("_name")).alias("project_name"),
                       F.when(one, F.col("_state")).alias("state"), reason.alias("reason"))

@@ -59,29 +59,57 @@ def _grams(key: Column, size: int = 2) -> Column:
 MATCHES = 6  # shared rare runs a pair must show before it is looked at
 
 
-def _rare_grams(keys: DataFrame, spread: DataFrame) -> DataFrame:
-    """(id, least, g) for the rarest part of each key that two close keys must share.
+def _rare_grams(keys: DataFrame, spread: DataFrame, floor: float) -> DataFrame:
+    """(key, least, g) for the rarest part of each key that two close keys must share.
 
     Matched letters M of a pair with ratio r satisfy 2M = r * (la + lb), the shared numbered runs are
-    at least 3M - (la + lb) - 1, and la + lb >= la * 2 / (2 - r): so any two keys with ratio >= FLOOR
+    at least 3M - (la + lb) - 1, and la + lb >= la * 2 / (2 - r): so any two keys with ratio >= floor
     share at least ``need`` runs, and after sorting by rarity ``least <= need`` of them lie among the
     first ``runs - need + least`` of both.
     """
-    total = 2 / (2 - FLOOR)
-    need = F.greatest(F.ceil(F.length("key") * ((1.5 * FLOOR - 1) * total) - 1 - 1e-9), F.lit(1)).cast("int")
-    grams = keys.select("id", "key", F.explode(_grams(F.col("key"))).alias("g"))
-    ranked = (grams.join(spread, "g").groupBy("id", "key")
+    total = 2 / (2 - floor)
+    need = F.greatest(F.ceil(F.length("key") * ((1.5 * floor - 1) * total) - 1 - 1e-9), F.lit(1)).cast("int")
+    grams = keys.select("key", F.explode(_grams(F.col("key"))).alias("g"))
+    ranked = (grams.join(spread, "g").groupBy("key")
               .agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs"))  # one name's letters
               .withColumn("need", need).withColumn("least", F.least("need", F.lit(MATCHES))))
-    return ranked.select("id", "least", F.explode(
+    return ranked.select("key", "least", F.explode(
         F.slice("gs", F.lit(1), F.size("gs") - F.col("need") + F.col("least"))["g"]).alias("g"))
 
 
-@F.pandas_udf(T.DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-block similarity of two short names."""
-    from difflib import SequenceMatcher
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+def common_letters(a: str, places: dict[str, int], size: int) -> int:
+    """Length of the longest common subsequence with a text of ``size`` letters, given each letter's places in it as bits."""
+    free = (1 << size) - 1
+    every = free
+    for letter in a:
+        hit = free & places.get(letter, 0)
+        free = (free + hit | free - hit) & every
+    return size - free.bit_count()
+
+
+def sequence_ratio(floor: float):
+    """Matching-block similarity of two short names; 0 if it can't reach ``floor``.
+
+    Matching blocks are a common subsequence, whose length takes a fraction of the time to find.
+    """
+    @F.pandas_udf(T.DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        from difflib import SequenceMatcher
+        matcher, places, out = SequenceMatcher(None), {}, []
+        for x, y in zip(a, b):
+            if y != matcher.b or not out:
+                matcher.set_seq2(y)  # its index is kept while rows of one name follow each other
+                places = {}
+                for i, letter in enumerate(y):
+                    places[letter] = places.get(letter, 0) | 1 << i
+            if 2 * common_letters(x, places, len(y)) < (floor - 1e-9) * (len(x) + len(y)):
+                out.append(0.0)
+                continue
+            matcher.set_seq1(x)
+            out.append(matcher.ratio())
+        return pd.Series(out, dtype=float)
+
+    return ratio
 
 
 def _blocked(projects: DataFrame, profiles: DataFrame):
@@ -122,29 +150,57 @@ def _contained(p_rows: DataFrame, f_rows: DataFrame) -> DataFrame:
             .select("id", "profile_id").distinct())
 
 
-def _close_pairs(p_rows: DataFrame, f_blocks: DataFrame) -> DataFrame:
-    """Pairs with spelling ratio above FLOOR, met through rare letter runs."""
-    p_keys = p_rows.select("id", "key").distinct()
-    f_keys = f_blocks.select(F.col("profile_id").alias("id"), F.col("fkey").alias("key")).distinct()
-    spread = (p_keys.select(F.explode(_grams(F.col("key"))).alias("g"))
-              .unionByName(f_keys.select(F.explode(_grams(F.col("key"))).alias("g")))
+def candidate_names(p_keys: DataFrame, f_keys: DataFrame, floor: float) -> DataFrame:
+    """(key, fkey) of different spellings whose ratio may reach ``floor``; inputs are (key, block) and (fkey, block).
+
+    Spellings count once however many rows have them. Pairs meet inside a block through rare letter runs. Letters
+    outside the matched blocks number (1 - ratio) * (la + lb), and an edit script that replaces them all takes no
+    more edits than that.
+    """
+    tasks = int(p_keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # fixed numbers of tasks: few bytes here make many pairs further down
+    p_keys, f_keys = settle(p_keys.distinct()).repartition(tasks, "key"), settle(f_keys.distinct()).repartition(tasks, "fkey")
+    left, right = p_keys.select("key").distinct(), f_keys.select(F.col("fkey").alias("key")).distinct()
+    spread = (left.unionByName(right).select(F.explode(_grams(F.col("key"))).alias("g"))
               .groupBy("g").agg(F.count(F.lit(1)).alias("df")))
-    p_rare = _rare_grams(p_keys, spread).join(p_rows.select("id", "block").distinct(), "id")
-    f_rare = (_rare_grams(f_keys, spread).withColumnsRenamed({"id": "profile_id", "least": "fleast"})
-              .join(f_blocks.select("profile_id", "block").distinct(), "profile_id"))
+    p_rare = _rare_grams(left, spread, floor).join(p_keys, "key").repartition(tasks, "block", "g")
+    f_rare = (_rare_grams(right, spread, floor).withColumnsRenamed({"key": "fkey", "least": "fleast"})
+              .join(f_keys, "fkey").repartition(tasks, "block", "g"))
     met = (p_rare.join(f_rare, ["block", "g"])
-           .groupBy("id", "profile_id", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("least", "fleast")).alias("least"))
-           .filter("n >= least").select("id", "profile_id").distinct())
-    left = p_keys.withColumn("ls", _grams(F.col("key"), 1))
-    right = f_keys.select(F.col("id").alias("profile_id"), F.col("key").alias("fkey"), _grams(F.col("key"), 1).alias("fls"))
+           .groupBy("key", "fkey", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("least", "fleast")).alias("least"))
+           .filter("n >= least").select("key", "fkey").repartition(tasks, "key", "fkey").distinct())
     both = F.length("key") + F.length("fkey")
-    tasks = int(p_rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # matched letters can not be more than common letters
-    near = met.join(left, "id").join(right, "profile_id").filter(
-        2 * F.size(F.array_intersect("ls", "fls")) >= (FLOOR - 1e-9) * both)
-    # a fixed number of tasks: the ratio costs far more than its few bytes suggest
-    return (near.select("id", "key", "profile_id", "fkey").repartition(tasks, "id", "profile_id")
-            .withColumn("ratio", sequence_ratio("key", "fkey")).filter(F.col("ratio") > FLOOR - 1e-9))
+    edits = met.withColumn("most", F.floor((1 - floor + 1e-9) * both).cast("int"))
+    return edits.filter(F.expr("levenshtein(key, fkey, most)") >= 0).select("key", "fkey")
+
+
+def _close_pairs(p_rows: DataFrame, f_blocks: DataFrame, floor: float) -> DataFrame:
+    """(id, profile_id, ratio) of pairs in a common block whose spelling ratio is at least ``floor``."""
+    names = candidate_names(p_rows.select("key", "block"), f_blocks.select("fkey", "block"), floor)
+    close = settle(names.sortWithinPartitions("fkey").withColumn("ratio", sequence_ratio(floor)("key", "fkey"))
+                   .filter(F.col("ratio") > floor - 1e-9))
+    return (close.join(p_rows.select("id", "key", "block").distinct(), "key")
+            .join(f_blocks.select("profile_id", "fkey", "block").distinct(), ["fkey", "block"])
+            .select("id", "profile_id", "ratio").distinct())
+
+
+def _close_links(p_rows: DataFrame, f_blocks: DataFrame) -> DataFrame:
+    """(id, close_id): the one profile of ratio CLOSE or more that is AHEAD of every other.
+
+    Most projects are settled by the pairs of ratio CLOSE or more. Only those with a clear best pair among these
+    look further down, where a runner-up could stand.
+    """
+    def best_and_next(pairs: DataFrame) -> DataFrame:
+        best = pairs.groupBy("id").agg(F.max(F.struct("ratio", (-F.col("profile_id")).alias("neg"))).alias("b"))
+        rest = pairs.join(best, "id").filter(F.col("profile_id") != -F.col("b.neg")).groupBy("id").agg(F.max("ratio").alias("runner_up"))
+        return (best.join(rest, "id", "left").select("id", "b", "runner_up")
+                .filter(F.col("runner_up").isNull() | (F.col("b.ratio") - F.col("runner_up") >= AHEAD)))
+
+    top = settle(best_and_next(settle(_close_pairs(p_rows, f_blocks, CLOSE))).select("id", "b"))
+    below = _close_pairs(p_rows.join(top.select("id"), "id", "left_semi"), f_blocks, FLOOR)
+    rivals = (below.join(top, "id").filter((F.col("profile_id") != -F.col("b.neg")) & (F.col("b.ratio") - F.col("ratio") < AHEAD))
+              .select("id").distinct())
+    return top.join(rivals, "id", "left_anti").select("id", (-F.col("b.neg")).alias("close_id"))
 
 
 def link_profiles(projects: DataFrame, profiles: DataFrame) -> DataFrame:
@@ -167,16 +223,7 @@ def link_profiles(projects: DataFrame, profiles: DataFrame) -> DataFrame:
                  .filter("n = 1").select("id", "only_id"))
     contained = settle(contained)
 
-    pairs = settle(_close_pairs(open_p.join(contained, "id", "left_anti"), f_blocks))
-    best = pairs.groupBy("id").agg(F.max(F.struct("ratio", (-F.col("profile_id")).alias("neg"))).alias("b"),
-                                   F.count(F.lit(1)).alias("n"))
-    second = (pairs.join(best, "id").filter(F.col("profile_id") != -F.col("b.neg"))
-              .groupBy("id").agg(F.max("ratio").alias("runner_up")))
-    close = (best.join(second, "id", "left")
-             .filter((F.col("b.ratio") >= CLOSE)
-                     & (F.col("runner_up").isNull() | (F.col("b.ratio") - F.col("runner_up") >= AHEAD)))
-             .select("id", (-F.col("b.neg")).alias("close_id")))
-
+    close = _close_links(open_p.join(contained, "id", "left_anti"), f_blocks)
     out = p.join(same, "id", "left").join(contained, "id", "left").join(close, "id", "left")
     tier = first_rule([(F.col("exact_id").isNotNull(), "exact"), (F.col("only_id").isNotNull(), "contained"),
                        (F.col("close_id").isNotNull(), "close")], F.lit("none"))
@@ -190,7 +237,7 @@ def pair_links(projects: DataFrame, documents: DataFrame) -> DataFrame:
     p, p_blocks, f_blocks = _blocked(projects, documents)
     same = p_blocks.join(f_blocks, (p_blocks["block"] == f_blocks["block"]) & (p_blocks["key"] == f_blocks["fkey"]))
     inside = _contained(p_blocks.filter(F.size("ws") > 0), f_blocks.filter(F.size("fws") > 0))
-    near = _close_pairs(p_blocks, f_blocks).filter(F.col("ratio") >= CLOSE)
+    near = _close_pairs(p_blocks, f_blocks, CLOSE).filter(F.col("ratio") >= CLOSE)
     ids = [d.select("id", "profile_id") for d in (same, inside, near)]
     return (ids[0].unionByName(ids[1]).unionByName(ids[2]).distinct()
             .join(p.select("id", "name", "state"), "id").drop("id"))

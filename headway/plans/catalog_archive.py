@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from headway.functions.columns import date_in_name_last, norm_name
 from headway.functions.ordered import previous_row
 from headway.operators import archive, grants, pages
+from headway.plans import linking_sql
 from headway.plans.catalog import common, query
 from headway.plans import catalog_grants  # noqa: F401  (shared WITH entries)
 from headway.sources import writers
@@ -143,7 +144,19 @@ def _listing(t, shift: int):
     return rows.filter((k + shift) % 5 != 0)
 
 
-@query("match_listing")
+_sql_listing = """SELECT s_suppkey AS row_no, 'N' || chr(65 + s_nationkey) AS state, 'The ' || s_name || ' Project' AS name,
+    CASE WHEN s_suppkey % 4 = 0 THEN 'Engineering' ELSE 'Development' END AS stage, '/p/' || s_suppkey AS profile_url FROM supplier WHERE s_suppkey % 5 <> 0"""
+_sql_listed = f"SELECT row_no AS profile_id, {linking_sql.key_of('name')} AS key, [state] AS states FROM ({_sql_listing})"
+_sql_suppliers = """SELECT s_suppkey AS order_no, s_name || CASE WHEN s_suppkey % 2 = 0 THEN ' Extension' ELSE '' END AS name, 'N' || chr(65 + s_nationkey) AS state FROM supplier"""
+
+
+@query("match_listing", f"""WITH {linking_sql.links(_sql_suppliers, _sql_listed)},
+linked AS (SELECT s.order_no, s.name, s.state, l.profile_id FROM ({_sql_suppliers}) s JOIN links l ON l.name = s.name AND l.state = s.state),
+kept AS (SELECT *, CASE WHEN order_no = min(order_no) OVER (PARTITION BY profile_id) THEN profile_id END AS row_no FROM linked)
+  SELECT k.name AS project_name, CASE WHEN k.name IS NOT NULL THEN '' END AS sponsor, coalesce(k.state, r.state) AS state, r.name AS listing_name, r.stage AS listing_stage,
+    r.profile_url, CASE WHEN k.name IS NULL THEN 'not_a_project' WHEN r.row_no IS NULL THEN 'not_listed' ELSE 'matched' END AS outcome,
+    k.name IS NOT NULL AND r.row_no IS NOT NULL AND {linking_sql.key_of('k.name')} <> {linking_sql.key_of('r.name')} AS renamed
+  FROM kept k FULL OUTER JOIN ({_sql_listing}) r ON r.row_no = k.row_no""")
 def match_listing(t):
     """Suppliers listed on the page against projects that carry nearly the same names."""
     k = F.col("s_suppkey")
@@ -204,7 +217,12 @@ def profiles_to_download(t):
         "project_name", "sponsor", "why")
 
 
-@query("find_unique")
+@query("find_unique", f"""WITH {linking_sql.judged("SELECT s_name AS name, 'N' || chr(65 + s_nationkey) AS state FROM supplier", _sql_listed)},
+hits AS (SELECT profile_id, count(*) AS hits, min(name) AS name, arg_min(state, (name, state)) AS state, string_agg(name, ', ' ORDER BY name) AS names
+    FROM judged WHERE same OR inside OR ratio >= {linking_sql.CLOSE} GROUP BY profile_id)
+  SELECT row_no AS profile_id, d.name AS title, coalesce(hits, 0) AS hits, CASE WHEN hits = 1 THEN h.name END AS project_name, CASE WHEN hits = 1 THEN h.state END AS state,
+    CASE WHEN hits > 1 THEN 'matches several projects: ' || names WHEN hits IS NULL THEN 'no current project matches “' || d.name || '”' END AS reason
+  FROM ({_sql_listing}) d LEFT JOIN hits h ON h.profile_id = d.row_no""")
 def find_unique(t):
     """Each listing row as a document, judged against all projects."""
     docs = _listing(t, 0).select(F.col("row_no").alias("profile_id"), F.col("name").alias("title"), norm_name("name").alias("key"),

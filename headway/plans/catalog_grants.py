@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from headway.functions.columns import date_from_name, norm_name
 from headway.operators import grants, linkage
+from headway.plans import linking_sql
 from headway.plans.catalog import common, query
 
 common("dashboard", """
@@ -151,7 +152,15 @@ def _part_projects(t):
         F.left("p_type", F.lit(2)).alias("state"), F.col("p_size").alias("size"))
 
 
-@query("link_profiles")
+_sql_profiles = f"""SELECT min(p_partkey) AS profile_id, {linking_sql.key_of("p_name || ' ' || replace(p_brand, '#', ' line ')")} AS key,
+    [left(min(p_type), 2)] AS states FROM part GROUP BY p_name, p_brand"""
+_initcap = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ')"
+_sql_projects = f"""SELECT 'The ' || {_initcap} || ' ' || replace(p_brand, '#', ' Line ') || CASE p_size % 3 WHEN 0 THEN ' Extension' WHEN 1 THEN '0' ELSE '' END AS name,
+    left(p_type, 2) AS state, p_size FROM part"""
+
+
+@query("link_profiles", f"""WITH {linking_sql.links(_sql_projects, _sql_profiles)}
+  SELECT name, state, key, profile_id, tier FROM links""")
 def link_profiles(t):
     return linkage.link_profiles(_part_projects(t), _profiles(t))
 
@@ -179,7 +188,11 @@ def backfill_attribute(t):
     return grants.backfill_attr(t.snapshots, "excl_brt").select("snapshot_date", "project_name", "sponsor", "excl_brt")
 
 
-@query("remode_counts")
+@query("remode_counts", f"""WITH {linking_sql.links(_sql_projects, _sql_profiles)}
+  SELECT CASE WHEN lane AND mode <> 'BRT' THEN 'conflict' WHEN lane AND profile_id IS NOT NULL AND mode IS NULL AND rail THEN 'conflict'
+      WHEN lane THEN '{linkage.FROM_DASHBOARD}' WHEN mode IS NOT NULL THEN '{linkage.FROM_PROFILE}' ELSE '{linkage.NOT_STATED}' END AS source, count(*) AS n
+  FROM (SELECT r.p_size % 2 = 0 AS lane, profile_id, CASE profile_id % 3 WHEN 0 THEN 'Light Rail' WHEN 1 THEN 'BRT' END AS mode, profile_id % 2 = 0 AS rail
+    FROM ({_sql_projects}) r JOIN links l ON l.name = r.name AND l.state = r.state) GROUP BY 1""")
 def remode_counts(t):
     """Profiles re-linked over all projects, then counted by where the mode came from."""
     rows = _part_projects(t).select(F.col("name").alias("project_name"), "state",

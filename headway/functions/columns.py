@@ -126,10 +126,6 @@ def content_words(c: Column | str) -> Column:
     return F.array_except(F.filter(runs, lambda w: F.length(w) > 2), stops)
 
 
-def first_words(c: Column | str, n: int) -> Column:
-    return F.array_join(F.slice(words(c), 1, n), " ")
-
-
 # ---- dates --------------------------------------------------------------------------------------
 
 def date_from_name(c: Column | str) -> Column:

@@ -29,6 +29,7 @@ TOPIC_WORDS = {
     "procurement": ("rfp", "contract", "solicitation", "award", "bid", "design-build"),
     "maintenance": ("maintenance", "overhaul", "state of good repair"),
 }
+# fixed values: modes and pillars -> topics
 MODE_TOPICS = {"Bus": "bus", "BRT": "bus", "Light Rail": "light-rail", "Heavy Rail": "heavy-rail",
                "Commuter Rail": "commuter-rail", "Streetcar": "light-rail", "Ferry": "ferry"}
 PILLAR_TOPICS = {"Funding": "funding", "Policy": "policy", "People": "people", "Procurement": "procurement"}

@@ -26,11 +26,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from headway.llm.common import small, texts
+from headway.llm.common import in_parts, small, texts
 from headway.operators.duplicates import connected
 from headway.session import settle
 
@@ -46,7 +47,7 @@ BLOCK, CHUNK, CHUNK_SHINGLES = 64, 1024, 1_000_000
 PAIRS_AT_ONCE = 8
 ESTIMATE = 0.6
 #: Words whose hashes are kept at hand in a task; the store is emptied when full. It changes speed only.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 100_000
 
 
 def shingler(k: int):
@@ -81,26 +82,28 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     rows = texts(docs)
     kind = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("h long, n long, cls binary, mins binary, tags binary").fields])
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
         shingles = shingler(k)
         factors = np.random.default_rng(11).integers(0, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        for batch in batches:
+        for batch in in_parts(batches):
             out = []
-            for doc, h, text in zip(batch["doc_id"], batch["h"], batch["text"]):
-                s = shingles(text)
+            for text in batch.column("text"):
+                s = shingles(text.as_py())
                 if not len(s):
-                    out.append((doc, h, 0, None, None, None))
+                    out.append((0, None, None, None))
                     continue
                 least = np.full(VALUES, 2**64 - 1, dtype=np.uint64)
                 for a in range(0, len(s), 2048):
                     least = np.minimum(least, (s[a:a + 2048, None] * factors).min(axis=0))
                 mins = (least >> np.uint64(16)).astype(np.uint32)
-                out.append((doc, h, len(s), xxhash.xxh3_128_digest(s.tobytes()), mins.tobytes(), (mins & 0xFF).astype(np.uint8).tobytes()))
-            yield pd.DataFrame(out, columns=["doc_id", "h", "n", "cls", "mins", "tags"])
+                out.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), mins.tobytes(), (mins & 0xFF).astype(np.uint8).tobytes()))
+            n, *parts = zip(*out)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(n, pa.int64()), *[pa.array(c, pa.binary()) for c in parts]],
+                                             ["doc_id", "h", "n", "cls", "mins", "tags"])
 
-    return rows.mapInPandas(sketch, kind)
+    return rows.mapInArrow(sketch, kind)
 
 
 def _value(i: int):
@@ -287,12 +290,13 @@ def full_sets(wanted: DataFrame, docs: DataFrame, first: DataFrame, k: int) -> D
     rows = texts(docs)
     rows = rows.join(small(place), rows["doc_id"].eqNullSafe(F.col("d")) & (rows["h"] == F.col("g"))).select("cls", "text")
 
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = shingler(k)
-        for batch in batches:
-            yield pd.DataFrame({"cls": batch["cls"], "s": [shingles(t).tobytes() for t in batch["text"]]}, dtype=object)
+        for batch in in_parts(batches):
+            found = [shingles(t.as_py()).tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("cls").cast(pa.binary()), pa.array(found, pa.binary())], ["cls", "s"])
 
-    return settle(rows.mapInPandas(sets, "cls binary, s binary").dropDuplicates(["cls"]))
+    return settle(rows.mapInArrow(sets, "cls binary, s binary").dropDuplicates(["cls"]))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, first: DataFrame, k: int, percent: int) -> DataFrame:

@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Rows up to which a table may be broadcast; a larger one is joined by shuffling both sides.
 BROADCAST_ROWS = 200_000
 
+#: Rows with whole texts that a task turns into Python objects at once.
+ROWS_AT_ONCE = 256
+
+
+def in_parts(batches: Iterator[pa.RecordBatch], rows: int = ROWS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of a few rows; a slice shares its batch's memory."""
+    pa.set_memory_pool(pa.system_memory_pool())  # workers are used again: what they free goes back to the system
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
 
 def texts(docs: DataFrame) -> DataFrame:
     """(doc_id, text, h): null texts are empty, h is a hash of the text.

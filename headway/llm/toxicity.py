@@ -38,7 +38,7 @@ COPIES = 3
 TOP = 8
 PASSING = 0.9
 #: Words whose window lengths are kept at hand in a task; the store is emptied when full. It changes speed only.
-WORDS_KEPT = 500_000
+WORDS_KEPT = 100_000
 
 WORD = re.compile(r"[^\W_]+")
 

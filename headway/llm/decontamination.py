@@ -140,6 +140,7 @@ def proximity(docs: DataFrame, queries: DataFrame, slop: int) -> DataFrame:
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents without a match, with their columns."""
-    hit = matches(docs, items, window).select(F.col("doc_id").alias("_hit_doc"), F.col("h").alias("_hit_h"))
-    text_hash = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    return docs.join(hit, docs["doc_id"].eqNullSafe(F.col("_hit_doc")) & (text_hash == F.col("_hit_h")), "left_anti")
+    hit = matches(docs, items, window).select("doc_id", "h")
+    packed = docs.select(F.struct(*docs.columns).alias("row"))
+    text_hash = F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))
+    return packed.join(hit, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (text_hash == F.col("h")), "left_anti").select("row.*")

@@ -161,12 +161,12 @@ def repeats(blocks: DataFrame) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, block: int = BLOCK, guarantee: int = GUARANTEE) -> DataFrame:
-    """The documents with repeated runs taken out of ``text``; columns as they were, plus ``_removed`` lines."""
+    """(row, removed): the documents, whatever their columns, with repeated runs taken out of ``text``, and the lines taken out."""
     blocks = settle(fingerprints(docs, block, guarantee))
-    runs = repeats(blocks).distinct().groupBy("doc_id", "h").agg(F.collect_list(F.struct("first", "last")).alias("_runs"))
-    runs = runs.select(F.col("doc_id").alias("_run_doc"), F.col("h").alias("_run_h"), "_runs")
-    h = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    joined = docs.join(runs, docs["doc_id"].eqNullSafe(F.col("_run_doc")) & (h == F.col("_run_h")), "left")
+    runs = repeats(blocks).distinct().groupBy("doc_id", "h").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    packed = docs.select(F.struct(*docs.columns).alias("row"))
+    h = F.xxhash64(F.coalesce(F.col("row.text"), F.lit("")))
+    joined = packed.join(runs, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (h == F.col("h")), "left")
 
     @F.pandas_udf("text string, removed long")
     def rebuild(texts: pd.Series, cuts: pd.Series) -> pd.DataFrame:
@@ -189,18 +189,18 @@ def remove_repeats(docs: DataFrame, block: int = BLOCK, guarantee: int = GUARANT
             done.append(("\n".join(left) if any(line.strip() for line in left) else "", removed))
         return pd.DataFrame(done, columns=["text", "removed"])
 
-    out = joined.withColumn("_done", rebuild("text", "_runs"))
-    return out.select(*[F.col("_done.text").alias(c) if c == "text" else F.col(c) for c in docs.columns], F.col("_done.removed").alias("_removed"))
+    out = joined.select("row", rebuild("row.text", "runs").alias("done"))
+    return out.select(F.col("row").withField("text", F.col("done.text")).alias("row"), F.col("done.removed").alias("removed"))
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, lines removed, and the digest and length of what is left of each document."""
     done = remove_repeats(docs.select("doc_id", "text"))
-    text = F.coalesce("text", F.lit(""))
-    return done.select("doc_id", F.col("_removed").alias("n_removed"), F.length(text).cast("long").alias("n_chars_left"), F.sha2(text, 256).alias("text_sha256"))
+    text = F.coalesce("row.text", F.lit(""))
+    return done.select("row.doc_id", F.col("removed").alias("n_removed"), F.length(text).cast("long").alias("n_chars_left"), F.sha2(text, 256).alias("text_sha256"))
 
 
 def keep_firsts(docs: DataFrame) -> DataFrame:
     """Documents without their repeated runs; those of which nothing is left, though they had a text, go."""
     done = remove_repeats(docs)
-    return done.filter((F.col("_removed") == 0) | (F.coalesce("text", F.lit("")) != "")).drop("_removed")
+    return done.filter((F.col("removed") == 0) | (F.coalesce("row.text", F.lit("")) != "")).select("row.*")

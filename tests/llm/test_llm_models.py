@@ -72,10 +72,10 @@ def test_pipeline_stages_take_effect(spark):
 @pytest.mark.parametrize("n", range(len(corpus_pipeline.STAGES)))
 def test_stages_take_odd_rows(spark, n):
     text = " ".join(f"w{i}" for i in range(60))
-    schema = "doc_id long, text string, h string, n long, cls string, row int"
+    schema = "doc_id long, text string, h string, n long, cls string, row int, _run_doc string, _hit_doc string, _removed string, removed int"
     rows = [(1, text, "x", 1, None, 1), (1, text, "x", 1, None, 1), (None, text, None, None, "c", 2), (None, None, None, None, None, None), (2, "", "y", 0, "", 3), (3, text.replace("w", "v") * 200, "z", 2, "d", 4)]
     stage = corpus_pipeline.STAGES[n][1]
-    out = stage(spark, spark.createDataFrame(rows, schema), FOLDER)
+    out = stage(spark, spark.createDataFrame([r + ("y", "z", None, 5) for r in rows], schema), FOLDER)
     kept = {r.doc_id for r in out.collect()}
     assert {2, 3} <= kept and None in kept
     assert stage(spark, spark.createDataFrame([], schema), FOLDER).count() == 0

@@ -27,13 +27,13 @@ def _with(names, seen: list[str]) -> list[str]:
 
 
 def query(name: str, sql: str | None = None, needs: tuple[str, ...] = ()):
-    """Register a query over :class:`Tables`; ``sql`` may use the WITH entries in ``needs``."""
+    """Register a query over :class:`Tables`; ``sql`` may use the WITH entries in ``needs``, put where it says {entries}."""
     def add(fn: Callable[[Tables], DataFrame]):
         assert name not in QUERIES, name
         QUERIES[name] = lambda spark, folder: fn(Tables(spark, folder))
         if sql is not None:
             entries = ",\n".join(f"{n} AS ({COMMON[n][1]})" for n in _with(needs, []))
-            SQL[name] = (f"WITH {entries}\n" if entries else "") + sql
+            SQL[name] = sql.replace("{entries}", f"{entries},") if "{entries}" in sql else (f"WITH {entries}\n" if entries else "") + sql
         return fn
     return add
 

@@ -81,6 +81,27 @@ def line_changes(t):
     return archive.line_changes(_chained(t))
 
 
+_lines = r"string_split_regex(text, '\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e]')"
+
+
+@query("ordered_line_changes", f"""
+  WITH RECURSIVE {{entries}}
+  both_texts AS (SELECT p.id, p.prev_version_id, n.lines AS new, o.lines AS old FROM version_pairs p
+    JOIN (SELECT id, {_lines} AS lines FROM versions) n ON n.id = p.id JOIN (SELECT id, {_lines} AS lines FROM versions) o ON o.id = p.prev_version_id),
+  table_rows(id, k, best) AS (SELECT id, 0, list_transform(new, lambda x: 0) FROM both_texts UNION ALL
+    SELECT id, k, list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j])) FROM (
+      SELECT b.id, k + 1 AS k, list_transform(range(1, len(new) + 1), lambda j: greatest(best[j], CASE WHEN new[j] = old[k + 1] THEN 1 + CASE WHEN j = 1 THEN 0 ELSE best[j - 1] END ELSE 0 END)) AS c
+      FROM table_rows r JOIN both_texts b ON b.id = r.id WHERE k < len(old))),
+  longest AS (SELECT b.id, r.best[len(new)] AS kept FROM both_texts b JOIN table_rows r ON r.id = b.id AND r.k = len(b.old)),
+  shared AS (SELECT p.id, sum(least(n.n, o.n)) AS common FROM version_pairs p JOIN version_lines n ON n.id = p.id
+    JOIN version_lines o ON o.id = p.prev_version_id AND o.line = n.line GROUP BY 1)
+  SELECT b.id, b.prev_version_id, (len(new) - kept)::BIGINT AS lines_added, (len(old) - kept)::BIGINT AS lines_removed, kept::BIGINT AS lines_kept,
+    (coalesce(common, 0) - kept)::BIGINT AS lines_moved FROM both_texts b JOIN longest USING (id) LEFT JOIN shared USING (id)""", ("version_pairs", "version_lines"))
+def ordered_line_changes(t):
+    """Each version against the one before it, with the order of lines."""
+    return archive.ordered_changes(_chained(t))
+
+
 @query("line_changes_by_project", """
   SELECT project_name, count(*) AS versions, sum(lines_added)::BIGINT AS lines_added, sum(lines_removed)::BIGINT AS lines_removed FROM (
     SELECT p.id, sum(greatest(nw - od, 0)) AS lines_added, sum(greatest(od - nw, 0)) AS lines_removed FROM version_pairs p JOIN (

@@ -137,3 +137,35 @@ def test_rediff_and_remode(spark):
     assert got == [("Else", "BRT", ""), ("Nothing", "", ""), ("River Line", "", "b.pdf"), ("Stone Avenue", "", "a.pdf"), ("Stone Avenue", "Light Rail", "a.pdf")]
     assert {r["source"]: r["n"] for r in linkage.provenance_counts(out).collect()} == {
         "conflict": 2, "FTA dashboard (Length of Exclusive BRT)": 1, "FTA project profile": 1, "not stated by FTA sources": 1}
+
+
+def longest_common(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_ordered_changes_equal_brute_force(spark):
+    rnd = random.Random(8)
+    texts = [None, "", "a", "a\nb", "b\na", "x\n" * 30] + ["\n".join(rnd.choice("abcdefgh" if k % 2 else "ab") for _ in range(rnd.randint(1, 25))) for k in range(120)]
+    lines = [[] if t is None else t.split("\n") for t in texts]
+    pairs = [(i, rnd.randrange(len(texts))) for i in range(len(texts))]
+    rows = [(i, p, texts[i]) for i, p in pairs] + [(1000, 999, "a\nb"), (1001, None, "a")]
+    got = {r["id"]: tuple(r)[1:] for r in archive.ordered_changes(spark.createDataFrame(rows, "id bigint, prev_version_id bigint, text string")).collect()}
+    want = {}
+    for i, p in pairs:
+        new, old = lines[i], lines[p]
+        kept = longest_common(new, old)
+        common = sum(min(new.count(x), old.count(x)) for x in set(new))
+        want[i] = (p, len(new) - kept, len(old) - kept, kept, common - kept)
+    want[1000] = (999, 2, 0, 0, 0)
+    assert got == want
+    assert sum(v[4] for v in want.values()) > 50
+
+
+def test_a_moved_line_is_seen(spark):
+    versions = spark.createDataFrame([(1, None, "a\nb\nc\nd"), (2, 1, "d\na\nb\nc")], "id bigint, prev_version_id bigint, text string")
+    assert [tuple(r) for r in archive.ordered_changes(versions).collect()] == [(2, 1, 1, 1, 3, 1)]
+    assert archive.ordered_changes(versions.limit(0)).collect() == []

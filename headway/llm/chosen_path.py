@@ -2,9 +2,9 @@
 
 Documents with the same set of shingles are one class from the start. Every class has minwise values of its set; a tree
 branches classes on some of them: classes that agree in a chosen value go into the same node. Nodes small enough are
-compared exhaustively. Independent trees are repeated so that a linked pair meets in some small node: a pair of
-similarity s survives a branching with probability s or more, and 16 trees miss a pair at the threshold with less
-than 1 in 100,000.
+compared exhaustively. Trees are repeated so that a linked pair meets in some small node: a pair of similarity s survives
+a branching with probability s or more. The 16 trees share some of the values; by simulation they miss a pair at the
+threshold with a chance of 3 in 10,000.
 
 Nodes that stay large are mostly one group of near copies. They are never compared pair by pair: every member is
 compared with a few central members of its node, the links found are confirmed, and after that only members outside the
@@ -12,7 +12,7 @@ node's largest component are compared with the others, in blocks. So no link bet
 is needed.
 
 Candidates are filtered by estimated similarity (96 minwise bytes, five standard deviations below the threshold) and
-by size; every link is confirmed on the full sets.
+by size, both set for a threshold of 80 percent; every link is confirmed on the full sets.
 
 Defined results: null and empty texts, and texts of white space, have no shingles, are linked with nothing and are
 kept; a document without id takes part, but names no component; a component without any id has none, and its members

@@ -104,6 +104,99 @@ def test_rules_claim_runs_in_order(spark):
     assert got[6] == ("CC-BY-NC", "AllRights")
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2020 A. Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY."""
+BSD_HEAD = """Copyright (c) 2019, A. Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+BSD_THIRD = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+BSD_TAIL = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED."""
+APACHE_TEXT = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL_TEXT = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU{kind} General Public License as published by
+the Free Software Foundation, either version {v} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU{kind} General Public License for more details.
+
+You should have received a copy of the GNU{kind} General Public License
+along with this program."""
+ISC_TEXT = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE."""
+MPL_TEXT = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_wrapped_licence_texts_are_found(spark):
+    def comment(text, mark):
+        return "\n".join(f"{mark} {line}".rstrip() for line in text.split("\n"))
+
+    # licences and sentences that no rule claims, written by hand
+    want = [(MIT_TEXT, "MIT", "CopyrightLine"), (BSD_HEAD + BSD_TAIL, "BSD-2-Clause", "CopyrightLine,AllRights"),
+            (BSD_HEAD + BSD_THIRD + BSD_TAIL, "BSD-3-Clause", "CopyrightLine,AllRights"), (APACHE_TEXT, "Apache-2.0", ""),
+            (GPL_TEXT.format(kind="", v=3), "GPL-3.0-or-later", ""), (GPL_TEXT.format(kind="", v=2), "GPL-2.0-or-later", ""),
+            (GPL_TEXT.format(kind=" Affero", v=3), "AGPL-3.0-or-later", ""), (GPL_TEXT.format(kind=" Lesser", v="2.1"), "LGPL-2.1-or-later", ""),
+            (ISC_TEXT, "ISC", ""), (MPL_TEXT, "MPL-2.0", "")]
+    want += [(comment(t, mark), a, b) for t, a, b in want for mark in ("#", "//", " *")]
+    want += [(t.replace("\n", "\r\n"), a, b) for t, a, b in want]
+    rows = spark.createDataFrame([(i, t) for i, (t, _, _) in enumerate(want)], "doc_id long, text string")
+    got = {r.doc_id: tuple(r) for r in licences.scan(rows).collect()}
+    assert [got[i][3:] for i in range(len(want))] == [(a, b) for _, a, b in want]
+    import duckdb
+
+    documents = rows.toPandas()  # the SQL agrees on them too
+    assert len(documents) == len(want)
+    assert {r[0]: r for r in duckdb.sql(licences.oracle()).fetchall()} == got
+
+
 # ---------------------------------------------------------------- 3: packing
 def test_ids_equal_those_of_the_tokenizers_library():
     from tokenizers import Tokenizer

@@ -1,19 +1,22 @@
 """Personal data: base patterns, and terms that give protected entities away.
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Each distinct base value is a protected
-entity. The terms of the documents that mention it are weighed by what they tell about it: with N documents, of which
-n_e mention the entity, n_t hold the term and n_et hold both, the term's pointwise mutual information with the entity,
-log2(N n_et / (n_e n_t)), is compared with the entity's own information content, log2(N / n_e). A term whose share of
-that content reaches ``remove`` for some entity is removed, one that reaches ``generalise`` is replaced by a general
-word, wherever it stands in the corpus outside of base spans. Only built-in functions are used.
+entity, and so is its coarser form (mail domain, network, number without its last digits): what is seen once tells
+nothing by itself, but its domain may be seen more often. The terms of the documents that mention an entity are weighed
+by what they tell about it: with N documents, of which n_e mention the entity, n_t hold the term and n_et hold both, the
+term's pointwise mutual information with the entity, log2(N n_et / (n_e n_t)), is compared with the entity's own
+information content, log2(N / n_e). A term whose share of that content reaches ``remove`` for some entity is removed, one
+that reaches ``generalise`` is replaced by a general word, wherever it stands in the corpus outside of base spans. Only
+terms with evidence count: they meet the entity in ``support`` different texts (copies of a text are one witness), and the
+log-likelihood ratio of their counts reaches ``evidence``. Only built-in functions are used.
 
 Patterns are written so that a match attempt never runs over the same characters again and again: a run of characters
 is entered at its start only (or where the last match ended), and quantifiers that cannot give back are possessive.
 
 Defined results: null and empty texts have no spans; positions count code points, the end is exclusive; base spans of
 one kind do not overlap, those of different kinds may, and of overlapping ones the first names the entity; documents
-that agree in id and text count once and fare alike; an entity of a single document is weighed like any other: its share
-is 1 - log2(n_t) / log2(N), so a term found nowhere else tells all of it.
+that agree in id and text count once, in N, n_e, n_t and n_et alike, and fare alike; an entity of fewer than ``support``
+texts has no terms, only its coarser form may have some.
 """
 
 from __future__ import annotations
@@ -32,10 +35,12 @@ PATTERNS = [
     ("card", r"[0-9](?:[\x20-]?[0-9])++"),
     ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
 ]
-#: A term: letters and digits, at least three.
-TERM = r"[\p{L}\p{N}]{3,}+"
-#: Documents in which an entity and a term must meet; 1 weighs entities of a single document too.
-SUPPORT = 1
+#: A term: letters and digits.
+TERM = r"[\p{L}\p{N}]++"
+#: Different texts in which an entity and a term must meet.
+SUPPORT = 3
+#: Log-likelihood ratio that a term needs: chance in one of 10,000 cases (chi square, one degree of freedom).
+EVIDENCE = 15.13
 GENERALISE, REMOVE = 0.6, 0.9
 
 
@@ -105,7 +110,17 @@ def mentions(based: DataFrame) -> DataFrame:
     ends = F.concat(F.array(F.lit(0)), F.transform("g", lambda g: g["end"]))
     starts = F.concat(F.transform("g", lambda g: g["start"]), F.array(F.length("text")))
     outside = F.transform(F.arrays_zip(ends.alias("a"), starts.alias("b")), lambda x: F.substring("text", x["a"] + 1, x["b"] - x["a"]))
-    return rows.select("doc_id", "h", F.array_join(outside, " ").alias("text"), F.array_distinct(F.transform("g", lambda g: g["value"])).alias("entities"))
+    values = F.transform("g", lambda g: g["value"])
+    return rows.select("doc_id", "h", F.array_join(outside, " ").alias("text"), F.array_distinct(F.concat(values, F.transform(values, coarser))).alias("entities"))
+
+
+def coarser(value: Column) -> Column:
+    """The coarser entity of a base value: mail domain, the first three numbers of an address, a number without its last digits."""
+    digits = _digits(value)
+    return (F.when(F.contains(value, F.lit("@")), F.concat(F.lit("domain "), F.lower(F.substring_index(value, "@", -1))))
+            .when(value.rlike(r"^[0-9]+(\.[0-9]+){3}$"), F.concat(F.lit("network "), F.substring_index(value, ".", 3)))
+            .when(F.startswith(value, F.lit("+")), F.concat(F.lit("phone "), F.substring(digits, F.lit(1), F.length(digits) - 4)))
+            .otherwise(F.concat(F.lit("card "), F.substring(digits, F.lit(1), F.lit(6)))))
 
 
 def terms(text: str) -> Column:
@@ -113,24 +128,49 @@ def terms(text: str) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(TERM), 0), F.lower))
 
 
-def disclosing(docs: DataFrame, told: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def held_by(docs: DataFrame, repeated: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(term, n_t): the number of distinct documents that hold each wanted term.
+
+    All rows are counted, which folds before it moves; what ``repeated`` (d, g, more) rows count too often is taken off.
+    """
+    rows = texts(docs)
+    held = counts_of(rows.select(F.explode(terms("text")).alias("term")), wanted, "n_t")
+    again = rows.join(small(repeated), rows["doc_id"].eqNullSafe(F.col("d")) & (rows["h"] == F.col("g"))).dropDuplicates(["d", "g"])
+    more = again.select("more", F.explode(terms("text")).alias("term")).groupBy("term").agg(F.sum("more").alias("more"))
+    return held.join(more, "term", "left").select("term", (F.col("n_t") - F.coalesce("more", F.lit(0))).alias("n_t"))
+
+
+def log_likelihood(n: Column, n_e: Column, n_t: Column, n_et: Column) -> Column:
+    """The log-likelihood ratio of the four counts against independence."""
+    def cell(seen: Column, row: Column, column: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen * n / (row * column))).otherwise(0.0)
+
+    return 2 * (cell(n_et, n_e, n_t) + cell(n_e - n_et, n_e, n - n_t) + cell(n_t - n_et, n - n_e, n_t) + cell(n - n_e - n_t + n_et, n - n_e, n - n_t))
+
+
+def disclosing(docs: DataFrame, told: DataFrame, support: int = SUPPORT, evidence: float = EVIDENCE, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(term, action) of the terms that give an entity away, whichever it is; ``told`` is what ``mentions`` returns."""
+    keys = settle(texts(docs).groupBy("doc_id", "h").agg((F.count(F.lit(1)) - 1).alias("more")))
+    repeated = keys.filter("more > 0").select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "more")
+    total = F.broadcast(keys.agg(F.count(F.lit(1)).alias("n")))  # one row
+    # entities and terms of too few texts go first: they cannot meet in enough
     pairs = told.select("doc_id", "h", F.explode("entities").alias("entity"))
-    entities = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"))
-    total = F.broadcast(docs.agg(F.count(F.lit(1)).alias("n")))  # one row
+    entities = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.count_distinct("h").alias("texts")).filter(F.col("texts") >= support).drop("texts")
     # a share s needs n_t <= n_et (N / n_e)^(1 - s), and n_et <= n_e: no term above that can qualify (a little is added
     # for rounding), so common words go before terms meet the entities of their document
     limit = F.col("n_e") * F.pow(F.col("n") / F.col("n_e"), F.lit(1 - generalise)) * 1.001
     pairs = settle(pairs.join(entities, "entity").crossJoin(total).withColumn("limit", limit))
     most = pairs.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.max("limit").alias("most"))
-    here = settle(told.select("doc_id", "h", F.explode(terms("text")).alias("term")))
-    held = counts_of(texts(docs).select(F.explode(terms("text")).alias("term")), here.select("term").distinct(), "n_t")
     at = lambda x: x["doc_id"].eqNullSafe(F.col("d")) & (x["h"] == F.col("g"))
-    rare = here.join(held, "term").join(most, at(here)).filter(F.col("n_t") <= F.col("most")).select("d", "g", "term", "n_t")
+    here = settle(told.join(most, at(told)).select("d", "g", "most", F.explode(terms("text")).alias("term")))
+    wanted = settle(here.groupBy("term").agg(F.count_distinct("g").alias("texts")).filter(F.col("texts") >= support).select("term"))
+    rare = here.join(held_by(docs, repeated, wanted), "term").filter(F.col("n_t") <= F.col("most")).select("d", "g", "term", "n_t")
     both = (pairs.join(rare, at(pairs)).filter(F.col("n_t") <= F.col("limit")).groupBy("entity", "term")
-            .agg(F.count(F.lit(1)).alias("n_et"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"), F.first("n").alias("n")))
-    share = F.log2(F.col("n") * F.col("n_et") / (F.col("n_e") * F.col("n_t"))) / F.log2(F.col("n") / F.col("n_e"))
-    return (both.filter((F.col("n_et") >= support) & (F.col("n") > F.col("n_e"))).withColumn("share", share).filter(F.col("share") >= generalise)
+            .agg(F.count(F.lit(1)).alias("n_et"), F.count_distinct("h").alias("texts"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"), F.first("n").alias("n")))
+    n, n_e, n_t, n_et = (F.col(c).cast("double") for c in ("n", "n_e", "n_t", "n_et"))
+    share = F.log2(n * n_et / (n_e * n_t)) / F.log2(n / n_e)
+    return (both.filter((F.col("texts") >= support) & (F.col("n") > F.col("n_e"))).filter(log_likelihood(n, n_e, n_t, n_et) >= evidence)
+            .withColumn("share", share).filter(F.col("share") >= generalise)
             .groupBy("term").agg(F.when(F.max("share") >= remove, "remove").otherwise("generalise").alias("action")))
 
 

@@ -2,7 +2,8 @@
 
 Base spans are e-mail addresses, IP addresses, card numbers and phone numbers. Each distinct base value is a protected
 entity, and so is its coarser form (mail domain, network, number without its last digits): what is seen once tells
-nothing by itself, but its domain may be seen more often. The terms of the documents that mention an entity are weighed
+nothing by itself, but its domain may be seen more often. Coarser forms that more than one in 128 documents mention aren't
+protected: they point to nobody. The terms of the documents that mention an entity are weighed
 by what they tell about it: with N documents, of which n_e mention the entity, n_t hold the term and n_et hold both, the
 term's pointwise mutual information with the entity, log2(N n_et / (n_e n_t)), is compared with the entity's own
 information content, log2(N / n_e). A term whose share of that content reaches ``remove`` for some entity is removed, one
@@ -41,6 +42,8 @@ TERM = r"[\p{L}\p{N}]++"
 SUPPORT = 3
 #: Log-likelihood ratio that a term needs: chance in one of 10,000 cases (chi square, one degree of freedom).
 EVIDENCE = 15.13
+#: A coarser entity that a larger share of the documents mentions (a mail provider, say) points to nobody.
+COMMON = 1 / 128
 GENERALISE, REMOVE = 0.6, 0.9
 
 
@@ -148,18 +151,19 @@ def log_likelihood(n: Column, n_e: Column, n_t: Column, n_et: Column) -> Column:
     return 2 * (cell(n_et, n_e, n_t) + cell(n_e - n_et, n_e, n - n_t) + cell(n_t - n_et, n - n_e, n_t) + cell(n - n_e - n_t + n_et, n - n_e, n - n_t))
 
 
-def disclosing(docs: DataFrame, told: DataFrame, support: int = SUPPORT, evidence: float = EVIDENCE, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def disclosing(docs: DataFrame, told: DataFrame, support: int = SUPPORT, evidence: float = EVIDENCE, common: float = COMMON, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(term, action) of the terms that give an entity away, whichever it is; ``told`` is what ``mentions`` returns."""
     keys = settle(texts(docs).groupBy("doc_id", "h").agg((F.count(F.lit(1)) - 1).alias("more")))
     repeated = keys.filter("more > 0").select(F.col("doc_id").alias("d"), F.col("h").alias("g"), "more")
     total = F.broadcast(keys.agg(F.count(F.lit(1)).alias("n")))  # one row
     # entities and terms of too few texts go first: they cannot meet in enough
     pairs = told.select("doc_id", "h", F.explode("entities").alias("entity"))
-    entities = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.count_distinct("h").alias("texts")).filter(F.col("texts") >= support).drop("texts")
+    entities = pairs.groupBy("entity").agg(F.count(F.lit(1)).alias("n_e"), F.count_distinct("h").alias("texts")).filter(F.col("texts") >= support).drop("texts").crossJoin(total)
+    entities = entities.filter(~F.col("entity").rlike("^[a-z]+ ") | (F.col("n_e") <= F.col("n") * common))
     # a share s needs n_t <= n_et (N / n_e)^(1 - s), and n_et <= n_e: no term above that can qualify (a little is added
     # for rounding), so common words go before terms meet the entities of their document
     limit = F.col("n_e") * F.pow(F.col("n") / F.col("n_e"), F.lit(1 - generalise)) * 1.001
-    pairs = settle(pairs.join(entities, "entity").crossJoin(total).withColumn("limit", limit))
+    pairs = settle(pairs.join(entities, "entity").withColumn("limit", limit))
     most = pairs.groupBy(F.col("doc_id").alias("d"), F.col("h").alias("g")).agg(F.max("limit").alias("most"))
     at = lambda x: x["doc_id"].eqNullSafe(F.col("d")) & (x["h"] == F.col("g"))
     here = settle(told.join(most, at(told)).select("d", "g", "most", F.explode(terms("text")).alias("term")))

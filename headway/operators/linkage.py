@@ -47,6 +47,39 @@ def states_in(c: Column | str) -> Column:
     return F.sort_array(F.array_distinct(F.when(capital, F.array_remove(named, "WA")).otherwise(named)))
 
 
+#: Program names on a profile's head, the label of the stated project, words for rail and bus rapid transit.
+PROGRAMS = r"\b(Starts|Capacity)\b"
+STATED = r"Proposed Project:\s*(.+)"
+RAIL_WORDS = r"\b(light rail|heavy rail|commuter rail|streetcar|metrorail|subway)\b"
+BRT_WORDS = r"\b(bus rapid transit|brt)\b"
+FACT_PAGES = 2
+
+
+def profile_facts(landed: DataFrame) -> DataFrame:
+    """What a profile's text says: title, place, program, states, key, stated mode, and whether it speaks of rail or BRT.
+
+    ``landed(file, pages)`` holds the text of each page; other columns stay. Only the first two pages count. The title is
+    the first line that isn't blank (the file's name where there is none), the place the second ('' where there is none),
+    the program the first of the next three lines that names one (else ''). Mentions only serve to detect conflicts.
+    Null pages are empty; no line crosses tasks, every profile is one row.
+    """
+    pages = F.coalesce("pages", F.expr("array()").cast("array<string>"))
+    text = F.array_join(F.transform(F.slice(pages, 1, FACT_PAGES), lambda p: F.coalesce(p, F.lit(""))), "\n")
+    rows = landed.drop("title", "place", "program", "states", "key", "mode_field", "mode", "mentions_rail", "mentions_brt").withColumn("_text", text)
+    lines = F.filter(F.transform(F.split("_text", r"[\r\n\x0B\f\x1C-\x1E\x85\u2028\u2029]"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    rows = rows.withColumn("_lines", lines)
+    line = lambda i: F.get("_lines", F.lit(i))
+    stated = F.regexp_extract("_text", STATED, 1)
+    low = F.lower("_text")
+    rows = rows.withColumns({
+        "title": F.coalesce(line(0), F.element_at(F.split("file", "/"), -1)), "place": F.coalesce(line(1), F.lit("")),
+        "program": F.coalesce(F.get(F.filter(F.slice("_lines", 3, 3), lambda x: x.rlike(PROGRAMS)), F.lit(0)), F.lit("")),
+        "mode_field": F.when(F.col("_text").rlike(STATED), F.trim(stated)),
+        "mentions_rail": low.rlike(RAIL_WORDS), "mentions_brt": low.rlike(BRT_WORDS)})
+    rows = rows.withColumns({"states": states_in("place"), "key": norm_name("title"), "mode": F.when(F.col("mode_field").isNotNull(), canon_mode("mode_field"))})
+    return rows.drop("_text", "_lines", "pages")
+
+
 def _grams(key: Column, size: int = 2) -> Column:
     """Letter runs of a size, numbered so that repeats count."""
     last = F.length(key) - (size - 1)

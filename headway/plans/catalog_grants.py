@@ -133,6 +133,29 @@ def states_in_place(t):
     return t.customer.select("c_custkey", F.array_join(linkage.states_in(place), ",").alias("states"))
 
 
+@query("profile_facts", f"""
+  SELECT file, title, 'Metro, ' || place AS place, CASE k % 3 WHEN 0 THEN 'Core Capacity' WHEN 1 THEN 'New Starts Engineering' ELSE '' END AS program,
+    array_to_string(list_sort(list_filter(list_transform(range(1, {len(_names)} + 1), lambda i:
+      CASE WHEN regexp_matches(place, '\\b' || ({_sql_names})[i] || '\\b') THEN ({_sql_codes})[i] END), lambda c: c IS NOT NULL AND NOT (c = 'WA' AND contains(place, 'washington, dc')))), ',') AS states,
+    CASE WHEN k % 2 = 0 THEN 'line ' || k || ' and brt' ELSE 'line ' || k || ' corridor' END AS key,
+    CASE k % 4 WHEN 1 THEN 'Light Rail Transit' WHEN 2 THEN 'Bus Rapid Transit Line' WHEN 3 THEN 'Extension' END AS mode_field,
+    CASE k % 4 WHEN 1 THEN 'Light Rail' WHEN 2 THEN 'BRT' END AS mode, k % 4 = 1 OR k % 5 = 0 AS mentions_rail, k % 2 = 0 AS mentions_brt
+  FROM (SELECT c_custkey AS k, 'profiles/' || c_custkey || '.pdf' AS file, ({_sql_names})[c_custkey % {len(_names)} + 1] AS place,
+          CASE WHEN c_custkey % 2 = 0 THEN 'The Line ' || c_custkey || ' & Bus Rapid Transit (Phase 1) Project'
+            ELSE 'Line ' || c_custkey || ' Corridor' END AS title FROM customer)""")
+def profile_facts(t):
+    k = F.col("c_custkey")
+    text = lambda *parts: F.concat(*[p if not isinstance(p, str) else F.lit(p) for p in parts])
+    title = F.when(k % 2 == 0, text("The Line ", k, " & Bus Rapid Transit (Phase 1) Project")).otherwise(text("Line ", k, " Corridor"))
+    place = text("  Metro, ", F.element_at(F.array(*[F.lit(n) for n in _names]), (k % len(_names) + 1).cast("int")))
+    program = F.when(k % 3 == 0, "Core Capacity").when(k % 3 == 1, " New Starts Engineering").otherwise("Description")
+    stated = F.when(k % 4 == 1, "Proposed Project: Light Rail Transit ").when(k % 4 == 2, "Proposed Project:\nBus Rapid Transit Line").when(k % 4 == 3, "Proposed Project: Extension")
+    first = F.concat_ws("\n", F.lit(" "), title, F.lit(""), place, program)
+    second = F.concat_ws("\n", stated, F.when(k % 5 == 0, "replaces a Streetcar"))
+    landed = t.customer.select(text("profiles/", k, ".pdf").alias("file"), F.array(first, second, F.lit("Light rail on a later page")).alias("pages"))
+    return linkage.profile_facts(landed).withColumn("states", F.array_join("states", ","))
+
+
 def _profiles(t):
     """Profiles from the parts: every distinct product line of a type is one profile of that state."""
     lines = t.part.groupBy("p_name", "p_brand").agg(F.min("p_partkey").alias("profile_id"),

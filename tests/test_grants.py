@@ -169,3 +169,14 @@ def test_a_moved_line_is_seen(spark):
     versions = spark.createDataFrame([(1, None, "a\nb\nc\nd"), (2, 1, "d\na\nb\nc")], "id bigint, prev_version_id bigint, text string")
     assert [tuple(r) for r in archive.ordered_changes(versions).collect()] == [(2, 1, 1, 1, 3, 1)]
     assert archive.ordered_changes(versions.limit(0)).collect() == []
+
+
+def test_profile_facts_of_odd_texts(spark):
+    rows = [("a/none.pdf", None), ("a/empty.pdf", []), ("a/null.pdf", [None, "Only line"]), ("a/far.pdf", ["T", "P, Oregon", "x", "", "Core Capacity", "Proposed Project: BRT"]),
+            ("a/late.pdf", ["T\r\nWashington, DC and Virginia\na\nb\nc\nNew Starts", "The subway.\nProposed Project:  Streetcar  \nmore"])]
+    got = {r.file: r for r in linkage.profile_facts(spark.createDataFrame([(f, p, 1) for f, p in rows], "file string, pages array<string>, title int")).collect()}
+    assert got["a/none.pdf"].title == "none.pdf" and got["a/empty.pdf"].place == "" and got["a/null.pdf"].title == "Only line"
+    # the third page on isn't read; the program stands in the three lines after the place
+    assert (got["a/far.pdf"].place, got["a/far.pdf"].states, got["a/far.pdf"].program, got["a/far.pdf"].mode_field) == ("P, Oregon", ["OR"], "", None)
+    late = got["a/late.pdf"]
+    assert (late.states, late.program, late.mode_field, late.mode, late.mentions_rail, late.mentions_brt) == (["DC", "VA"], "", "Streetcar", "Streetcar", True, False)

@@ -11,8 +11,11 @@ compared with a few central members of its node, the links found are confirmed,
 node's largest component are compared with the others, in blocks. So no link between components is lost and none inside them
 is needed.
 
+Large nodes of all trees that share their largest component are compared together, so that a group of copies meets its
+outsiders once and not once in every tree.
+
 Candidates are filtered by estimated similarity (96 minwise bytes, five standard deviations below the threshold) and
-by size, both set for a threshold of 80 percent; every link is confirmed on the full sets.
+by size, both worked out from ``percent``; every link is confirmed on the full sets.
 
 Defined results: null and empty texts, and texts of white space, have no shingles, are linked with nothing and are
 kept; a document without id takes part, but names no component; a component without any id has none, and its members
@@ -45,7 +48,8 @@ CENTRE, PIVOTS = 64, 8
 BLOCK, CHUNK, CHUNK_SHINGLES = 64, 1024, 1_000_000
 #: Pairs of a block and a chunk that a task holds at once.
 PAIRS_AT_ONCE = 8
-ESTIMATE = 0.6
+#: Standard deviations of the estimate below the threshold at which a pair is no candidate.
+DEVIATIONS = 5
 #: Words whose hashes are kept at hand in a task; the store is emptied when full. It changes speed only.
 WORDS_KEPT = 100_000
 
@@ -125,7 +129,7 @@ def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = classes.select("cls", F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), b.alias("path")) for t in range(TREES) for b in branches(0, t)])).alias("x")).select("cls", "x.tree", "x.path")
     leaves = None
     for level in range(1, DEPTH + 1):
-        rows = settle(rows)
+        rows = rows if level == 1 else settle(rows)  # at the root a projection of written rows
         sizes = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > 1)
         held = settle(rows.join(sizes, "path"))
         leaf = held.filter(F.col("size") <= LEAF).select("path", "cls")
@@ -142,8 +146,14 @@ def nodes(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     raise AssertionError
 
 
-def _similar(tags: list[bytes], sizes: np.ndarray, others: list[bytes], other_sizes: np.ndarray) -> np.ndarray:
-    """Estimated similarities, 0 where sizes alone exclude a link."""
+def estimate(percent: int) -> float:
+    """The estimated similarity below which pairs aren't candidates for a link at ``percent``."""
+    p = percent / 100
+    return max(0.0, p - DEVIATIONS * (p * (1 - p) / VALUES) ** 0.5)
+
+
+def _similar(tags: list[bytes], sizes: np.ndarray, others: list[bytes], other_sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Estimated similarities, -1 where sizes alone exclude a link."""
     x = np.frombuffer(b"".join(tags), dtype=np.uint8).reshape(len(tags), -1)
     y = np.frombuffer(b"".join(others), dtype=np.uint8).reshape(len(others), -1)
     out = np.zeros((len(x), len(y)))
@@ -151,7 +161,7 @@ def _similar(tags: list[bytes], sizes: np.ndarray, others: list[bytes], other_si
         out[i] = (x[i] == y).mean(axis=1)
     low = np.minimum(sizes[:, None], other_sizes[None, :])
     high = np.maximum(sizes[:, None], other_sizes[None, :])
-    return np.where(5 * low >= 4 * high, out, 0.0)
+    return np.where(100 * low >= percent * high, out, -1.0)
 
 
 PAIRS = "a binary, b binary"
@@ -161,8 +171,9 @@ def _pair_frame(a: list[bytes], b: list[bytes]) -> pd.DataFrame:
     return pd.DataFrame({"a": [min(x, y) for x, y in zip(a, b)], "b": [max(x, y) for x, y in zip(a, b)]}, dtype=object)
 
 
-def leaf_pairs(leaves: DataFrame, classes: DataFrame) -> DataFrame:
+def leaf_pairs(leaves: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Candidates inside small nodes."""
+    least = estimate(percent)
     # a node that several trees agree on is compared once
     groups = leaves.groupBy("path").agg(F.array_sort(F.collect_set("cls")).alias("m")).select("m").distinct()
     member = settle(groups.select(F.xxhash64("m").alias("node"), F.explode("m").alias("cls")))
@@ -174,8 +185,8 @@ def leaf_pairs(leaves: DataFrame, classes: DataFrame) -> DataFrame:
             b: list[bytes] = []
             for m in batch["m"]:
                 cls, n, tags = [r["cls"] for r in m], np.array([r["n"] for r in m]), [r["tags"] for r in m]
-                s = _similar(tags, n, tags, n)
-                for i, j in zip(*np.nonzero(np.triu(s >= ESTIMATE, 1))):
+                s = _similar(tags, n, tags, n, percent)
+                for i, j in zip(*np.nonzero(np.triu(s >= least, 1))):
                     a.append(cls[i])
                     b.append(cls[j])
             yield _pair_frame(a, b)
@@ -183,12 +194,13 @@ def leaf_pairs(leaves: DataFrame, classes: DataFrame) -> DataFrame:
     return full.select("m").mapInPandas(compare, PAIRS)
 
 
-def pivot_pairs(dense: DataFrame, classes: DataFrame) -> DataFrame:
+def pivot_pairs(dense: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Each member of a large node with the two most similar of the node's pivots.
 
     Pivots are the members nearest to the node's centre, which has the commonest value of each of the minwise
     bytes of some members: in a group of copies of one text, these are that text and its closest copies.
     """
+    least = estimate(percent)
     order = Window.partitionBy("path").orderBy(F.xxhash64("cls"), "cls")
     some = dense.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= CENTRE).select("path", "cls")
     some = some.join(classes.select("cls", "tags"), "cls").groupBy("path").agg(F.collect_list("tags").alias("t"))
@@ -219,8 +231,8 @@ def pivot_pairs(dense: DataFrame, classes: DataFrame) -> DataFrame:
             a: list[bytes] = []
             b: list[bytes] = []
             for cls, n, tags, p in zip(batch["cls"], batch["n"], batch["tags"], batch["p"]):
-                s = _similar([tags], np.array([n]), [r["tags"] for r in p], np.array([r["n"] for r in p]))[0]
-                best = [j for j in np.argsort(-s, kind="stable") if s[j] >= ESTIMATE and p[j]["cls"] != cls][:2]
+                s = _similar([tags], np.array([n]), [r["tags"] for r in p], np.array([r["n"] for r in p]), percent)[0]
+                best = [j for j in np.argsort(-s, kind="stable") if s[j] >= least and p[j]["cls"] != cls][:2]
                 a += [cls] * len(best)
                 b += [p[j]["cls"] for j in best]
             yield _pair_frame(a, b)
@@ -238,18 +250,25 @@ def outsiders(dense: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def outsider_links(mixed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """In each large node, links between members outside its largest component and members of other components.
+    """Links between members of large nodes outside the node's largest component and members of other components.
 
-    Blocks of outsiders meet chunks of all members; candidates by estimate are confirmed on the full sets in place, and
+    Nodes with the same largest component count as one: near copies stand together in nodes of most trees. Blocks of
+    outsiders are sent to every chunk of all members, and chunks go to different tasks; candidates by estimate are confirmed on the full sets in place, and
     two components that a task has linked once are not compared again there.
     """
-    held = settle(mixed.join(classes.select("cls", "n", "tags"), "cls").join(sets, "cls"))
-    sizes = held.groupBy("path").agg(F.count_if(F.col("grp") != F.col("main")).alias("outside"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"))
+    least = estimate(percent)
+    members = mixed.select(F.col("main").alias("path"), "cls", "grp", "main").distinct()
+    held = settle(members.join(classes.select("cls", "n", "tags"), "cls").join(sets, "cls"))
+    sizes = held.groupBy("path").agg(F.count_if(F.col("grp") != F.col("main")).alias("outside"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles"),
+                                      F.sum(F.when(F.col("grp") != F.col("main"), F.col("n"))).alias("told"))
     held = held.join(sizes, "path")
     one = F.struct("cls", "grp", "n", "tags", "s")
     parts = F.greatest(F.ceil(F.col("size") / CHUNK), F.ceil(F.col("shingles") / CHUNK_SHINGLES))
-    block = (held.filter(F.col("grp") != F.col("main")).groupBy("path", F.pmod(F.xxhash64("cls"), F.ceil(F.col("outside") / BLOCK)).alias("i"))
-             .agg(F.collect_list(one).alias("u")))
+    # a block is bounded in shingles, too: its members are in one row
+    blocks = F.greatest(F.ceil(F.col("outside") / BLOCK), F.ceil(F.col("told") / CHUNK_SHINGLES))
+    block = (held.filter(F.col("grp") != F.col("main")).groupBy("path", F.pmod(F.xxhash64("cls"), blocks).alias("i"))
+             .agg(F.collect_list(one).alias("u"), F.first(parts).alias("parts")))
+    block = block.select("path", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("j"), "u")
     chunk = held.groupBy("path", F.pmod(F.xxhash64("cls"), parts).alias("j")).agg(F.collect_list(one).alias("m"))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -257,7 +276,7 @@ def outsider_links(mixed: DataFrame, classes: DataFrame, sets: DataFrame, percen
             a: list[bytes] = []
             b: list[bytes] = []
             for u, m in zip(batch["u"], batch["m"]):
-                s = _similar([r["tags"] for r in u], np.array([r["n"] for r in u]), [r["tags"] for r in m], np.array([r["n"] for r in m]))
+                s = _similar([r["tags"] for r in u], np.array([r["n"] for r in u]), [r["tags"] for r in m], np.array([r["n"] for r in m]), percent)
                 joined: dict[bytes, bytes] = {}
 
                 def root(g: bytes) -> bytes:
@@ -265,7 +284,7 @@ def outsider_links(mixed: DataFrame, classes: DataFrame, sets: DataFrame, percen
                         g = joined[g]
                     return g
 
-                rows, columns = np.nonzero(s >= ESTIMATE)
+                rows, columns = np.nonzero(s >= least)
                 for k in np.argsort(-s[rows, columns], kind="stable"):
                     x, y = u[rows[k]], m[columns[k]]
                     g, h = root(x["grp"]), root(y["grp"])
@@ -275,7 +294,7 @@ def outsider_links(mixed: DataFrame, classes: DataFrame, sets: DataFrame, percen
                         b.append(y["cls"])
             yield _pair_frame(a, b)
 
-    return block.join(chunk, "path").select("u", "m").mapInPandas(compare, PAIRS)
+    return block.join(chunk, ["path", "j"]).select("u", "m").mapInPandas(compare, PAIRS)
 
 
 def _linked(x: bytes, y: bytes, percent: int) -> bool:
@@ -322,10 +341,10 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     first = known.groupBy("cls").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "h")).alias("f")).select("cls", "f.doc_id", "f.h")
     leaves, dense = nodes(classes)
     dense = settle(dense)
-    pairs = leaf_pairs(leaves, classes)
+    pairs = leaf_pairs(leaves, classes, percent)
     stays_large = dense.limit(1).count() > 0
     if stays_large:
-        pairs = pairs.unionByName(pivot_pairs(dense, classes))
+        pairs = pairs.unionByName(pivot_pairs(dense, classes, percent))
     links = settle(confirm(settle(pairs.distinct()), docs, first, k, percent))
 
     def grouped(edges: DataFrame) -> DataFrame:
@@ -335,7 +354,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     if stays_large:
         # smaller groups of copies inside a large node find their own pivots
         apart = outsiders(dense, groups).filter(F.col("grp") != F.col("main")).select("path", "cls")
-        more = settle(pivot_pairs(settle(apart), classes).distinct())
+        more = settle(pivot_pairs(settle(apart), classes, percent).distinct())
         if more.limit(1).count():
             links = links.unionByName(confirm(more, docs, first, k, percent))
             groups = grouped(links)

@@ -456,6 +456,22 @@ def test_components_equal_brute_force(spark):
     assert got == components_by_hand(rows, 4)
 
 
+@pytest.mark.parametrize("percent", [60, 95])
+def test_components_at_other_percentages(spark, percent):
+    rng = random.Random(percent)
+    rows = []
+    for g in range(2):  # two large groups that share half of their words, so that nodes hold both, and texts between them
+        words = [f"s{i}" for i in range(60)] + [f"g{g}x{i}" for i in range(60)]
+        for i in range(150):
+            w = list(words)
+            for _ in range(rng.randrange(0, 12)):
+                w[rng.randrange(len(w))] = f"n{rng.randrange(10**6)}"
+            rows.append((1000 * g + i, " ".join(w)))
+    rows += [(5000 + i, " ".join(rng.sample([f"s{j}" for j in range(60)], 50))) for i in range(20)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in chosen_path.judge(spark.createDataFrame(rows, "doc_id long, text string"), 1, percent).collect()}
+    assert got == components_by_hand(rows, 1, percent)
+
+
 # ---------------------------------------------------------------- 4, 7, 9: against SQL, and small cases
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_query_equals_its_sql(spark, name):

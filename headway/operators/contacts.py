@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from headway.functions.columns import array_of, eastern_minute, normalize_email
+from headway.sources import buckets
 
 # fixed values
 STATUSES = ("pending", "subscribed", "unsubscribed", "bounced", "complained")
@@ -84,6 +86,12 @@ def merge_contacts(contacts: DataFrame, incoming: DataFrame, source: str, defaul
         F.when(F.col("_n"), tags).otherwise(F.col("tags")).alias("tags"))
 
 
+def merge_stored_contacts(path: str, schema: T.StructType, incoming: DataFrame, source: str, default_tags=(), count: int = buckets.BUCKETS) -> list[int]:
+    """``merge_contacts`` into a contact table stored in buckets of the address; only touched buckets are read and written."""
+    address = F.col("email")
+    return buckets.merge(incoming, path, schema, address, address, lambda n, o: merge_contacts(o, n, source, default_tags), count)
+
+
 def suppress(suppressions: DataFrame, new: DataFrame) -> DataFrame:
     """The do-not-mail list with new entries; the first reason of an address is kept."""
     cols = ["email", "reason", "detail", "created_at"]

@@ -6,8 +6,10 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from headway.functions.columns import any_of, array_of, first_rule, is_blank, lookup
+from headway.sources import buckets
 
 # fixed values
 KINDS = ("logo", "stock")
@@ -57,11 +59,14 @@ ASSET_KEY = ("kind", "agency", "source_url")
 REFRESHED = ("topic_tags", "url", "file_path", "width", "height", "license", "attribution", "notes")
 
 
+def asset_key() -> Column:
+    return F.struct(F.col("kind"), F.lower(F.coalesce("agency", F.lit(""))).alias("agency"), F.col("source_url"))
+
+
 def merge_assets(new: DataFrame, stored: DataFrame) -> DataFrame:
     """Upsert by kind, agency whatever its case, and source address; a review decision always stays."""
-    key = lambda: F.struct(F.col("kind"), F.lower(F.coalesce("agency", F.lit(""))).alias("agency"), F.col("source_url"))
-    n = new.withColumn("_k", key()).select("_k", F.struct(*new.columns).alias("n"))
-    o = stored.withColumn("_k", key()).select("_k", F.struct(*stored.columns).alias("o"))
+    n = new.withColumn("_k", asset_key()).select("_k", F.struct(*new.columns).alias("n"))
+    o = stored.withColumn("_k", asset_key()).select("_k", F.struct(*stored.columns).alias("o"))
     both = n.join(o, "_k", "full_outer")
     pick = lambda c: (F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")) if c in REFRESHED
                       else F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")))
@@ -72,6 +77,11 @@ def merge_assets(new: DataFrame, stored: DataFrame) -> DataFrame:
                        F.col("o.reviewed_at").alias("reviewed_at"), outcome.alias("outcome"))
 
 
+def merge_stored_assets(path: str, schema: T.StructType, new: DataFrame, count: int = buckets.BUCKETS) -> list[int]:
+    """``merge_assets`` into a picture table stored in buckets of its key; only touched buckets are read and written."""
+    return buckets.merge(new, path, schema, asset_key(), asset_key(), merge_assets, count)
+
+
 def supersede(assets: DataFrame, keep: DataFrame, now: datetime) -> DataFrame:
     """Older logo candidates of an agency give way to a newly kept one. ``keep(agency, keep_id)``."""
     k = keep.select(F.lower("agency").alias("_a"), "keep_id").groupBy("_a").agg(F.max("keep_id").alias("keep_id"))

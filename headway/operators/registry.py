@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from headway.sources import buckets
 
 # fixed values: shape of a keyword-search feed address
 SEARCH_BASE = "https://news.google.com/rss/search?q="
@@ -98,6 +101,11 @@ def merge_agencies(new: DataFrame, old: DataFrame) -> DataFrame:
                        F.coalesce("search_enabled", "n_search").alias("search_enabled"), outcome.alias("outcome"))
 
 
+def merge_stored_agencies(path: str, schema: T.StructType, new: DataFrame, count: int = buckets.BUCKETS) -> list[int]:
+    """``merge_agencies`` into an agency table stored in buckets of the lower-cased name."""
+    return buckets.merge(new, path, schema, F.lower("name"), F.lower("name"), merge_agencies, count)
+
+
 def agency_query(name: Column, days: int = AGENCY_DAYS) -> Column:
     return F.format_string(f'"%s" transit when:{days}d', name)
 

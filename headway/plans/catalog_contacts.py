@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from headway.functions.columns import normalize_email
 from headway.operators import contacts
 from headway.plans.catalog import common, query
-from headway.session import settle
-from headway.sources import writers
+from headway.session import scratch, settle
+from headway.sources import buckets, writers
 
 common("contacts", """
   SELECT c_custkey AS id, 'customer.' || c_custkey || '@example.org' AS email, CASE WHEN c_custkey % 4 <> 0 THEN c_name END AS name,
@@ -55,17 +55,30 @@ def import_counts(t):
     return contacts.outcome_counts(contacts.import_contacts(_file(t), t.contacts, t.suppressions))
 
 
-@query("merge_contacts", """
+MERGED = """
   SELECT coalesce(c.email, i.email) AS email, coalesce(nullif(i.name, ''), c.name) AS name, coalesce(c.status, 'pending') AS status,
     CASE WHEN c.source IS NOT NULL THEN c.source WHEN i.email IS NOT NULL THEN 'csv import' END AS source,
     CASE WHEN i.email IS NOT NULL THEN array_to_string(list_sort(list_distinct(list_concat(coalesce(c.tags, []), ['imported', 'fall']))), ',') ELSE array_to_string(c.tags, ',') END AS tags
-  FROM contacts c FULL OUTER JOIN (SELECT * FROM import_rows WHERE outcome IN ('added', 'updated')) i USING (email)""", ("contacts", "import_rows"))
+  FROM contacts c FULL OUTER JOIN (SELECT * FROM import_rows WHERE outcome IN ('added', 'updated')) i USING (email)"""
+
+
+@query("merge_contacts", MERGED, ("contacts", "import_rows"))
 def merge_contacts(t):
     rows = contacts.import_contacts(_file(t), t.contacts, t.suppressions).filter("outcome IN ('added', 'updated')").select("email", "name", "tags")
     out = contacts.merge_contacts(t.contacts, rows, "csv import", ["fall"])
     return out.withColumn("tags", F.array_join("tags", ","))
 
 
+@query("merge_stored_contacts", MERGED, ("contacts", "import_rows"))
+def merge_stored_contacts(t):
+    """The same import into a contact table stored in buckets."""
+    rows = contacts.import_contacts(_file(t), t.contacts, t.suppressions).filter("outcome IN ('added', 'updated')").select("email", "name", "tags")
+    have, path = t.contacts.select("email", "name", "status", "source", "tags"), scratch(t.spark, "contacts")
+    buckets.store(have, path, F.col("email"))
+    contacts.merge_stored_contacts(path, have.schema, rows, "csv import", ["fall"])
+    return buckets.read(t.spark, path, have.schema).withColumn("tags", F.array_join("tags", ","))
+
+
 @query("suppress", """
   SELECT email, CASE WHEN email IN (SELECT email FROM stopped) THEN 'bounced' ELSE min_by(event_type, (ts, event_type)) END AS reason FROM
     (SELECT 'customer.' || user_id || '@example.org' AS email, event_type, ts FROM events UNION ALL SELECT email, 'bounced', TIMESTAMP '2024-01-01' FROM stopped) GROUP BY 1""", ("stopped",))
@@ -231,7 +244,6 @@ def contact_export(t):
 def contact_files(t):
     """Files as people have them: with a header in another order and quoted line breaks, and without a header."""
     from headway.operators.contacts import parse_contacts
-    from headway.session import scratch
     from headway.sources.readers import read_contact_files
     path = scratch(t.spark, "contact-files")
     named = t.contacts.filter("name IS NOT NULL").select(
@@ -245,7 +257,6 @@ def contact_files(t):
 @query("contact_file_round_trip", "SELECT email AS address, coalesce(name, '') AS name, array_to_string(tags, ';') AS tags FROM contacts WHERE status = 'bounced'", ("contacts",))
 def contact_file_round_trip(t):
     """Exported as CSV, read back through its header."""
-    from headway.session import scratch
     from headway.sources.readers import read_flat
     path = scratch(t.spark, "contacts")
     writers.export_contacts(t.contacts, path, "bounced")

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from headway.operators import images
 from headway.plans import catalog_posts  # noqa: F401  (shared WITH entries)
 from headway.plans.catalog import common, query
+from headway.session import scratch
+from headway.sources import buckets
 
 common("assets", """
   SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'logo' ELSE 'stock' END AS kind, p_brand AS agency, string_split(p_name, ' ') AS topic_tags,
@@ -50,6 +52,19 @@ def merge_assets(t):
     return out.select(F.regexp_extract("source_url", r"(\d+)$", 1).cast("bigint").alias("key"), "outcome", "status", "notes")
 
 
+@query("merge_stored_assets", """
+  SELECT id AS key, CASE WHEN id % 3 = 0 THEN 'candidate' ELSE status END AS status, CASE WHEN id % 5 <> 0 THEN 'new' ELSE notes END AS notes, lower(agency) AS agency
+  FROM assets WHERE id % 3 <> 0 OR id % 5 <> 0""", ("assets",))
+def merge_stored_assets(t):
+    """The same upsert into a picture table stored in buckets of its key."""
+    new = t.assets.filter("id % 5 <> 0").withColumns({"notes": F.lit("new"), "agency": F.upper("agency")})
+    have, path = t.assets.filter("id % 3 <> 0"), scratch(t.spark, "assets")
+    buckets.store(have, path, images.asset_key())
+    images.merge_stored_assets(path, have.schema, new)
+    out = buckets.read(t.spark, path, have.schema)
+    return out.select(F.regexp_extract("source_url", r"(\d+)$", 1).cast("bigint").alias("key"), "status", "notes", F.lower("agency").alias("agency"))
+
+
 @query("supersede_candidates", """
   SELECT a.id, CASE WHEN kind = 'logo' AND status = 'candidate' AND k.keep_id IS NOT NULL AND a.id <> k.keep_id THEN 'rejected' ELSE status END AS status
   FROM assets a LEFT JOIN (SELECT lower(p_brand) AS b, max(p_partkey) AS keep_id FROM part WHERE p_partkey % 2 = 0 AND p_size % 3 = 1 GROUP BY 1) k ON k.b = lower(agency)""", ("assets",))

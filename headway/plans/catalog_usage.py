@@ -211,16 +211,19 @@ def sql_month_match(t):
 
 # ---- streams ------------------------------------------------------------------------------------
 
+FILES = 4
+
+
 def _landed(t, df, label):
-    """``df`` landed as three files and read as a stream, a file per batch.
+    """``df`` landed as three times ``FILES`` files and read as a stream, ``FILES`` of them per batch.
 
-    Rows are dealt by a hash, so later files hold earlier times and keys return.
+    Rows are dealt by a hash, so later files hold earlier times and keys return; each write uses ``FILES`` tasks.
     """
     path = scratch(t.spark, label)
     number = F.pmod(F.xxhash64(*df.columns), F.lit(3))
     for n in range(3):
-        df.filter(number == n).coalesce(1).write.mode("append").parquet(path)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        df.filter(number == n).repartition(FILES).write.mode("append").parquet(path)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 @query("stream_usage", "SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from headway.operators import contacts, posts, registry, review
-
-#: Link buckets: a batch looks for known links in the buckets it touches only.
-BUCKETS = 64
-
+from headway.session import settle
+from headway.sources.buckets import BUCKETS, bucket_of
 
 def run_now(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> StreamingQuery:
     """Process what has landed, batch by batch, and stop."""
@@ -141,17 +139,20 @@ def compact(spark: SparkSession, path: str, into: str, schema: str, fold: Callab
 LINKS = "link string, at timestamp, bucket int"
 
 
-def stream_intake(feed: DataFrame, known: DataFrame, sink: str, checkpoint: str) -> StreamingQuery:
+def stream_intake(feed: DataFrame, known: DataFrame, sink: str, checkpoint: str, buckets: int = BUCKETS) -> StreamingQuery:
     """New items by link (``feed`` has ``link`` and ``at``): never one that is known or was written before.
 
-    What was written is looked up in the touched buckets of earlier batches, however long ago.
+    What was written is looked up in the touched buckets of earlier batches, however long ago: buckets are folders, and
+    their numbers are known before the plan is made, so no other bucket is opened.
     """
-    bucket = F.pmod(F.xxhash64("link"), F.lit(BUCKETS)).cast("int")
+    bucket = bucket_of(F.col("link"), buckets)
 
     def each(batch: DataFrame, number: int) -> None:
         once = (batch.filter("coalesce(link, '') <> ''").groupBy("link").agg(F.min(F.col("at").cast("timestamp")).alias("at"))
                 .withColumn("bucket", bucket))
-        earlier = batches(batch.sparkSession, sink, LINKS, before=number).select("bucket", "link")
+        once = settle(once)
+        numbers = [r["bucket"] for r in once.select("bucket").distinct().collect()]  # at most ``buckets`` of them
+        earlier = batches(batch.sparkSession, sink, LINKS, before=number).filter(F.col("bucket").isin(numbers)).select("bucket", "link")
         fresh = once.join(known.select("link").distinct(), "link", "left_anti").join(earlier, ["bucket", "link"], "left_anti")
         write_batch(fresh, sink, number, by="bucket")
     return run_now(feed, checkpoint, each)

@@ -147,6 +147,9 @@ def vector_pairs(left: DataFrame, right: DataFrame | None = None, eps: float = N
     with home angle h has partners in cell q only if angle(x, q) <= min(radius(q) + theta, h +
     2 * theta), so it visits just those cells. Inside a cell both sides are cut into chunks and every
     chunk pair is one matrix product, so a cell holding a third of all vectors becomes many tasks.
+
+    Within one table each pair is computed once: a vector visits cells of higher number only, and inside a cell chunk i
+    meets the chunks j >= i.
     """
     def matrix(series: pd.Series) -> np.ndarray:  # local, so that it travels to the workers by value
         m = np.array(series.tolist(), dtype=np.float64)
@@ -184,35 +187,46 @@ def vector_pairs(left: DataFrame, right: DataFrame | None = None, eps: float = N
     reach = left.sparkSession.sparkContext.broadcast(radius + theta + 1e-9)
 
     @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def visits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for vs in batches:
+    def visits(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for vs, after in batches:
             if len(vs) == 0:
                 yield pd.Series([], dtype=object)
                 continue
             angles = np.arccos(np.clip(matrix(vs) @ pivots.value.T, -1, 1))
             ok = (angles <= reach.value) & (angles <= angles.min(axis=1, keepdims=True) + 2 * theta + 1e-9)
+            ok &= np.arange(ok.shape[1]) > after.to_numpy()[:, None]
             yield pd.Series([np.flatnonzero(row).astype("int32") for row in ok])
 
     cells = F.array(*[F.lit(int(c)) for c in chunks])
-    visiting = settle(left.select("rep", "v", F.explode(visits("v")).alias("cell")))
+    guests = at_home.withColumnRenamed("cell", "after") if same else left.withColumn("after", F.lit(-1))
+    visiting = settle(guests.select("rep", "v", F.explode(visits("v", "after")).alias("cell")))
     load = {r["cell"]: r["n"] for r in visiting.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = F.array(*[F.lit(int(-(-load.get(c, 1) // CHUNK))) for c in range(len(picked))])
+    blocks = F.array(*[F.lit(int(-(-load.get(c, 0) // CHUNK))) for c in range(len(picked))])
     per = lambda arr: F.element_at(arr, F.col("cell") + 1)
     slot = lambda arr: F.pmod(F.xxhash64("rep"), per(arr)).cast("int")
-    every = lambda arr: F.explode(F.sequence(F.lit(0), per(arr) - 1))
-    hosts = at_home.select("rep", "v", "cell", slot(cells).alias("i"), every(blocks).alias("j"))
-    guests = visiting.select(F.col("rep").alias("guest"), F.col("v").alias("w"), "cell", every(cells).alias("i"), F.pmod(F.xxhash64("rep"), per(blocks)).cast("int").alias("j"))
-
-    def compare(host: pd.DataFrame, guest: pd.DataFrame) -> pd.DataFrame:
+    each = lambda a, b: F.explode(F.sequence(a, b))
+    own, keys = F.lit(False).alias("own"), ["cell", "i", "j", "own"]
+    hosts = at_home.filter(per(blocks) > 0).select("rep", "v", "cell", slot(cells).alias("i"), each(F.lit(0), per(blocks) - 1).alias("j"), own)
+    guests = visiting.select(F.col("rep").alias("guest"), F.col("v").alias("w"), "cell", each(F.lit(0), per(cells) - 1).alias("i"), slot(blocks).alias("j"), own)
+    if same:
+        mine, own = at_home.withColumn("c", slot(cells)), F.lit(True).alias("own")
+        hosts = hosts.unionByName(mine.select("rep", "v", "cell", F.col("c").alias("i"), each(F.col("c"), per(cells) - 1).alias("j"), own))
+        guests = guests.unionByName(mine.select(F.col("rep").alias("guest"), F.col("v").alias("w"), "cell", each(F.lit(0), F.col("c")).alias("i"), F.col("c").alias("j"), own))
+
+    def compare(key: tuple, host: pd.DataFrame, guest: pd.DataFrame) -> pd.DataFrame:
         if host.empty or guest.empty:
             return pd.DataFrame({"a": [], "b": [], "distance": []})
         distance = 1 - matrix(guest["w"]) @ matrix(host["v"]).T
         g, h = np.nonzero(distance <= eps)
-        a, b = guest["guest"].to_numpy()[g], host["rep"].to_numpy()[h]
-        keep = a < b if same else np.ones(len(a), dtype=bool)
-        return pd.DataFrame({"a": a[keep], "b": b[keep], "distance": distance[g, h][keep]})
+        a, b, d = guest["guest"].to_numpy()[g], host["rep"].to_numpy()[h], distance[g, h]
+        if same:
+            first = a < b
+            if key[3] and key[1] == key[2]:  # a chunk with itself shows each pair in both orders
+                a, b, d = a[first], b[first], d[first]
+            else:
+                a, b = np.where(first, a, b), np.where(first, b, a)
+        return pd.DataFrame({"a": a, "b": b, "distance": d})
 
-    keys = ["cell", "i", "j"]
     return hosts.groupBy(*keys).cogroup(guests.groupBy(*keys)).applyInPandas(compare, _pair_type(left, right))
 
 

@@ -71,6 +71,37 @@ def test_duplicate_groups_match_brute_force(spark):
     assert got == union_find(edges)
 
 
+def test_lexical_pairs_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(duplicates, "LEAST_WORDS", 800)
+    items = make_items()
+    ws = brute_words(items)
+    df = spark.createDataFrame(items, "id bigint, headline string, state string")
+    sets = duplicates.settle(duplicates.word_sets(df, state=None))
+    reps = {r["rep"] for r in sets.collect()}
+    assert duplicates._blocks(duplicates._rare_first(sets, duplicates._numbered(duplicates._spread(sets))))[1] > 4
+    found = duplicates.lexical_pairs(sets)
+    assert sorted((r["a"], r["b"]) for r in found.collect()) == sorted((a, b) for a in reps for b in reps if a < b and overlap(ws[a], ws[b]) >= 0.7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    later = plan.split("FlatMapCoGroupsInPandas")[0]
+    assert later != plan and "Exchange" not in later  # pairs that only share a word aren't shuffled
+    titles = duplicates.word_sets(df.filter("id < 30"), ident="id", state=None)
+    shown = {r["rep"] for r in titles.collect()}
+    matches = duplicates.lexical_matches(sets, titles).collect()
+    assert sorted((r["rep"], r["title"]) for r in matches) == sorted((a, b) for a in reps for b in shown if overlap(ws[a], ws[b]) >= 0.65)
+
+
+def test_alike_stories_need_few_links(spark):
+    items = [(i, f"alpha beta gamma delta epsilon zeta own{i}", ("AA", "BB", None, "AA ")[i % 4]) for i in range(80)]
+    df = spark.createDataFrame(items, "id bigint, headline string, state string")
+    sets = duplicates.settle(duplicates.word_sets(df))
+    assert duplicates.lexical_pairs(sets).count() == 80 * 79 // 2
+    links = [(r["a"], r["b"]) for r in duplicates.lexical_links(sets).collect()]
+    assert len(links) < 80  # one task
+    st = {i: (s or "").strip() for i, _, s in items}
+    assert all(not (st[a] and st[b] and st[a] != st[b]) for a, b in links)
+    assert {r["group"] for r in duplicates.duplicate_groups(df).collect()} == {0}
+
+
 def test_already_published_matches_brute_force(spark):
     items, titles = make_items(), make_items(30)[:30]
     ws, shown = brute_words(items), brute_words(titles)

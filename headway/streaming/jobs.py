@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -66,21 +66,35 @@ def usage_table(spark: SparkSession, path: str) -> DataFrame:
     return batches(spark, path, USAGE).groupBy("day", "event_type").agg(F.sum("n").alias("n"))
 
 
-RATES = "from_time timestamp, to_time timestamp, user_id bigint, asks bigint"
+RATES = "slot bigint, user_id bigint, asks bigint"
+SLOT = 300_000_000  # microseconds of a slot
+HOUR = 12  # slots
 
 
 def stream_ask_rates(events: DataFrame, path: str, checkpoint: str, visitor: str = "user_id", at: str = "ts") -> StreamingQuery:
-    """Asks per visitor in sliding hours, every five minutes; open windows are readable at once."""
+    """Asks per visitor in sliding hours, every five minutes; open windows are readable at once.
+
+    What is written are the asks of each slot of five minutes, counted since 1970; ``ask_rate_table`` makes hours of them.
+    """
     def each(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("_at", F.col(at).cast("timestamp"))
-        counts = (rows.groupBy(F.window("_at", "1 hour", "5 minutes"), F.col(visitor).cast("bigint").alias("user_id"))
-                  .agg(F.count(F.lit(1)).alias("asks")))
-        write_batch(counts.select(F.col("window.start").alias("from_time"), F.col("window.end").alias("to_time"), "user_id", "asks"), path, number)
+        micros = F.unix_micros(F.col(at).cast("timestamp"))
+        slot = F.expr(f"(_at - pmod(_at, {SLOT}L)) div {SLOT}L")
+        rows = batch.select(micros.alias("_at"), F.col(visitor).cast("bigint").alias("user_id")).filter("_at IS NOT NULL")
+        write_batch(rows.groupBy(slot.alias("slot"), "user_id").agg(F.count(F.lit(1)).alias("asks")), path, number)
     return run_now(events, checkpoint, each)
 
 
 def ask_rate_table(spark: SparkSession, path: str) -> DataFrame:
-    return batches(spark, path, RATES).groupBy("from_time", "to_time", "user_id").agg(F.sum("asks").alias("asks"))
+    """(from_time, to_time, user_id, asks) of all hours with asks: each comes from its first slot, which sees the eleven after it."""
+    slots = batches(spark, path, RATES).groupBy("user_id", "slot").agg(F.sum("asks").alias("asks"))
+    line = Window.partitionBy("user_id").orderBy("slot")
+    seen = slots.select("user_id", "slot", F.lag("slot").over(line).alias("before"),
+                        F.collect_list(F.struct("slot", "asks")).over(line.rangeBetween(0, HOUR - 1)).alias("ahead"))
+    first = F.greatest(F.col("slot") - (HOUR - 1), F.col("before") + 1)
+    hours = seen.select("user_id", "ahead", F.explode(F.sequence(first, F.col("slot"))).alias("first"))
+    inside = F.filter("ahead", lambda s: s["slot"] < F.col("first") + HOUR)
+    return hours.select(F.timestamp_micros(F.col("first") * SLOT).alias("from_time"), F.timestamp_micros((F.col("first") + HOUR) * SLOT).alias("to_time"),
+                        "user_id", F.aggregate(inside, F.lit(0).cast("bigint"), lambda n, s: n + s["asks"]).alias("asks"))
 
 
 # ---- states -------------------------------------------------------------------------------------

@@ -121,6 +121,21 @@ def test_a_replayed_batch_counts_once(spark):
     assert {r["n"] for r in jobs.usage_table(spark, path + "-one").collect()} == {2}
 
 
+def test_ask_rates_keep_one_row_per_slot(spark):
+    src, path = scratch(spark, "src"), scratch(spark, "rates")
+    at = lambda h, m, s=0: datetime(2026, 1, 1, h, m, s)
+    rows = [(1, at(10, 1)), (1, at(10, 4, 59)), (1, at(10, 57)), (1, at(13, 0)), (None, at(10, 0)), (2, None), (2, datetime(1969, 12, 31, 23, 59))]
+    df = spark.createDataFrame(rows, "user_id int, ts timestamp")
+    for n in range(2):  # the same rows land twice
+        df.coalesce(1).write.mode("append").parquet(src)
+    jobs.stream_ask_rates(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src), path, path + "-checkpoint")
+    assert spark.read.parquet(path).count() == 2 * 5  # not an hour's twelve windows for each
+    want = {(r["w"]["start"], r["w"]["end"], r["user_id"], r["n"]) for r in
+            df.unionByName(df).groupBy(F.window("ts", "1 hour", "5 minutes").alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).collect()}
+    got = [(r["from_time"], r["to_time"], r["user_id"], r["asks"]) for r in jobs.ask_rate_table(spark, path).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_work_folder_of_a_cluster():
     from headway.session import own_folder
     assert own_folder("yarn", "hdfs://n/warehouse/") == "hdfs://n/warehouse/headway-checkpoints"

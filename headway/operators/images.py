@@ -153,7 +153,8 @@ def approved_stock(stories: DataFrame, assets: DataFrame, n: int, base: str = ""
 def topics_for(text: Column | str, mode: Column | str, pillar: Column | str) -> Column:
     """Topic tags of a story in fixed order: from its words, then its modes, then its pillar."""
     low = F.lower(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
-    said = F.array(*[F.when(any_of(F.contains(low, F.lit(w)) for w in ws), F.lit(tag)) for tag, ws in TOPIC_WORDS.items()])
+    tags = lambda t: F.array(*[F.when(any_of(F.contains(t, F.lit(w)) for w in ws), F.lit(tag)) for tag, ws in TOPIC_WORDS.items()])
+    said = F.transform(F.array(low), tags)[0]  # a text is lower-cased once, not for every word
     modes = F.transform(F.coalesce(F.col(mode) if isinstance(mode, str) else mode, array_of()), lambda m: lookup(MODE_TOPICS, m))
     from_pillar = F.array(lookup(PILLAR_TOPICS, F.coalesce(F.col(pillar) if isinstance(pillar, str) else pillar, F.lit(""))))
     return F.array_distinct(F.array_compact(F.concat(said, modes, from_pillar)))

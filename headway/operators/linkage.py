@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from headway.functions.columns import first_rule, norm_name, words
+from headway.operators.duplicates import meeting, numbered
 from headway.session import settle
 
 # fixed values: words that do not tell two projects apart
@@ -92,22 +94,13 @@ def _grams(key: Column, size: int = 2) -> Column:
 MATCHES = 6  # shared rare runs a pair must show before it is looked at
 
 
-def _rare_grams(keys: DataFrame, spread: DataFrame, floor: float) -> DataFrame:
-    """(key, least, g) for the rarest part of each key that two close keys must share.
+def _rare_grams(keys: DataFrame, numbers: DataFrame) -> DataFrame:
+    """(key, gs): the numbers of a key's letter runs from rare to common."""
+    grams = keys.select("key", F.explode(_grams(F.col("key"))).alias("w")).join(numbers, "w")
+    return grams.groupBy("key").agg(F.sort_array(F.collect_list("number")).alias("gs"))  # one name's letters
 
-    Matched letters M of a pair with ratio r satisfy 2M = r * (la + lb), the shared numbered runs are
-    at least 3M - (la + lb) - 1, and la + lb >= la * 2 / (2 - r): so any two keys with ratio >= floor
-    share at least ``need`` runs, and after sorting by rarity ``least <= need`` of them lie among the
-    first ``runs - need + least`` of both.
-    """
-    total = 2 / (2 - floor)
-    need = F.greatest(F.ceil(F.length("key") * ((1.5 * floor - 1) * total) - 1 - 1e-9), F.lit(1)).cast("int")
-    grams = keys.select("key", F.explode(_grams(F.col("key"))).alias("g"))
-    ranked = (grams.join(spread, "g").groupBy("key")
-              .agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("gs"))  # one name's letters
-              .withColumn("need", need).withColumn("least", F.least("need", F.lit(MATCHES))))
-    return ranked.select("key", "least", F.explode(
-        F.slice("gs", F.lit(1), F.size("gs") - F.col("need") + F.col("least"))["g"]).alias("g"))
+
+NAMES = 4096  # names per side in one comparison task
 
 
 def common_letters(a: str, places: dict[str, int], size: int) -> int:
@@ -186,24 +179,50 @@ def _contained(p_rows: DataFrame, f_rows: DataFrame) -> DataFrame:
 def candidate_names(p_keys: DataFrame, f_keys: DataFrame, floor: float) -> DataFrame:
     """(key, fkey) of different spellings whose ratio may reach ``floor``; inputs are (key, block) and (fkey, block).
 
-    Spellings count once however many rows have them. Pairs meet inside a block through rare letter runs. Letters
-    outside the matched blocks number (1 - ratio) * (la + lb), and an edit script that replaces them all takes no
-    more edits than that.
+    Spellings count once however many rows have them. Matched letters M of a pair with ratio r satisfy 2M = r * (la + lb),
+    the shared numbered runs are at least 3M - (la + lb) - 1, and la + lb >= la * 2 / (2 - r): so any two keys with
+    ratio >= floor share at least ``need`` runs, and after sorting by rarity ``least <= need`` of them lie among the
+    first ``runs - need + least`` of both. Both sides of a block are cut into chunks, and a task meets two of them: pairs
+    that share a few runs only never leave it. Letters outside the matched blocks number (1 - ratio) * (la + lb), and an
+    edit script that replaces them all takes no more edits than that.
     """
     tasks = int(p_keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # fixed numbers of tasks: few bytes here make many pairs further down
-    p_keys, f_keys = settle(p_keys.distinct()).repartition(tasks, "key"), settle(f_keys.distinct()).repartition(tasks, "fkey")
+    p_keys, f_keys = settle(p_keys.distinct()), settle(f_keys.distinct())
     left, right = p_keys.select("key").distinct(), f_keys.select(F.col("fkey").alias("key")).distinct()
-    spread = (left.unionByName(right).select(F.explode(_grams(F.col("key"))).alias("g"))
-              .groupBy("g").agg(F.count(F.lit(1)).alias("df")))
-    p_rare = _rare_grams(left, spread, floor).join(p_keys, "key").repartition(tasks, "block", "g")
-    f_rare = (_rare_grams(right, spread, floor).withColumnsRenamed({"key": "fkey", "least": "fleast"})
-              .join(f_keys, "fkey").repartition(tasks, "block", "g"))
-    met = (p_rare.join(f_rare, ["block", "g"])
-           .groupBy("key", "fkey", "block").agg(F.count(F.lit(1)).alias("n"), F.min(F.least("least", "fleast")).alias("least"))
-           .filter("n >= least").select("key", "fkey").repartition(tasks, "key", "fkey").distinct())
-    both = F.length("key") + F.length("fkey")
-    edits = met.withColumn("most", F.floor((1 - floor + 1e-9) * both).cast("int"))
+    names = numbered(left.unionByName(right).select(F.explode(_grams(F.col("key"))).alias("w"))
+                     .groupBy("w").agg(F.count(F.lit(1)).alias("df")))
+    count = lambda rows, name: rows.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / NAMES).alias(name))
+    chunks = count(p_keys, "left").join(count(f_keys, "right"), "block")
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    hosts = _rare_grams(left, names).join(p_keys.join(chunks, "block"), "key").select(
+        "key", "gs", "block", F.pmod(F.xxhash64("key"), F.col("left")).alias("i"), each("right").alias("j"))
+    guests = _rare_grams(right, names).join(f_keys.join(chunks, "block").withColumnRenamed("fkey", "key"), "key").select(
+        F.col("key").alias("fkey"), F.col("gs").alias("fgs"), "block", each("left").alias("i"), F.pmod(F.xxhash64("key"), F.col("right")).alias("j"))
+    meet, first, both = meeting(), (1.5 * floor - 1) * 2 / (2 - floor), 1.5 * floor - 1
+
+    def compare(host: pd.DataFrame, guest: pd.DataFrame) -> pd.DataFrame:
+        if host.empty or guest.empty:
+            return pd.DataFrame({"key": [], "fkey": []})
+        keys, fkeys = host["key"].to_numpy(), guest["fkey"].to_numpy()
+        length, flength = host["key"].str.len().to_numpy(), guest["fkey"].str.len().to_numpy()
+
+        def bounds(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            need = np.maximum(np.ceil(size * first - 1 - 1e-9), 1).astype(np.int64)
+            return need - np.minimum(need, MATCHES), np.minimum(need, MATCHES)
+
+        found = [(keys[:0], fkeys[:0])]
+        for n, hit, shared in meet(host["gs"].to_numpy(), guest["fgs"].to_numpy(), bounds(length), bounds(flength), lambda n, hit: hit):
+            hit = hit[shared >= both * (length[hit] + flength[n]) - 1 - 1e-9]
+            found.append((keys[hit], np.repeat(fkeys[n:n + 1], len(hit))))
+        a, b = (np.concatenate(c) for c in zip(*found))
+        return pd.DataFrame({"key": a, "fkey": b})
+
+    at = ["block", "i", "j"]
+    # fixed numbers of tasks: few bytes here make many pairs
+    met = (hosts.repartition(tasks, *at).groupBy(*at).cogroup(guests.repartition(tasks, *at).groupBy(*at))
+           .applyInPandas(compare, "key string, fkey string").repartition(tasks, "key", "fkey").distinct())
+    letters = F.length("key") + F.length("fkey")
+    edits = met.withColumn("most", F.floor((1 - floor + 1e-9) * letters).cast("int"))
     return edits.filter(F.expr("levenshtein(key, fkey, most)") >= 0).select("key", "fkey")
 
 

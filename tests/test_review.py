@@ -78,7 +78,7 @@ def test_lexical_pairs_meet_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame(items, "id bigint, headline string, state string")
     sets = duplicates.settle(duplicates.word_sets(df, state=None))
     reps = {r["rep"] for r in sets.collect()}
-    assert duplicates._blocks(duplicates._rare_first(sets, duplicates._numbered(duplicates._spread(sets))))[1] > 4
+    assert duplicates._blocks(duplicates._rare_first(sets, duplicates.numbered(duplicates._spread(sets))))[1] > 4
     found = duplicates.lexical_pairs(sets)
     assert sorted((r["a"], r["b"]) for r in found.collect()) == sorted((a, b) for a in reps for b in reps if a < b and overlap(ws[a], ws[b]) >= 0.7)
     plan = found._jdf.queryExecution().executedPlan().toString()

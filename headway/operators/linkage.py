@@ -202,7 +202,7 @@ def candidate_names(p_keys: DataFrame, f_keys: DataFrame, floor: float) -> DataF
 
     def compare(host: pd.DataFrame, guest: pd.DataFrame) -> pd.DataFrame:
         if host.empty or guest.empty:
-            return pd.DataFrame({"key": [], "fkey": []})
+            return pd.DataFrame({"key": [], "fkey": []}, dtype=object)
         keys, fkeys = host["key"].to_numpy(), guest["fkey"].to_numpy()
         length, flength = host["key"].str.len().to_numpy(), guest["fkey"].str.len().to_numpy()
 
@@ -210,12 +210,14 @@ def candidate_names(p_keys: DataFrame, f_keys: DataFrame, floor: float) -> DataF
             need = np.maximum(np.ceil(size * first - 1 - 1e-9), 1).astype(np.int64)
             return need - np.minimum(need, MATCHES), np.minimum(need, MATCHES)
 
-        found = [(keys[:0], fkeys[:0])]
+        found = []
         for n, hit, shared in meet(host["gs"].to_numpy(), guest["fgs"].to_numpy(), bounds(length), bounds(flength), lambda n, hit: hit):
             hit = hit[shared >= both * (length[hit] + flength[n]) - 1 - 1e-9]
             found.append((keys[hit], np.repeat(fkeys[n:n + 1], len(hit))))
+        if not found:
+            return pd.DataFrame({"key": [], "fkey": []}, dtype=object)
         a, b = (np.concatenate(c) for c in zip(*found))
-        return pd.DataFrame({"key": a, "fkey": b})
+        return pd.DataFrame({"key": pd.Series(a, dtype=object), "fkey": pd.Series(b, dtype=object)})
 
     at = ["block", "i", "j"]
     # fixed numbers of tasks: few bytes here make many pairs

@@ -90,6 +90,15 @@ def test_lexical_pairs_meet_in_blocks(spark, monkeypatch):
     assert sorted((r["rep"], r["title"]) for r in matches) == sorted((a, b) for a in reps for b in shown if overlap(ws[a], ws[b]) >= 0.65)
 
 
+def test_lexical_pairs_keep_text_ids(spark):
+    rows = [("x1", "alpha beta gamma", "AA"), ("x2", "alpha beta gamma delta", None), ("y", "one two three four", "AA")]
+    df = spark.createDataFrame(rows, "id string, headline string, state string")
+    sets = duplicates.settle(duplicates.word_sets(df))
+    assert [(r["a"], r["b"]) for r in duplicates.lexical_pairs(sets).collect()] == [("x1", "x2")]
+    assert [(r["a"], r["b"]) for r in duplicates.lexical_links(sets).collect()] == [("x1", "x2")]
+    assert duplicates.lexical_pairs(sets.filter("rep <> 'x2'")).collect() == []
+
+
 def test_alike_stories_need_few_links(spark):
     items = [(i, f"alpha beta gamma delta epsilon zeta own{i}", ("AA", "BB", None, "AA ")[i % 4]) for i in range(80)]
     df = spark.createDataFrame(items, "id bigint, headline string, state string")

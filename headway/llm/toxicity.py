@@ -20,16 +20,20 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from headway.session import settle
+
 #: Bound of the training sample: rows per label (in the order of a hash of the id), and characters in all.
 TRAIN_ROWS = 2000
 TRAIN_CHARS = 40_000_000
+#: Tasks that the sample's texts are dealt to.
+TRAIN_TASKS = 24
 #: Size of a dictionary; least evidence of a telling word (a chance of about 1 in 100,000); copies of a word in a
 #: window; telling windows averaged; share of the toxic dictionary's own words that the threshold lets pass.
 DICTIONARY_BYTES = 16384
@@ -56,29 +60,41 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _telling(toxic: list[str], ordinary: list[str]) -> tuple[list[str], list[str]]:
-    """Toxic words and ordinary words, the strongest last."""
-    def contexts(texts: list[str]) -> set[tuple[str, str, str]]:
-        out: set[tuple[str, str, str]] = set()
-        for t in texts:
-            words = ["", *WORD.findall(t.lower()), ""]
-            out.update(zip(words, words[1:], words[2:]))
-        return out
-
-    bad = contexts(toxic)
-    good = contexts(ordinary) - bad
-    a, b = Counter(c[1] for c in bad), Counter(c[1] for c in good)
-    rate = len(bad) / max(1, len(bad) + len(good))
-    evidence: dict[str, float] = {}
-    for word, x in a.items():
-        o = b[word]
-        expected = (x + o) * rate
-        if x > expected:
-            evidence[word] = 2 * (x * math.log(x / expected) + (o * math.log(o / (x + o - expected)) if o else 0))
-    chosen = sorted((w for w, g in evidence.items() if g >= EVIDENCE and len(w) > 3), key=lambda w: (evidence[w], w))
-    telling = set(chosen)
-    usual = [w for w, _ in sorted(b.items(), key=lambda kv: (kv[1], kv[0])) if len(w) > 3 and w not in telling]
-    return chosen, usual
+def _word_counts(sample: DataFrame) -> DataFrame:
+    """word, a, b: its distinct contexts in toxic texts, and those in ordinary texts only."""
+    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for text, label in zip(batch["text"], batch["toxic"]):
+                words = ["", *WORD.findall(text.lower()), ""]
+                seen = set(zip(words, words[1:], words[2:]))
+                if seen:
+                    yield pd.DataFrame(list(seen), columns=["before", "word", "after"]).assign(toxic=int(label))
+
+    found = sample.select("text", "toxic").mapInPandas(contexts, "before string, word string, after string, toxic int")
+    return (found.groupBy("before", "word", "after").agg(F.max("toxic").alias("toxic"))
+            .groupBy("word").agg(F.sum("toxic").alias("a"), F.sum(1 - F.col("toxic")).alias("b")))
+
+
+def _telling(sample: DataFrame) -> tuple[list[str], list[str]]:
+    """Toxic words, and as many ordinary words as a dictionary can hold, the strongest last."""
+    counts = settle(_word_counts(sample))
+    bad, good = (x or 0 for x in counts.agg(F.sum("a"), F.sum("b")).first())
+    rate = bad / max(1, bad + good)
+
+    @F.pandas_udf("double")
+    def evidence(a: pd.Series, b: pd.Series) -> pd.Series:
+        out = []
+        for x, o in zip(a.tolist(), b.tolist()):
+            expected = (x + o) * rate
+            out.append(2 * (x * math.log(x / expected) + (o * math.log(o / (x + o - expected)) if o else 0)) if x > expected else 0.0)
+        return pd.Series(out, dtype="float64")
+
+    long = counts.filter(F.length("word") > 3).withColumn("evidence", evidence("a", "b"))
+    chosen = long.filter(F.col("evidence") >= EVIDENCE).orderBy("evidence", "word").select("word").collect()
+    # a word takes 5 bytes or more
+    usual = (long.filter((F.col("evidence") < EVIDENCE) & (F.col("b") > 0)).orderBy(F.desc("b"), F.desc("word"))
+             .select("word").limit(DICTIONARY_BYTES // 4).collect())
+    return [r["word"] for r in chosen], [r["word"] for r in reversed(usual)]
 
 
 def _content(words: list[str]) -> bytes:
@@ -141,36 +157,40 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[float,
     return tuple(float(v) for v in w)
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """Train on a bounded sample of the labelled rows that are not held out."""
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, toxic: a bounded sample of the labelled rows that are not held out, each once."""
     known = (labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id")))
              .groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
-    picked: dict = {}
-    for value in (0, 1):
-        rows = known.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).collect()
-        picked |= {r["doc_id"]: value for r in rows}
-    sample = docs.filter(F.col("doc_id").isin(list(picked)) & F.col("text").isNotNull()).select("doc_id", "text") if picked else None
-    room, taken = TRAIN_CHARS, []
-    if sample is not None:
-        for r in sample.select("doc_id", F.length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "n").limit(2 * TRAIN_ROWS).collect():
-            room -= r["n"]
-            if room < 0:
-                break
-            taken.append(r["doc_id"])
-    rows = sorted({(r["doc_id"], r["text"]) for r in sample.filter(F.col("doc_id").isin(taken)).collect()}) if taken else []
-    toxic = [t for i, t in rows if picked[i] == 1]
-    ordinary = [t for i, t in rows if picked[i] == 0]
-    chosen, usual = _telling(toxic, ordinary) if toxic and ordinary else ([], [])
+    some = [known.filter(F.col("toxic") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS) for value in (0, 1)]
+    picked = settle(some[0].unionByName(some[1]))
+    rows = docs.filter(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    ids = rows.select("doc_id", F.length("text").alias("n")).orderBy(F.xxhash64("doc_id"), "n").limit(2 * TRAIN_ROWS)
+    so_far = F.sum("n").over(Window.orderBy(F.xxhash64("doc_id"), "n").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    taken = ids.withColumn("so_far", so_far).filter(F.col("so_far") <= TRAIN_CHARS).select("doc_id").distinct()
+    return settle(rows.join(F.broadcast(taken), "doc_id", "left_semi").repartition(TRAIN_TASKS, "doc_id", "text").dropDuplicates(["doc_id", "text"]))
+
+
+def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    """Train on a bounded sample of the labelled rows that are not held out.
+
+    Its texts stay in tasks; the driver gets the words of the dictionaries and three features of each row.
+    """
+    sample = training_rows(docs, labels)
+    chosen, usual = _telling(sample)
     if not chosen:
         return Model(b"", b"", 0, None)
     toxic_words = _compressor(_content(chosen))
     lengths = sorted(len(toxic_words(_window(w))) for w in chosen)
     model = Model(_content(chosen), _content(usual), lengths[int(len(lengths) * PASSING)], None)
-    features = measure(model)
-    x = np.array([features(t) for _, t in rows])
-    y = np.array([float(picked[i]) for i, _ in rows])
-    model.weights = _logistic(x, y)
-    return model
+
+    def told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        features = measure(model)
+        for batch in batches:
+            x = np.array([features(t) for t in batch["text"]]).reshape(-1, 3)
+            yield pd.DataFrame({"x0": x[:, 0], "x1": x[:, 1], "x2": x[:, 2], "y": batch["toxic"].to_numpy(dtype=float)})
+
+    rows = np.array(sample.orderBy("doc_id", "text").mapInPandas(told, "x0 double, x1 double, x2 double, y double").collect())
+    return replace(model, weights=_logistic(rows[:, :3], rows[:, 3]))
 
 
 def score(text: Column, model: Model) -> Column:

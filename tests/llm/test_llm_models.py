@@ -2,6 +2,7 @@
 
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -79,3 +80,36 @@ def test_stages_take_odd_rows(spark, n):
     kept = {r.doc_id for r in out.collect()}
     assert {2, 3} <= kept and None in kept
     assert stage(spark, spark.createDataFrame([], schema), FOLDER).count() == 0
+
+
+def labelled_rows(spark):
+    docs = [(i, f"{'vile gröttig scorn' if i % 3 == 0 else 'plain kindly words'} number{i} said item{i % 7} again") for i in range(90)]
+    docs += [(5, None), (6, docs[6][1]), (500, "nobody labelled this")]
+    labels = [(i, int(i % 3 == 0)) for i in range(90)] + [(4, 0), (None, 1)]
+    return spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+
+
+def test_toxicity_training_texts_stay_off_the_driver(spark, monkeypatch):
+    docs, labels = labelled_rows(spark)
+    kind = type(docs)
+    collected = []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: collected.append(self.columns) or collect(self))
+    assert toxicity.fit(docs, labels).weights is not None
+    assert collected and not any({"text", "doc_id"} & set(columns) for columns in collected)
+
+
+def test_toxicity_dictionaries_hold_the_words_of_plain_counting(spark):
+    docs, labels = labelled_rows(spark)
+    held = {r[0] for r in labels.filter(toxicity.held_out(F.col("doc_id"))).select("doc_id").collect()}
+    label = {r.doc_id: r.toxic for r in labels.collect() if r.doc_id is not None and r.doc_id not in held}
+    contexts = {0: set(), 1: set()}
+    for r in docs.collect():
+        if r.text is not None and r.doc_id in label:
+            words = ["", *toxicity.WORD.findall(r.text.lower()), ""]
+            contexts[label[r.doc_id]] |= set(zip(words, words[1:], words[2:]))
+    usual = Counter(c[1] for c in contexts[0] - contexts[1])
+    model = toxicity.fit(docs, labels)
+    telling = set(model.toxic.decode().split())
+    assert {"vile", "gröttig", "scorn"} >= telling > set()
+    assert model.ordinary.decode().split() == [w for w, _ in sorted(usual.items(), key=lambda kv: (kv[1], kv[0])) if len(w) > 3 and w not in telling]

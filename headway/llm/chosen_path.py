@@ -332,6 +332,17 @@ def confirm(pairs: DataFrame, docs: DataFrame, first: DataFrame, k: int, percent
     return both.select("a", "b", "x", "y").mapInPandas(link, PAIRS)
 
 
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """The groups (cls, grp) after further links, which join whole groups; a class that stands in none is its own."""
+    of = lambda end: groups.select(F.col("cls").alias(end), F.col("grp").alias(f"{end}_grp"))
+    edges = (links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+             .select(F.coalesce("a_grp", "a").alias("a"), F.coalesce("b_grp", "b").alias("b")))
+    joined = connected(edges)
+    known = groups.join(joined.withColumnRenamed("id", "grp"), "grp", "left").select("cls", F.coalesce("group", "grp").alias("grp"))
+    single = joined.join(groups.select(F.col("cls").alias("id")), "id", "left_anti").select(F.col("id").alias("cls"), F.col("group").alias("grp"))
+    return settle(known.unionByName(single))
+
+
 def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, h, n, component_id of every row: the smallest doc_id reachable by links."""
     rows = settle(sketches(docs, k))
@@ -347,17 +358,13 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
         pairs = pairs.unionByName(pivot_pairs(dense, classes, percent))
     links = settle(confirm(settle(pairs.distinct()), docs, first, k, percent))
 
-    def grouped(edges: DataFrame) -> DataFrame:
-        return settle(connected(edges).select(F.col("id").alias("cls"), F.col("group").alias("grp")))
-
-    groups = grouped(links)
+    groups = settle(connected(links).select(F.col("id").alias("cls"), F.col("group").alias("grp")))
     if stays_large:
         # smaller groups of copies inside a large node find their own pivots
         apart = outsiders(dense, groups).filter(F.col("grp") != F.col("main")).select("path", "cls")
         more = settle(pivot_pairs(settle(apart), classes, percent).distinct())
         if more.limit(1).count():
-            links = links.unionByName(confirm(more, docs, first, k, percent))
-            groups = grouped(links)
+            groups = merged(groups, confirm(more, docs, first, k, percent))
         mixed = settle(outsiders(dense, groups))
         if mixed.limit(1).count():
             sets = full_sets(mixed, docs, first, k)
@@ -370,7 +377,7 @@ def components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
             finally:
                 conf.set(name, usual)
             if last.limit(1).count():
-                groups = grouped(links.unionByName(last))
+                groups = merged(groups, last)
     named = classes.select("cls", "low").join(groups, "cls", "left").withColumn("grp", F.coalesce("grp", "cls"))
     lowest = named.groupBy("grp").agg(F.min("low").alias("component_id"))
     out = rows.select("doc_id", "h", "n", "cls").join(named.join(lowest, "grp").select("cls", "component_id"), "cls", "left")

@@ -210,10 +210,14 @@ def candidate_names(p_keys: DataFrame, f_keys: DataFrame, floor: float) -> DataF
             need = np.maximum(np.ceil(size * first - 1 - 1e-9), 1).astype(np.int64)
             return need - np.minimum(need, MATCHES), np.minimum(need, MATCHES)
 
+        def side(rows: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            numbers, places = np.unique(np.concatenate(rows.to_numpy()), return_inverse=True)
+            return rows.map(len).to_numpy(), places.astype(np.int32), numbers
+
         found = []
-        for n, hit, shared in meet(host["gs"].to_numpy(), guest["fgs"].to_numpy(), bounds(length), bounds(flength), lambda n, hit: hit):
-            hit = hit[shared >= both * (length[hit] + flength[n]) - 1 - 1e-9]
-            found.append((keys[hit], np.repeat(fkeys[n:n + 1], len(hit))))
+        for g, h, shared in meet(side(host["gs"]), side(guest["fgs"]), bounds(length), bounds(flength), lambda g, h: np.ones(len(g), bool)):
+            good = shared >= both * (length[h] + flength[g]) - 1 - 1e-9
+            found.append((keys[h[good]], fkeys[g[good]]))
         if not found:
             return pd.DataFrame({"key": [], "fkey": []}, dtype=object)
         a, b = (np.concatenate(c) for c in zip(*found))

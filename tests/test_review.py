@@ -90,6 +90,40 @@ def test_lexical_pairs_meet_in_blocks(spark, monkeypatch):
     assert sorted((r["rep"], r["title"]) for r in matches) == sorted((a, b) for a in reps for b in shown if overlap(ws[a], ws[b]) >= 0.65)
 
 
+def test_word_blocks_are_read_not_shuffled(spark, monkeypatch):
+    for name, value in (("LEAST_WORDS", 800), ("BLOCK_WORDS", 800), ("DEALT_WORDS", 0), ("COMMON", 8), ("TILE", 2)):
+        monkeypatch.setattr(duplicates, name, value, raising=False)
+    items = make_items() + [(500, "word1 word2 word3 word4", None), (None, "word1 word2 word3 word5", None)]
+    ws = {i: w for i, w in brute_words(items).items() if i is not None}
+    st = {i: (s or "").upper() for i, _, s in items}
+    df = spark.createDataFrame(items, "id bigint, headline string, state string")
+    sets = duplicates.word_sets(df)
+    reps = sorted(r["rep"] for r in sets.select("rep").collect() if r["rep"] is not None)
+    want = [(a, b) for a in reps for b in reps if a < b and overlap(ws[a], ws[b]) >= 0.7]
+    found = duplicates.lexical_pairs(sets)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "CartesianProduct" in plan  # however many blocks a text meets, it is written once
+    assert sorted((r["a"], r["b"]) for r in found.collect()) == want
+    links = [(r["a"], r["b"]) for r in duplicates.lexical_links(sets).collect()]
+    agree = [(a, b) for a, b in want if not (st[a] and st[b] and st[a] != st[b])]
+    assert {tuple(sorted(p)) for p in links} <= set(agree)
+    assert union_find(links) == union_find(agree)
+    titles = duplicates.word_sets(df.filter("id < 30"), ident="id", state=None)
+    shown = {r["rep"] for r in titles.collect()}
+    matches = duplicates.lexical_matches(sets, titles).collect()
+    assert sorted((r["rep"], r["title"]) for r in matches) == sorted((a, b) for a in reps for b in shown if overlap(ws[a], ws[b]) >= 0.65)
+
+
+def test_a_forest_joins_what_all_links_join():
+    rnd = np.random.default_rng(3)
+    for nodes, links in ((1, 0), (2, 3), (50, 40), (50, 400), (3000, 2500)):
+        a, b = rnd.integers(0, nodes, links), rnd.integers(0, nodes, links)
+        kept = duplicates.foresting()(a, b, nodes)
+        joined = union_find([(x, y) for x, y in zip(a.tolist(), b.tolist()) if x != y])
+        assert union_find(list(zip(a[kept].tolist(), b[kept].tolist()))) == joined
+        assert len(kept) == len(joined) - len(set(joined.values()))
+
+
 def test_lexical_pairs_keep_text_ids(spark):
     rows = [("x1", "alpha beta gamma", "AA"), ("x2", "alpha beta gamma delta", None), ("y", "one two three four", "AA")]
     df = spark.createDataFrame(rows, "id string, headline string, state string")

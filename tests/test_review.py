@@ -154,6 +154,28 @@ def test_already_published_matches_brute_force(spark):
     assert {r["id"] for r in got.collect()} == want
 
 
+def test_groups_by_words_and_vectors_match_brute_force(spark, monkeypatch):
+    for name, value in (("CELL_ROWS", 10), ("CHUNK", 6), ("PART_ROWS", 20), ("PARTS", 3), ("DEALT_WORDS", 0), ("LEAST_WORDS", 800), ("BLOCK_WORDS", 800)):
+        monkeypatch.setattr(duplicates, name, value, raising=False)
+    items = [r for r in make_items() if r[0] < 150]
+    ws, st = brute_words(items), {i: (s or "").upper() for i, _, s in items}
+    rnd = np.random.default_rng(6)
+    v = {i: rnd.normal(size=3) for i in range(0, 150, 2)} | {900: np.ones(3)}
+    v |= {i: v[i - 60] for i in range(60, 90, 2)} | {8: np.zeros(3), 10: np.zeros(3)}
+    u = {i: x / max(np.linalg.norm(x), 1e-9) for i, x in v.items()}
+    near = {(a, b) for a in v for b in v if a < b and b in ws and ((v[a] == v[b]).all() or 1e-9 < np.linalg.norm(v[a]) and 1e-9 < np.linalg.norm(v[b]) and 1 - u[a] @ u[b] <= 0.02)}
+    edges = [(a, b) for a in ws for b in ws if a < b and (overlap(ws[a], ws[b]) >= 0.7 or (a, b) in near) and not (st[a] and st[b] and st[a] != st[b])]
+    df = spark.createDataFrame(items, "id bigint, headline string, state string")
+    vectors = spark.createDataFrame([(i, x.tolist()) for i, x in v.items()] + [(3, None)], "id bigint, embedding array<double>")
+    got = {r["id"]: r["group"] for r in duplicates.duplicate_groups(df, vectors, eps=0.02).collect()}
+    assert len(near) > 30 and got == union_find(edges)
+    found = duplicates.vector_pairs(duplicates.unit_vectors(vectors.filter("id NOT IN (8, 10)")), eps=0.5)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "CartesianProduct" in plan  # however many cells a vector visits, it is written once
+    unlike = {min(i for i in v if (v[i] == x).all()) for x in v.values()} - {8}
+    assert {(r["a"], r["b"]) for r in found.collect()} == {(a, b) for a in unlike for b in unlike if a < b and 1 - u[a] @ u[b] <= 0.5}
+
+
 def test_vector_pairs_keep_text_ids(spark):
     df = spark.createDataFrame([("x1", [1.0, 0.0]), ("x2", [0.99, 0.01]), ("y", [0.0, 1.0])], "id string, embedding array<double>")
     assert [(r["a"], r["b"]) for r in duplicates.vector_pairs(duplicates.unit_vectors(df)).collect()] == [("x1", "x2")]

@@ -275,10 +275,12 @@ def find_unique(documents: DataFrame, projects: DataFrame) -> DataFrame:
     Every (document, project) pair is judged alone, so a document is compared only with projects the
     linker can reach from it; ``hits`` counts them and the reason names them. ``documents(profile_id, title, key, states)``.
     """
-    from headway.operators.linkage import pair_links
+    from headway.operators.linkage import pair_links, project_of
     hits = pair_links(projects.select(F.col("project_name").alias("name"), "state"), documents)
-    per = hits.groupBy("profile_id").agg(F.count(F.lit(1)).alias("hits"), F.min("name").alias("_name"), F.min_by("state", "name").alias("_state"),
-                                         F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("_names"))
+    names = F.sort_array(F.array_compact(F.transform("links", lambda x: project_of(x)[0])))
+    name, state = project_of(F.col("links")[0])
+    per = hits.select("profile_id", F.size("links").cast("bigint").alias("hits"), name.alias("_name"), F.when(name.isNotNull(), state).alias("_state"),
+                      F.array_join(names, ", ").alias("_names"))
     out = documents.join(per, "profile_id", "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
     one = F.col("hits") == 1
     reason = (F.when(F.col("hits") > 1, F.concat(F.lit("matches several projects: "), "_names"))

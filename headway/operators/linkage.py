@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -100,7 +102,7 @@ def _rare_grams(keys: DataFrame, numbers: DataFrame) -> DataFrame:
     return grams.groupBy("key").agg(F.sort_array(F.collect_list("number")).alias("gs"))  # one name's letters
 
 
-NAMES = 4096  # names per side in one comparison task
+NAMES = 2048  # names per side in one comparison task
 
 
 def common_letters(a: str, places: dict[str, int], size: int) -> int:
@@ -143,7 +145,7 @@ def _blocked(projects: DataFrame, profiles: DataFrame):
     everywhere = F.array(F.lit("*"))
     p = (projects.select("name", "state").distinct()
          .withColumn("key", norm_name("name"))
-         .withColumn("id", F.concat_ws("\x01", F.coalesce("name", F.lit("\x02")), F.coalesce("state", F.lit("\x02")))))
+         .withColumn("id", project_id("name", "state")))
     codes = F.filter(F.split(F.coalesce("state", F.lit("")), "-"), lambda s: s != "")
     p = p.withColumn("ws", F.array_distinct(F.array_except(words("key"), F.array(*[F.lit(f) for f in FILLER]))))
     p = settle(p)
@@ -176,60 +178,162 @@ def _contained(p_rows: DataFrame, f_rows: DataFrame) -> DataFrame:
             .select("id", "profile_id").distinct())
 
 
-def candidate_names(p_keys: DataFrame, f_keys: DataFrame, floor: float) -> DataFrame:
-    """(key, fkey) of different spellings whose ratio may reach ``floor``; inputs are (key, block) and (fkey, block).
+def liking(floor: float):
+    """A function for tasks that finds the names of two lists whose ratio may reach ``floor``; made here, so that it
+    travels to the workers by value."""
+    meet, first, both, matches = meeting(), (1.5 * floor - 1) * 2 / (2 - floor), 1.5 * floor - 1, MATCHES
+
+    def bounds(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        need = np.maximum(np.ceil(size * first - 1 - 1e-9), 1).astype(np.int64)
+        return need - np.minimum(need, matches), np.minimum(need, matches)
+
+    def side(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        numbers, places = np.unique(np.concatenate(rows), return_inverse=True)
+        return np.array([len(r) for r in rows]), places.astype(np.int32), numbers
+
+    def common(name: np.ndarray, letters: int, texts: np.ndarray, longer: np.ndarray) -> np.ndarray:
+        """Length of the longest common subsequence of a name with each of many texts, which stand from long to short;
+        ``longer`` tells how many have a letter at each place. A bit of ``free`` stands for a letter of the name."""
+        words = -(-len(name) // 64)
+        masks = np.zeros((words, letters), np.uint64)
+        at = np.arange(len(name))
+        np.bitwise_or.at(masks, (at // 64, name), np.uint64(1) << (at % 64).astype(np.uint64))
+        free = np.full((words, len(texts)), ~np.uint64(0))
+        for place, n in enumerate(longer):
+            letter, carry = texts[:n, place], None
+            for w in range(words):
+                now = free[w, :n]
+                hit = now & masks[w][letter]
+                total = now + hit
+                over = total < now
+                if carry is not None:
+                    total += carry
+                    over |= total < carry
+                carry = over.astype(np.uint64)
+                free[w, :n] = total | (now ^ hit)
+        free[-1] |= ~np.uint64(0) << np.uint64(len(name) - 64 * (words - 1)) if len(name) % 64 else np.uint64(0)
+        return np.bitwise_count(~free).sum(axis=0, dtype=np.int64)
+
+    def like(keys: list[str], grams: list[np.ndarray], names: list[str], name_grams: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+        """Each name's number, and the numbers of the keys that may reach the ratio with it."""
+        points = [np.array([ord(c) for c in k], np.int64) for k in (*keys, *names)]
+        alphabet, flat = np.unique(np.concatenate(points), return_inverse=True)
+        sizes = np.array([len(x) for x in points])
+        flat = np.split(flat, np.cumsum(sizes)[:-1])
+        length, flength = sizes[:len(keys)], sizes[len(keys):]
+        order = np.argsort(-length, kind="stable")
+        texts = np.zeros((len(keys), length.max()), np.int32)
+        for row, k in enumerate(order):
+            texts[row, :length[k]] = flat[k]
+        sorted_length = length[order]
+        row_of = np.empty(len(keys), np.int64)
+        row_of[order] = np.arange(len(keys))
+        host, guest = side(grams), side(name_grams)
+        shared, mine, theirs = np.intersect1d(host[2], guest[2], assume_unique=True, return_indices=True)
+        often = np.bincount(host[1], minlength=len(host[2]))[mine] @ np.bincount(guest[1], minlength=len(guest[2]))[theirs]
+        everyone = np.arange(len(keys))
+
+        def met() -> Iterator[tuple[int, np.ndarray]]:
+            if often >= 2 * len(keys) * len(names):  # most pairs meet several times
+                for n in range(len(names)):
+                    yield n, everyone
+                return
+            for g, h, times in meet(host, guest, bounds(length), bounds(flength), lambda g, h: np.ones(len(g), bool)):
+                good = times >= both * (length[h] + flength[g]) - 1 - 1e-9
+                g, h = g[good], h[good]
+                cuts = np.flatnonzero(np.diff(g)) + 1
+                for part, rows in zip(np.split(g, cuts), np.split(h, cuts)):
+                    if len(part):
+                        yield int(part[0]), np.sort(row_of[rows])
+
+        for n, rows in met():
+            name, total = flat[len(keys) + n], sorted_length[rows] + flength[n]
+            rows = rows[2 * np.minimum(sorted_length[rows], flength[n]) >= (floor - 1e-9) * total]
+            if not len(rows):
+                continue
+            size = sorted_length[rows]
+            longer = np.searchsorted(-size, -np.arange(size[0]), "left")  # rows with more letters than that
+            found = common(name, len(alphabet), texts[rows], longer)
+            rows = rows[2 * found >= (floor - 1e-9) * (size + flength[n])]
+            if len(rows):
+                yield n, order[rows]
 
-    Spellings count once however many rows have them. Matched letters M of a pair with ratio r satisfy 2M = r * (la + lb),
-    the shared numbered runs are at least 3M - (la + lb) - 1, and la + lb >= la * 2 / (2 - r): so any two keys with
-    ratio >= floor share at least ``need`` runs, and after sorting by rarity ``least <= need`` of them lie among the
-    first ``runs - need + least`` of both. Both sides of a block are cut into chunks, and a task meets two of them: pairs
-    that share a few runs only never leave it. Letters outside the matched blocks number (1 - ratio) * (la + lb), and an
-    edit script that replaces them all takes no more edits than that.
+    return like
+
+
+def _name_blocks(p_keys: DataFrame, f_keys: DataFrame, compare: Callable, kind: str) -> DataFrame:
+    """What ``compare`` makes of two chunks of a block's names; inputs are (key, block, ...) and (fkey, block), written.
+
+    Both sides of a block are cut into chunks of NAMES rows, and a task meets two of them.
     """
     tasks = int(p_keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    p_keys, f_keys = settle(p_keys.distinct()), settle(f_keys.distinct())
     left, right = p_keys.select("key").distinct(), f_keys.select(F.col("fkey").alias("key")).distinct()
     names = numbered(left.unionByName(right).select(F.explode(_grams(F.col("key"))).alias("w"))
                      .groupBy("w").agg(F.count(F.lit(1)).alias("df")))
     count = lambda rows, name: rows.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / NAMES).alias(name))
     chunks = count(p_keys, "left").join(count(f_keys, "right"), "block")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    rest = [c for c in p_keys.columns if c not in ("key", "block")]
     hosts = _rare_grams(left, names).join(p_keys.join(chunks, "block"), "key").select(
-        "key", "gs", "block", F.pmod(F.xxhash64("key"), F.col("left")).alias("i"), each("right").alias("j"))
+        "key", "gs", "block", *rest, F.pmod(F.xxhash64("key", *rest), F.col("left")).alias("i"), each("right").alias("j"))
     guests = _rare_grams(right, names).join(f_keys.join(chunks, "block").withColumnRenamed("fkey", "key"), "key").select(
         F.col("key").alias("fkey"), F.col("gs").alias("fgs"), "block", each("left").alias("i"), F.pmod(F.xxhash64("key"), F.col("right")).alias("j"))
-    meet, first, both = meeting(), (1.5 * floor - 1) * 2 / (2 - floor), 1.5 * floor - 1
+    at = ["block", "i", "j"]
+    # fixed numbers of tasks: few bytes here make many pairs
+    return hosts.repartition(tasks, *at).groupBy(*at).cogroup(guests.repartition(tasks, *at).groupBy(*at)).applyInPandas(compare, kind)
 
-    def compare(host: pd.DataFrame, guest: pd.DataFrame) -> pd.DataFrame:
-        if host.empty or guest.empty:
-            return pd.DataFrame({"key": [], "fkey": []}, dtype=object)
-        keys, fkeys = host["key"].to_numpy(), guest["fkey"].to_numpy()
-        length, flength = host["key"].str.len().to_numpy(), guest["fkey"].str.len().to_numpy()
 
-        def bounds(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            need = np.maximum(np.ceil(size * first - 1 - 1e-9), 1).astype(np.int64)
-            return need - np.minimum(need, MATCHES), np.minimum(need, MATCHES)
+def candidate_names(p_keys: DataFrame, f_keys: DataFrame, floor: float) -> DataFrame:
+    """(key, fkey) of different spellings whose ratio may reach ``floor``; inputs are (key, block) and (fkey, block).
 
-        def side(rows: pd.Series) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            numbers, places = np.unique(np.concatenate(rows.to_numpy()), return_inverse=True)
-            return rows.map(len).to_numpy(), places.astype(np.int32), numbers
+    Spellings count once however many rows have them. Matched letters M of a pair with ratio r satisfy 2M = r * (la + lb),
+    the shared numbered runs are at least 3M - (la + lb) - 1, and la + lb >= la * 2 / (2 - r): so any two keys with
+    ratio >= floor share at least ``need`` runs, and after sorting by rarity ``least <= need`` of them lie among the
+    first ``runs - need + least`` of both. Matching blocks are a common subsequence, so M is at most the length of the
+    longest one. Both are looked at inside the task that meets two chunks of names; other pairs never leave it.
+    """
+    tasks = int(p_keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    like = liking(floor)
 
-        found = []
-        for g, h, shared in meet(side(host["gs"]), side(guest["fgs"]), bounds(length), bounds(flength), lambda g, h: np.ones(len(g), bool)):
-            good = shared >= both * (length[h] + flength[g]) - 1 - 1e-9
-            found.append((keys[h[good]], fkeys[g[good]]))
+    def compare(host: pd.DataFrame, guest: pd.DataFrame) -> pd.DataFrame:
+        if host.empty or guest.empty:
+            return pd.DataFrame({"key": [], "fkey": []}, dtype=object)
+        keys, fkeys = host["key"].to_numpy(object), guest["fkey"].to_numpy(object)
+        found = [(keys[h], np.repeat(fkeys[g:g + 1], len(h))) for g, h in like(list(keys), list(host["gs"]), list(fkeys), list(guest["fgs"]))]
         if not found:
             return pd.DataFrame({"key": [], "fkey": []}, dtype=object)
         a, b = (np.concatenate(c) for c in zip(*found))
         return pd.DataFrame({"key": pd.Series(a, dtype=object), "fkey": pd.Series(b, dtype=object)})
 
-    at = ["block", "i", "j"]
-    # fixed numbers of tasks: few bytes here make many pairs
-    met = (hosts.repartition(tasks, *at).groupBy(*at).cogroup(guests.repartition(tasks, *at).groupBy(*at))
-           .applyInPandas(compare, "key string, fkey string").repartition(tasks, "key", "fkey").distinct())
-    letters = F.length("key") + F.length("fkey")
-    edits = met.withColumn("most", F.floor((1 - floor + 1e-9) * letters).cast("int"))
-    return edits.filter(F.expr("levenshtein(key, fkey, most)") >= 0).select("key", "fkey")
+    met = _name_blocks(settle(p_keys.distinct()), settle(f_keys.distinct()), compare, "key string, fkey string")
+    return met.repartition(tasks, "key", "fkey").distinct()
+
+
+def _close_lists(p_blocks: DataFrame, f_blocks: DataFrame) -> DataFrame:
+    """(profile_id, ids): the projects whose spelling ratio with a document in a common block is CLOSE or more, in some
+    lists for each document. A pair is an entry of a list, not a row of the joins."""
+    like, least = liking(CLOSE), CLOSE
+
+    def compare(host: pd.DataFrame, guest: pd.DataFrame) -> pd.DataFrame:
+        from difflib import SequenceMatcher
+        if host.empty or guest.empty:
+            return pd.DataFrame({"fkey": [], "block": [], "ids": []}, dtype=object)
+        keys, ids, fkeys, matcher = list(host["key"]), host["id"].to_numpy(object), list(guest["fkey"]), SequenceMatcher(None)
+        rows = []
+        for g, h in like(keys, list(host["gs"]), fkeys, list(guest["fgs"])):
+            matcher.set_seq2(fkeys[g])
+            near = []
+            for n in h:
+                matcher.set_seq1(keys[n])
+                if matcher.ratio() >= least:
+                    near.append(ids[n])
+            if near:
+                rows.append((fkeys[g], near))
+        return pd.DataFrame({"fkey": [r[0] for r in rows], "block": host["block"].iloc[0], "ids": [r[1] for r in rows]}, columns=["fkey", "block", "ids"], dtype=object)
+
+    p_keys, f_keys = settle(p_blocks.select("id", "key", "block").distinct()), settle(f_blocks.select("fkey", "block").distinct())
+    lists = _name_blocks(p_keys, f_keys, compare, "fkey string, block string, ids array<string>")
+    return lists.join(f_blocks.select("profile_id", "fkey", "block").distinct(), ["fkey", "block"]).select("profile_id", "ids")
 
 
 def _close_pairs(p_rows: DataFrame, f_blocks: DataFrame, floor: float) -> DataFrame:
@@ -290,15 +394,27 @@ def link_profiles(projects: DataFrame, profiles: DataFrame) -> DataFrame:
 
 
 def pair_links(projects: DataFrame, documents: DataFrame) -> DataFrame:
-    """All (project, document) pairs in which the document, taken alone, would be the project's link:
-    equal keys, one side's distinctive words inside the other's, or a close enough spelling."""
-    p, p_blocks, f_blocks = _blocked(projects, documents)
+    """(profile_id, links): of each document that has any, the (project, document) pairs in which the document, taken
+    alone, would be the project's link, as ``project_id`` texts: equal keys, one side's distinctive words inside the
+    other's, or a close enough spelling."""
+    _, p_blocks, f_blocks = _blocked(projects, documents)
     same = p_blocks.join(f_blocks, (p_blocks["block"] == f_blocks["block"]) & (p_blocks["key"] == f_blocks["fkey"]))
     inside = _contained(p_blocks.filter(F.size("ws") > 0), f_blocks.filter(F.size("fws") > 0))
-    near = _close_pairs(p_blocks, f_blocks, CLOSE).filter(F.col("ratio") >= CLOSE)
-    ids = [d.select("id", "profile_id") for d in (same, inside, near)]
-    return (ids[0].unionByName(ids[1]).unionByName(ids[2]).distinct()
-            .join(p.select("id", "name", "state"), "id").drop("id"))
+    ids = [d.select("profile_id", F.array("id").alias("ids")) for d in (same, inside)]
+    return (ids[0].unionByName(ids[1]).unionByName(_close_lists(p_blocks, f_blocks))
+            .groupBy("profile_id").agg(F.array_distinct(F.flatten(F.collect_list("ids"))).alias("links")))
+
+
+def project_id(name: Column | str, state: Column | str) -> Column:
+    """A text that stands for a (name, state), nulls included."""
+    return F.concat_ws("\x01", F.coalesce(name, F.lit("\x02")), F.coalesce(state, F.lit("\x02")))
+
+
+def project_of(ident: Column) -> tuple[Column, Column]:
+    """The name and the state that a ``project_id`` stands for."""
+    state = F.substring_index(ident, "\x01", -1)
+    name = F.left(ident, F.length(ident) - F.length(state) - 1)
+    return F.nullif(name, F.lit("\x02")), F.nullif(state, F.lit("\x02"))
 
 
 # fixed values: provenance texts of an assigned mode

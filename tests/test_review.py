@@ -176,6 +176,18 @@ def test_groups_by_words_and_vectors_match_brute_force(spark, monkeypatch):
     assert {(r["a"], r["b"]) for r in found.collect()} == {(a, b) for a in unlike for b in unlike if a < b and 1 - u[a] @ u[b] <= 0.5}
 
 
+def test_group_members_need_no_labels(spark, tmp_path):
+    from headway.plans import catalog
+    catalog.load()
+    texts = {1: "alpha beta gamma", 2: "alpha beta gamma delta", 3: "one two three", 5: "four five six", 6: "seven eight nine", 8: "ten eleven twelve"}
+    spark.createDataFrame([(i, t, "en" if i != 2 else "de", "s1", len(t)) for i, t in texts.items()], "doc_id bigint, text string, lang string, source string, n_chars int").write.parquet(f"{tmp_path}/documents.parquet")
+    near = [(5, [1.0, 0.1]), (6, [1.0, 0.2]), (3, [-1.0, 0.0]), (8, None), (99, [1.0, 0.0])]
+    spark.createDataFrame([(i, v, 1) for i, v in near], "vec_id bigint, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    # texts don't travel to meet labels, so there may be none; 1 and 2 are alike, but of two states
+    assert sorted(r["id"] for r in catalog.QUERIES["duplicate_group_members"](spark, str(tmp_path)).collect()) == [5, 6]
+    assert [(r["a"], r["b"]) for r in catalog.QUERIES["lexical_pairs"](spark, str(tmp_path)).collect()] == [(1, 2)]
+
+
 def test_vector_pairs_keep_text_ids(spark):
     df = spark.createDataFrame([("x1", [1.0, 0.0]), ("x2", [0.99, 0.01]), ("y", [0.0, 1.0])], "id string, embedding array<double>")
     assert [(r["a"], r["b"]) for r in duplicates.vector_pairs(duplicates.unit_vectors(df)).collect()] == [("x1", "x2")]

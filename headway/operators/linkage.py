@@ -261,8 +261,8 @@ def liking(floor: float):
     return like
 
 
-def _name_blocks(p_keys: DataFrame, f_keys: DataFrame, compare: Callable, kind: str) -> DataFrame:
-    """What ``compare`` makes of two chunks of a block's names; inputs are (key, block, ...) and (fkey, block), written.
+def _name_blocks(p_keys: DataFrame, f_keys: DataFrame, compare: Callable, kind: str | T.StructType) -> DataFrame:
+    """What ``compare`` makes of two chunks of a block's names; inputs are (key, block, ...) and (fkey, block, ...), written.
 
     Both sides of a block are cut into chunks of NAMES rows, and a task meets two of them.
     """
@@ -273,11 +273,11 @@ def _name_blocks(p_keys: DataFrame, f_keys: DataFrame, compare: Callable, kind:
     count = lambda rows, name: rows.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / NAMES).alias(name))
     chunks = count(p_keys, "left").join(count(f_keys, "right"), "block")
     each = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
-    rest = [c for c in p_keys.columns if c not in ("key", "block")]
+    rest, more = ([c for c in rows.columns if c not in ("key", "fkey", "block")] for rows in (p_keys, f_keys))
     hosts = _rare_grams(left, names).join(p_keys.join(chunks, "block"), "key").select(
         "key", "gs", "block", *rest, F.pmod(F.xxhash64("key", *rest), F.col("left")).alias("i"), each("right").alias("j"))
     guests = _rare_grams(right, names).join(f_keys.join(chunks, "block").withColumnRenamed("fkey", "key"), "key").select(
-        F.col("key").alias("fkey"), F.col("gs").alias("fgs"), "block", each("left").alias("i"), F.pmod(F.xxhash64("key"), F.col("right")).alias("j"))
+        F.col("key").alias("fkey"), F.col("gs").alias("fgs"), "block", *more, each("left").alias("i"), F.pmod(F.xxhash64("key", *more), F.col("right")).alias("j"))
     at = ["block", "i", "j"]
     # fixed numbers of tasks: few bytes here make many pairs
     return hosts.repartition(tasks, *at).groupBy(*at).cogroup(guests.repartition(tasks, *at).groupBy(*at)).applyInPandas(compare, kind)
@@ -317,10 +317,13 @@ def _close_lists(p_blocks: DataFrame, f_blocks: DataFrame) -> DataFrame:
     def compare(host: pd.DataFrame, guest: pd.DataFrame) -> pd.DataFrame:
         from difflib import SequenceMatcher
         if host.empty or guest.empty:
-            return pd.DataFrame({"fkey": [], "block": [], "ids": []}, dtype=object)
-        keys, ids, fkeys, matcher = list(host["key"]), host["id"].to_numpy(object), list(guest["fkey"]), SequenceMatcher(None)
-        rows = []
-        for g, h in like(keys, list(host["gs"]), fkeys, list(guest["fgs"])):
+            return pd.DataFrame({"profile_id": [], "ids": []}, dtype=object)
+        keys, ids, matcher = list(host["key"]), host["id"].to_numpy(object), SequenceMatcher(None)
+        spelled = guest.groupby("fkey").indices  # a spelling counts once
+        fkeys = list(spelled)
+        grams, documents = guest["fgs"].to_numpy(), guest["profile_id"].to_numpy()
+        rows, lists = [], []
+        for g, h in like(keys, list(host["gs"]), fkeys, [grams[spelled[k][0]] for k in fkeys]):
             matcher.set_seq2(fkeys[g])
             near = []
             for n in h:
@@ -328,12 +331,15 @@ def _close_lists(p_blocks: DataFrame, f_blocks: DataFrame) -> DataFrame:
                 if matcher.ratio() >= least:
                     near.append(ids[n])
             if near:
-                rows.append((fkeys[g], near))
-        return pd.DataFrame({"fkey": [r[0] for r in rows], "block": host["block"].iloc[0], "ids": [r[1] for r in rows]}, columns=["fkey", "block", "ids"], dtype=object)
-
-    p_keys, f_keys = settle(p_blocks.select("id", "key", "block").distinct()), settle(f_blocks.select("fkey", "block").distinct())
-    lists = _name_blocks(p_keys, f_keys, compare, "fkey string, block string, ids array<string>")
-    return lists.join(f_blocks.select("profile_id", "fkey", "block").distinct(), ["fkey", "block"]).select("profile_id", "ids")
+                rows.append(spelled[fkeys[g]])
+                lists += [near] * len(rows[-1])
+        if not rows:
+            return pd.DataFrame({"profile_id": [], "ids": []}, dtype=object)
+        return pd.DataFrame({"profile_id": documents[np.concatenate(rows)], "ids": lists})
+
+    p_keys = settle(p_blocks.select("id", "key", "block").distinct())
+    f_keys = settle(f_blocks.filter("profile_id IS NOT NULL").select("profile_id", "fkey", "block").distinct())
+    return _name_blocks(p_keys, f_keys, compare, T.StructType([f_keys.schema["profile_id"], T.StructField("ids", T.ArrayType(T.StringType()))]))
 
 
 def _close_pairs(p_rows: DataFrame, f_blocks: DataFrame, floor: float) -> DataFrame:
